@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame
 from .common import map_texts, table, texts
 
 #: Words in a worker's table before it is emptied.
-TABLE_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+TABLE_WORDS = 300_000
+#: Fixed values of the vocabulary's own format: how a text splits into words, and its white space.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 SPACE = regex.compile(r"\p{White_Space}+")
 #: str.split() also splits at these, which are no white space in Unicode.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
