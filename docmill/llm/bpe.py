@@ -119,11 +119,13 @@ class Bpe:
     def encode(self, batch: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [t.split() if not NOT_SPACE.search(t) else SPACE.split(t) for t in batch]
-        fresh = set().union(*split)
+        words = set().union(*split)
+        fresh = words - self.known.keys()
         if len(self.known) + len(fresh) > TABLE_WORDS:
             self.known.clear()
-        self.learn(fresh - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            fresh = words
+        self.learn(fresh)
+        return [b"".join(map(self.known.__getitem__, own)) for own in split]
 
     def decode(self, ids: bytes) -> str:
         """The tokens of ids, which the vocabulary's format joins by a space, special ones included."""

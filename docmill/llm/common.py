@@ -60,15 +60,20 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start)
 
 
+def arrow(schema: str) -> pa.Schema:
+    """The Arrow schema of a DDL string (on the driver; tasks get it pickled)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
 def map_texts(df: DataFrame, work: Callable, schema: str, *args) -> DataFrame:
     """``work(piece, *args) -> dict of columns`` over every piece of ``df``."""
+    out = arrow(schema)
 
     def run(batches):
         for piece in pieces(batches):
             yield pa.RecordBatch.from_pydict(work(piece, *args), schema=out)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    out = to_arrow_schema(_parse_datatype_string(schema))
     return df.mapInArrow(run, schema)
