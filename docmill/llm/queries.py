@@ -1,9 +1,10 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bpe, exact_dedup, secret_scan, token_file
+from . import bpe, exact_dedup, minhash, secret_scan, token_file
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op3_minhash": minhash.op3_minhash,
     "op5_bpe": bpe.op5_bpe,
     "op6_token_file": token_file.op6_token_file,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
