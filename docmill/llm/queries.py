@@ -1,12 +1,13 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bpe, exact_dedup, minhash, secret_scan, token_file
+from . import bpe, exact_dedup, minhash, secret_scan, token_file, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_minhash": minhash.op3_minhash,
     "op5_bpe": bpe.op5_bpe,
     "op6_token_file": token_file.op6_token_file,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
