@@ -1,14 +1,19 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bpe, exact_dedup, minhash, secret_scan, token_file, toxicity
+from . import bpe, exact_dedup, minhash, mixing, secret_scan, token_file, topk, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_mixing": mixing.op2_mixing,
     "op3_minhash": minhash.op3_minhash,
     "op5_bpe": bpe.op5_bpe,
     "op6_token_file": token_file.op6_token_file,
+    "op7_topk": topk.op7_topk,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
-SQL = {"op10_exact_dedup": exact_dedup.SQL}
+SQL = {
+    "op7_topk": topk.SQL,
+    "op10_exact_dedup": exact_dedup.SQL,
+}
