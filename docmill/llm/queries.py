@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bpe, exact_dedup, minhash, mixing, secret_scan, token_file, topk, toxicity
+from . import bpe, exact_dedup, minhash, mixing, pii, secret_scan, token_file, topk, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_token_file": token_file.op6_token_file,
     "op7_topk": topk.op7_topk,
+    "op8_pii": pii.op8_pii,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
