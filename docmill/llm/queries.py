@@ -1,11 +1,12 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bpe, exact_dedup, minhash, mixing, pii, secret_scan, token_file, topk, toxicity
+from . import bpe, exact_dedup, maxent, minhash, mixing, pii, secret_scan, token_file, topk, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_mixing": mixing.op2_mixing,
     "op3_minhash": minhash.op3_minhash,
+    "op4_maxent": maxent.op4_maxent,
     "op5_bpe": bpe.op5_bpe,
     "op6_token_file": token_file.op6_token_file,
     "op7_topk": topk.op7_topk,
