@@ -46,6 +46,41 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+class Recent(dict):
+    """A table of what ``make`` gives for each key, bounded by two generations of ``size`` entries.
+
+    When the young one is full it becomes the old one, and what is still in use comes back from there, so that
+    words that occur once do not push out those that keep coming.
+    """
+
+    def __init__(self, size: int, make: Callable | None = None):
+        super().__init__()
+        self.size, self.make, self.old = size, make, {}
+
+    def turn(self) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key):
+        self.turn()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` that must be made; what the old generation has is taken over."""
+        self.turn()
+        fresh, old = keys - self.keys(), self.old
+        if old:
+            for key in fresh & old.keys():
+                self[key] = old[key]
+                fresh.discard(key)
+        return fresh
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes at most (a longer row comes alone)."""
     for batch in batches:
