@@ -13,6 +13,8 @@ def first_match(texts: list[Column], rules: Rules, default: str | None = None) -
 
     The rules are one literal array, so a plan holds them once, and a rule list of any length adds no branches.
     """
+    if not rules:
+        return F.lit(default).cast("string")
     table = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, patterns)).alias("patterns")) for name, patterns in rules))
 
     def hit(rule: Column) -> Column:

@@ -49,11 +49,11 @@ def chains(edges: DataFrame, rounds: int = 64) -> DataFrame:
     out = edges.groupBy("doc_id").agg(F.max("next_id").alias("latest_id")).withColumn("depth", F.lit(1).cast("long"))
     for _ in range(rounds):
         step = out.select(F.col("doc_id").alias("_at"), F.col("latest_id").alias("_next"), F.col("depth").alias("_more"))
-        again = out.join(step, F.col("latest_id") == F.col("_at"), "left").select("doc_id", F.coalesce("_next", "latest_id").alias("latest_id"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_next").isNotNull().alias("moved")).checkpoint()
-        out = again.drop("moved")
-        # a chain without a cycle is no longer than there are documents
-        on = again.where("moved").limit(1).count()
-        if not on or again.agg(F.min(F.when(F.col("moved"), F.col("depth"))).alias("d")).first()["d"] > again.count():
+        out = out.join(step, F.col("latest_id") == F.col("_at"), "left").select("doc_id", F.coalesce("_next", "latest_id").alias("latest_id"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_next").isNotNull().alias("moved")).checkpoint()
+        state = out.agg(F.count("*").alias("n"), F.count_if("moved").alias("moved"), F.min(F.when(F.col("moved"), F.col("depth"))).alias("least")).first()
+        out = out.drop("moved")
+        # what has moved farther than there are documents goes round in a cycle
+        if not state["moved"] or state["least"] > state["n"]:
             break
     ends = out.select(F.col("doc_id").alias("_d")).distinct()
     return out.join(ends, F.col("latest_id") == F.col("_d"), "left").select("doc_id", F.when(F.col("_d").isNull(), F.col("latest_id")).alias("latest_id"), F.when(F.col("_d").isNull(), F.col("depth")).alias("depth"), F.col("_d").isNotNull().alias("cycle"))

@@ -13,7 +13,8 @@ SUPPORTED = ("docx", "md", "html", "htm", "txt")
 
 
 def listing(spark: SparkSession, folder: str, only_docx: bool = False) -> DataFrame:
-    """``path, file_name, ext, length, content`` of the files, by path; names that begin with a dot are left out.
+    """``path, file_name, ext, length, content`` of the files, by path; names that begin with a dot are left out,
+    and so are empty files, which Spark's readers do not list.
 
     Content is read only by plans that use it: a listing or a hash of names prunes the column.
     """
