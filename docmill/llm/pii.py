@@ -28,9 +28,11 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)",
     "card": r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\d-])\d{13,19}(?!\d)",
     "phone": r"(?<!\d)(?:\+?1[ .-]?)?\(\d{3}\)[ ]?\d{3}-\d{4}(?!\d)|(?<![\d-])(?:\+?1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]*\d)",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
 }
-CANDIDATE = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All but e-mail begin with a digit, + or (, which is looked at first.
+NUMBER = r"(?=[+(\d])(?:" + "|".join(p for k, p in PATTERNS.items() if k != "email") + ")"
+CANDIDATE = f"{NUMBER}|{PATTERNS['email']}"
 #: Days of one whole cycle of the calendar, from 1800-01-01: 27 * 5411.
 FIRST_DAY, CYCLE = "1800-01-01", (27, 5411)
 
@@ -139,7 +141,8 @@ def pseudonym(v: Column, kind: Column, key: str = KEY, back: bool = False) -> Co
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id``, the whole text, and its candidates in order."""
     text = F.coalesce(docs["text"], F.lit(""))
-    return docs.select(F.col("doc_id"), text.alias("text"), F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("found"))
+    found = F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).otherwise(F.regexp_extract_all(text, F.lit(NUMBER), 0))
+    return docs.select(F.col("doc_id"), text.alias("text"), found.alias("found"))
 
 
 def _mapped(found: Column, key: str) -> Column:
@@ -177,4 +180,4 @@ def links(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    return pseudonymise(table(spark, sf_dir, "documents", spread=True))
