@@ -46,6 +46,8 @@ DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d
 #: A brute-force span pays for its alphabet; and each further segment for the order of segments.
 ALPHABETS = ((re.compile(r"[0-9]"), 10), (re.compile(r"[a-z]"), 26), (re.compile(r"[A-Z]"), 26), (re.compile(r"[^0-9A-Za-z]"), 33))
 SEGMENT = 0.5
+#: Lengths of blocks whose repeats are one segment.
+PERIODS = (1, 2, 3, 4)
 
 
 @lru_cache(maxsize=1)
@@ -55,12 +57,13 @@ def _near() -> dict[str, set[str]]:
     return {a: {b for b, (v, u) in at.items() if b != a and abs(v - y) <= 1 and abs(u - x) <= 1} for a, (y, x) in at.items()}
 
 
-def _runs(value: str, joins) -> list[int]:
-    """For each position, where the run that holds it ends, runs being kept up while ``joins`` holds."""
-    out, end = [0] * len(value), len(value)
-    for i in range(len(value) - 1, -1, -1):
-        if i + 1 < len(value) and not joins(value[i], value[i + 1]):
-            end = i + 1
+def _runs(value: str, joins, period: int = 1) -> list[int]:
+    """For each position, where the run that holds it ends: characters ``period`` apart are ``joins``-ed all along."""
+    n = len(value)
+    out, end = [0] * n, n
+    for i in range(n - 1, -1, -1):
+        if i + period < n and not joins(value[i], value[i + period]):
+            end = i + period
         out[i] = end
     return out
 
@@ -76,7 +79,8 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     plain = low.translate(PLAIN)
     size = sum(n for has, n in ALPHABETS if has.search(value))
     each = math.log10(max(size, 10))
-    same, walk = _runs(low, lambda a, b: a == b), _runs(low, lambda a, b: b in near.get(a, ()))
+    same = {p: _runs(low, lambda a, b: a == b, p) for p in PERIODS}
+    walk = _runs(low, lambda a, b: b in near.get(a, ()))
     dates = {m.start(): m.end() for m in DATE.finditer(value)}
     best = [0.0] + [math.inf] * len(value)
     brute = [False] + [True] * len(value)  # whether the best cut ends in a brute-force span
@@ -93,10 +97,12 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
             if rank:
                 shape = 0 if value[i : i + n] == low[i : i + n] else 0.5
                 reach(i + n, here + math.log10(rank + 1) + shape + SEGMENT, False)
-        if same[i] - i >= 3 and (i == 0 or same[i - 1] != same[i]):
-            reach(same[i], here + each + math.log10(same[i] - i) + SEGMENT, False)
+        for p, ends in same.items():
+            times = (ends[i] - i) // p
+            if times >= 2 and times * p >= 3 and (i == 0 or ends[i - 1] != ends[i]):
+                reach(i + times * p, here + p * each + math.log10(times) + SEGMENT, False)
         if walk[i] - i >= 3 and (i == 0 or walk[i - 1] != walk[i]):
-            turns = sum(1 for a, b, c in zip(low[i:], low[i + 1 : walk[i]], low[i + 2 : walk[i]]) if ord(b) - ord(a) != ord(c) - ord(b))
+            turns = sum(1 for a, b, c in zip(low[i : walk[i]], low[i + 1 : walk[i]], low[i + 2 : walk[i]]) if ord(b) - ord(a) != ord(c) - ord(b))
             reach(walk[i], here + math.log10(47 * (walk[i] - i)) + 0.6 * turns + SEGMENT, False)
         if i in dates:
             reach(dates[i], here + (math.log10(365 * 120) if dates[i] - i > 4 else math.log10(120)) + SEGMENT, False)
@@ -123,9 +129,14 @@ def find(text: str, threshold: float = THRESHOLD, words: dict[str, int] | None =
     if "AKIA" in text:
         out += ((*m.span(), "access", guess_cost(m[0], words)) for m in ACCESS.finditer(text))
     out += ((*m.span(), "hex", guess_cost(m[0], words)) for m in HEX.finditer(text))
-    base = [x for x in out if x[2] != "guess"]
-    out = [x for x in out if x[2] != "guess" or not any(b[0] <= x[0] and x[1] <= b[1] for b in base)]
-    return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
+    kept, reached = [], -1
+    for x in sorted(out, key=lambda x: (x[0], KINDS.index(x[2]))):
+        # fixed patterns that begin no later and end no earlier hold the same secret
+        if x[2] != "guess" or x[1] > reached:
+            kept.append(x)
+        if x[2] != "guess":
+            reached = max(reached, x[1])
+    return kept
 
 
 def secrets(docs: DataFrame, threshold: float = THRESHOLD, words: dict[str, int] | None = None) -> DataFrame:
@@ -171,4 +182,4 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, words: dict[str, int] |
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents", spread=True))

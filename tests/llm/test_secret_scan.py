@@ -23,7 +23,7 @@ def test_kinds_at_one_place_are_ordered():
 
 
 def test_costs():
-    weak = ["password", "aaaaaaaaaaaa", "qwertyuiop", "20240131", "Summer2024", "p4ssw0rd", "monkeymonkey"]
+    weak = ["password", "aaaaaaaaaaaa", "qwertyuiop", "20240131", "Summer2024", "p4ssw0rd", "monkeymonkey", "x7qx7qx7qx7q"]
     strong = ["x7#Kq!9vLmZ2", "24be64439e3e49cf46b2", "gT5$hhW0pqLx"]
     assert max(map(guess_cost, weak)) < 8 < 10 < min(map(guess_cost, strong))
     assert guess_cost("") == 0
