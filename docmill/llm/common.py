@@ -37,8 +37,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the folder.  ``spread``: a file that Spark reads in fewer tasks than there are cores (it has few row
+    groups) is dealt out to all of them, for work that costs more than the shuffle of so small an input."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -63,10 +67,11 @@ class Recent(dict):
             self.clear()
 
     def __missing__(self, key):
-        self.turn()
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(self) >= self.size:
+            self.turn()
         self[key] = value
         return value
 

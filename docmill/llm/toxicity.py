@@ -265,5 +265,5 @@ def clean(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
