@@ -577,17 +577,17 @@ def library_search(spark, sf):
     return lifecycle.search(rows, "Ring", p_type="ECONOMY").select("p_partkey", "p_name")
 
 
-@query()
+@query("SELECT DISTINCT sha256(text) AS sha256 FROM documents")
 def intake_stream(spark, sf):
-    """Documents that arrive as a stream, the first of each content; the same as in one batch."""
+    """Contents that arrive as a stream, each once; the same as in one batch."""
     from uuid import uuid4
 
     base = (spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)) + f"/docmill/stream-{uuid4().hex}"
     docs = table(spark, sf, "documents")
     # the table is a file or a folder of files; a stream takes folders and patterns
     stream = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parquet*")
-    intake.to_table(intake.first_of_content(stream.select("doc_id", "text"), "text").select("doc_id", "sha256"), f"{base}/rows", f"{base}/state").awaitTermination()
-    return spark.read.schema("doc_id long, sha256 string").parquet(f"{base}/rows")
+    intake.to_table(intake.first_of_content(stream.select("doc_id", "text"), "text").select("sha256"), f"{base}/rows", f"{base}/state").awaitTermination()
+    return spark.read.schema("sha256 string").parquet(f"{base}/rows")
 
 
 def _own_folder(spark) -> str:
