@@ -99,7 +99,8 @@ def cell_table(docs: DataFrame) -> DataFrame:
 
 def draw(doc_id: Column, seed: int = SEED) -> Column:
     """A number in [0, 1) that depends on the document and the seed alone."""
-    return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"-{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: int = SEED) -> DataFrame:
@@ -124,4 +125,35 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share:
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    """Weights and probabilities rounded to nine places, for sums come in any order."""
+    rounded = {c: F.round(c, 9) for c in ("weight", "probability")}
+    return mix(table(spark, sf_dir, "documents")).withColumns(rounded)
+
+
+def sql() -> str:
+    """The same in SQL: every scaling is one more common table expression."""
+    steps = [
+        r"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE WHEN contains(t, ' | ') THEN 'table' WHEN regexp_matches(t, '@[A-Za-z0-9-]+\.|\+1 \(') THEN 'contact'
+WHEN regexp_matches(t, '(?i)licen[sc]e|copyright|all rights reserved') THEN 'notice' WHEN regexp_matches(t, '!!|###|\*\*\*') THEN 'noise' WHEN length(t) >= 4000 THEN 'long' ELSE 'prose' END AS topic,
+greatest(1, len(regexp_split_to_array(trim(t), '[ \t\n\x0B\f\r]+'))) AS n_tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents))""",
+        "c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM d GROUP BY ALL)",
+    ]
+    goals = ""
+    for dim in DIMS:
+        steps.append(f"g_{dim} AS (SELECT {dim}, p / sum(p) OVER () AS goal_{dim} FROM (SELECT {dim}, pow(sum(n), {TEMPERATURE}) AS p FROM c GROUP BY {dim}))")
+        goals += f" JOIN g_{dim} USING ({dim})"
+    steps.append(f"w0 AS (SELECT *, n / sum(n) OVER () AS w FROM c{goals})")
+    at = 0
+    for _ in range(RAKES):
+        for dim in DIMS:
+            steps.append(f"w{at + 1} AS (SELECT * REPLACE (w * goal_{dim} / sum(w) OVER (PARTITION BY {dim}) AS w) FROM w{at})")
+            at += 1
+    steps.append(f"s0 AS (SELECT *, w / n AS ratio, {SHARE} * sum(n) OVER () AS wanted, {SHARE} * sum(n) OVER () AS scale FROM (SELECT * REPLACE (w / sum(w) OVER () AS w) FROM w{at}))")
+    for k in range(SPREADS):
+        left = "sum(CASE WHEN ratio * scale >= 1 THEN 0 ELSE w END) OVER ()"
+        steps.append(f"s{k + 1} AS (SELECT * REPLACE (CASE WHEN {left} > 0 THEN greatest(0, wanted - sum(CASE WHEN ratio * scale >= 1 THEN n ELSE 0 END) OVER ()) / {left} ELSE scale END AS scale) FROM s{k})")
+    draw = f"CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '-{SEED}'), 1, 13) AS BIGINT) / {float(1 << 52)}"
+    return f"WITH {', '.join(steps)} SELECT doc_id, source, lang, topic, n_tokens, round(w, 9) AS weight, round(least(1, ratio * scale), 9) AS probability, {draw} < least(1, ratio * scale) AS sampled FROM d JOIN s{SPREADS} USING (source, lang, topic)"
+
+
+SQL = sql()
