@@ -8,7 +8,7 @@ with a probability equal to their similarity, with concentration as of independe
 Documents with equal word sequences are one node.  Nodes meet in the buckets of bands of ``ROWS``
 coordinates.  Every bucket first links its members to its smallest one (a star: as many pairs as members), and
 pairs are confirmed on their full shingle sets.  Links are contracted to components.  Only buckets that still hold
-several components go on: members of different components whose sketches agree widely enough are compared as well,
+several components go on: in large ones, members outside the largest component try other hubs in it; then members of different components whose sketches agree widely enough are compared as well,
 in blocks of bounded size.  A bucket too large for that is first regrouped by its members' rarest shingles (two
 sets over the threshold must share one of those), which loses nothing.  So no group of copies is ever expanded
 into its pairs, no partner is capped, and each pair in a bucket is either compared or already in one component.
@@ -29,10 +29,13 @@ from .common import arrow, map_texts, pieces, saved, table, texts
 
 #: Coordinates in a band, for thresholds of 0.85 and more; 5 below (see bands_for).
 ROWS = 7
-#: Members of a block; a bucket of more than BIG is regrouped by rare shingles first.
+#: Members of a block; a bucket with more than BIG members outside its main component is regrouped by rare shingles.
 BLOCK, BIG = 128, 512
 #: Standard deviations below the threshold at which agreeing sketches still send a pair to the exact test.
-SLACK = 8.0
+SLACK = 6.0
+#: Buckets of more members than FEW try other hubs of their largest component first, in so many turns, and then
+#: compare shingles themselves where they stand.
+FEW, HUB_TURNS = 32, 1
 #: Fixed odd multipliers.
 ODD, SEED, LEAP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0xBF58476D1CE4E5B9)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -172,40 +175,83 @@ def components(edges: DataFrame) -> DataFrame:
         edges = saved(small.where("node != component").distinct(), "links")
 
 
-def across(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a group's members in different components that may be links, from ``grp, rep, comp, n_shingles, sketch``.
+def mixed(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``grp, band, rep, comp, main, held, few`` of the buckets in ``rows`` (grp, band, rep) that hold several
+    components; ``main`` is the largest, ``few`` counts the members outside it."""
+    labelled = rows.select("grp", "band", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("grp", "band", "rep", F.coalesce("component", "rep").alias("comp"))
+    per = labelled.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("held"), (F.sum("n") - F.max("n")).alias("few"))
+    return saved(labelled.join(per.where("few > 0"), "grp"), "mixed")
 
-    Groups are dealt into blocks of about ``BLOCK`` members by hash, and each pair of blocks is one row of bounded
-    size.  A pair passes if neither its sizes nor its sketches rule a link out.
+
+def across(groups: DataFrame, percent: int, rows_each: int) -> DataFrame:
+    """Pairs (a, b) of a group's members in different components that may be links.
+
+    ``groups``: ``grp, band, rep, comp, n_shingles, sketch, h``.  A group's largest component needs no comparison
+    within itself: its members only meet the others.  Both sides are dealt into blocks of about ``BLOCK`` members by
+    hash, and each pair of blocks is one row of bounded size.  A pair passes if neither its sizes nor its sketches
+    rule a link out, in the first band alone that it shares (``band`` null: in any).  Where the members' shingles
+    are there (``h``, 32 bits each) they are compared as well, and a member needs one link to each component.
     """
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    dealt = groups.join(sizes.select("grp", F.ceil(F.col("held") / BLOCK).alias("blocks")), "grp")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.groupBy("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = dealt.agg(F.collect_list(F.struct("rep", "comp", "n_shingles", "sketch", "own")).alias("m")).select("i", "j", "m")
+    groups = groups.select("grp", "band", "rep", "comp", "n_shingles", "sketch", "h")
+    per = groups.groupBy("grp", "comp").agg(F.count("*").alias("n"))
+    sizes = per.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("held"), F.max("n").alias("top")).where("held > top")
+    sizes = sizes.select("grp", "main", F.ceil((F.col("held") - F.col("top")) / BLOCK).alias("few"), F.ceil(F.col("top") / BLOCK).alias("many"))
+    dealt = groups.join(sizes, "grp").withColumn("own", F.when(F.col("comp") == F.col("main"), F.pmod(F.xxhash64("rep"), "many") + F.col("few")).otherwise(F.pmod(F.xxhash64("rep"), "few")))
+    others = F.when(F.col("comp") == F.col("main"), F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("few") + F.col("many") - 1))
+    dealt = dealt.withColumn("other", F.explode(others))
+    dealt = dealt.groupBy("grp", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = dealt.agg(F.collect_list(F.struct("rep", "comp", "n_shingles", "sketch", "own", "h")).alias("m")).select("band", "i", "j", "m")
     schema = f"a {dict(groups.dtypes)['rep']}, b {dict(groups.dtypes)['rep']}"
     kind, share = arrow(schema), percent / 100
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                i, j, m = (batch.column(c)[row].as_py() for c in ("i", "j", "m"))
+                band, i, j, m = (batch.column(c)[row].as_py() for c in ("band", "i", "j", "m"))
                 rep, comp, n, own = ([x[c] for x in m] for c in ("rep", "comp", "n_shingles", "own"))
                 comp, n, own = np.array(comp), np.array(n), np.array(own)
+                sets = [None if x["h"] is None else np.frombuffer(x["h"], "<u4") for x in m]
                 all_t = np.stack([np.frombuffer(x["sketch"], "<u2") for x in m])
                 t = all_t.shape[1]
                 need = t * (share - SLACK * math.sqrt(share * (1 - share) / t))
                 out = {"a": [], "b": []}
                 for x in range(len(m)):
                     y = x + 1 + np.flatnonzero((comp[x + 1 :] != comp[x]) & ((own[x + 1 :] != own[x]) | (i == j)) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x])))
-                    y = y[(all_t[y] == all_t[x]).sum(1) >= need]
-                    out["a"] += [min(rep[x], rep[v]) for v in y]
-                    out["b"] += [max(rep[x], rep[v]) for v in y]
-                yield pa.RecordBatch.from_pydict(out, schema=kind)
+                    if not len(y):
+                        continue
+                    same = all_t[y] == all_t[x]
+                    alike = same.sum(1)
+                    ok = alike >= need
+                    if band is not None:
+                        ok &= same.reshape(len(y), -1, rows_each).all(2).argmax(1) == band
+                    linked = set()
+                    for v in y[ok][np.argsort(-alike[ok], kind="stable")].tolist():
+                        if sets[x] is not None and sets[v] is not None:
+                            # shingles of one text that share 32 bits count for the benefit of the doubt
+                            common = len(np.intersect1d(sets[x], sets[v], assume_unique=True)) + n[x] - len(sets[x])
+                            if int(comp[v]) in linked or 100 * common < percent * (n[x] + n[v] - common):
+                                continue
+                            linked.add(int(comp[v]))
+                        out["a"].append(min(rep[x], rep[v]))
+                        out["b"].append(max(rep[x], rep[v]))
+                if out["a"]:
+                    yield pa.RecordBatch.from_pydict(out, schema=kind)
 
     return rows.mapInArrow(run, schema).distinct()
 
 
+def with_shingles(rows: DataFrame, whole: DataFrame, k: int) -> DataFrame:
+    """``rows`` with ``h``: the shingles of their nodes, 32 bits each."""
+
+    def work(piece, k):
+        return {"rep": piece.column("rep"), "h": [np.unique(x.astype("<u4")).tobytes() for x in hashed_sets(piece.column("text").to_pylist(), k)]}
+
+    used = whole.join(rows.select("rep").distinct(), "rep", "left_semi")
+    sets = saved(map_texts(used, work, f"rep {dict(rows.dtypes)['rep']}, h binary", k), "shingles")
+    # of a doc_id with several texts one set does not rule out the others
+    return rows.join(sets.groupBy("rep").agg(F.when(F.count("*") == 1, F.first("h")).alias("h")), "rep")
+
+
 def by_rare_shingle(members: DataFrame, whole: DataFrame, k: int, percent: int) -> DataFrame:
     """``grp, rep``: nodes that share one of their rarest shingles; every two sets over the threshold do."""
 
@@ -236,7 +282,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     nodes = saved(nodes, "nodes")
     step = 2 * rows_each
     places = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * step + 1, F.lit(step))))
-    flat = nodes.select("rep", "n_shingles", F.explode(places).alias("grp"))
+    flat = nodes.select("rep", "n_shingles", F.posexplode(places).alias("band", "grp"))
     hubs = flat.groupBy("grp").agg(F.min("rep").alias("hub"), F.max("rep").alias("far"), F.min_by("n_shingles", "rep").alias("hub_n")).where("hub != far").drop("far")
     members = saved(flat.join(hubs, "grp"), "buckets")
     fits = F.lit(100) * F.least("n_shingles", "hub_n") >= F.lit(percent) * F.greatest("n_shingles", "hub_n")
@@ -247,18 +293,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = saved(confirmed(stars, whole, k, percent), "star-links")
     groups = components(links)
 
-    labelled = members.select("grp", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("grp", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = labelled.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo != hi").select("grp", "held")
-    rest = saved(labelled.join(mixed, "grp").select("grp", "rep", "comp", "held"), "mixed")
+    rest = mixed(members, groups)
+    for turn in range(HUB_TURNS):
+        wide = rest.where(F.col("held") > FEW)
+        main = F.col("comp") == F.col("main")
+        hub = wide.where(main).groupBy("grp").agg(F.min_by("rep", F.xxhash64("rep", "grp", F.lit(turn))).alias("hub"))
+        tries = wide.where(~main).join(hub, "grp").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+        more = saved(confirmed(tries, whole, k, percent), "more-links")
+        if more.isEmpty():
+            break
+        groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        rest = mixed(rest, groups)
     drawn_of = nodes.select("rep", "n_shingles", "sketch")
-    found = across(rest.where(F.col("held") <= BIG).join(drawn_of, "rep"), percent)
-    big = rest.where(F.col("held") > BIG)
-    if not big.isEmpty():
-        rare = by_rare_shingle(big, whole, k, percent).join(big.select("rep", "comp").distinct(), "rep")
-        found = found.union(across(rare.join(drawn_of, "rep"), percent)).distinct()
+    narrow = rest.where(F.col("held") <= FEW).join(drawn_of, "rep").withColumn("h", F.lit(None).cast("binary"))
+    found = across(narrow, percent, rows_each)
+    wide = rest.where(F.col("held") > FEW)
+    if not wide.isEmpty():
+        with_sets = with_shingles(wide.where(F.col("few") <= BIG), whole, k).join(drawn_of, "rep")
+        found = found.union(across(with_sets, percent, rows_each))
+        big = wide.where(F.col("few") > BIG)
+        if not big.isEmpty():
+            rare = by_rare_shingle(big, whole, k, percent).join(big.select("rep", "comp").distinct(), "rep").withColumn("band", F.lit(None).cast("int"))
+            found = found.union(across(with_shingles(rare, whole, k).join(drawn_of, "rep"), percent, rows_each))
+        found = found.distinct()
     more = saved(confirmed(found, whole, k, percent), "more-links")
     if not more.isEmpty():
-        groups = components(links.union(more))
+        groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = nodes.select("word_key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("word_key", F.coalesce("component", "rep").alias("named"))
     out = drawn.select("doc_id", "n_shingles", "word_key").join(named, "word_key", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("named")).otherwise(F.col("doc_id"))
@@ -272,4 +332,22 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+    return near_duplicates(table(spark, sf_dir, "documents", spread=True), 3, 85)
+
+
+#: All pairs that share a shingle, counted, and the closure of the links: the plain way, for small tables.
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT s.doc_id, len(s) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS kept
+FROM s LEFT JOIN r ON s.doc_id = r.a GROUP BY s.doc_id, len(s)
+"""

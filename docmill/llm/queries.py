@@ -16,6 +16,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_mixing": mixing.SQL,
+    "op3_minhash": minhash.SQL,
     "op7_topk": topk.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }

@@ -65,6 +65,7 @@ def test_against_brute_force(spark, k, percent):
 def test_large_mixed_buckets(spark, monkeypatch):
     monkeypatch.setattr(m, "BIG", 2)
     monkeypatch.setattr(m, "BLOCK", 2)
+    monkeypatch.setattr(m, "FEW", 2)
     rows = corpus(2)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in m.near_duplicates(df, 3, 85).collect()} == brute(rows, 3, 85)
