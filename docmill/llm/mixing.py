@@ -119,9 +119,12 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share:
     """The documents drawn, with all their columns, in one more pass over ``docs`` (no shuffle of texts)."""
     cells = saved(probabilities(raked(cell_table(docs), targets), share), "cell-probabilities")
     own = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.col("probability").alias("_p"))
-    text = F.coalesce(docs["text"], F.lit(""))
-    same = (F.coalesce(docs["source"], F.lit("")) == F.col("_source")) & (F.coalesce(docs["lang"], F.lit("")) == F.col("_lang")) & (topic(text) == F.col("_topic"))
-    return docs.join(F.broadcast(own) if cells.count() <= CELLS_SENT else own, same & (draw(docs["doc_id"], seed) < F.col("_p")), "left_semi")
+    own = F.broadcast(own) if cells.count() <= CELLS_SENT else own
+    cell = {"source": F.coalesce(docs["source"], F.lit("")), "lang": F.coalesce(docs["lang"], F.lit("")), "topic": topic(F.coalesce(docs["text"], F.lit("")))}
+    same = draw(docs["doc_id"], seed) < own["_p"]
+    for d in DIMS:
+        same = same & (cell[d] == own[f"_{d}"])
+    return docs.join(own, same, "left_semi")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

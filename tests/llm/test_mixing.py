@@ -51,7 +51,7 @@ def test_raking_matches_brute_force_and_targets(spark):
 
 
 def test_sample_follows_probabilities(spark):
-    docs = spark.createDataFrame([(*r, 1.0, "x") for r in corpus()], "doc_id long, text string, lang string, source string, weight double, topic string")
+    docs = spark.createDataFrame([(*r, 1.0, "x", "y") for r in corpus()], "doc_id long, text string, lang string, source string, weight double, topic string, _topic string")
     rows = m.mix(docs, share=0.4).collect()
     assert len(rows) == 3000 and all(0 <= r.probability <= 1 for r in rows)
     total = sum(r.n_tokens for r in rows)
