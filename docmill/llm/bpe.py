@@ -3,8 +3,8 @@
 The symbols of all new words of a batch lie in one flat array.  A round looks every adjacent pair up by binary
 search over the sorted pair keys, takes each word's lowest rank, and joins all its pairs of that rank at once,
 left to right.  Words with no pair left leave the array.  White space never joins two words, so texts are split
-at it first and each distinct word is encoded once per worker and table size; the table is emptied, never the
-text cut, when it grows past its bound.
+at it first and each distinct word is encoded once while a worker's bounded table
+holds it.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_texts, table, texts
+from .common import Recent, map_texts, table, texts
 
-#: Words in a worker's table before it is emptied.
-TABLE_WORDS = 300_000
+#: Entries in each of the two generations of a worker's tables.
+TABLE_WORDS = 250_000
 #: Fixed values of the vocabulary's own format: how a text splits into words, and its white space.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 SPACE = regex.compile(r"\p{White_Space}+")
 #: str.split() also splits at these, which are no white space in Unicode.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
+#: Marks that end a token and are one word after a letter.
+MARKS = ".,;:!?#$%&*"
 NO_RANK = np.int64(2**31 - 1)
 
 
@@ -60,10 +62,18 @@ class Bpe:
         self.token = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for name, i in (vocab | self.special).items():
             self.token[i] = name
-        self.known: dict[str, bytes] = {}
-
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word (of one byte at least)."""
+        self.known, self.words = Recent(TABLE_WORDS), Recent(TABLE_WORDS)
+
+    def look_up(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and product of the pairs that begin at ``at``; a word's last symbol begins none."""
+        nxt = np.minimum(at + 1, len(ids) - 1)
+        pair = ids[at] << 32 | ids[nxt]
+        place = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        is_pair = (self.keys[place] == pair) & (nxt > at) & (word[at] == word[nxt])
+        return np.where(is_pair, self.rank[place], NO_RANK), self.made[place]
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word (of one byte at least), as little-endian unsigned 32-bit integers."""
         if not words:
             return []
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -71,60 +81,62 @@ class Bpe:
         ends = np.cumsum(lengths)
         ids = self.inner[flat]
         ids[ends - 1] = self.last[flat[ends - 1]]
-        word, done = np.repeat(np.arange(len(words)), lengths), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        word, done = np.repeat(np.arange(len(words)), lengths), []
+        rank, product = self.look_up(ids, word, np.arange(len(ids)))
         while len(ids):
-            # the pair that begins at each symbol; a word's last symbol begins none
-            pair = np.full(len(ids), -1, np.int64)
-            joint = word[:-1] == word[1:]
-            pair[:-1][joint] = ids[:-1][joint] << 32 | ids[1:][joint]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == pair, self.rank[at], NO_RANK)
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            lowest = np.minimum.reduceat(rank, starts)
-            spread = np.repeat(lowest, np.diff(np.r_[starts, len(ids)]))
-            over = spread == NO_RANK
+            lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(ids)]))
+            over = lowest == NO_RANK
             if over.any():
                 done.append((word[over], ids[over]))
-            hit = (rank == spread) & ~over
+                ids, word, rank, product, lowest = (x[~over] for x in (ids, word, rank, product, lowest))
+                if not len(ids):
+                    break
             # of pairs that overlap, as in aaa, each second one from the left
-            places = np.flatnonzero(hit)
+            places = np.flatnonzero(rank == lowest)
             run = np.flatnonzero(np.r_[True, np.diff(places) != 1])
-            step = np.arange(len(places)) - np.repeat(run, np.diff(np.r_[run, len(places)])) if len(places) else places
-            places = places[step % 2 == 0]
-            ids[places] = self.made[at[places]]
-            stay = ~over
+            places = places[(np.arange(len(places)) - np.repeat(run, np.diff(np.r_[run, len(places)]))) % 2 == 0]
+            ids[places] = product[places]
+            stay = np.ones(len(ids), bool)
             stay[places + 1] = False
-            ids, word = ids[stay], word[stay]
+            ids, word, rank, product = (x[stay] for x in (ids, word, rank, product))
+            # only pairs with a new symbol have changed
+            places -= np.arange(len(places))
+            fresh = np.r_[places, places[places > 0] - 1]
+            rank[fresh], product[fresh] = self.look_up(ids, word, fresh)
         word, ids = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(word, kind="stable")
-        return np.split(ids[order].astype("<u4"), np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+        raw = ids[order].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def cut(self, token: str) -> list[str | int]:
+        """The words of a token without white space, in its normal form, and ids of special tokens."""
+        body = token.rstrip(MARKS)
+        if body.isalpha() and body.isascii():
+            return [body.lower(), token[len(body) :]] if len(body) < len(token) else [body.lower()]
+        out: list[str | int] = []
+        for piece in self.at_special.split(token) if "<|" in token else (token,):
+            if piece in self.special:
+                out.append(self.special[piece])
+                continue
+            text = unicodedata.normalize("NFC", piece)
+            out += WORDS.findall(text.lower() if "Σ" not in text else "".join(c.lower() for c in text))
+        return out
 
     def learn(self, tokens: set[str]) -> None:
         """Put the ids of these texts, which hold no white space, into the table."""
-        parts: dict[str, list] = {}
-        fresh: dict[bytes, int] = {}
-        for token in tokens:
-            own = parts[token] = []
-            for piece in self.at_special.split(token) if "<|" in token else (token,):
-                if piece in self.special:
-                    own.append(self.special[piece])
-                    continue
-                text = unicodedata.normalize("NFC", piece)
-                text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-                own += (fresh.setdefault(w.encode(), len(fresh)) + (1 << 32) for w in WORDS.findall(text))
-        made = [x.tobytes() for x in self.merge(list(fresh))]
-        for token, own in parts.items():
-            self.known[token] = b"".join(made[x - (1 << 32)] if x >> 32 else x.to_bytes(4, "little") for x in own)
+        parts = [(t, self.cut(t)) for t in tokens]
+        fresh = list(self.words.missing({w for _, own in parts for w in own if isinstance(w, str)}))
+        self.words.update(zip(fresh, self.merge([w.encode() for w in fresh]), strict=True))
+        get = self.words.__getitem__
+        for token, own in parts:
+            self.known[token] = get(own[0]) if len(own) == 1 and isinstance(own[0], str) else b"".join(get(w) if isinstance(w, str) else w.to_bytes(4, "little") for w in own)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [t.split() if not NOT_SPACE.search(t) else SPACE.split(t) for t in batch]
-        words = set().union(*split)
-        fresh = words - self.known.keys()
-        if len(self.known) + len(fresh) > TABLE_WORDS:
-            self.known.clear()
-            fresh = words
-        self.learn(fresh)
+        self.learn(self.known.missing(set().union(*split)))
         return [b"".join(map(self.known.__getitem__, own)) for own in split]
 
     def decode(self, ids: bytes) -> str:
@@ -170,4 +182,4 @@ def vocabulary(name: str) -> str:
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return round_trip(table(spark, sf_dir, "documents", spread=True), vocabulary("word_bpe_49k.json"))
