@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary
-from .common import arrow, pieces, saved, table, texts
+from .bpe import MARKS, byte_letters, vocabulary
+from .common import Recent, arrow, pieces, saved, table, texts
 
 #: Fixed values of the format: (ids in a word, bits of each) by selector; escape; ids in a block; first bytes.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -28,35 +29,61 @@ ESCAPE, BLOCK, MAGIC = 15, 1024, b"S8B1"
 HEAD = struct.Struct("<4sQQQ")
 #: Ids in a segment, but for a longer document, which comes alone.
 SEGMENT_IDS = 1 << 20
-#: Segments in a worker's table of encoded words before it is emptied.
-TABLE_WORDS = 300_000
+#: Words in each of the two generations of a worker's table.
+TABLE_WORDS = 600_000
 #: A space between two visible characters begins a new word whatever surrounds it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+RARE_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: The letter that stands for a space in the vocabulary.
+SPACE_LETTER = byte_letters()[32]
+
+
+def widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id, at least 1."""
+    if len(ids) and ids.max() < 1 << 16:
+        return _narrow()[ids]
+    return np.maximum(1, np.searchsorted(2 ** np.arange(64, dtype=np.uint64), ids, side="right")).astype(np.uint8)
+
+
+@lru_cache(maxsize=1)
+def _narrow() -> np.ndarray:
+    return np.maximum(1, np.searchsorted(2 ** np.arange(17), np.arange(1 << 16), side="right")).astype(np.uint8)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit words of unsigned 64-bit ids, and where each block's words begin (with the end as last)."""
     ids = np.ascontiguousarray(ids, np.uint64)
     n, blocks = len(ids), -(-len(ids) // BLOCK)
-    bounds = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
-    takes, picks = np.zeros(n, np.uint8), np.full(n, ESCAPE, np.uint8)
-    left = (np.repeat(bounds, np.diff(np.r_[0, bounds])) if n else bounds) - np.arange(n)
-    # widest first, so that the selector with the most ids that fit is written last
+    if not n:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    # a row for each block, with a margin no window may reach into
+    wide = np.full((blocks, BLOCK + 60), 255, np.uint8)
+    tail = n - (blocks - 1) * BLOCK
+    bits = widths(ids)
+    wide[:-1, :BLOCK] = bits[: n - tail].reshape(blocks - 1, BLOCK)
+    wide[-1, :tail] = bits[n - tail :]
+    takes, picks = np.ones((blocks, BLOCK), np.uint8), np.full((blocks, BLOCK), ESCAPE, np.uint8)
+    most, held = wide.copy(), 1
+    # the widest id among the next so many, for growing counts: the last selector that fits has the most ids
     for code in range(len(SELECTORS) - 1, -1, -1):
-        count, bits = SELECTORS[code]
-        wide = np.r_[0, np.cumsum(ids >> np.uint64(bits) != 0)]
-        fits = np.flatnonzero((wide[np.minimum(np.arange(n) + count, n)] == wide[:n]) & (left >= count))
+        count, limit = SELECTORS[code]
+        while held < count:
+            step = min(held, count - held)
+            np.maximum(most[:, :-step], most[:, step:], out=most[:, :-step])
+            held += step
+        fits = most[:, :BLOCK] <= limit
         takes[fits], picks[fits] = count, code
-    takes[picks == ESCAPE] = 1
+    takes, picks = takes.ravel(), picks.ravel()
     # all blocks step on together from word to word
-    at, alive = np.arange(blocks) * BLOCK, np.arange(blocks)
+    at = np.arange(blocks) * BLOCK
+    bounds = np.minimum(at + BLOCK, n)
     starts = []
-    while len(alive):
-        starts.append(at[alive])
-        at[alive] += takes[at[alive]]
-        alive = alive[at[alive] < bounds[alive]]
-    if not starts:
-        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    while len(at):
+        starts.append(at)
+        at = at + takes[at]
+        stay = at < bounds
+        if not stay.all():
+            at, bounds = at[stay], bounds[stay]
     start = np.sort(np.concatenate(starts))
     pick = picks[start]
     place = np.cumsum(1 + (pick == ESCAPE)) - 1 - (pick == ESCAPE)
@@ -122,6 +149,31 @@ def unseal(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unpack(np.frombuffer(data, "<u8", size, at + 8 * (blocks + docs)), offsets, n), lengths
 
 
+class Words:
+    """Ids of words as they follow a space, encoded by the library.
+
+    A word of letters alone is not cut by the library either, so its model is called directly.
+    """
+
+    def __init__(self, library):
+        self.library, self.model = library, library.model
+        self.letters = dict(enumerate(byte_letters()))
+        self.table, self.marks = Recent(TABLE_WORDS, self.make), Recent(TABLE_WORDS // 10, self.whole)
+
+    def make(self, word: str) -> bytes:
+        body = word.rstrip(MARKS)
+        if len(body) < len(word) and body[-1:].isalpha():
+            # marks after a letter are a word of their own
+            return self.table[body] + self.marks[word[len(body) :]]
+        if word.isalpha():
+            raw = word.encode().decode("latin-1").translate(self.letters) if not word.isascii() else word
+            return array("I", [t.id for t in self.model.tokenize(SPACE_LETTER + raw)]).tobytes()
+        return self.whole(" " + word)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 class Encoder:
     """The library's encoder behind a table of words it has encoded before."""
 
@@ -131,21 +183,22 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.known: dict[str, bytes] = {}
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        self.words = Words(library)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [CUT.sub("\0 ", t).split("\0") if "\0" not in t else [t] for t in batch]
-        fresh = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(fresh) > TABLE_WORDS:
-            self.known.clear()
-            fresh = list(set().union(*split))
-        for word, made in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(made.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        words, out = self.words, []
+        get = words.table.__getitem__
+        for text in batch:
+            if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or RARE_SPACE.search(text):
+                first, *rest = CUT.sub("\0", text).split("\0") if "\0" not in text else [text]
+            else:
+                first, *rest = text.split(" ")
+            out.append(words.whole(first) + b"".join(map(get, rest)))
+        return out
 
 
 @lru_cache(maxsize=4)
