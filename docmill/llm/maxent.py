@@ -1,10 +1,12 @@
 """LM scoring with a hashed maximum-entropy model.
 
-The ``VOCABULARY`` most frequent words are cut into classes of about equal mass, all others are one more class.  A
-token's probability is that of its class given what stands before it, times its own given the class.  The first is
-a softmax over weights of hashed features: the word before, the two before, and the one before that (a skip).  The
-second is a relative frequency, and for the last class an add-one estimate with one share for unseen words, so the
-probabilities of all tokens sum to one.
+The ``VOCABULARY`` most frequent words are cut into classes of about equal mass, all others are one more class; a
+class of several words is cut again in the same way, down to single words.  A token's probability is the product of
+the choices on the way to its word, each a softmax over weights of hashed features: the word before, the two before,
+and the one before that (a skip), each together with the node where the choice is made.  Only within the last class,
+of the words outside the vocabulary, is it an add-one estimate with one share for unseen words, so the probabilities
+of all tokens sum to one.  The rows of weights grow with the distinct words counted, from ``HASHED`` to
+``HASHED_MOST``, which is what a worker holds and a task sends.
 
 Training is one pass in ``ROUNDS`` rounds.  Each task starts from the round's weights, takes adaptive gradient
 steps over its own documents and sends how far each feature it met has moved; moves are averaged by how often each
@@ -30,6 +32,9 @@ from .minhash import LOWER
 VOCABULARY, CLASSES, HASHED, ROUNDS = 200_000, 24, 1 << 14, 2
 #: Tokens in a gradient step; its length; rows of weights in a message.
 STEP, RATE, ROWS = 8192, 0.5, 256
+#: Most rows of weights; distinct words to a row below that; tokens to a task of a round, at least where there are
+#: more tasks than cores (a task sends the rows it met, so small tasks would send more than they read).
+HASHED_MOST, LOAD, TASK = 1 << 18, 4, 2_000_000
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
 #: Endings of words outside the vocabulary are features of their own.
@@ -63,22 +68,55 @@ def counted(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def rows_for(types: int) -> int:
+    """Rows of weights for so many distinct words: a power of two."""
+    return min(HASHED_MOST, max(HASHED, 1 << (max(1, -(-types // LOAD)) - 1).bit_length()))
+
+
+def tree(c: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The way to each word of counts ``c`` (most frequent first) below the root, whose branches are ``group``: where
+    it starts and ends in ``nodes`` and ``branches``, and the log shares of the branches of every node but the root."""
+    nodes, branches, biases = [[0] for _ in c], [[g] for g in group.tolist()], []
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    todo = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(c)], strict=True))
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        own = c[a:b]
+        at = np.arange(b - a) if b - a <= CLASSES else np.minimum(((np.cumsum(own) - own / 2) / own.sum() * CLASSES).astype(np.int64), CLASSES - 1)
+        held = np.bincount(at, weights=own, minlength=CLASSES)
+        with np.errstate(divide="ignore"):
+            biases.append(np.log(held / held.sum()))
+        for i, k in enumerate(at.tolist(), a):
+            nodes[i].append(len(biases))
+            branches[i].append(k)
+        cuts = np.flatnonzero(np.diff(at)) + 1 + a
+        todo += zip([a, *cuts.tolist()], [*cuts.tolist(), b], strict=True)
+    ends = np.cumsum([len(x) for x in nodes], dtype=np.int64)
+    return ends, np.array([x for own in nodes for x in own], np.int64), np.array([x for own in branches for x in own], np.int64), biases
+
+
 class Model:
-    """What every task knows: frequent words, their classes and the weights."""
+    """What every task knows: frequent words, the ways to them and the weights."""
 
-    def __init__(self, frequent: list[tuple[bytes, int]], tokens: int, types: int):
+    def __init__(self, frequent: list[tuple[bytes, int]], tokens: int, types: int, rows: int | None = None):
         self.tokens, self.types = tokens, types
         self.place = {w: i for i, (w, _) in enumerate(frequent)}
         c = np.array([n for _, n in frequent], np.float64)
         self.log_count = np.log10(c + 1)
         self.rest_tokens, self.rest_types = tokens - int(c.sum()), types - len(frequent)
         mass = (np.cumsum(c) - c / 2) / max(1.0, c.sum())
-        self.group = np.minimum((mass * (CLASSES - 1)).astype(np.int64), CLASSES - 2)
-        held = np.bincount(self.group, weights=c, minlength=CLASSES)
-        self.log_own = np.log10(c / held[self.group])
+        group = np.minimum((mass * (CLASSES - 1)).astype(np.int64), CLASSES - 2)
+        held = np.bincount(group, weights=c, minlength=CLASSES)
         held[-1] = self.rest_tokens
-        self.bias = np.log((held + 0.5) / (held.sum() + 0.5 * CLASSES)).astype(np.float32)
-        self.weights = np.zeros((HASHED, CLASSES), np.float32)
+        ends, nodes, branches, biases = tree(c, group)
+        # all words outside the vocabulary end at the root's last branch
+        self.start = np.r_[0, ends]
+        self.depth = np.diff(np.r_[self.start, len(nodes) + 1])
+        self.nodes, self.branches = np.r_[nodes, 0], np.r_[branches, CLASSES - 1]
+        self.bias = np.array([np.log((held + 0.5) / (held.sum() + 0.5 * CLASSES)), *biases], np.float32)
+        self.weights = np.zeros((rows or HASHED, CLASSES), np.float32)
 
     def __getstate__(self):
         return self.__dict__
@@ -97,25 +135,28 @@ class Model:
             ids[other] = [n + zlib.crc32(every[i][-2:]) % ENDINGS for i in other.tolist()]
         return ids, ids >= 0
 
-    def features(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Three rows of weights for each token: the word before, both before, the one before that."""
+    def choices(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The choices on the way to each token: how many each has, and of every choice three rows of weights (the
+        word before, both before, the one before that), the node and the branch taken."""
+        own = np.minimum(ids[at], len(self.place))
+        times = self.depth[own]
+        way = np.arange(times.sum()) + np.repeat(self.start[own] - np.cumsum(times) + times, times)
+        node = self.nodes[way]
         one, two = ids[at - 1].astype(np.uint64) + np.uint64(2), ids[at - 2].astype(np.uint64) + np.uint64(2)
         a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-        h = np.stack([one * a, one * a + two * b + np.uint64(1), two * b + np.uint64(2)])
+        h = np.repeat(np.stack([one * a, one * a + two * b + np.uint64(1), two * b + np.uint64(2)]), times, axis=1)
+        h += node.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        return (h >> np.uint64(64 - HASHED.bit_length() + 1)).astype(np.int64)
-
-    def classes(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < len(self.place), np.append(self.group, CLASSES - 1)[np.minimum(ids, len(self.place))], CLASSES - 1)
+        return times, (h >> np.uint64(64 - len(self.weights).bit_length() + 1)).astype(np.int64), node, self.branches[way]
 
-    def softmax(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def softmax(self, rows: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores, their exponentials and sums."""
         w = self.weights
         z = np.take(w, rows[0], axis=0)
         z += np.take(w, rows[1], axis=0)
         z += np.take(w, rows[2], axis=0)
-        z += self.bias
+        z += np.take(self.bias, node, axis=0)
         # kept below the largest number a float can hold; weights of that size would need millions of steps
         np.minimum(z, 80, out=z)
         e = np.exp(z)
@@ -128,11 +169,11 @@ class Model:
         at, n = np.flatnonzero(is_token), len(self.place)
         own, logs = ids[at], np.empty(len(at))
         for i in range(0, len(at), STEP):
-            z, _, total = self.softmax(self.features(ids, at[i : i + STEP]))
-            k = self.classes(own[i : i + STEP])
-            logs[i : i + STEP] = (z[np.arange(len(k)), k] - np.log(total)) / np.log(10)
+            times, rows, node, k = self.choices(ids, at[i : i + STEP])
+            z, _, total = self.softmax(rows, node)
+            each = (z[np.arange(len(k)), k] - np.log(total)) / np.log(10)
+            logs[i : i + STEP] = np.add.reduceat(each, np.cumsum(times) - times, dtype=np.float64)
         inside = own < n
-        logs[inside] += self.log_own[own[inside]]
         doc = np.repeat(np.arange(len(batch)), [len(b) for b in batch])
         size = len(batch)
         known = np.bincount(doc[inside], minlength=size)
@@ -152,14 +193,16 @@ class Model:
         every = np.flatnonzero(is_token)
         for i in range(0, len(every), STEP):
             at = every[i : i + STEP]
-            rows = self.features(ids, at)
-            _, e, total = self.softmax(rows)
+            _, rows, node, k = self.choices(ids, at)
+            _, e, total = self.softmax(rows, node)
             e *= (-1 / total)[:, None]
-            e[np.arange(len(at)), self.classes(ids[at])] += 1
+            e[np.arange(len(k)), k] += 1
             flat = rows.ravel()
+            # two radix sorts of 16 bits each
             order = np.argsort(flat.astype(np.uint16), kind="stable")
+            order = order[np.argsort((flat >> 16).astype(np.uint16)[order], kind="stable")]
             met, begin = np.unique(flat[order], return_index=True)
-            step = np.add.reduceat(np.take(np.ascontiguousarray(e.T), order % len(at), axis=1), begin, axis=1).T
+            step = np.add.reduceat(np.take(np.ascontiguousarray(e.T), order % len(k), axis=1), begin, axis=1).T
             times = np.diff(np.r_[begin, len(flat)])
             seen[met] += times
             energy[met] += (step * step).sum(1)
@@ -176,10 +219,11 @@ def moved(docs: DataFrame, model) -> DataFrame:
 
         own = copy.copy(model.value)
         start, own.weights = own.weights, own.weights.copy()
-        seen, energy = np.zeros(HASHED), np.zeros(HASHED, np.float32)
+        hashed = len(start)
+        seen, energy = np.zeros(hashed), np.zeros(hashed, np.float32)
         for piece in pieces(batches):
             own.train([words(t) for t in piece.column("text").to_pylist()], seen, energy)
-        for a in range(0, HASHED, ROWS):
+        for a in range(0, hashed, ROWS):
             met = np.flatnonzero(seen[a : a + ROWS])
             if len(met):
                 move = (own.weights[a + met] - start[a + met]).astype("<f2")
@@ -189,8 +233,8 @@ def moved(docs: DataFrame, model) -> DataFrame:
 
 
 def averaged(moves: DataFrame) -> DataFrame:
-    """``part, seen, moves``: sums by part, each part streamed through one task that holds its sums alone."""
-    schema = "part int, seen binary, moves binary"
+    """``part, rows, moves``: means by part, each part streamed through one task that holds its sums alone."""
+    schema = "part int, rows binary, moves binary"
     kind = arrow(schema)
 
     def run(batches):
@@ -202,7 +246,9 @@ def averaged(moves: DataFrame) -> DataFrame:
                 seen[met] += n
                 move[met] += n[:, None] * np.frombuffer(row["moves"], "<f2").reshape(-1, CLASSES)
         for part, (seen, move) in sums.items():
-            yield pa.RecordBatch.from_pydict({"part": [part], "seen": [seen.tobytes()], "moves": [move.tobytes()]}, schema=kind)
+            met = np.flatnonzero(seen)
+            mean = (move[met] / seen[met, None]).astype("<f4")
+            yield pa.RecordBatch.from_pydict({"part": [part], "rows": [met.astype("<u2").tobytes()], "moves": [mean.tobytes()]}, schema=kind)
 
     return moves.repartition("part").mapInArrow(run, schema)
 
@@ -231,14 +277,13 @@ def fit(docs: DataFrame, counts: DataFrame, vocabulary: int | None = None, round
     spark = docs.sparkSession
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     frequent = most_frequent(counts, vocabulary or VOCABULARY)
-    model = Model(frequent, total["n"], total["v"])
+    model = Model(frequent, total["n"], total["v"], rows_for(total["v"]))
+    tasks = max(spark.sparkContext.defaultParallelism, total["n"] // (rounds * TASK))
     for k in range(rounds if frequent else 0):
-        own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)
+        own = docs.coalesce(tasks).where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)
         shared = spark.sparkContext.broadcast(model)
-        for r in averaged(moved(own, shared)).collect():  # HASHED rows of weights in all
-            seen = np.frombuffer(r["seen"])
-            met = np.flatnonzero(seen)
-            model.weights[r["part"] + met] += (np.frombuffer(r["moves"]).reshape(-1, CLASSES)[met] / seen[met, None]).astype(np.float32)
+        for r in averaged(moved(own, shared)).collect():  # HASHED_MOST rows of weights at most
+            model.weights[r["part"] + np.frombuffer(r["rows"], "<u2").astype(np.int64)] += np.frombuffer(r["moves"], "<f4").reshape(-1, CLASSES)
         shared.unpersist()
     return model
 
@@ -252,7 +297,7 @@ def scores(docs: DataFrame, train: DataFrame) -> DataFrame:
     """
     counts = saved(counted(train), "word-counts")
     model = fit(train, counts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and HASHED
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and HASHED_MOST
     own = dict(docs.dtypes)["doc_id"]
     schema = f"row long, doc_id {own}, n_tokens long, in_known long, in_log double, model_log double, words array<binary>, times array<long>"
     kind = arrow(schema)

@@ -98,3 +98,22 @@ def test_gradient_is_that_of_the_likelihood():
     for _ in range(30):
         model.train(batch, np.zeros(m.HASHED), np.zeros(m.HASHED, np.float32))
     assert like() > before + 0.5
+
+
+def test_context_chooses_the_word_within_its_class():
+    # 90 words of one count share a class; x0 is always followed by its own of two such words
+    frequent = [(f"w{i}".encode(), 5) for i in range(90)]
+    model = m.Model(frequent, 450, 90)
+    ways = {w: (model.nodes[s], model.branches[s]) for (w, _), s in zip(frequent, model.start, strict=False)}
+    u, v = next((a, b) for a in ways for b in ways if a < b and ways[a] == ways[b])
+    log = lambda a, b: model.score([[a, b]])["model_log"][0] - model.score([[a]])["model_log"][0]
+    assert log(b"w1", u) == pytest.approx(log(b"w1", v), abs=1e-5)
+    for _ in range(40):
+        model.train([[b"w1", u], [b"w2", v]], np.zeros(m.HASHED), np.zeros(m.HASHED, np.float32))
+    assert log(b"w1", u) > log(b"w1", v) + 0.5 and log(b"w2", v) > log(b"w2", u) + 0.5
+
+
+def test_rows_grow_with_distinct_words(spark):
+    assert [m.rows_for(n) for n in (0, 65_536, 65_537, 404_216, 10**9)] == [1 << 14, 1 << 14, 1 << 15, 1 << 17, 1 << 18]
+    model = fitted(spark, [(i, f"n{i} m{i} " * 2) for i in range(70)] + [(99, " ".join(f"r{i}" for i in range(70_000)))], 500)
+    assert len(model.weights) == 1 << 15
