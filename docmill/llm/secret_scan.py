@@ -24,8 +24,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "guess")
-#: Words that announce a credential; any of those of ASSIGN does as well.
-ANNOUNCE = ("passw", "secret", "token", "api", "pwd", "passphrase", "passcode", "credential", "bearer", "authorization", "private_key", "access_key")
+#: What every match of ASSIGN or CONTEXT holds at least one of, in lower case.
+ANNOUNCE = ("passw", "secret", "token", "key", "pwd", "passphrase", "passcode", "credential", "bearer", "authorization")
 CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:pwd|passphrase|passcode|credentials?|authorization|bearer|password|passwd|secret|token|(?:private|access|api)[_-]?key)["']?[ \t]*(?:[:=][ \t]*|(?<=bearer)[ \t]+)(?:bearer[ \t]+|basic[ \t]+)?["']?([^\s"'<>]{8,})""",
     re.ASCII | re.IGNORECASE,

@@ -63,3 +63,13 @@ def test_frame(spark):
     assert got[0].base_sha256 == hashlib.sha256(b"assign:0:12").hexdigest() and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert [r.value for r in secrets(df).collect()] == ["token=abcdef"] * 2
     assert scan(df.limit(0)).count() == 0
+
+
+def test_every_context_alone_in_a_text():
+    names = ["pwd", "passphrase", "passcode", "credential", "credentials", "authorization", "bearer", "password", "passwd", "secret", "token"]
+    names += [a + b + "key" for a in ("private", "access", "api") for b in ("", "_", "-")]
+    for name in names:
+        for said in (name, name.upper(), name.title()):
+            text = f"{said}: x7#Kq!9vLmZ2"
+            assert [k for _, _, k in spans(text)].count("guess") == 1, text
+    assert [k for _, _, k in spans('"privateKey": "x7#Kq!9vLmZ2"')] == ["guess"]
