@@ -110,6 +110,29 @@ def paragraph_map(clauses: DataFrame, paragraphs: DataFrame, text: str = "text",
     return clauses.withColumn("_h", norm(F.col(body))).join(there, "_h", "left").drop("_h")
 
 
+def paragraph_contains(clauses: DataFrame, paragraphs: DataFrame, key: str, text: str = "text", body: str = "body") -> DataFrame:
+    """``key, paragraph_id``: each paragraph whose whole text stands in a clause of that key, in the normal form.
+
+    Words inside a paragraph, all but its first and last, are whole words of a clause that holds it: three of them (one
+    in a paragraph under five words) are the key of a hash join, and ``contains`` decides.  Paragraphs of one or two
+    words have no such key and meet every clause; empty ones are nowhere.
+    """
+    norm = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    hashes = lambda w, n, size: F.transform(F.sequence(F.lit(0), size - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+    w = F.split("_body", " ")
+    said = clauses.select(F.col(key), norm(F.col(body)).alias("_body")).where("_body is not null")
+    own = paragraphs.select("paragraph_id", norm(F.col(text)).alias("_text")).where("_text <> ''").withColumn("_w", F.split("_text", " ")).withColumn("_n", F.size("_w"))
+    found = own.where("_n < 3").join(said, F.expr("contains(_body, _text)")).select(key, "paragraph_id")
+    for least, most, n in ((3, 4, 1), (5, None, 3)):
+        some = own.where(F.col("_n") >= least if most is None else F.col("_n").between(least, most))
+        anchors = some.select("paragraph_id", "_text", F.xxhash64(*(F.get("_w", F.lit(1 + k)) for k in range(n))).alias("_h"))
+        there = said.where(F.size(w) >= n).select(key, F.explode(F.array_distinct(hashes(w, n, F.size(w)))).alias("_h"))
+        pairs = there.join(anchors, "_h").select(F.col(key).alias("_key"), "paragraph_id", "_text").distinct()
+        sure = pairs.join(said, F.col("_key").eqNullSafe(F.col(key))).where(F.expr("contains(_body, _text)"))
+        found = found.union(sure.select(key, "paragraph_id"))
+    return found.distinct()
+
+
 def mapping_coverage(mapped: DataFrame, goal: float = fixed.MAPPING_TARGET) -> DataFrame:
     out = mapped.agg(F.count("*").alias("n"), F.count("paragraph_id").alias("mapped"))
     rate = F.when(F.col("n") > 0, F.col("mapped") / F.col("n")).otherwise(0.0)

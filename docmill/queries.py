@@ -502,6 +502,22 @@ def mapping_coverage(spark, sf):
     return review.mapping_coverage(rows).select("n", "mapped", F.round("coverage", 6).alias("coverage"), "reached")
 
 
+_HOLDS = f"SELECT d.doc_id, min(b.item_id) AS paragraph_id FROM documents d JOIN benchmark b ON {_NORM.format('b.text')} <> '' AND contains({_NORM.format('d.text')}, {_NORM.format('b.text')}) GROUP BY d.doc_id"
+
+
+@query(_HOLDS)
+def paragraph_contains(spark, sf):
+    """Whole items inside documents, which ``paragraph_map``, of whole lines, does not see."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark").select(F.col("item_id").alias("paragraph_id"), "text")
+    return review.paragraph_contains(docs, items, "doc_id", body="text").groupBy("doc_id").agg(F.min("paragraph_id").alias("paragraph_id"))
+
+
+@query(f"SELECT count(*) AS n, count(m.paragraph_id) AS mapped, round(count(m.paragraph_id) / count(*), 6) AS coverage, count(m.paragraph_id) / count(*) >= 0.9 AS reached FROM documents d LEFT JOIN ({_HOLDS}) m ON d.doc_id = m.doc_id")
+def contains_coverage(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id").join(paragraph_contains(spark, sf), "doc_id", "left")
+    return review.mapping_coverage(rows).select("n", "mapped", F.round("coverage", 6).alias("coverage"), "reached")
+
+
 @query("SELECT turn, conv_id, CASE WHEN role = 'user' THEN 'preferred' WHEN role = 'system' THEN 'fallback' ELSE 'acceptable' END AS tier, coalesce(CASE WHEN turn > 3 THEN 'en' END, CASE WHEN role = 'user' THEN 'ko-en' END, 'ko') AS language FROM conversations")
 def draft_settings(spark, sf):
     leverage = F.when(F.col("role") == "user", "strong").when(F.col("role") == "system", "weak").otherwise("other")

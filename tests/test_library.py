@@ -308,3 +308,12 @@ def test_known_packages(spark):
     ids = spark.createDataFrame([(m["source_file"], n) for n, m in manifests.items()], "f string, want string").select(library.doc_id(F.col("f")).alias("got"), "want")
     assert [r.got for r in ids.collect()] == [r.want for r in ids.collect()]
     assert len(rows) == len(docs)
+
+
+def test_paragraph_contains(spark):
+    from docmill.operators import review
+
+    docs = [(1, "so ONE two\n three  four five six it is"), (2, "one two three four five seven"), (None, "x alpha beta gamma y"), (3, "analphabeta"), (4, "preone two three four five sixty"), (5, None), (5, "")]
+    items = [(10, "one two three four five six"), (11, "alpha beta gamma"), (12, "alpha"), (13, " "), (14, None), (15, "two\tthree")]
+    got = review.paragraph_contains(spark.createDataFrame(docs, "id int, body string"), spark.createDataFrame(items, "paragraph_id int, text string"), "id")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 10), (1, 15), (2, 15), (4, 10), (4, 15), (None, 11), (None, 12), (3, 12)], key=repr)
