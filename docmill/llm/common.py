@@ -16,9 +16,13 @@ CHUNK_CHARS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.  Where that is unset, one of our own, if executors
+    are threads of this process; on a cluster each of them would write to its own disk, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="docmill-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -50,6 +54,17 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def without_repeats(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """``kept``, rows of ``docs``, with one row of those that repeat a ``doc_id`` and its text.  Rows without a
+    ``doc_id`` stay.  Only ids are counted; texts are compared where an id occurs again."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
+    again = saved(again, "repeated-ids")
+    if again.isEmpty():
+        return kept
+    same = kept["doc_id"] == again["_again"]
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 class Recent(dict):
     """A table of what ``make`` gives for each key, bounded by two generations of ``size`` entries.
 
