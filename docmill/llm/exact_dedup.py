@@ -4,70 +4,91 @@ Keys are 64-bit hashes of whole texts.  One grouped pass compares texts byte by
 colliding texts stay apart, chained in the order of their digest) and combines copies on the map side, which is
 what keeps a hot group of copies harmless.  A histogram of key prefixes drives the directory: level d halves every
 bucket of level d-1, and a prefix stops doubling at the first level at which its bucket holds at most ``capacity``
-keys.  Buckets go to owner tasks by range and are written, sorted, as the files of the index.  Documents then
-probe the index by key; only keys with a chain of several texts compare digests as well.
+keys; while a bucket is overfull at the finest level, the directory doubles on.  Buckets go to owner tasks by range
+and are written, sorted, as the files of the index.
+
+Documents then probe the index by key and salt: an entry stands once under every salt that a copy of its text has, at
+most ``SALTS`` of them, so the copies of one text meet it in many tasks.  In a probe a text's 256-bit digest stands
+for its bytes.
 
 Everything is DataFrame operations; no Python runs on executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table, texts
+from .common import saved, table, texts, without_repeats
 
 #: Keys in a bucket before it splits.
 CAPACITY = 100_000
-#: Bits of a key that the finest directory may use.
-MAX_DEPTH = 16
+#: Bits of a key that the directory uses at first, by which it grows, and at most: 100,000 keys that share 48 bits by
+#: chance would need 2**64 keys.  Slots that are sent to every task; a larger directory is joined.
+DEPTH, STEP, MAX_DEPTH, SLOTS_SENT = 16, 8, 48, 1 << 16
+#: Tasks that the copies of one text are dealt to.
+SALTS = 48
+
+
+def salt(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(SALTS)).cast("int")
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``(slot, depth, bucket)`` for each used slot of the finest directory, from a frame with ``key``.
+def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+    """``(slot, depth, bucket)`` for each used slot of the finest directory, and its bits, from a frame with ``key``.
 
-    A bucket is named by its depth and prefix.  Buckets still overfull at ``MAX_DEPTH`` stay as they are: their
-    keys share 16 bits, and the owner task only has a longer sorted file to write.
+    A bucket is named by its depth and prefix.
     """
-    slots = keys.groupBy(F.shiftrightunsigned("key", 64 - MAX_DEPTH).alias("slot")).agg(F.count("*").alias("n"))
-    levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("depth"))
-    levels = levels.withColumn("prefix", F.expr(f"shiftright(slot, {MAX_DEPTH} - depth)"))
-    fits = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held"), F.collect_list("slot").alias("slots"))
-    fits = fits.where((F.col("held") <= capacity) | (F.col("depth") == MAX_DEPTH))
-    chosen = fits.select(F.explode("slots").alias("slot"), "depth", "prefix").groupBy("slot").agg(F.min_by("prefix", "depth").alias("prefix"), F.min("depth").alias("depth"))
-    return chosen.select("slot", "depth", F.expr(f"shiftleft(prefix, {MAX_DEPTH} - depth)").alias("bucket"))
+    bits = DEPTH
+    while True:
+        slots = keys.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("slot")).agg(F.count("*").alias("n"))
+        levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
+        levels = levels.withColumn("prefix", F.expr(f"shiftright(slot, {bits} - depth)"))
+        fits = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held")).where((F.col("held") <= capacity) | (F.col("depth") == bits))
+        chosen = levels.join(fits, ["depth", "prefix"]).groupBy("slot").agg(F.min_by(F.struct("prefix", "held"), "depth").alias("p"), F.min("depth").alias("depth"))
+        chosen = saved(chosen.select("slot", "depth", F.expr(f"shiftleft(p.prefix, {bits} - depth)").alias("bucket"), F.col("p.held").alias("held")), "dedup-directory")
+        if bits >= MAX_DEPTH or chosen.where(F.col("held") > capacity).isEmpty():
+            return chosen.drop("held"), bits
+        bits += STEP
 
 
 def build_index(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The index, read from its files: one row per distinct text, in owner tasks by range of buckets."""
     rows = texts(docs).select("doc_id", "text", F.xxhash64("text").alias("key"))
-    groups = rows.groupBy("key", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    entries = saved(groups.select("key", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id"), "dedup-entries")
-    slots = directory(entries.select("key").distinct(), capacity)
-    placed = entries.withColumn("slot", F.shiftrightunsigned("key", 64 - MAX_DEPTH)).join(F.broadcast(slots), "slot")
-    chain = placed.select("bucket", "depth", "key", "text_sha256", "group_size", "keep_id")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce(salt(F.col("doc_id")), F.lit(0)))
+    groups = rows.groupBy("key", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"), F.bit_or(one).alias("salts"))
+    entries = saved(groups.select("key", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id", "salts"), "dedup-entries")
+    slots, bits = directory(entries.select("key").distinct(), capacity)
+    if slots.count() <= SLOTS_SENT:
+        slots = F.broadcast(slots)
+    placed = entries.withColumn("slot", F.shiftrightunsigned("key", 64 - bits)).join(slots, "slot")
+    chain = placed.select("bucket", "depth", "key", "text_sha256", "group_size", "keep_id", "salts")
     return saved(chain.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "text_sha256"), "dedup-index")
 
 
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    Null texts count as empty, and empty texts are copies of each other.  Of equal texts the largest ``doc_id``
-    stays; rows that repeat one ``doc_id`` with the same text are members of the group, and all rows of the
-    kept ``doc_id`` say ``kept``.  Rows without a ``doc_id`` get ``kept`` false unless no row of the group has
-    one (then ``keep_id`` is null and each is kept).  An empty table gives an empty result.
+    Null texts count as empty, and empty texts are copies of each other; texts of any length are compared whole.  Of
+    equal texts the largest ``doc_id`` stays; rows that repeat one ``doc_id`` with the same text are members of the
+    group, and all rows of the kept ``doc_id`` say ``kept``.  Rows without a ``doc_id`` get ``kept`` false unless no
+    row of the group has one (then ``keep_id`` is null and each is kept).  An empty table gives an empty result; other
+    columns are ignored.
     """
     index = build_index(docs, capacity)
-    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256"))
-    found = rows.join(index.select("key", F.col("text_sha256").alias("sha"), "group_size", "keep_id"), "key").where(F.col("sha") == F.col("text_sha256"))
+    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256")).withColumn("salt", F.coalesce(salt(F.col("doc_id")), F.lit(0)))
+    bit = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)
+    entries = index.select("key", F.col("text_sha256").alias("sha"), "group_size", "keep_id", F.explode(bit).alias("salt"))
+    found = rows.join(entries, ["key", "salt"]).where(F.col("sha") == F.col("text_sha256"))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The documents that stay, with all their columns; which ones those are: see ``exact_dedup``."""
+    """The documents that stay, with all their columns; which ones those are: see ``exact_dedup``.  Of rows that
+    repeat the kept ``doc_id`` one stays; of texts that only rows without a ``doc_id`` have, each row."""
     keep = build_index(docs, capacity).select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
     same = docs["doc_id"].eqNullSafe(keep["_keep"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == keep["_sha"])
-    return docs.join(keep, same, "left_semi")
+    return without_repeats(docs.join(keep, same, "left_semi"), docs)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
