@@ -8,10 +8,14 @@ with a probability equal to their similarity, with concentration as of independe
 Documents with equal word sequences are one node.  Nodes meet in the buckets of bands of ``ROWS``
 coordinates.  Every bucket first links its members to its smallest one (a star: as many pairs as members), and
 pairs are confirmed on their full shingle sets.  Links are contracted to components.  Only buckets that still hold
-several components go on: in large ones, members outside the largest component try other hubs in it; then members of different components whose sketches agree widely enough are compared as well,
-in blocks of bounded size.  A bucket too large for that is first regrouped by its members' rarest shingles (two
+several components go on: in large ones, members outside the largest component
+try other hubs in it; then members of different components whose sketches agree widely enough are compared as well, in
+blocks of bounded size.  A bucket too large for that is first regrouped by its members' rarest shingles (two
 sets over the threshold must share one of those), which loses nothing.  So no group of copies is ever expanded
 into its pairs, no partner is capped, and each pair in a bucket is either compared or already in one component.
+
+A bucket that many documents share is one key of a join.  What is known of each bucket is therefore written down
+first, so that both sides of the join are plain shuffles and Spark splits the large key between tasks.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, map_texts, pieces, saved, table, texts
+from .common import arrow, map_texts, pieces, saved, table, texts, without_repeats
 
 #: Coordinates in a band, for thresholds of 0.85 and more; 5 below (see bands_for).
 ROWS = 7
@@ -168,7 +172,7 @@ def components(edges: DataFrame) -> DataFrame:
         if more.isEmpty():
             return edges
         both = edges.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges.select("component", "node"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("m").alias("component")), F.struct(F.col("v").alias("node"), F.col("m").alias("component")))).alias("e")).select("e.*")
@@ -180,22 +184,23 @@ def mixed(rows: DataFrame, groups: DataFrame) -> DataFrame:
     components; ``main`` is the largest, ``few`` counts the members outside it."""
     labelled = rows.select("grp", "band", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("grp", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     per = labelled.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("held"), (F.sum("n") - F.max("n")).alias("few"))
-    return saved(labelled.join(per.where("few > 0"), "grp"), "mixed")
+    return saved(labelled.join(saved(per.where("few > 0"), "mixed-buckets"), "grp"), "mixed")
 
 
-def across(groups: DataFrame, percent: int, rows_each: int) -> DataFrame:
+def across(groups: DataFrame, percent: int, rows_each: int, each: bool = False) -> DataFrame:
     """Pairs (a, b) of a group's members in different components that may be links.
 
     ``groups``: ``grp, band, rep, comp, n_shingles, sketch, h``.  A group's largest component needs no comparison
     within itself: its members only meet the others.  Both sides are dealt into blocks of about ``BLOCK`` members by
     hash, and each pair of blocks is one row of bounded size.  A pair passes if neither its sizes nor its sketches
     rule a link out, in the first band alone that it shares (``band`` null: in any).  Where the members' shingles
-    are there (``h``, 32 bits each) they are compared as well, and a member needs one link to each component.
+    are there (``h``, 32 bits each) they are compared as well, and a member needs one link to each component, unless
+    ``each`` asks for all pairs.
     """
     groups = groups.select("grp", "band", "rep", "comp", "n_shingles", "sketch", "h")
     per = groups.groupBy("grp", "comp").agg(F.count("*").alias("n"))
     sizes = per.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("held"), F.max("n").alias("top")).where("held > top")
-    sizes = sizes.select("grp", "main", F.ceil((F.col("held") - F.col("top")) / BLOCK).alias("few"), F.ceil(F.col("top") / BLOCK).alias("many"))
+    sizes = saved(sizes.select("grp", "main", F.ceil((F.col("held") - F.col("top")) / BLOCK).alias("few"), F.ceil(F.col("top") / BLOCK).alias("many")), "block-counts")
     dealt = groups.join(sizes, "grp").withColumn("own", F.when(F.col("comp") == F.col("main"), F.pmod(F.xxhash64("rep"), "many") + F.col("few")).otherwise(F.pmod(F.xxhash64("rep"), "few")))
     others = F.when(F.col("comp") == F.col("main"), F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("few") + F.col("many") - 1))
     dealt = dealt.withColumn("other", F.explode(others))
@@ -229,7 +234,7 @@ def across(groups: DataFrame, percent: int, rows_each: int) -> DataFrame:
                         if sets[x] is not None and sets[v] is not None:
                             # shingles of one text that share 32 bits count for the benefit of the doubt
                             common = len(np.intersect1d(sets[x], sets[v], assume_unique=True)) + n[x] - len(sets[x])
-                            if int(comp[v]) in linked or 100 * common < percent * (n[x] + n[v] - common):
+                            if (not each and int(comp[v]) in linked) or 100 * common < percent * (n[x] + n[v] - common):
                                 continue
                             linked.add(int(comp[v]))
                         out["a"].append(min(rep[x], rep[v]))
@@ -262,7 +267,7 @@ def by_rare_shingle(members: DataFrame, whole: DataFrame, k: int, percent: int)
     own = dict(members.dtypes)["rep"]
     sets = map_texts(whole.join(members.select("rep").distinct(), "rep", "left_semi"), work, f"rep {own}, h array<long>", k)
     flat = sets.select("rep", F.size("h").alias("n"), F.explode("h").alias("h"))
-    often = flat.groupBy("h").count().where("count > 1")
+    often = saved(flat.groupBy("h").count().where("count > 1"), "shared-shingles")
     kept = flat.join(often, "h", "left").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("c"), "h"))).alias("s"))
     prefix = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1)
     return kept.select("rep", F.explode(prefix).alias("x")).where("x.c > 1").select(F.col("x.h").alias("grp"), "rep")
@@ -273,8 +278,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Two documents are linked if their sets of ``k``-word shingles have 100 * intersection >= percent * union; a
     component is named by its smallest ``doc_id``, which is ``kept``.  Null texts count as empty; a text without
-    words has an empty set and is alone in its component.  Rows that repeat a doc_id are one document that holds
-    each text.  Rows without a doc_id have no component and are not kept.  An empty table gives an empty result.
+    words has an empty set and is alone in its component; texts of any length are read whole.  Rows that repeat a
+    doc_id are one document that holds each text.  Rows without a doc_id have no component and are not kept.  An empty
+    table gives an empty result; other columns are ignored.
     """
     bands, rows_each = bands_for(percent / 100)
     drawn = saved(sketches(docs, k, bands * rows_each), "sketches")
@@ -284,6 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     places = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * step + 1, F.lit(step))))
     flat = nodes.select("rep", "n_shingles", F.posexplode(places).alias("band", "grp"))
     hubs = flat.groupBy("grp").agg(F.min("rep").alias("hub"), F.max("rep").alias("far"), F.min_by("n_shingles", "rep").alias("hub_n")).where("hub != far").drop("far")
+    hubs = saved(hubs, "hubs")
     members = saved(flat.join(hubs, "grp"), "buckets")
     fits = F.lit(100) * F.least("n_shingles", "hub_n") >= F.lit(percent) * F.greatest("n_shingles", "hub_n")
     stars = members.where((F.col("rep") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
@@ -297,7 +304,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     for turn in range(HUB_TURNS):
         wide = rest.where(F.col("held") > FEW)
         main = F.col("comp") == F.col("main")
-        hub = wide.where(main).groupBy("grp").agg(F.min_by("rep", F.xxhash64("rep", "grp", F.lit(turn))).alias("hub"))
+        hub = saved(wide.where(main).groupBy("grp").agg(F.min_by("rep", F.xxhash64("rep", "grp", F.lit(turn))).alias("hub")), "more-hubs")
         tries = wide.where(~main).join(hub, "grp").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
         more = saved(confirmed(tries, whole, k, percent), "more-links")
         if more.isEmpty():
@@ -306,17 +313,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         rest = mixed(rest, groups)
     drawn_of = nodes.select("rep", "n_shingles", "sketch")
     narrow = rest.where(F.col("held") <= FEW).join(drawn_of, "rep").withColumn("h", F.lit(None).cast("binary"))
-    found = across(narrow, percent, rows_each)
+    found, compared = across(narrow, percent, rows_each), None
     wide = rest.where(F.col("held") > FEW)
     if not wide.isEmpty():
-        with_sets = with_shingles(wide.where(F.col("few") <= BIG), whole, k).join(drawn_of, "rep")
-        found = found.union(across(with_sets, percent, rows_each))
+        compared = with_shingles(wide.where(F.col("few") <= BIG), whole, k).join(drawn_of, "rep").select("grp", "band", "rep", "comp", "n_shingles", "sketch", "h")
         big = wide.where(F.col("few") > BIG)
         if not big.isEmpty():
             rare = by_rare_shingle(big, whole, k, percent).join(big.select("rep", "comp").distinct(), "rep").withColumn("band", F.lit(None).cast("int"))
-            found = found.union(across(with_shingles(rare, whole, k).join(drawn_of, "rep"), percent, rows_each))
-        found = found.distinct()
+            compared = compared.unionByName(with_shingles(rare, whole, k).join(drawn_of, "rep").select(*compared.columns))
+        found = found.union(across(compared, percent, rows_each)).distinct()
+    found = saved(found, "pairs")
     more = saved(confirmed(found, whole, k, percent), "more-links")
+    if compared is not None:
+        # a pair whose shingles seemed to agree and do not may have hidden a link to the same component
+        failed = found.join(more, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        again = saved(compared.join(compared.join(failed, "rep", "left_semi").select("grp").distinct(), "grp", "left_semi"), "unsure")
+        if not again.isEmpty():
+            more = more.union(saved(confirmed(across(again, percent, rows_each, each=True), whole, k, percent), "more-links")).distinct()
     if not more.isEmpty():
         groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = nodes.select("word_key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("word_key", F.coalesce("component", "rep").alias("named"))
@@ -326,9 +339,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
-    keep = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    """The documents that stay, one of each component, with all their columns.  Of rows that repeat a ``doc_id`` and its
+    text one stays; rows without a ``doc_id`` cannot be told apart by it, and all stay."""
+    dropped = near_duplicates(docs, k, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_dropped"))
+    return without_repeats(docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti"), docs)
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:

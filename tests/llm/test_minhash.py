@@ -98,3 +98,12 @@ def test_empty(spark):
     assert m.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = m.near_duplicates(spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, False), (1, 1, True), (1, 1, True)]
+
+
+def test_rows_that_repeat_and_rows_without_an_id(spark):
+    rows = [(None, "a b c d e f"), (None, "x"), (1, "a b c d e f"), (1, "a b c d e f"), (1, "other words stand here now"), (2, "A b c d e f"), (3, None)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int")
+    got = m.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == [(0, "a b c d e f"), (0, "x"), (1, "a b c d e f"), (1, "other words stand here now"), (3, "")]
+    assert m.deduplicate(df.limit(0)).count() == 0
