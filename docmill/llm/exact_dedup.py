@@ -44,7 +44,8 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int
         slots = keys.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("slot")).agg(F.count("*").alias("n"))
         levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
         levels = levels.withColumn("prefix", F.expr(f"shiftright(slot, {bits} - depth)"))
-        fits = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held")).where((F.col("held") <= capacity) | (F.col("depth") == bits))
+        fits = saved(levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held")).where((F.col("held") <= capacity) | (F.col("depth") == bits)), "dedup-levels")
+        fits = F.broadcast(fits) if bits == DEPTH else fits  # fewer than 2 * 2**DEPTH rows
         chosen = levels.join(fits, ["depth", "prefix"]).groupBy("slot").agg(F.min_by(F.struct("prefix", "held"), "depth").alias("p"), F.min("depth").alias("depth"))
         chosen = saved(chosen.select("slot", "depth", F.expr(f"shiftleft(p.prefix, {bits} - depth)").alias("bucket"), F.col("p.held").alias("held")), "dedup-directory")
         if bits >= MAX_DEPTH or chosen.where(F.col("held") > capacity).isEmpty():
