@@ -313,23 +313,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         rest = mixed(rest, groups)
     drawn_of = nodes.select("rep", "n_shingles", "sketch")
     narrow = rest.where(F.col("held") <= FEW).join(drawn_of, "rep").withColumn("h", F.lit(None).cast("binary"))
-    found, compared = across(narrow, percent, rows_each), None
-    wide = rest.where(F.col("held") > FEW)
+    found = across(narrow, percent, rows_each)
+    wide, tested = rest.where(F.col("held") > FEW), None
     if not wide.isEmpty():
         compared = with_shingles(wide.where(F.col("few") <= BIG), whole, k).join(drawn_of, "rep").select("grp", "band", "rep", "comp", "n_shingles", "sketch", "h")
         big = wide.where(F.col("few") > BIG)
         if not big.isEmpty():
             rare = by_rare_shingle(big, whole, k, percent).join(big.select("rep", "comp").distinct(), "rep").withColumn("band", F.lit(None).cast("int"))
             compared = compared.unionByName(with_shingles(rare, whole, k).join(drawn_of, "rep").select(*compared.columns))
-        found = found.union(across(compared, percent, rows_each)).distinct()
-    found = saved(found, "pairs")
+        tested = saved(across(compared, percent, rows_each), "tested-pairs")
+        found = found.union(tested).distinct()
     more = saved(confirmed(found, whole, k, percent), "more-links")
-    if compared is not None:
-        # a pair whose shingles seemed to agree and do not may have hidden a link to the same component
-        failed = found.join(more, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        again = saved(compared.join(compared.join(failed, "rep", "left_semi").select("grp").distinct(), "grp", "left_semi"), "unsure")
-        if not again.isEmpty():
-            more = more.union(saved(confirmed(across(again, percent, rows_each, each=True), whole, k, percent), "more-links")).distinct()
+    if tested is not None:
+        # a pair whose hashed shingles agreed and whose shingles do not may have hidden a link to the same component
+        failed = saved(tested.join(more, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "failed")
+        if not failed.isEmpty():
+            unsure = saved(compared.join(failed, "rep", "left_semi").select("grp").distinct(), "unsure-buckets")
+            again = across(compared.join(unsure, "grp", "left_semi"), percent, rows_each, each=True)
+            more = more.union(saved(confirmed(again, whole, k, percent), "more-links")).distinct()
     if not more.isEmpty():
         groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = nodes.select("word_key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("word_key", F.coalesce("component", "rep").alias("named"))
