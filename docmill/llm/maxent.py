@@ -201,12 +201,21 @@ class Model:
             # two radix sorts of 16 bits each
             order = np.argsort(flat.astype(np.uint16), kind="stable")
             order = order[np.argsort((flat >> 16).astype(np.uint16)[order], kind="stable")]
-            met, begin = np.unique(flat[order], return_index=True)
-            step = np.add.reduceat(np.take(np.ascontiguousarray(e.T), order % len(k), axis=1), begin, axis=1).T
-            times = np.diff(np.r_[begin, len(flat)])
+            found = flat[order]
+            begin = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+            met, times, source = found[begin], np.diff(np.r_[begin, len(found)]), order % len(k)
+            # most rows are met once: their sums are plain copies, and only what the others have besides is added up
+            step, often = np.take(e, source[begin], axis=0), np.flatnonzero(times > 1)
+            if len(often):
+                more = np.ones(len(found), bool)
+                more[begin] = False
+                held = times[often] - 1
+                step[often] += np.add.reduceat(np.take(e, source[more], axis=0), np.cumsum(held) - held, axis=0)
             seen[met] += times
-            energy[met] += (step * step).sum(1)
-            self.weights[met] += RATE * step / np.sqrt(energy[met] + 1.0)[:, None]
+            energy[met] = strength = energy[met] + np.einsum("ij,ij->i", step, step)
+            step *= (RATE / np.sqrt(strength + 1))[:, None]
+            step += np.take(self.weights, met, axis=0)
+            self.weights[met] = step
 
 
 def moved(docs: DataFrame, model) -> DataFrame:
@@ -227,7 +236,7 @@ def moved(docs: DataFrame, model) -> DataFrame:
             met = np.flatnonzero(seen[a : a + ROWS])
             if len(met):
                 move = (own.weights[a + met] - start[a + met]).astype("<f2")
-                yield pa.RecordBatch.from_pydict({"part": [a], "rows": [met.astype("<u2").tobytes()], "seen": [seen[a + met].tobytes()], "moves": [move.tobytes()]}, schema=kind)
+                yield pa.RecordBatch.from_pydict({"part": [a], "rows": [met.astype("<u2").tobytes()], "seen": [seen[a + met].astype("<f4").tobytes()], "moves": [move.tobytes()]}, schema=kind)
 
     return texts(docs).mapInArrow(run, schema)
 
@@ -242,7 +251,7 @@ def averaged(moves: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 seen, move = sums.setdefault(row["part"], (np.zeros(ROWS), np.zeros((ROWS, CLASSES))))
-                met, n = np.frombuffer(row["rows"], "<u2"), np.frombuffer(row["seen"], np.float64)
+                met, n = np.frombuffer(row["rows"], "<u2"), np.frombuffer(row["seen"], "<f4")
                 seen[met] += n
                 move[met] += n[:, None] * np.frombuffer(row["moves"], "<f2").reshape(-1, CLASSES)
         for part, (seen, move) in sums.items():
@@ -292,8 +301,10 @@ def scores(docs: DataFrame, train: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every whole text in ``docs``.
 
     ``base_score`` is the add-one estimate from the counts of ``train``, ``score`` the model's log10 probability.  A
-    null text counts as empty and has the end alone.  Repeated rows stay repeated; an empty table gives an empty
-    result; without training documents every token is unseen.
+    null text counts as empty and has the end alone; texts of any length are read whole.  Repeated rows stay repeated;
+    an empty table gives an empty result; without training documents every token is unseen.  The model's score
+    depends, in its last digits, on how rows fall into tasks, for each task trains on its own; ``base_score`` does not.
+    Other columns are ignored.
     """
     counts = saved(counted(train), "word-counts")
     model = fit(train, counts)

@@ -117,3 +117,29 @@ def test_rows_grow_with_distinct_words(spark):
     assert [m.rows_for(n) for n in (0, 65_536, 65_537, 404_216, 10**9)] == [1 << 14, 1 << 14, 1 << 15, 1 << 17, 1 << 18]
     model = fitted(spark, [(i, f"n{i} m{i} " * 2) for i in range(70)] + [(99, " ".join(f"r{i}" for i in range(70_000)))], 500)
     assert len(model.weights) == 1 << 15
+
+
+def test_step_against_a_plain_one():
+    """One gradient step, worked out choice by choice with a dictionary of rows."""
+    r = random.Random(4)
+    frequent = [(f"w{i}".encode(), 90 - i) for i in range(60)] + [(m.END, 20)]
+    model = m.Model(frequent, sum(n for _, n in frequent) + 30, 80, 1 << 10)
+    model.weights[:] = np.random.default_rng(1).normal(0, 0.3, model.weights.shape)
+    batch = [[r.choice(frequent)[0] if r.random() < 0.9 else b"zz%d" % r.randrange(9) for _ in range(40)] + [m.END] for _ in range(5)]
+    before = model.weights.copy()
+    ids, is_token = model.ids(batch)
+    _, rows, node, branch = model.choices(ids, np.flatnonzero(is_token))
+    slopes, times = {}, Counter()
+    for (a, b, c), n, k in zip(rows.T.tolist(), node.tolist(), branch.tolist(), strict=True):
+        z = [before[a][i] + before[b][i] + before[c][i] + model.bias[n][i] for i in range(m.CLASSES)]
+        total = sum(math.exp(x) for x in z)
+        own = np.array([(i == k) - math.exp(x) / total for i, x in enumerate(z)])
+        for row in (a, b, c):
+            slopes[row] = slopes.get(row, 0) + own
+            times[row] += 1
+    seen, energy = np.zeros(1 << 10), np.zeros(1 << 10, np.float32)
+    model.train(batch, seen, energy)
+    for row in range(1 << 10):
+        move = slopes.get(row, np.zeros(m.CLASSES))
+        want = before[row] + m.RATE * move / math.sqrt((move * move).sum() + 1)
+        assert model.weights[row] == pytest.approx(want, abs=1e-4) and seen[row] == times[row]
