@@ -2,8 +2,8 @@
 
 The ``VOCABULARY`` most frequent words are cut into classes of about equal mass, all others are one more class; a
 class of several words is cut again in the same way, down to single words.  A token's probability is the product of
-the choices on the way to its word, each a softmax over weights of hashed features: the word before, the two before,
-and the one before that (a skip), each together with the node where the choice is made.  Only within the last class,
+the choices on the way to its word, each a softmax over weights of hashed features: the word before and the one before
+that (a skip), each together with the node where the choice is made, and at the root both words.  Only within the last class,
 of the words outside the vocabulary, is it an add-one estimate with one share for unseen words, so the probabilities
 of all tokens sum to one.  The rows of weights grow with the distinct words counted, from ``HASHED`` to
 ``HASHED_MOST``, which is what a worker holds and a task sends.
@@ -121,41 +121,49 @@ class Model:
     def __getstate__(self):
         return self.__dict__
 
-    def ids(self, batch: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all tokens, each document behind two starts (-1), and which are tokens.  A word outside the
-        vocabulary is ``len(place)`` plus a number of its ending."""
-        n, get, flat = len(self.place), self.place.get, []
+    def ids(self, batch: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[dict[bytes, int]]]:
+        """Places of all tokens, each document behind two starts (-1), which are tokens, and each document's words
+        outside the vocabulary with how often they occur.  Such a word is ``len(place)`` plus a number of its ending."""
+        n, every = len(self.place), []
         for own in batch:
-            flat += (-1, -1)
-            flat += map(get, own, repeat(n))
-        ids = np.array(flat, np.int64)
+            every += (None, None)
+            every += own
+        ids = np.fromiter(map(self.place.get, every, repeat(n)), np.int64, len(every))
+        is_token = np.ones(len(every), bool)
+        starts = np.cumsum([0] + [len(own) + 2 for own in batch[:-1]], dtype=np.int64) if batch else np.empty(0, np.int64)
+        for at in (starts, starts + 1):
+            ids[at], is_token[at] = -1, False
         other = np.flatnonzero(ids == n)
-        if len(other):
-            every = [w for own in batch for w in (None, None, *own)]
-            ids[other] = [n + zlib.crc32(every[i][-2:]) % ENDINGS for i in other.tolist()]
-        return ids, ids >= 0
+        rare = [every[i] for i in other.tolist()]
+        ids[other] = [n + zlib.crc32(w[-2:]) % ENDINGS for w in rare]
+        cut = np.searchsorted(other, starts).tolist()
+        outside = [Counter(rare[a:b]) if a < b else {} for a, b in zip(cut, [*cut[1:], len(rare)], strict=True)] if cut else []
+        return ids, is_token, outside
 
     def choices(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The choices on the way to each token: how many each has, and of every choice three rows of weights (the
-        word before, both before, the one before that), the node and the branch taken."""
+        """The choices on the way to each token, those at the root first: the token each belongs to, rows of weights,
+        the node and the branch taken.  Rows come in three lots: for every choice that of the word before, for every
+        choice that of the one before that, and for choices at the root that of both words."""
         own = np.minimum(ids[at], len(self.place))
-        times = self.depth[own]
-        way = np.arange(times.sum()) + np.repeat(self.start[own] - np.cumsum(times) + times, times)
+        start, below, n = self.start[own], self.depth[own] - 1, np.arange(len(at))
+        token = np.r_[n, np.repeat(n, below)]
+        way = np.r_[start, np.arange(below.sum()) + np.repeat(start + 1 - np.cumsum(below) + below, below)]
         node = self.nodes[way]
         one, two = ids[at - 1].astype(np.uint64) + np.uint64(2), ids[at - 2].astype(np.uint64) + np.uint64(2)
-        a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-        h = np.repeat(np.stack([one * a, one * a + two * b + np.uint64(1), two * b + np.uint64(2)]), times, axis=1)
-        h += node.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+        one *= np.uint64(0x9E3779B97F4A7C15)
+        two *= np.uint64(0xC2B2AE3D27D4EB4F)
+        here = node.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+        h = np.concatenate([one[token] + here, two[token] + here + np.uint64(2), one + two + np.uint64(1)])
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        return times, (h >> np.uint64(64 - len(self.weights).bit_length() + 1)).astype(np.int64), node, self.branches[way]
+        return token, (h >> np.uint64(64 - len(self.weights).bit_length() + 1)).astype(np.int64), node, self.branches[way]
 
     def softmax(self, rows: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores, their exponentials and sums."""
-        w = self.weights
-        z = np.take(w, rows[0], axis=0)
-        z += np.take(w, rows[1], axis=0)
-        z += np.take(w, rows[2], axis=0)
+        w, m = self.weights, len(node)
+        z = np.take(w, rows[:m], axis=0)
+        z += np.take(w, rows[m : 2 * m], axis=0)
+        z[: len(rows) - 2 * m] += np.take(w, rows[2 * m :], axis=0)
         z += np.take(self.bias, node, axis=0)
         # kept below the largest number a float can hold; weights of that size would need millions of steps
         np.minimum(z, 80, out=z)
@@ -165,19 +173,18 @@ class Model:
     def score(self, batch: list[list[bytes]]) -> dict[str, list]:
         """For each document: tokens, known ones and log counts in the vocabulary, the model's part of the score,
         and the words outside with how often they occur."""
-        ids, is_token = self.ids(batch)
+        ids, is_token, outside = self.ids(batch)
         at, n = np.flatnonzero(is_token), len(self.place)
         own, logs = ids[at], np.empty(len(at))
         for i in range(0, len(at), STEP):
-            times, rows, node, k = self.choices(ids, at[i : i + STEP])
+            token, rows, node, k = self.choices(ids, at[i : i + STEP])
             z, _, total = self.softmax(rows, node)
             each = (z[np.arange(len(k)), k] - np.log(total)) / np.log(10)
-            logs[i : i + STEP] = np.add.reduceat(each, np.cumsum(times) - times, dtype=np.float64)
+            logs[i : i + STEP] = np.bincount(token, weights=each)
         inside = own < n
         doc = np.repeat(np.arange(len(batch)), [len(b) for b in batch])
         size = len(batch)
         known = np.bincount(doc[inside], minlength=size)
-        outside = [Counter(w for w in b if w not in self.place) if k < len(b) else {} for b, k in zip(batch, known.tolist(), strict=True)]
         return {
             "n_tokens": [len(b) for b in batch],
             "in_known": known,
@@ -189,7 +196,7 @@ class Model:
 
     def train(self, batch: list[list[bytes]], seen: np.ndarray, energy: np.ndarray) -> None:
         """Gradient steps over the documents; ``seen`` and ``energy`` grow by how often and how strongly rows are met."""
-        ids, is_token = self.ids(batch)
+        ids, is_token, _ = self.ids(batch)
         every = np.flatnonzero(is_token)
         for i in range(0, len(every), STEP):
             at = every[i : i + STEP]
@@ -197,11 +204,10 @@ class Model:
             _, e, total = self.softmax(rows, node)
             e *= (-1 / total)[:, None]
             e[np.arange(len(k)), k] += 1
-            flat = rows.ravel()
             # two radix sorts of 16 bits each
-            order = np.argsort(flat.astype(np.uint16), kind="stable")
-            order = order[np.argsort((flat >> 16).astype(np.uint16)[order], kind="stable")]
-            found = flat[order]
+            order = np.argsort(rows.astype(np.uint16), kind="stable")
+            order = order[np.argsort((rows >> 16).astype(np.uint16)[order], kind="stable")]
+            found = rows[order]
             begin = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
             met, times, source = found[begin], np.diff(np.r_[begin, len(found)]), order % len(k)
             # most rows are met once: their sums are plain copies, and only what the others have besides is added up

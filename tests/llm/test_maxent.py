@@ -127,14 +127,18 @@ def test_step_against_a_plain_one():
     model.weights[:] = np.random.default_rng(1).normal(0, 0.3, model.weights.shape)
     batch = [[r.choice(frequent)[0] if r.random() < 0.9 else b"zz%d" % r.randrange(9) for _ in range(40)] + [m.END] for _ in range(5)]
     before = model.weights.copy()
-    ids, is_token = model.ids(batch)
-    _, rows, node, branch = model.choices(ids, np.flatnonzero(is_token))
+    ids, is_token, outside = model.ids(batch)
+    assert outside == [Counter(w for w in b if w not in model.place) for b in batch]
+    token, rows, node, branch = model.choices(ids, np.flatnonzero(is_token))
+    size, tokens = len(node), int(is_token.sum())
+    assert len(rows) == 2 * size + tokens and not node[:tokens].any() and node[tokens:].all()
     slopes, times = {}, Counter()
-    for (a, b, c), n, k in zip(rows.T.tolist(), node.tolist(), branch.tolist(), strict=True):
-        z = [before[a][i] + before[b][i] + before[c][i] + model.bias[n][i] for i in range(m.CLASSES)]
+    for at, (n, k) in enumerate(zip(node.tolist(), branch.tolist(), strict=True)):
+        met = [int(rows[at]), int(rows[size + at])] + ([int(rows[2 * size + at])] if at < tokens else [])
+        z = [sum(before[x][i] for x in met) + model.bias[n][i] for i in range(m.CLASSES)]
         total = sum(math.exp(x) for x in z)
         own = np.array([(i == k) - math.exp(x) / total for i, x in enumerate(z)])
-        for row in (a, b, c):
+        for row in met:
             slopes[row] = slopes.get(row, 0) + own
             times[row] += 1
     seen, energy = np.zeros(1 << 10), np.zeros(1 << 10, np.float32)
