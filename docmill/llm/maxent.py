@@ -34,7 +34,7 @@ VOCABULARY, CLASSES, HASHED, ROUNDS = 200_000, 24, 1 << 14, 2
 STEP, RATE, ROWS = 8192, 0.5, 256
 #: Most rows of weights; distinct words to a row below that; tokens to a task of a round, at least where there are
 #: more tasks than cores (a task sends the rows it met, so small tasks would send more than they read).
-HASHED_MOST, LOAD, TASK = 1 << 18, 4, 2_000_000
+HASHED_MOST, LOAD, TASK = 1 << 17, 4, 2_000_000
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
 #: Endings of words outside the vocabulary are features of their own.
