@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import fixed
@@ -27,12 +27,13 @@ def flag_duplicates(files: DataFrame, known: DataFrame, within: bool = False) ->
 
     ``within``: files that repeat an earlier one (by path) of the same batch are duplicates as well.
     """
-    from pyspark.sql import Window
-
     seen = known.select(F.col("sha256").alias("_seen")).distinct()
-    out = files.join(seen, F.col("sha256") == F.col("_seen"), "left")
-    twin = F.row_number().over(Window.partitionBy("sha256").orderBy("path")) > 1 if within else F.lit(False)
-    return out.withColumn("_twin", twin).withColumn("status", F.when(F.col("_seen").isNotNull() | F.col("_twin"), "duplicate").otherwise("new")).drop("_seen", "_twin")
+    out = files.join(seen, F.col("sha256") == F.col("_seen"), "left").withColumn("_twin", F.lit(False))
+    if within:
+        # one row of each hash is the first; counted on the map side, so that no window holds a hot hash's rows
+        first = files.groupBy(F.col("sha256").alias("_hash")).agg(F.min("path").alias("_first"))
+        out = out.join(first, F.col("sha256") == F.col("_hash"), "left").withColumn("_twin", F.coalesce(F.col("path") > F.col("_first"), F.lit(False))).drop("_hash", "_first")
+    return out.withColumn("status", F.when(F.col("_seen").isNotNull() | F.col("_twin"), "duplicate").otherwise("new")).drop("_seen", "_twin")
 
 
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -41,17 +42,37 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, others: DataFrame, limit: float = 0.9) -> DataFrame:
-    """Pairs of one family whose word sets are alike; flags, never blocks."""
-    from docmill.functions.text import jaccard
+    """Pairs of one family whose word sets are alike; flags, never blocks.
+
+    Two sets of that similarity share one of the words that are rarest in the family, of which a set of n words needs
+    n - ceil(limit * n) + 1; only documents that share such a word are compared.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"(?U)[^\w]+"), lambda w: w != ""))
+    side = lambda df, name: df.select(F.col("doc_id").alias(name), F.col("contract_family").alias("_family"), words.alias(f"_w_{name}"))
+    a, b = side(docs, "doc_id"), side(others, "other_id")
+    flat = lambda df, name: df.select(name, "_family", F.size(f"_w_{name}").alias("_n"), F.explode(f"_w_{name}").alias("_word"))
+    often = flat(a, "doc_id").unionByName(flat(b, "other_id").withColumnRenamed("other_id", "doc_id")).groupBy("_family", "_word").agg(F.count("*").alias("_c"))
 
-    pairs = docs.select("doc_id", "contract_family", "text").join(others.select(F.col("doc_id").alias("other_id"), "contract_family", F.col("text").alias("other_text")), "contract_family")
-    return pairs.where(F.col("doc_id") != F.col("other_id")).withColumn("similarity", jaccard(F.col("text"), F.col("other_text"))).where(F.col("similarity") >= limit).select("doc_id", "other_id", "similarity")
+    def rare(df, name):
+        ranked = flat(df, name).join(often, ["_family", "_word"]).withColumn("_place", F.row_number().over(Window.partitionBy(name, "_family").orderBy("_c", "_word")))
+        return ranked.where(F.col("_place") <= F.col("_n") - F.ceil(F.lit(limit) * F.col("_n")) + 1).select(name, "_family", "_word")
+
+    pairs = rare(a, "doc_id").join(rare(b, "other_id"), ["_family", "_word"]).where("doc_id != other_id").select("doc_id", "other_id", "_family").distinct()
+    both = pairs.join(a, ["doc_id", "_family"]).join(b, ["other_id", "_family"])
+    shared = F.size(F.array_intersect("_w_doc_id", "_w_other_id"))
+    alike = both.withColumn("similarity", ratio(shared, F.size("_w_doc_id") + F.size("_w_other_id") - shared))
+    return alike.where(F.col("similarity") >= limit).select("doc_id", "other_id", "similarity")
 
 
 def status_summary(rows: DataFrame, column: str = "status") -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def run_totals(rows: DataFrame, state: str = "approval_state") -> DataFrame:
+    """``processed, approved, staged, quarantined`` of a run, in one pass."""
+    return rows.agg(F.count("*").alias("processed"), *(F.count_if(F.col(state) == s).alias(n) for n, s in (("approved", "approved"), ("staged", "staging"), ("quarantined", "quarantined"))))
+
+
 def classify(docs: DataFrame, by: str = "doc_id", source: str = "source_file") -> DataFrame:
     """``docs`` with the classification axes, from an identifier's parts: first match wins, else ``other``."""
     key = F.col(by)
@@ -107,24 +128,18 @@ def clause_stats(clauses: DataFrame) -> DataFrame:
     return out.withColumn("unmapped_ratio", rounded(ratio(F.col("unmapped_clauses"), F.col("total_clauses"))))
 
 
-def document_stats(docs: DataFrame, text: str = "text", term_pattern: str = fixed.TERM) -> DataFrame:
-    """``docs`` with the struct ``stats``: all counts of a document's parts; documents without any have zeros.
-
-    Each count is one grouped pass over small rows; the texts themselves are not shuffled.
-    """
-    count = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
-    parts = [
-        clause_stats(structure.clauses(docs, text)),
-        count(structure.defined_terms(docs, text, term_pattern), "defined_terms"),
-        count(structure.outline(docs, text), "sections"),
-        count(structure.exhibits(docs, text), "exhibits"),
-    ]
-    out = docs.select("doc_id").distinct()
-    for p in parts:
-        out = out.join(p, "doc_id", "left")
-    names = ("total_clauses", "unmapped_clauses", "unmapped_ratio", "defined_terms", "sections", "exhibits")
-    stats = out.na.fill(0, list(names)).select("doc_id", F.struct(*names).alias("stats"))
-    return docs.join(stats, "doc_id", "left")
+def document_stats(docs: DataFrame, text: str = "text", term_pattern: str = fixed.TERM, is_boundary=structure.boundary, **rules) -> DataFrame:
+    """``docs`` with the struct ``stats``: all counts of a document's parts, worked out inside its row, so that nothing
+    shuffles; documents without any have zeros."""
+    rows = structure.with_types(docs, text, is_boundary, "_types", **rules)
+    rows = structure.with_outline(structure.with_terms(rows, text, term_pattern), text)
+    total, unmapped = F.size("_types"), F.size(F.filter("_types", lambda t: t == fixed.NO_TYPE))
+    count = lambda x: F.size(x).cast("long")
+    stats = F.struct(
+        total.cast("long").alias("total_clauses"), unmapped.cast("long").alias("unmapped_clauses"), rounded(ratio(unmapped, total)).alias("unmapped_ratio"),
+        count("_terms").alias("defined_terms"), count("_outline").alias("sections"), count(structure.exhibit_array(F.col(text))).alias("exhibits"),
+    )
+    return rows.withColumn("stats", stats).drop("_types", "_terms", "_outline")
 
 
 def manifest(docs: DataFrame, run_ts: str) -> DataFrame:
@@ -138,19 +153,20 @@ def manifest(docs: DataFrame, run_ts: str) -> DataFrame:
     )
 
 
-def validate(rows: DataFrame, required: list[str] | None = None, unmapped_limit: float = fixed.UNMAPPED_LIMIT, least_clauses: int = fixed.LEAST_CLAUSES, enums: bool = False, more_soft: list[Column] | None = None) -> DataFrame:
+def validate(rows: DataFrame, required: list[str] | None = None, unmapped_limit: float = fixed.UNMAPPED_LIMIT, least_clauses: int = fixed.LEAST_CLAUSES, enums: bool | dict[str, list[str]] = False, more_soft: list[Column] | None = None) -> DataFrame:
     """``rows`` with ``hard_fails``, ``soft_fails`` and ``schema_valid``.  An empty required field counts as missing.
 
-    ``enums``: values outside the allowed ones fail as well.  ``more_soft``: further checks, each null or a reason.
+    ``enums``: values outside the allowed ones (the fixed ones, or those of a schema policy) fail as well.
+    ``more_soft``: further checks, each null or a reason.
     """
+    allowed = fixed.ALLOWED if enums is True else enums or {}
     empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
     hard = [F.when(empty(c), F.lit(f"Missing required field: {c}")) for c in (fixed.REQUIRED if required is None else required)]
     if "doc_id" in rows.columns:
         hard.append(F.when(~F.coalesce("doc_id", F.lit("")).rlike(fixed.DOC_ID), F.concat(F.lit("Invalid doc_id format: "), F.coalesce("doc_id", F.lit("None")))))
     if "sha256" in rows.columns:
         hard.append(F.when(~F.coalesce("sha256", F.lit("")).rlike(fixed.SHA256), F.lit("Invalid sha256 format")))
-    if enums:
-        hard += [F.when(~empty(c) & ~F.col(c).isin(v), F.concat(F.lit(f"Invalid {c}: "), F.col(c))) for c, v in fixed.ALLOWED.items() if c in rows.columns]
+    hard += [F.when(~empty(c) & ~F.col(c).isin(v), F.concat(F.lit(f"Invalid {c}: "), F.col(c))) for c, v in allowed.items() if c in rows.columns]
     part, total = F.col("stats.unmapped_ratio"), F.col("stats.total_clauses")
     soft = [
         F.when(part > unmapped_limit, F.concat(F.lit("Unmapped clause ratio "), percent(part), F.lit(f" exceeds {unmapped_limit:.0%}"))),
@@ -215,7 +231,15 @@ def clause_bank(documents: DataFrame, clauses: DataFrame) -> DataFrame:
     return clauses.join(documents.select("doc_id", "contract_family", "authority_level"), "doc_id")
 
 
-def extraction_loss(docs: DataFrame, before: str, after: str, limit: float = fixed.LOSS_LIMIT) -> DataFrame:
-    """``docs`` with ``kept_ratio`` of characters and whether too much was ``lost``."""
+def extraction_loss(docs: DataFrame, before: str, after: str, limit: float = fixed.LOSS_LIMIT, headings: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with ``kept_ratio`` of characters and whether too much was ``lost``.
+
+    ``headings``: patterns that tell a heading in the source and in what was made of it; then the numbers of both are
+    compared as well (``headings_before, headings_after, headings_lost``).
+    """
     kept = ratio(F.length(after), F.length(before))
-    return docs.withColumn("kept_ratio", kept).withColumn("lost", kept < limit)
+    out = docs.withColumn("kept_ratio", kept).withColumn("lost", kept < limit)
+    if headings:
+        counts = (F.regexp_count(F.coalesce(c, F.lit("")), F.lit(p)).cast("long") for c, p in zip((before, after), headings, strict=True))
+        out = out.withColumns(dict(zip(("headings_before", "headings_after"), counts, strict=True))).withColumn("headings_lost", F.col("headings_after") < F.col("headings_before"))
+    return out

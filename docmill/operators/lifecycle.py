@@ -27,6 +27,12 @@ def overdue(rows: DataFrame, since: str, as_of: Column, days: int = fixed.STAGIN
     return rows.where((F.col("approval_state") == "staging") & (F.datediff(as_of, F.col(since)) > days))
 
 
+def waiting(rows: DataFrame, since: str, as_of: Column, days: int = fixed.STAGING_DAYS) -> DataFrame:
+    """Rows that wait for people (pending or staging) with ``waited`` days and whether a reminder is due."""
+    waited = F.datediff(as_of, F.col(since))
+    return rows.where(F.col("approval_state").isin("pending", "staging")).withColumn("waited", waited).withColumn("reminder", waited > days)
+
+
 def set_status(rows: DataFrame, ids: DataFrame, status: str, key: str = "doc_id") -> DataFrame:
     """``deprecate`` and ``archive``: a new table in which ``ids`` have ``status``."""
     return rows.join(ids.select(key, F.lit(True).alias("_hit")).distinct(), key, "left").withColumn("status", F.when(F.col("_hit"), status).otherwise(F.col("status"))).drop("_hit")

@@ -31,15 +31,27 @@ def stage_one(targets: DataFrame, library: DataFrame, family: str = "contract_fa
 
 
 def narrow(candidates: DataFrame, target: str | list[str], same: Column, above: int = fixed.NARROW_ABOVE) -> DataFrame:
-    """Targets with more than ``above`` candidates keep those for which ``same`` holds."""
-    n = F.count("*").over(Window.partitionBy(*([target] if isinstance(target, str) else target)))
-    return candidates.withColumn("_n", n).where((F.col("_n") <= above) | same).drop("_n")
+    """Targets with more than ``above`` candidates keep those for which ``same`` holds.
 
-
-def exclude(candidates: DataFrame, library: DataFrame, key: str = "doc_id", prefix: str = "lib_") -> DataFrame:
-    """Without archived and quarantined candidates, and without superseded ones that have an active successor."""
+    Candidates are counted on the map side and the counts joined, so that no window gathers a target's candidates.
+    """
+    keys = [target] if isinstance(target, str) else target
+    many = candidates.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > above).select("_n", *(F.col(k).alias(f"_{k}") for k in keys))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return candidates.join(many, on, "left").where(F.col("_n").isNull() | same).drop("_n", *(f"_{k}" for k in keys))
+
+
+def exclude(candidates: DataFrame, library: DataFrame, key: str = "doc_id", prefix: str = "lib_", values: dict[str, list[str]] | None = None, superseded: bool = True) -> DataFrame:
+    """Without candidates of excluded values (archived, quarantined), and without superseded ones that have an active
+    successor.  ``prefix`` is that of the candidates' columns: empty for rows of a library itself."""
+    ok = candidates
+    for column, out in ({"status": ["archived"], "approval_state": ["quarantined"]} if values is None else values).items():
+        ok = ok.where(~F.coalesce(F.col(f"{prefix}{column}").isin(out), F.lit(False)))
+    if not superseded:
+        return ok
     alive = library.where((F.col("status") == "active") & F.col("supersedes").isNotNull()).select(F.col("supersedes").alias("_old")).distinct()
-    ok = candidates.where((F.col(f"{prefix}status") != "archived") & (F.col(f"{prefix}approval_state") != "quarantined"))
     gone = (F.col(f"{prefix}{key}") == F.col("_old")) & (F.col(f"{prefix}status") == "superseded")
     return ok.join(alive, gone, "left_anti")
 
@@ -68,13 +80,13 @@ def stale(refreshed: Column, as_of: Column, days: int = fixed.STALE_DAYS) -> Col
     return F.coalesce(F.datediff(as_of, refreshed) > days, F.lit(False))
 
 
-def freshness(rows: DataFrame, refreshed: str, as_of: Column, handling: str = "downrank", days: int = fixed.STALE_DAYS) -> DataFrame:
+def freshness(rows: DataFrame, refreshed: str, as_of: Column, handling: str = "downrank", days: int = fixed.STALE_DAYS, penalty: int = fixed.PENALTY) -> DataFrame:
     """``downrank`` adds a penalty, ``exclude`` drops, ``warn_only`` flags stale rows."""
     out = rows.withColumn("stale", stale(F.col(refreshed), as_of, days))
     if handling == "exclude":
         return out.where(~F.col("stale"))
     own = F.col("penalty") if "penalty" in rows.columns else F.lit(0)
-    return out.withColumn("penalty", own + F.when(F.col("stale"), fixed.PENALTY).otherwise(0)) if handling == "downrank" else out
+    return out.withColumn("penalty", own + F.when(F.col("stale"), penalty).otherwise(0)) if handling == "downrank" else out
 
 
 def priority(doc_class: Column, authority: Column, approval: Column) -> Column:
@@ -90,10 +102,11 @@ def ranks(spark) -> DataFrame:
     return spark.createDataFrame(fixed.PRIORITY, "priority string, rank int")
 
 
-def rank_of(name: Column) -> Column:
+def rank_of(name: Column, order: list[tuple[str, int]] | None = None) -> Column:
     """The rank of a priority level; after all others if it is none."""
-    table = F.create_map(*(F.lit(x) for pair in fixed.PRIORITY for x in pair))
-    return F.coalesce(F.try_element_at(table, name), F.lit(len(fixed.PRIORITY) + 1))
+    order = fixed.PRIORITY if order is None else order
+    table = F.create_map(*(F.lit(x) for pair in order for x in pair))
+    return F.coalesce(F.try_element_at(table, name), F.lit(max((r for _, r in order), default=0) + 1))
 
 
 def best(candidates: DataFrame, target: str | list[str], order: list[Column], k: int = 1) -> DataFrame:
@@ -108,3 +121,16 @@ def match_rate(targets: DataFrame, matched: DataFrame, target: str, goal: float
     out = targets.select(target).distinct().join(hit, target, "left").agg(F.count("*").alias("n"), F.count("_hit").alias("matched"))
     rate = F.when(F.col("n") > 0, F.col("matched") / F.col("n")).otherwise(0.0)
     return out.withColumns({"rate": rate, "reached": rate >= goal, "library_empty": F.col("matched") == 0})
+
+
+def template_for(requests: DataFrame, documents: DataFrame, by: tuple[str, ...] = ("contract_family",), prefer: str = "subtype") -> DataFrame:
+    """``requests`` (with ``request_id``) and the best approved template of their family: same subtype, then rank."""
+    found = documents.where("doc_class = 'template' and approval_state = 'approved' and status = 'active'")
+    found = found.select(*(F.col(c).alias(f"lib_{c}") for c in found.columns))
+    on = F.lit(True)
+    for c in by:
+        on = on & (F.col(c) == F.col(f"lib_{c}"))
+    rank = rank_of(priority(F.col("lib_doc_class"), F.col("lib_authority_level"), F.col("lib_approval_state")))
+    order = [F.desc(F.coalesce(F.col(prefer) == F.col(f"lib_{prefer}"), F.lit(False))), rank, F.col("lib_doc_id")]
+    top = best(requests.join(found, on), "request_id", order).select("request_id", F.col("lib_doc_id").alias("template_id"))
+    return requests.join(top, "request_id", "left")

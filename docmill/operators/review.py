@@ -32,9 +32,9 @@ def tier_acceptance(rows: DataFrame, tier: str = "playbook_tier") -> DataFrame:
     return rows.withColumn("acceptable", F.coalesce(F.array_contains("acceptable_tiers", F.col(tier)), F.lit(False)))
 
 
-def mode_of_text(text: Column) -> Column:
-    """The mode that a request names; of several the strictest (our rule); null if none."""
-    return first_match([F.lower(text)], fixed.MODE_WORDS)
+def mode_of_text(text: Column, words: list[tuple[str, list[str]]] | None = None) -> Column:
+    """The mode that a request names; of several the first in the list, the strictest (our rule); null if none."""
+    return first_match([F.lower(text)], fixed.MODE_WORDS if words is None else words)
 
 
 def resolve_mode(rows: DataFrame, modes: DataFrame, override: str, family: str = "contract_family", default: str = fixed.DEFAULT_MODE) -> DataFrame:
@@ -168,3 +168,24 @@ def inject_context(chunks: DataFrame, *contexts: DataFrame) -> DataFrame:
     for c in contexts:
         chunks = chunks.join(c, "doc_id", "left")
     return chunks
+
+
+def merge_chunks(*parts: DataFrame, key: tuple[str, ...] = ("doc_id", "clause_id")) -> DataFrame:
+    """The results of a document's chunks as one table; of rows that overlapping chunks share, one."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.dropDuplicates(list(key))
+
+
+def report(rows: DataFrame, key: str = "doc_id", k: int = 5, risk: str = "risk_level") -> DataFrame:
+    """The data of a review's report, one JSON text a document: counts by risk, scopes and its ``k`` gravest clauses.
+
+    The gravest are taken by a group limit before anything is gathered, so a row holds ``k`` of them at most.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(severity(F.col(risk)), "clause_id"))
+    top = rows.withColumn("_n", place).where(F.col("_n") <= k).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", "clause_id", risk))).alias("_top"))
+    counts = rows.groupBy(key).agg(F.count("*").alias("clauses"), *(F.count_if(F.col(risk) == r).alias(f"n_{r}") for r in fixed.RISKS), F.count_if("redline").alias("redlines"), F.count_if("comment").alias("comments"))
+    whole = counts.join(top, key, "left")
+    body = F.struct("clauses", *(f"n_{r}" for r in fixed.RISKS), "redlines", "comments", F.transform("_top", lambda x: F.struct(x["clause_id"].alias("clause_id"), x[risk].alias(risk))).alias("key_issues"))
+    return whole.select(key, F.to_json(body).alias("report"))

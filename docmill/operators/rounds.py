@@ -38,12 +38,26 @@ def latest_round(rows: DataFrame, matter: str = "matter_id", number: str = "roun
     return rows.groupBy(matter).agg(F.max(number).alias("latest"), (F.max(number) + 1).alias("next"))
 
 
-def delta_report(diffs: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Counts by bucket: new, resolved, changed, open."""
+def answer(prior: Column, proposed: Column, current: Column, partly: float = 0.5) -> Column:
+    """What the other side did with our proposal: ``accepted`` (the text is ours now), ``rejected`` (it is theirs
+    again, or has nothing of ours), ``partial`` in between; null where we proposed nothing."""
+    gained = jaccard(current, proposed)
+    return F.when(proposed.isNull(), None).when(current == proposed, "accepted").when(current.isNull() | (current == prior) | (gained < partly), "rejected").otherwise("partial")
+
+
+def delta_report(diffs: DataFrame, key: list[str] | None = None, proposed: str | None = None) -> DataFrame:
+    """Counts by bucket: new, resolved, changed, open; where ``proposed`` names our wording, its fate comes first."""
     bucket = F.when(F.col("diff_status") == "added", "new").when(F.col("diff_status") == "removed", "resolved").when(F.col("diff_status") == "modified", "changed").otherwise("open")
+    if proposed:
+        bucket = F.coalesce(answer(F.col("prior_text"), F.col(proposed), F.col("current_text")), bucket)
     return diffs.withColumn("bucket", bucket).groupBy(*(key or []), "bucket").agg(F.count("*").alias("n"))
 
 
+def edit_distance(prior: Column, current: Column, most: int = 1000) -> Column:
+    """Letters to change, up to ``most`` (beyond that -1), which bounds the work on long clauses."""
+    return F.levenshtein(F.coalesce(prior, F.lit("")), F.coalesce(current, F.lit("")), most)
+
+
 def resume_point(states: DataFrame, key: str, step: str, at: str) -> DataFrame:
     """The last completed step of each pipeline."""
     return states.groupBy(key).agg(F.max_by(step, F.struct(at, step)).alias("last_step"), F.max(at).alias("at"))

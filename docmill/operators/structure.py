@@ -6,7 +6,7 @@ operators shuffles, whatever the size of the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import fixed
@@ -48,13 +48,18 @@ def boundary(x: Column) -> Column:
     return is_article(x) | is_chapter(x) | x.rlike(fixed.EXHIBIT_START)
 
 
-def outline(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, line, level, text, section``: headings (no section), chapters by their own number, articles by a
-    running number that chapters use up as well."""
-    body = docs.select("doc_id", numbered(F.col(text)).alias("n"))
-    others = F.filter("n", lambda x: ~is_heading(x["text"]) & (is_chapter(x["text"]) | is_article(x["text"])))
+def _explode(rows: DataFrame, column: str) -> DataFrame:
+    """``doc_id`` and the fields of each element of ``column``."""
+    return rows.select("doc_id", F.explode(column).alias("x")).select("doc_id", "x.*")
+
+
+def with_outline(docs: DataFrame, text: str = "text", name: str = "_outline") -> DataFrame:
+    """``docs`` with the array of ``line, level, text, section`` of the headings (no section), chapters by their own
+    number, and articles by a running number that chapters use up as well."""
+    body = docs.withColumn("_lines", numbered(F.col(text)))
+    others = F.filter("_lines", lambda x: ~is_heading(x["text"]) & (is_chapter(x["text"]) | is_article(x["text"])))
     heads = F.transform(
-        F.filter("n", lambda x: is_heading(x["text"])),
+        F.filter("_lines", lambda x: is_heading(x["text"])),
         lambda x: F.struct(x["line"].alias("line"), F.length(F.regexp_extract(x["text"], fixed.HEADING, 1)).alias("level"), F.regexp_extract(x["text"], fixed.HEADING, 2).alias("text"), F.lit(None).cast("string").alias("section")),
     )
 
@@ -68,8 +73,12 @@ def outline(docs: DataFrame, text: str = "text") -> DataFrame:
             F.when(is_one, F.concat(F.lit("ch"), chapter)).otherwise(F.concat(F.lit("art"), (i + 1).cast("string"))).alias("section"),
         )
 
-    rows = body.select("doc_id", F.explode(F.array_sort(F.concat(heads, F.transform(others, entry)))).alias("o"))
-    return rows.select("doc_id", "o.*")
+    return body.withColumn(name, F.array_sort(F.concat(heads, F.transform(others, entry)))).drop("_lines")
+
+
+def outline(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id, line, level, text, section``: see ``with_outline``."""
+    return _explode(with_outline(docs.select("doc_id", text), text), "_outline")
 
 
 def _prose(text: Column) -> Column:
@@ -82,12 +91,21 @@ def _found(text: Column, pattern: str, group: int) -> Column:
     return F.flatten(each)
 
 
+def with_terms(docs: DataFrame, text: str = "text", pattern: str = fixed.TERM, name: str = "_terms") -> DataFrame:
+    """``docs`` with the array of ``term, first_line`` of quoted terms, in the order in which they first occur.
+
+    The terms found are sorted with their place, and each one's first is kept: n log n for n of them in a document.
+    """
+    placed = F.transform(_found(F.col(text), pattern, 1), lambda x, i: F.struct(x["found"].alias("term"), i.alias("place"), x["line"].alias("line")))
+    rows = docs.withColumn("_sorted", F.array_sort(placed))
+    first = F.filter("_sorted", lambda x, i: (i == 0) | (F.get(F.col("_sorted"), i - 1)["term"] != x["term"]))
+    ordered = F.array_sort(F.transform(first, lambda x: F.struct(x["place"].alias("place"), x["term"].alias("term"), x["line"].alias("first_line"))))
+    return rows.withColumn(name, F.transform(ordered, lambda x: F.struct(x["term"].alias("term"), x["first_line"].alias("first_line")))).drop("_sorted")
+
+
 def defined_terms(docs: DataFrame, text: str = "text", pattern: str = fixed.TERM) -> DataFrame:
     """``doc_id, term, first_line``: quoted terms where they first occur; ``fixed.TERM_CURLY`` also takes curly quotes."""
-    found = docs.select("doc_id", _found(F.col(text), pattern, 1).alias("f"))
-    names = F.transform("f", lambda x: x["found"])
-    first = F.transform(F.array_distinct(names), lambda t: F.struct(t.alias("term"), F.element_at(F.col("f"), F.array_position(names, t).cast("int"))["line"].alias("first_line")))
-    return found.select("doc_id", F.explode(first).alias("t")).select("doc_id", "t.*")
+    return _explode(with_terms(docs.select("doc_id", text), text, pattern), "_terms")
 
 
 def crossrefs(docs: DataFrame, text: str = "text", pattern: str = fixed.REFERENCE) -> DataFrame:
@@ -96,11 +114,19 @@ def crossrefs(docs: DataFrame, text: str = "text", pattern: str = fixed.REFERENC
     return found.select("doc_id", F.col("f.line").alias("from_line"), F.col("f.found").alias("ref"))
 
 
+def exhibit_array(text: Column) -> Column:
+    """``array<struct<line, label>>`` of the lines that open an exhibit."""
+
+    def label(x):
+        word, number = (F.regexp_extract(x["text"], fixed.EXHIBIT, i) for i in (1, 2))
+        return F.struct(x["line"].alias("line"), F.when(number == "", word).otherwise(F.concat_ws(" ", word, number)).alias("label"))
+
+    return F.transform(F.filter(_prose(text), lambda x: x["text"].rlike(fixed.EXHIBIT)), label)
+
+
 def exhibits(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, line, label``: lines that open an exhibit."""
-    found = docs.select("doc_id", F.explode(F.filter(_prose(F.col(text)), lambda x: x["text"].rlike(fixed.EXHIBIT))).alias("x"))
-    word, number = (F.regexp_extract("x.text", fixed.EXHIBIT, i) for i in (1, 2))
-    return found.select("doc_id", F.col("x.line").alias("line"), F.when(number == "", word).otherwise(F.concat_ws(" ", word, number)).alias("label"))
+    return _explode(docs.select("doc_id", exhibit_array(F.col(text)).alias("_exhibits")), "_exhibits")
 
 
 def resolve_refs(refs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -109,21 +135,24 @@ def resolve_refs(refs: DataFrame, targets: DataFrame) -> DataFrame:
     return refs.join(found, ["doc_id", "ref"], "left").withColumn("resolved", F.col("to_section").isNotNull())
 
 
-def segments(docs: DataFrame, text: str = "text", is_boundary=boundary) -> DataFrame:
-    """``doc_id, clause_no, header, start_line, end_line, body``: from each boundary to the next, or the end.
-
-    Lines before the first boundary belong to no clause.  ``is_boundary`` takes a stripped line.
-    """
-    body = docs.select("doc_id", lines_of(F.col(text)).alias("l"))
-    stripped = F.transform("l", lambda x, i: F.struct((i + 1).alias("line"), strip(x).alias("text")))
-    cut = body.withColumn("b", F.filter(stripped, lambda x: (x["text"] != "") & is_boundary(x["text"])))
+def with_segments(docs: DataFrame, text: str = "text", is_boundary=boundary, name: str = "_segments") -> DataFrame:
+    """``docs`` with the array of ``clause_no, header, start_line, end_line, body``: from each boundary to the next, or
+    the end.  Lines before the first boundary belong to no clause.  ``is_boundary`` takes a stripped line."""
+    body = docs.withColumn("_l", lines_of(F.col(text)))
+    stripped = F.transform("_l", lambda x, i: F.struct((i + 1).alias("line"), strip(x).alias("text")))
+    cut = body.withColumn("_b", F.filter(stripped, lambda x: (x["text"] != "") & is_boundary(x["text"])))
 
     def clause(x, i):
-        end = F.coalesce(F.get(F.col("b"), i + 1)["line"] - 1, F.size("l"))
-        own = F.slice(F.col("l"), x["line"], end - x["line"] + 1)
+        end = F.coalesce(F.get(F.col("_b"), i + 1)["line"] - 1, F.size("_l"))
+        own = F.slice(F.col("_l"), x["line"], end - x["line"] + 1)
         return F.struct((i + 1).alias("clause_no"), x["text"].alias("header"), x["line"].alias("start_line"), end.alias("end_line"), strip(F.array_join(own, "\n")).alias("body"))
 
-    return cut.select("doc_id", F.explode(F.transform("b", clause)).alias("c")).select("doc_id", "c.*")
+    return cut.withColumn(name, F.transform("_b", clause)).drop("_l", "_b")
+
+
+def segments(docs: DataFrame, text: str = "text", is_boundary=boundary) -> DataFrame:
+    """``doc_id, clause_no, header, start_line, end_line, body``: see ``with_segments``."""
+    return _explode(with_segments(docs.select("doc_id", text), text, is_boundary), "_segments")
 
 
 def clause_type(header: Column, body: Column, rules: Rules | None = None, governance=fixed.GOVERNANCE, chapter: str | None = fixed.CHAPTER_START) -> Column:
@@ -141,9 +170,26 @@ def clauses(docs: DataFrame, text: str = "text", is_boundary=boundary, **rules)
     return cut.select("doc_id", F.format_string("clause-%03d", "clause_no").alias("clause_id"), "header", "start_line", "end_line", kind.alias("clause_type"), F.length("body").alias("char_count"), "body")
 
 
+def with_types(docs: DataFrame, text: str = "text", is_boundary=boundary, name: str = "_types", **rules) -> DataFrame:
+    """``docs`` with the array of its clauses' types, without leaving the row."""
+    cut = with_segments(docs, text, is_boundary, "_s")
+    return cut.withColumn(name, F.transform("_s", lambda c: clause_type(c["header"], c["body"], **rules))).drop("_s")
+
+
+def chunks(docs: DataFrame, most: int, text: str = "text") -> DataFrame:
+    """``doc_id, chunk_no, start_line, end_line, body``: whole lines in pieces of about ``most`` characters, in order.
+
+    A piece ends at the first line at which the document has reached the next multiple of ``most``.
+    """
+    rows = docs.select("doc_id", F.posexplode(lines_of(F.col(text))).alias("i", "line"))
+    before = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("piece", F.floor(F.coalesce(before, F.lit(0)) / most))
+    held = placed.groupBy("doc_id", "piece").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.array_sort(F.collect_list(F.struct("i", "line"))).alias("own"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("piece"))
+    return held.select("doc_id", number.alias("chunk_no"), (F.col("a") + 1).alias("start_line"), (F.col("b") + 1).alias("end_line"), F.array_join(F.transform("own", lambda x: x["line"]), "\n").alias("body"))
+
+
 def numbering_gaps(rows: DataFrame, key: str, number: str) -> DataFrame:
     """Rows whose number does not follow the one before it in ``key``."""
-    from pyspark.sql import Window
-
     before = F.lag(number).over(Window.partitionBy(key).orderBy(number))
     return rows.withColumn("before", before).where(F.col("before").isNotNull() & (F.col(number) - F.col("before") != 1))

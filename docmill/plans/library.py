@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions import fixed
-from docmill.functions.text import line_count, word_count
+from docmill.functions.text import jaccard, line_count, word_count
 from docmill.operators import library, lifecycle, retrieve, review, rounds, structure
+from docmill.sources.policy import Policies
 
 
 @dataclass
@@ -42,12 +43,22 @@ class Library:
         return files.select("doc_id", "source_file", "sha256", F.lit(run_ts).alias("timestamp"), F.lit(True).alias("normalized"), line_count(F.col("md")).alias("md_lines"), word_count(F.col("plain")).alias("word_count"))
 
     @staticmethod
-    def ingest(files: DataFrame, known: DataFrame, run_ts: str, auto: bool = True, term_pattern: str = fixed.TERM) -> Package:
-        """``files``: ``path, file_name, sha256, md``; those whose hash is ``known`` are left out before parsing."""
+    def ingest(files: DataFrame, known: DataFrame, run_ts: str, auto: bool | None = None, term_pattern: str = fixed.TERM, sidecar: DataFrame | None = None, policies: Policies | None = None) -> Package:
+        """``files``: ``path, file_name, sha256, md``; those whose hash is ``known`` are left out before parsing.
+
+        ``sidecar``: values by ``doc_id`` that win over the inferred ones.  ``auto`` overrides the approval policy.
+        """
+        own = policies or Policies()
+        auto = own.approval.auto if auto is None else auto
         flagged = library.flag_duplicates(files, known)
         docs = flagged.where("status = 'new'").select(library.doc_id(F.col("file_name")).alias("doc_id"), F.col("file_name").alias("source_file"), "sha256", F.col("md").alias("text"))
-        classified = library.document_stats(library.classify(docs), term_pattern=term_pattern)
-        manifests = library.gate(library.validate(library.manifest(classified, run_ts)), auto)
+        classified = library.classify(docs)
+        if sidecar is not None:
+            classified = library.with_sidecar(classified, sidecar)
+        classified = library.document_stats(classified, term_pattern=term_pattern)
+        required, allowed = own.schema.required["manifest"], own.schema.allowed["manifest"] if policies else False
+        checked = library.validate(library.manifest(classified, run_ts), required, enums=allowed)
+        manifests = library.gate(checked, auto, own.approval.frame(files.sparkSession) if policies else None)
         return Package(flagged, manifests, structure.clauses(docs), structure.defined_terms(docs, pattern=term_pattern), structure.outline(docs), structure.crossrefs(docs), structure.exhibits(docs))
 
     list = staticmethod(lifecycle.search)
@@ -81,25 +92,37 @@ class Review:
     """Comparing a target's clauses with the library's."""
 
     @staticmethod
-    def run(target: DataFrame, bank: DataFrame, documents: DataFrame, modes: DataFrame, pairs: DataFrame, external: bool = False, override: str | None = None) -> DataFrame:
+    def run(target: DataFrame, bank: DataFrame, documents: DataFrame, modes: DataFrame | None = None, pairs: DataFrame | None = None, external: bool = False, override: str | None = None, as_of: Column | None = None, policies: Policies | None = None) -> DataFrame:
         """One row per target clause: its best house clause, risk, tier, texts, and the scopes of its mode.
 
         ``target``: ``clause_id, clause_type, contract_family, text, jurisdiction, governing_law``;
-        ``bank``: library clauses with their document's fields and ``text``.
+        ``bank``: library clauses with their document's fields and ``text``.  What may not be shown or used leaves the
+        bank before any candidate is taken from it, so that related families cannot bring it back.  ``as_of``: the day
+        by which clauses of documents that were not refreshed in time are ranked down, left out or flagged.
         """
-        found = retrieve.stage_one(target, bank)
-        found = retrieve.narrow(found, "clause_id", F.col("clause_type") == F.col("lib_clause_type"))
-        found = retrieve.exclude(found, documents)
-        found = retrieve.external_only(found, external)
-        wide = retrieve.widen(found, target, bank, pairs, "clause_id")
-        rank = retrieve.rank_of(retrieve.priority(F.col("lib_doc_class"), F.col("lib_authority_level"), F.col("lib_approval_state"))) + F.col("penalty")
-        top = retrieve.best(wide.withColumn("rank", rank), "clause_id", [F.col("rank"), F.desc(F.col("clause_type") == F.col("lib_clause_type")), F.col("lib_doc_id"), F.col("lib_clause_id")]).drop("place")
+        own, spark = policies or Policies(), target.sparkSession
+        rules = own.retrieval
+        modes = own.review.frame(spark) if modes is None else modes
+        pairs = retrieve.affinity_pairs(spark, rules.affinity) if pairs is None else pairs
+        bank = retrieve.external_only(retrieve.exclude(bank, documents, prefix="", values=rules.excluded, superseded=rules.superseded), external, rules.external_field)
+        if as_of is not None and rules.refreshed in bank.columns:
+            bank = retrieve.freshness(bank, rules.refreshed, as_of, rules.stale_handling, rules.stale_days, rules.penalty).withColumnRenamed("penalty", "stale_penalty")
+        how = {"family": rules.family, "optional": tuple(c for c in rules.optional if c in bank.columns and c in target.columns), "required": rules.required}
+        found = retrieve.stage_one(target, bank, **how)
+        found = retrieve.narrow(found, "clause_id", F.col(rules.narrow_by) == F.col(f"lib_{rules.narrow_by}"), rules.narrow_above)
+        wide = retrieve.widen(found, target, bank, pairs, "clause_id", below=rules.widen_below, penalty=rules.penalty, **how)
+        late = F.col("lib_stale_penalty") if "lib_stale_penalty" in wide.columns else F.lit(0)
+        rank = retrieve.rank_of(retrieve.priority(F.col("lib_doc_class"), F.col("lib_authority_level"), F.col("lib_approval_state")), rules.priority) + F.col("penalty") + late
+        order = [F.col("rank"), F.desc(F.col("clause_type") == F.col("lib_clause_type")), F.desc(jaccard(F.col("text"), F.coalesce("lib_text", F.lit("")))), F.col("lib_doc_id"), F.col("lib_clause_id")]
+        top = retrieve.best(wide.withColumn("rank", rank), "clause_id", order).drop("place")
         lost = [c for c in top.columns if c not in target.columns]
         rows = target.join(top.select("clause_id", *lost), "clause_id", "left").withColumn("library_empty", F.col("lib_doc_id").isNull())
         rows = review.comment_texts(review.analyse(rows))
-        rows = review.with_mode(review.resolve_mode(rows.withColumn("_override", F.lit(override).cast("string")), modes, "_override").drop("_override"), modes)
+        rows = review.with_mode(review.resolve_mode(rows.withColumn("_override", F.lit(override).cast("string")), modes, "_override", default=own.review.default).drop("_override"), modes)
         return review.tier_acceptance(rows).withColumns({"redline": F.array_contains("redline_scope", F.col("risk_level")), "comment": F.array_contains("comment_scope", F.col("risk_level"))})
 
     external = staticmethod(review.external)
+    report = staticmethod(review.report)
+    template = staticmethod(retrieve.template_for)
     diff = staticmethod(rounds.diff)
     resume = staticmethod(rounds.resume_point)

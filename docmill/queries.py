@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import fixed, text
-from docmill.functions.rules import cascade, first_match
-from docmill.operators import library, lifecycle, retrieve, review, rounds, structure
+from docmill.functions.rules import cascade
+from docmill.operators import joins, library, lifecycle, retrieve, review, rounds, structure
 from docmill.streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,17 +121,16 @@ def short(x: Column) -> Column:
     return F.length(x) < fixed.SHORT_HEADER
 
 
-_CUT = f"""b AS (SELECT doc_id, line_no, {_STRIP.format('line')} AS header FROM ({_LINES}) WHERE length({_STRIP.format('line')}) BETWEEN 1 AND 39),
-n AS (SELECT doc_id, len(string_split(text, chr(10))) AS total, string_split(text, chr(10)) AS l FROM documents),
+def _cut(source: str, condition: str) -> str:
+    """Clauses of the texts in ``source`` (doc_id, text), whose headers are the stripped lines for which ``condition`` holds."""
+    lines = f"SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM {source}"
+    return f"""b AS (SELECT doc_id, line_no, header FROM (SELECT doc_id, line_no, {_STRIP.format('line')} AS header FROM ({lines})) WHERE header <> '' AND ({condition})),
+n AS (SELECT doc_id, len(string_split(text, chr(10))) AS total, string_split(text, chr(10)) AS l FROM {source}),
 c AS (SELECT b.doc_id, header, line_no AS start_line, coalesce(lead(line_no) OVER w - 1, total) AS end_line, row_number() OVER w AS clause_no, l FROM b JOIN n USING (doc_id) WINDOW w AS (PARTITION BY b.doc_id ORDER BY line_no)),
 s AS (SELECT doc_id, clause_no, header, start_line, end_line, {_STRIP.format("array_to_string(l[start_line:end_line], chr(10))")} AS body FROM c)"""
 
 
-@query(f"WITH {_CUT} SELECT doc_id, CAST(start_line AS BIGINT) AS line, header, clause_no AS section FROM s")
-def outline_headers(spark, sf):
-    rows = structure.lines(table(spark, sf, "documents")).withColumn("header", text.strip(F.col("line"))).where((F.col("header") != "") & short(F.col("header")))
-    section = F.count("*").over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("doc_id", F.col("line_no").cast("long").alias("line"), "header", section.alias("section"))
+_CUT = _cut("documents", "length(header) < 40")
 
 
 @query(f"WITH {_CUT} SELECT doc_id, 'clause-' || lpad(CAST(clause_no AS VARCHAR), 3, '0') AS clause_id, header, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, length(body) AS char_count FROM s")
@@ -155,10 +154,9 @@ def clause_types(spark, sf):
     return _clauses(spark, sf).select("doc_id", "clause_id", "clause_type")
 
 
-@query(f"WITH {_TYPED} SELECT doc_id, count(*) AS total_clauses, count(*) FILTER (clause_type = 'unmapped') AS unmapped_clauses, round(count(*) FILTER (clause_type = 'unmapped') / count(*), 3) AS unmapped_ratio FROM t GROUP BY doc_id")
+@query(f"WITH {_TYPED} SELECT doc_id, count(*) AS total_clauses, count(*) FILTER (clause_type = 'unmapped') AS unmapped_clauses, CAST(format('{{:.3f}}', count(*) FILTER (clause_type = 'unmapped') / count(*)) AS DOUBLE) AS unmapped_ratio FROM t GROUP BY doc_id")
 def unmapped_ratio(spark, sf):
-    rows = _clauses(spark, sf).groupBy("doc_id").agg(F.count("*").alias("total_clauses"), F.count_if(F.col("clause_type") == "unmapped").alias("unmapped_clauses"))
-    return rows.withColumn("unmapped_ratio", F.round(text.ratio(F.col("unmapped_clauses"), F.col("total_clauses")), 3))
+    return library.clause_stats(_clauses(spark, sf))
 
 
 def _pages(spark, sf):
@@ -195,12 +193,6 @@ def crossref_resolve(spark, sf):
     return structure.resolve_refs(_crossrefs(spark, sf), targets).select("doc_id", "from_line", "ref", "to_section", "resolved")
 
 
-@query("""SELECT page_id, regexp_extract(url, '/(en|fr|de|es)/([0-9]*)', 1) AS label, regexp_extract(url, '/(en|fr|de|es)/([0-9]*)', 2) AS number FROM pages WHERE regexp_matches(url, '/(en|fr|de|es)/')""")
-def exhibit_labels(spark, sf):
-    p = "/(en|fr|de|es)/([0-9]*)"
-    return table(spark, sf, "pages").where(F.col("url").rlike("/(en|fr|de|es)/")).select("page_id", F.regexp_extract("url", p, 1).alias("label"), F.regexp_extract("url", p, 2).alias("number"))
-
-
 @query(
     """SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AS email, regexp_matches(text, '\\([0-9]{3}\\) [0-9]{3}-[0-9]{4}') AS phone,
 regexp_matches(text, '(?:[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]) ?[=:] ?.[A-Za-z0-9]{16,}') AS key, regexp_matches(text, '(?i)attorney[- ]client|privileged (and|&) confidential|work product') AS notice FROM documents"""
@@ -209,26 +201,166 @@ def privileged_scan(spark, sf):
     return table(spark, sf, "documents").select("doc_id", *(c.alias(n) for n, c in text.privileged(F.col("text")).items()))
 
 
-@query("SELECT conv_id, turn, b AS before FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations WHERE role <> 'system') WHERE turn - b <> 1")
+@query("SELECT conv_id, turn, b AS before FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations WHERE turn % 3 <> 1) WHERE turn - b <> 1")
 def numbering_gaps(spark, sf):
-    return structure.numbering_gaps(table(spark, sf, "conversations").where("role <> 'system'").select("conv_id", "turn"), "conv_id", "turn")
+    return structure.numbering_gaps(table(spark, sf, "conversations").where("turn % 3 <> 1").select("conv_id", "turn"), "conv_id", "turn")
+
+
+# --- the library's own rules, on texts written like contracts ------------------------------------------------------
+
+#: A contract of each document's own numbers, as an expression that both engines read.
+_CONTRACT = """concat('전문 "Preamble Term" 줄', chr(10), '제', doc_id % 4 + 1, '장 총칙 ', coalesce(lang, ''), chr(10), CASE doc_id % 7 WHEN 0 THEN '(정의)' WHEN 1 THEN '(통지)' WHEN 2 THEN '(비밀유지)' WHEN 3 THEN '(주주총회)' WHEN 4 THEN '(양도금지)' WHEN 5 THEN '(세금)' ELSE '(기타)' END, chr(10),
+'본 계약에서 "', coalesce(source, ''), '" 및 "', coalesce(lang, ''), '" 그리고 "', coalesce(source, ''), '" 은 제', doc_id % 9 + 1, '조 및 제3조 참조', chr(10), '# 제목 "제목속" 제9조', chr(10), '(아주 긴 괄호 문장으로 시작하지만 마흔 자를 넘기 때문에 조문의 제목이 될 수 없는 줄입니다 정말로)', chr(10), '   ', chr(10),
+repeat(concat('(조항 ', doc_id % 13, ')', chr(10), '  내용 ', coalesce(source, ''), '  ', chr(10)), CAST(doc_id % 6 AS INT)), CASE doc_id % 3 WHEN 0 THEN '' ELSE concat('별지 ', doc_id % 3, '. 목록', chr(10)) END, CASE doc_id % 2 WHEN 0 THEN '부록' ELSE '첨부..7 표' END)"""
+_CONTRACTS = f"(SELECT doc_id, {_CONTRACT} AS text FROM documents)"
+_HEADING, _CHAPTER, _ARTICLE, _EXHIBIT = r"^(#{1,4})\s+(.+)", r"^제(\d+)장\s+(.+)", r"^\((.+?)\)", r"^(별지|부록|첨부)[\s.]*(\d*)"
+_KINDS = f"""l AS (SELECT doc_id, line_no, {_STRIP.format('line')} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM {_CONTRACTS})),
+k AS (SELECT *, regexp_matches(s, '{_HEADING}') AS heading, regexp_matches(s, '{_CHAPTER}') AS chapter, regexp_matches(s, '{_ARTICLE}') AND length(s) < 40 AS article, regexp_matches(s, '{_EXHIBIT}') AS exhibit FROM l WHERE s <> ''),
+p AS (SELECT * FROM k WHERE NOT heading AND NOT chapter)"""
+_OUTLINE = f"""SELECT doc_id, CAST(line_no AS BIGINT) AS line, length(regexp_extract(s, '{_HEADING}', 1)) AS level, regexp_extract(s, '{_HEADING}', 2) AS text, NULL AS section FROM k WHERE heading UNION ALL
+SELECT doc_id, CAST(line_no AS BIGINT), CASE WHEN chapter THEN 1 ELSE 2 END, CASE WHEN chapter THEN '제' || regexp_extract(s, '{_CHAPTER}', 1) || '장 ' || regexp_extract(s, '{_CHAPTER}', 2) ELSE regexp_extract(s, '{_ARTICLE}', 1) END,
+CASE WHEN chapter THEN 'ch' || regexp_extract(s, '{_CHAPTER}', 1) ELSE 'art' || row_number() OVER (PARTITION BY doc_id ORDER BY line_no) END FROM k WHERE NOT heading AND (chapter OR article)"""
+_FIRST_TERMS = """SELECT doc_id, term, CAST(min(line_no) AS BIGINT) AS first_line FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(s, '"([^"]{2,30})"', 1)) AS term FROM p) GROUP BY doc_id, term"""
+_LABELS = f"""SELECT doc_id, CAST(line_no AS BIGINT) AS line, CASE WHEN regexp_extract(s, '{_EXHIBIT}', 2) = '' THEN regexp_extract(s, '{_EXHIBIT}', 1) ELSE regexp_extract(s, '{_EXHIBIT}', 1) || ' ' || regexp_extract(s, '{_EXHIBIT}', 2) END AS label FROM p WHERE exhibit"""
+_RULED = " ".join("WHEN " + " OR ".join(f"contains(header, '{w}') OR contains(substr(body, 1, 200), '{w}')" for w in words) + f" THEN '{name}'" for name, words in [fixed.GOVERNANCE, *fixed.CLAUSE_RULES])
+_CONTRACT_CLAUSES = f"""{_cut(_CONTRACTS, f"(regexp_matches(header, '{_ARTICLE}') AND length(header) < 40) OR regexp_matches(header, '{_CHAPTER}') OR regexp_matches(header, '^(별지|부록|첨부)')")},
+t AS (SELECT *, CASE WHEN regexp_matches(header, '^제\\d+장') THEN 'recitals' {_RULED} ELSE 'unmapped' END AS clause_type FROM s)"""
+
+
+def _contracts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", F.expr(_CONTRACT).alias("text"))
+
+
+@query(f"WITH {_KINDS} {_OUTLINE}")
+def contract_outline(spark, sf):
+    return structure.outline(_contracts(spark, sf)).select("doc_id", *long("line", "level"), "text", "section")
+
+
+@query(f"WITH {_KINDS} {_FIRST_TERMS}")
+def contract_terms(spark, sf):
+    return structure.defined_terms(_contracts(spark, sf)).select("doc_id", "term", *long("first_line"))
+
+
+@query(f"WITH {_KINDS} SELECT doc_id, CAST(line_no AS BIGINT) AS from_line, unnest(regexp_extract_all(s, '제(\\d+)조', 0)) AS ref FROM p")
+def contract_refs(spark, sf):
+    return structure.crossrefs(_contracts(spark, sf)).select("doc_id", *long("from_line"), "ref")
+
+
+@query(f"WITH {_KINDS} {_LABELS}")
+def contract_exhibits(spark, sf):
+    return structure.exhibits(_contracts(spark, sf)).select("doc_id", *long("line"), "label")
+
+
+@query(f"WITH {_CONTRACT_CLAUSES} SELECT doc_id, 'clause-' || lpad(CAST(clause_no AS VARCHAR), 3, '0') AS clause_id, header, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, clause_type, length(body) AS char_count FROM t")
+def contract_clauses(spark, sf):
+    return structure.clauses(_contracts(spark, sf)).select("doc_id", "clause_id", "header", *long("start_line", "end_line"), "clause_type", *long("char_count"))
+
+
+_STAGED = "CASE doc_id % 4 WHEN 0 THEN 'early' WHEN 1 THEN 'mid' WHEN 2 THEN 'late' ELSE 'first' END"
+_NAMED = "CASE doc_id % 9 WHEN 0 THEN 'sha-separated' WHEN 1 THEN 'safe-conditional-equity' WHEN 2 THEN 'convertible-bond' WHEN 3 THEN 'bond-with-warrants' WHEN 4 THEN 'rcps' WHEN 5 THEN 'convertible-preferred' WHEN 6 THEN 'common' WHEN 7 THEN 'memo' ELSE 'late-common' END"
+_FILE_ID = f"concat(doc_id, '-', {_STAGED}, '-', {_NAMED}, CASE doc_id % 2 WHEN 0 THEN '-integrated' ELSE '-apart' END)"
+
+
+def _title(pattern: str, bare: str | None, english: bool) -> str:
+    """A title's pattern as SQL over ``stage``, ``stage_en``, ``form`` and ``form_en``."""
+    stage, out = "stage_en" if english else "stage", "'" + pattern + "'"
+    for name, value in (("{stage}", f"'[' || {stage} || '] '"), ("{form_en}", "form_en"), ("{form}", "form")):
+        out = out.replace(name, f"' || {value} || '")
+    return out if bare is None else f"CASE WHEN stage <> '' THEN {out} ELSE '{bare}' END"
+
+
+_STAGE_OF = [" ".join(["CASE", *(f"WHEN contains(id, '{part}') THEN '{names[i]}'" for part, *names in fixed.STAGES), "ELSE '' END"]) for i in (0, 1)]
+_FAMILY_OF = lambda value, other: " ".join(["CASE", *(f"WHEN contains(id, '{r[0]}') THEN {value(r)}" for r in fixed.FAMILIES), f"ELSE {other} END"])
+_CLASSED = f"""x AS (SELECT *, {_STAGE_OF[0]} AS stage, {_STAGE_OF[1]} AS stage_en, CASE WHEN contains(id, '{fixed.FORMS[0]}') THEN '{fixed.FORMS[1][0]}' ELSE '{fixed.FORMS[2][0]}' END AS form, CASE WHEN contains(id, '{fixed.FORMS[0]}') THEN '{fixed.FORMS[1][1]}' ELSE '{fixed.FORMS[2][1]}' END AS form_en FROM (SELECT *, {_FILE_ID} AS id FROM documents)),
+y AS (SELECT doc_id AS key, id, {_FAMILY_OF(lambda r: f"'{r[1]}'", f"'{fixed.OTHER_FAMILY[0]}'")} AS contract_family, {_FAMILY_OF(lambda r: f"'{r[2]}'", f"'{fixed.OTHER_FAMILY[1]}'")} AS subtype,
+{_FAMILY_OF(lambda r: _title(r[3], r[5], False), "id || '.docx'")} AS title, {_FAMILY_OF(lambda r: _title(r[4], r[6], True), "''")} AS title_en, {_FAMILY_OF(lambda r: "'high'", "'low'")} AS classification_confidence FROM x)"""
+
+
+def _classified(spark, sf):
+    docs = _contracts(spark, sf).withColumn("key", F.col("doc_id")).withColumn("doc_id", F.expr(_FILE_ID))
+    return library.classify(docs.withColumn("source_file", F.concat("doc_id", F.lit(".docx"))))
+
+
+@query(f"WITH {_CLASSED} SELECT key, id AS doc_id, contract_family, subtype, title, title_en, classification_confidence FROM y")
+def classify_documents(spark, sf):
+    return _classified(spark, sf).select("key", "doc_id", "contract_family", "subtype", "title", "title_en", "classification_confidence")
+
+
+_PARTS = f"""{_KINDS}, o AS ({_OUTLINE}), f AS ({_FIRST_TERMS}), e AS ({_LABELS}), {_CONTRACT_CLAUSES},
+z AS (SELECT d.doc_id, coalesce(t.total, 0) AS total_clauses, coalesce(t.unmapped, 0) AS unmapped_clauses, coalesce(CAST(format('{{:.3f}}', t.unmapped / t.total) AS DOUBLE), 0) AS unmapped_ratio, coalesce(f.n, 0) AS defined_terms, coalesce(o.n, 0) AS sections, coalesce(e.n, 0) AS exhibits FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS total, count(*) FILTER (clause_type = 'unmapped') AS unmapped FROM t GROUP BY doc_id) t ON d.doc_id = t.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id) f ON d.doc_id = f.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM o GROUP BY doc_id) o ON d.doc_id = o.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id) e ON d.doc_id = e.doc_id)"""
+
+
+@query(f"WITH {_PARTS} SELECT * FROM z")
+def document_stats(spark, sf):
+    return library.document_stats(_contracts(spark, sf)).select("doc_id", "stats.*")
+
+
+@query(
+    f"""WITH {_PARTS}, {_CLASSED}, v AS (SELECT *, concat_ws('; ', CASE WHEN unmapped_ratio > 0.3 THEN 'Unmapped clause ratio ' || format('{{:.1f}}', unmapped_ratio * 100) || '% exceeds 30%' END, CASE WHEN classification_confidence = 'low' THEN 'Low classification confidence' END,
+CASE WHEN total_clauses < 5 THEN 'Only ' || total_clauses || ' clauses detected' END) AS soft FROM z JOIN y ON z.doc_id = y.key)
+SELECT key, id AS doc_id, title, contract_family, soft AS soft_fails, CASE WHEN soft <> '' THEN 'staging' ELSE 'approved' END AS approval_state FROM v"""
+)
+def ingest_manifests(spark, sf):
+    """The whole way of an ingest: classification, counts, manifest, validation and gate."""
+    rows = library.document_stats(_classified(spark, sf)).withColumn("sha256", F.sha2("text", 256))
+    keys = rows.select("key", "doc_id")
+    made = library.gate(library.validate(library.manifest(rows, "2024-01-01T00:00:00"), enums=True))
+    out = made.join(keys, "doc_id")
+    return out.select("key", "doc_id", "title", "contract_family", F.array_join("soft_fails", "; ").alias("soft_fails"), "approval_state")
+
+
+_FILE_NAME = "concat('[', CASE doc_id % 3 WHEN 0 THEN '초기' WHEN 1 THEN '중기' ELSE '후기' END, '] ', doc_id % 5, '.투자계약서_', CASE doc_id % 4 WHEN 0 THEN '상환전환우선주식' WHEN 1 THEN '전환우선주식' WHEN 2 THEN '보통주식' ELSE '신주인수권부사채' END, '(', CASE doc_id % 2 WHEN 0 THEN '통합형' ELSE '분리형' END, ')', CASE doc_id % 2 WHEN 0 THEN '_2309개정' ELSE '' END, '.docx')"
+_STEM = f"regexp_replace(regexp_replace({_FILE_NAME}, '\\.[^.]*$', ''), '{fixed.SLUG_SUFFIX}', '')"
+for _word, _by in fixed.SLUG_WORDS:
+    _STEM = f"replace({_STEM}, '{_word}', '{_by}')"
+
+
+@query(f"SELECT doc_id AS key, {_SLUG.format(_STEM)} AS doc_id FROM documents")
+def file_doc_ids(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("key"), library.doc_id(F.expr(_FILE_NAME)).alias("doc_id"))
+
+
+@query("SELECT doc_id, CAST(format('{:.3f}', doc_id / 16 % 900) AS DOUBLE) AS ratio, format('{:.1f}', doc_id / 16 % 900) || '%' AS percent FROM documents")
+def half_even(spark, sf):
+    x = F.col("doc_id") / 16 % 900
+    return table(spark, sf, "documents").select("doc_id", text.rounded(x).alias("ratio"), text.percent(x / 100).alias("percent"))
+
+
+_TAGS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)<(br|/p|/div|/li|/h\\d|/tr)\\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _TAGS = f"replace({_TAGS}, '{_name}', '{_char}')"
+
+
+_LAID_OUT = _STRIP.format(f"regexp_replace(regexp_replace({_TAGS}, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g')")
+
+
+@query(f"SELECT page_id, {_LAID_OUT} AS text FROM pages")
+def page_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
+
+
+@query("SELECT doc_id, CAST(chunk AS BIGINT) + 1 AS chunk_no, CAST(min(line_no) AS BIGINT) AS start_line, CAST(max(line_no) AS BIGINT) AS end_line FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS chunk FROM (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 500 AS piece FROM (" + _LINES + "))) GROUP BY doc_id, chunk")
+def document_chunks(spark, sf):
+    return structure.chunks(table(spark, sf, "documents"), 500).select("doc_id", *long("chunk_no", "start_line", "end_line"))
 
 
 # --- manifest, gate, indexes ------------------------------------------------------------------------------------
 
 _STATS = f"""{_TYPED}, st AS (SELECT d.doc_id, d.lang, d.source, d.text, l.quality, count(t.doc_id) AS total_clauses, count(*) FILTER (t.clause_type = 'unmapped') AS unmapped
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN t ON d.doc_id = t.doc_id GROUP BY ALL),
-m AS (SELECT *, CASE WHEN total_clauses > 0 THEN round(unmapped / total_clauses, 3) ELSE 0 END AS ratio, nullif(lang, 'es') AS title, CASE WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' END AS confidence FROM st),
+m AS (SELECT *, CASE WHEN total_clauses > 0 THEN CAST(format('{{:.3f}}', unmapped / total_clauses) AS DOUBLE) ELSE 0 END AS ratio, nullif(lang, 'es') AS title, CASE WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' END AS confidence FROM st),
 v AS (SELECT *, concat_ws('; ', CASE WHEN title IS NULL THEN 'Missing required field: title' END) AS hard,
 concat_ws('; ', CASE WHEN ratio > 0.3 THEN 'ratio' END, CASE WHEN confidence = 'low' THEN 'Low classification confidence' END, CASE WHEN total_clauses < 1 THEN 'Only ' || total_clauses || ' clauses detected' END) AS soft FROM m),
 g AS (SELECT *, CASE WHEN hard <> '' THEN 'quarantined' WHEN soft <> '' THEN 'staging' ELSE 'approved' END AS approval_state FROM v)"""
 
 
 def _validated(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").join(unmapped_ratio(spark, sf), "doc_id", "left").na.fill(0, ["total_clauses", "unmapped_ratio"])
-    docs = docs.withColumns(
-        {"title": F.nullif(F.col("lang"), F.lit("es")), "classification_confidence": F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low"), "stats": F.struct("unmapped_ratio", "total_clauses"), "sha256": F.sha2("text", 256), "key": F.col("doc_id"), "doc_id": F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))}
-    )
+    # all that needs the text is worked out in its row, and no text is shuffled
+    docs = library.document_stats(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"), is_boundary=short, rules=RULES, governance=None, chapter=None)
+    docs = docs.withColumn("sha256", F.sha2("text", 256)).drop("text").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    docs = docs.withColumns({"title": F.nullif(F.col("lang"), F.lit("es")), "classification_confidence": F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low"), "key": F.col("doc_id"), "doc_id": F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))})
     return library.validate(docs, required=["doc_id", "title", "sha256"], least_clauses=1)
 
 
@@ -244,8 +376,7 @@ def approval_gate(spark, sf):
 
 @query(f"WITH {_STATS} SELECT count(*) AS processed, count(*) FILTER (approval_state = 'approved') AS approved, count(*) FILTER (approval_state = 'staging') AS staged, count(*) FILTER (approval_state = 'quarantined') AS quarantined FROM g")
 def run_totals(spark, sf):
-    state = F.col("approval_state")
-    return approval_gate(spark, sf).agg(F.count("*").alias("processed"), *(F.count_if(state == s).alias(n) for n, s in (("approved", "approved"), ("staged", "staging"), ("quarantined", "quarantined"))))
+    return library.run_totals(approval_gate(spark, sf))
 
 
 _INDEX = f"{_STATS}, i AS (SELECT doc_id, title, source AS contract_family, lang AS language, sha256(text) AS sha256, 'approved/templates/' || source || '/doc-' || doc_id || '/' AS path FROM g WHERE approval_state = 'approved')"
@@ -343,6 +474,14 @@ def retrieve_exclude(spark, sf):
     return retrieve.exclude(candidates, newest).select(F.col("lib_doc_id").alias("doc_id"))
 
 
+@query(f"WITH v AS ({_CHAIN}) SELECT a.doc_id FROM v a WHERE next_id IS NULL OR NOT EXISTS (SELECT 1 FROM v b WHERE b.supersedes = a.doc_id AND b.doc_id % 3 <> 0)")
+def retrieve_exclude_inactive(spark, sf):
+    """A superseded row whose successor is not active stays."""
+    rows = _versions(spark, sf).withColumns({"status": F.when(F.col("next_id").isNotNull(), "superseded").otherwise("active"), "approval_state": F.lit("approved")})
+    successors = rows.withColumn("status", F.when(F.col("doc_id") % 3 == 0, "deprecated").otherwise("active"))
+    return retrieve.exclude(rows, successors, prefix="").select("doc_id")
+
+
 GROUPS = [["src0", "src1", "src2"], ["src2", "src3"], ["src7", "src8"]]
 _PAIRS = "(" + " UNION ".join(f"SELECT '{a}' AS family, '{b}' AS related" for g in GROUPS for a in g for b in g if a != b) + ")"
 
@@ -362,6 +501,20 @@ def retrieve_affinity(spark, sf):
     return retrieve.widen(one, targets, lib, retrieve.affinity_pairs(spark, GROUPS), "doc_id", below=12, optional=("jurisdiction",)).select("doc_id", "lib_doc_id", F.col("penalty").cast("int").alias("penalty"))
 
 
+@query(
+    f"""WITH {_LIB}, few AS (SELECT t.* FROM tgt t LEFT JOIN (SELECT doc_id, count(*) AS n FROM one WHERE lib_doc_id % 2 = 0 GROUP BY doc_id) c ON t.doc_id = c.doc_id WHERE coalesce(n, 0) < 12)
+SELECT doc_id, lib_doc_id, 0 AS penalty FROM one WHERE lib_doc_id % 2 = 0 UNION ALL SELECT f.doc_id, l.doc_id, 1 FROM few f JOIN {_PAIRS} p ON f.contract_family = p.family JOIN lib l ON l.contract_family = p.related
+AND (l.jurisdiction IS NULL OR f.jurisdiction IS NULL OR l.jurisdiction = f.jurisdiction) WHERE l.approval_state = 'approved' AND l.status = 'active' AND l.doc_id % 2 = 0"""
+)
+def retrieve_external(spark, sf):
+    """What may not be shown outside leaves the library first, so that related families do not bring it back."""
+    lib = _library(spark, sf)
+    targets = lib.where("status = 'archived'").drop("approval_state", "status")
+    safe = retrieve.external_only(lib.withColumn("external_safe", F.col("doc_id") % 2 == 0), True, "external_safe").drop("external_safe")
+    one = retrieve.stage_one(targets, safe, optional=("jurisdiction",))
+    return retrieve.widen(one, targets, safe, retrieve.affinity_pairs(spark, GROUPS), "doc_id", below=12, optional=("jurisdiction",)).select("doc_id", "lib_doc_id", F.col("penalty").cast("int").alias("penalty"))
+
+
 @query(f"WITH {_LIB} SELECT doc_id, lib_doc_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN clause_type = lib_clause_type THEN 0 ELSE 1 END, abs(n_chars - lib_n_chars), lib_doc_id) AS n FROM one) WHERE n = 1")
 def retrieve_rank_top1(spark, sf):
     order = [F.when(F.col("clause_type") == F.col("lib_clause_type"), 0).otherwise(1), F.abs(F.col("n_chars") - F.col("lib_n_chars")), F.col("lib_doc_id")]
@@ -607,8 +760,11 @@ def intake_stream(spark, sf):
 
 
 def _own_folder(spark) -> str:
+    """A folder of this machine, which only a session whose executors are threads of this process may use."""
     import tempfile
 
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     base = tempfile.mkdtemp(prefix="docmill-")
     spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -646,27 +802,32 @@ def topk_customers(spark, sf):
 
 @query("SELECT e.event_id, max(p.ts) AS last_purchase FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts GROUP BY e.event_id")
 def asof_orders(spark, sf):
-    last = F.last(F.when(F.col("event_type") == "purchase", F.col("ts")), ignorenulls=True).over(Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf, "events").select("event_id", last.alias("last_purchase"))
+    bought = F.when(F.col("event_type") == "purchase", F.col("ts"))
+    return joins.last_before(table(spark, sf, "events"), ["user_id"], "ts", bought, "last_purchase").select("event_id", "last_purchase")
+
+
+@query("SELECT e.event_id, max(p.ts) AS at FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'click' AND p.ts <= e.ts WHERE e.event_type = 'purchase' GROUP BY e.event_id")
+def asof_join(spark, sf):
+    rows = table(spark, sf, "events")
+    clicks = rows.where("event_type = 'click'").select("user_id", "ts", F.col("ts").alias("at"))
+    return joins.as_of(rows.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), clicks, ["user_id"], "ts", ["at"]).select("event_id", "at")
 
 
 @query("SELECT p.p_partkey, count(*) AS n FROM part p JOIN lineitem l ON l.l_partkey = p.p_partkey AND l.l_quantity BETWEEN p.p_size AND p.p_size + 10 GROUP BY p.p_partkey")
 def range_join(spark, sf):
-    on = (F.col("l_partkey") == F.col("p_partkey")) & F.col("l_quantity").between(F.col("p_size"), F.col("p_size") + 10)
-    return table(spark, sf, "part").join(table(spark, sf, "lineitem"), on).groupBy("p_partkey").agg(F.count("*").alias("n"))
+    found = joins.in_range(table(spark, sf, "part"), table(spark, sf, "lineitem"), ("p_partkey", "l_partkey"), "l_quantity", F.col("p_size"), F.col("p_size") + 10)
+    return found.groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, s AS session, count(*) AS n FROM (SELECT user_id, CAST(sum(CASE WHEN g IS NULL OR g > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS s FROM (SELECT *, date_diff('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS g FROM events)) GROUP BY ALL")
 def session_events(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.timestamp_diff("SECOND", F.date_trunc("second", F.lag("ts").over(w)), F.date_trunc("second", "ts"))
-    rows = table(spark, sf, "events").withColumn("gap", gap)
-    return rows.withColumn("session", F.sum(F.when(F.col("gap").isNull() | (F.col("gap") > 3600), 1).otherwise(0)).over(w)).groupBy("user_id", "session").agg(F.count("*").alias("n"))
+    rows = joins.sessions(table(spark, sf, "events"), "user_id", "ts", ["ts", "event_id"], 3600)
+    return rows.groupBy("user_id", "session").agg(F.count("*").alias("n"))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL")
 def tumbling_events(spark, sf):
-    return table(spark, sf, "events").groupBy(F.window("ts", "1 hour").start.alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    return joins.tumbling(table(spark, sf, "events"), "ts", "1 hour", ["event_type"], "value").select(F.col("start").alias("hour"), "event_type", "n", F.round("value", 2).alias("value"))
 
 
 @query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier UNION ALL (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
@@ -684,8 +845,3 @@ def distinct_users(spark, sf):
 def semi_anti(spark, sf):
     without = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
     return without.union(table(spark, sf, "supplier").join(table(spark, sf, "lineitem").where("l_quantity = 50"), F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select("s_suppkey"))
-
-
-@query("SELECT doc_id, CASE WHEN contains(text, 'token') OR contains(substr(text, 1, 200), 'key') THEN 'access' WHEN contains(text, '@') THEN 'contact' ELSE 'none' END AS kind FROM documents")
-def first_rule(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.when(F.col("text").contains("token") | F.substring("text", 1, 200).contains("key"), "access").otherwise(first_match([F.col("text")], [("contact", ["@"])], "none")).alias("kind"))

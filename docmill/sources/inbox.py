@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import extension, stem, strip_html
@@ -13,16 +15,23 @@ SUPPORTED = ("docx", "md", "html", "htm", "txt")
 
 
 def listing(spark: SparkSession, folder: str, only_docx: bool = False) -> DataFrame:
-    """``path, file_name, ext, length, content`` of the files, by path; names that begin with a dot are left out,
-    and so are empty files, which Spark's readers do not list.
+    """``path, file_name, ext, length, content`` of the files; names that begin with a dot are left out, and so are
+    empty files, which Spark's readers do not list.
 
-    Content is read only by plans that use it: a listing or a hash of names prunes the column.
+    Content is read only by plans that use it: a listing or a hash of names prunes the column.  Rows come in no order,
+    so that no content is shuffled; ``in_order`` numbers the listing alone.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if only_docx:
         reader = reader.option("pathGlobFilter", "*.[dD][oO][cC][xX]")
     files = reader.load(folder).withColumn("file_name", F.element_at(F.split("path", "/"), -1))
-    return files.where(~F.col("file_name").startswith(".")).select("path", "file_name", extension(F.col("file_name")).alias("ext"), "length", "content").orderBy("path")
+    return files.where(~F.col("file_name").startswith(".")).select("path", "file_name", extension(F.col("file_name")).alias("ext"), "length", "content")
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """The listing by path, without content: ``path, file_name, ext, length, ordinal, of``."""
+    rows = files.select("path", "file_name", "ext", "length")
+    return rows.withColumn("ordinal", F.row_number().over(Window.orderBy("path"))).withColumn("of", F.count("*").over(Window.partitionBy(F.lit(1))))
 
 
 def supported(files: DataFrame, formats: tuple[str, ...] = SUPPORTED) -> DataFrame:
@@ -30,13 +39,23 @@ def supported(files: DataFrame, formats: tuple[str, ...] = SUPPORTED) -> DataFra
     return files.withColumn("skip_reason", F.when(F.col("length") <= 0, "empty").when(~F.col("ext").isin(*formats), "unsupported"))
 
 
-def normalised(files: DataFrame) -> DataFrame:
-    """``path, file_name, ext, length, md, plain, error`` of supported files; text formats never leave the JVM."""
-    ok = supported(files).where("skip_reason is null").drop("skip_reason")
+def normalised(files: DataFrame, readers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """``path, file_name, ext, length, md, plain, error`` of supported files; text formats never leave the JVM.
+
+    ``readers`` adds formats that need a library, such as ``pdf``: each takes rows with ``content`` and gives rows with
+    ``md, plain, error`` in its place.
+    """
+    readers = readers or {}
+    ok = supported(files, (*SUPPORTED, *readers)).where("skip_reason is null").drop("skip_reason")
+    more = [read(ok.where(F.col("ext") == name)) for name, read in readers.items()]
+    ok = ok.where(~F.col("ext").isin(*readers)) if readers else ok
     text = F.decode("content", "UTF-8")
     plain = F.when(F.col("ext").isin("html", "htm"), strip_html(text)).otherwise(text)
     others = ok.where("ext <> 'docx'").withColumns({"md": plain, "plain": plain, "error": F.lit(None).cast("string")}).drop("content")
-    return others.unionByName(docx.extract(ok.where("ext = 'docx'")))
+    out = others.unionByName(docx.extract(ok.where("ext = 'docx'")))
+    for rows in more:
+        out = out.unionByName(rows.select(*out.columns))
+    return out
 
 
 def sidecars(spark: SparkSession, folder: str, schema: str) -> DataFrame:

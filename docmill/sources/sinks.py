@@ -6,9 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def packages(rows: DataFrame, path: str, by: tuple[str, ...] = ("run_ts", "doc_id"), mode: str = "append") -> None:
-    """Run packages, partitioned by run and document."""
-    rows.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)
+#: Folders that the documents of one run are dealt to.
+BUCKETS = 64
+
+
+def bucket(key: str, n: int = BUCKETS) -> F.Column:
+    """The folder of a document: a hash of its key, so that a run has ``n`` folders and not one for each document."""
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def packages(rows: DataFrame, path: str, run: str = "run_ts", key: str = "doc_id", mode: str = "append") -> None:
+    """Run packages by run and bucket of documents; a reader of one document names its bucket and reads one folder."""
+    out = rows.withColumn("bucket", bucket(key))
+    out.repartition(run, "bucket").sortWithinPartitions(key).write.mode(mode).partitionBy(run, "bucket").parquet(path)
 
 
 def publish(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -20,29 +30,54 @@ def envelope(rows: DataFrame, updated_at: str, version: int = 1) -> DataFrame:
     return rows.withColumns({"version": F.lit(version), "updated_at": F.lit(updated_at)})
 
 
-def index(rows: DataFrame, path: str, updated_at: str, merge_key: str | None = None) -> None:
-    """An index with its version and time: overwritten, or with ``merge_key`` old rows kept beside new ones."""
-    out = envelope(rows, updated_at)
-    if merge_key:
-        spark = rows.sparkSession
-        try:
-            old = spark.read.parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            out = out.unionByName(old.join(rows.select(merge_key).distinct(), merge_key, "left_anti"), allowMissingColumns=True)
-            out.write.mode("overwrite").parquet(f"{path}.next")
-            out = spark.read.parquet(f"{path}.next")
-    out.write.mode("overwrite").parquet(path)
+def _file_system(spark, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def versions(spark, path: str) -> list[int]:
+    """The whole versions of an index, oldest first: folders ``v=N`` whose writers have come to their end."""
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return []
+    done = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(where) if s.getPath().getName().startswith("v=") and done(s.getPath()))
+
+
+def read_index(spark, path: str) -> DataFrame:
+    """The newest whole version."""
+    every = versions(spark, path)
+    if not every:
+        raise FileNotFoundError(f"no version of an index in {path}")
+    return spark.read.parquet(f"{path}/v={every[-1]}")
+
+
+def index(rows: DataFrame, path: str, updated_at: str, merge_key: str | None = None, keep: int = 3) -> int:
+    """A new version of an index with its time; with ``merge_key`` old rows are kept beside new ones.  Gives its number.
+
+    A version is a folder of its own, and counts once its writer's mark is there, so whoever reads meanwhile, or after
+    a failure, has the one before it.  The last ``keep`` versions stay.
+    """
+    spark, every = rows.sparkSession, versions(rows.sparkSession, path)
+    version = every[-1] + 1 if every else 1
+    out = envelope(rows, updated_at, version)
+    if merge_key and every:
+        old = read_index(spark, path).join(rows.select(merge_key).distinct(), merge_key, "left_anti")
+        out = out.unionByName(old, allowMissingColumns=True)
+    out.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/v={version}")
+    for old_version in every[: max(0, len(every) + 1 - keep)]:
+        fs, where = _file_system(spark, f"{path}/v={old_version}")
+        fs.delete(where, True)
+    return version
 
 
-def json_export(rows: DataFrame, path: str, by: str = "doc_id") -> None:
-    """One JSON record a line, by document."""
-    rows.repartition(by).write.mode("overwrite").partitionBy(by).option("ignoreNullFields", "false").json(path)
+def json_export(rows: DataFrame, path: str, by: str = "doc_id", n: int = BUCKETS) -> None:
+    """One JSON record a line, in buckets of documents."""
+    rows.withColumn("bucket", bucket(by, n)).repartition("bucket").sortWithinPartitions(by).write.mode("overwrite").partitionBy("bucket").option("ignoreNullFields", "false").json(path)
 
 
 def text_export(rows: DataFrame, path: str, column: str = "md", by: str = "doc_id") -> None:
+    """A text file a document: for people, not for a corpus; ``json_export`` and ``packages`` hold many in a file."""
     rows.select(by, F.col(column).alias("value")).repartition(by).write.mode("overwrite").partitionBy(by).option("lineSep", "\n").text(path)
 
 

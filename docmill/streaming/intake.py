@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -45,3 +45,34 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, each: Callable[[Data
 def windowed(stream: DataFrame, at: str, keys: list[str], width: str, late: str) -> DataFrame:
     """Counts and sums in tumbling windows of event time (a platform extension)."""
     return stream.withWatermark(at, late).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+
+
+def refresh_index(stream: DataFrame, path: str, checkpoint: str, merge_key: str, updated_at: str) -> StreamingQuery:
+    """Keep an index up to date with a stream of its rows: each micro-batch makes one new version of it."""
+    from docmill.sources import sinks
+
+    def write(batch: DataFrame, _epoch: int) -> None:
+        sinks.index(batch.dropDuplicates([merge_key]), path, updated_at, merge_key)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def audit_listener(spark: SparkSession, keep: Callable[[dict], None]) -> StreamingQueryListener:
+    """A listener that hands a record of every start, step and end of a stream to ``keep`` (see ``sinks.audit``)."""
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            keep({"event": "start", "query": str(event.id), "at": event.timestamp, "rows": None})
+
+        def onQueryProgress(self, event):
+            keep({"event": "step", "query": str(event.progress.id), "at": event.progress.timestamp, "rows": event.progress.numInputRows})
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            keep({"event": "end", "query": str(event.id), "at": None, "rows": None})
+
+    out = Listener()
+    spark.streams.addListener(out)
+    return out
