@@ -235,11 +235,15 @@ def test_docx_and_inbox(spark, tmp_path):
     for name, content in (("A.DOCX", data), ("b.docx", b"broken"), ("c.html", b"<p>x</p>"), ("d.txt", "글".encode()), ("e.pdf", b"%PDF"), ("f.md", b""), (".gitkeep", b"")):
         (tmp_path / "in" / name).write_bytes(content)
     files = inbox.listing(spark, f"{tmp_path}/in")
-    assert [r.file_name for r in files.collect()] == ["A.DOCX", "b.docx", "c.html", "d.txt", "e.pdf"]
+    assert [(r.file_name, r.ordinal, r.of) for r in inbox.in_order(files).collect()] == [(n, i + 1, 5) for i, n in enumerate(["A.DOCX", "b.docx", "c.html", "d.txt", "e.pdf"])]
+    assert "Exchange" not in files._jdf.queryExecution().executedPlan().toString()
     assert {r.file_name: r.skip_reason for r in inbox.supported(files).collect() if r.skip_reason} == {"e.pdf": "unsupported"}
     got = {r.file_name: r for r in inbox.normalised(files).collect()}
     assert got["A.DOCX"].md == md and got["b.docx"].error and got["c.html"].plain == "x" and got["d.txt"].plain == "글"
-    assert [r.file_name for r in inbox.listing(spark, f"{tmp_path}/in", only_docx=True).collect()] == ["A.DOCX", "b.docx"]
+    assert sorted(r.file_name for r in inbox.listing(spark, f"{tmp_path}/in", only_docx=True).collect()) == ["A.DOCX", "b.docx"]
+    pdf = lambda rows: rows.withColumns({"md": F.lit("read"), "plain": F.lit("read"), "error": F.lit(None).cast("string")}).drop("content")
+    more = {r.file_name: r.md for r in inbox.normalised(files, {"pdf": pdf}).collect()}
+    assert more["e.pdf"] == "read" and len(more) == 5
 
 
 def test_policies_and_sinks(spark, tmp_path):
@@ -253,7 +257,16 @@ def test_policies_and_sinks(spark, tmp_path):
     path = f"{tmp_path}/index"
     sinks.index(rows, path, "t1", merge_key="doc_id")
     sinks.index(rows.where("doc_id = 'b'").withColumn("v", F.lit(9)), path, "t2", merge_key="doc_id")
-    assert {(r.doc_id, r.v, r.updated_at) for r in spark.read.parquet(path).collect()} == {("a", 1, "t1"), ("b", 9, "t2")}
+    assert {(r.doc_id, r.v, r.updated_at) for r in sinks.read_index(spark, path).collect()} == {("a", 1, "t1"), ("b", 9, "t2")}
+    # a version whose writer did not come to its end does not count
+    rows.write.parquet(f"{path}/v=3")
+    os.remove(f"{path}/v=3/_SUCCESS")
+    assert sinks.versions(spark, path) == [1, 2] and sinks.read_index(spark, path).count() == 2
+    assert [sinks.index(rows, path, "t3", "doc_id") for _ in range(3)] == [3, 4, 5] and sinks.versions(spark, path) == [3, 4, 5]
+    sinks.packages(rows.withColumn("run_ts", F.lit("r1")), f"{tmp_path}/packages")
+    assert spark.read.parquet(f"{tmp_path}/packages").where(F.col("bucket") == sinks.bucket("doc_id")).count() == 2
+    sinks.json_export(rows, f"{tmp_path}/json")
+    assert {r.doc_id for r in spark.read.json(f"{tmp_path}/json").collect()} == {"a", "b"}
     sinks.text_export(spark.createDataFrame([("a", "x\ny")], "doc_id string, md string"), f"{tmp_path}/text")
     sinks.batch_summary(rows, f"{tmp_path}/summary", "t")
     assert spark.read.json(f"{tmp_path}/summary").count() == 2
@@ -279,11 +292,181 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/each").count() == 30
 
 
-@pytest.mark.skipif(not GOLDEN, reason="no known packages here")
-def test_known_packages(spark):
+def review_bank(spark, *rows):
+    """Bank rows: doc_id, family, status, external_safe, supersedes, refreshed."""
+    bank = spark.createDataFrame([(d, f"k{d}", "notices", f, "the notice shall be sent by mail", "preferred", "template", s, e, p, r) for d, f, s, e, p, r in rows], "doc_id string, clause_id string, clause_type string, contract_family string, text string, authority_level string, doc_class string, status string, external_safe boolean, supersedes string, last_legal_refresh_date string")
+    return bank.withColumns({"approval_state": F.when(F.col("status") == "quarantined", "quarantined").otherwise("approved"), "jurisdiction": F.lit(None).cast("string"), "governing_law": F.lit(None).cast("string"), "last_legal_refresh_date": F.col("last_legal_refresh_date").cast("date")})
+
+
+TARGET = ("clause_id string, clause_type string, contract_family string, text string, jurisdiction string, governing_law string", [("c1", "notices", "sha", "the notice shall be sent by mail", None, None)])
+
+
+@pytest.mark.parametrize(
+    ("row", "external", "found"),
+    [
+        (("r", "ssa", "active", False, None, None), True, None),
+        (("r", "ssa", "active", None, None, None), True, None),
+        (("r", "ssa", "active", True, None, None), True, "r"),
+        (("r", "ssa", "active", False, None, None), False, "r"),
+        (("r", "ssa", "archived", True, None, None), False, None),
+        (("r", "ssa", "superseded", True, None, None), False, None),
+        (("r", "ssa", "quarantined", True, None, None), False, None),
+    ],
+)
+def test_filters_hold_for_related_families(spark, row, external, found):
+    """Too few candidates in the family: what related families add has to pass the same filters."""
+    bank = review_bank(spark, row)
+    target = spark.createDataFrame(TARGET[1], TARGET[0])
+    assert [r.lib_doc_id for r in Review.run(target, bank, bank, external=external).collect()] == [found]
+
+
+def test_successors_hold_for_related_families(spark):
+    """Where a policy lets superseded rows through the first filter, the second drops those with an active successor."""
+    rules = policy.Policies()
+    rules.retrieval.required = {"approval_state": "approved"}
+    target = spark.createDataFrame(TARGET[1], TARGET[0])
+    for state, found in (("active", "new"), ("deprecated", "old")):
+        bank = review_bank(spark, ("old", "ssa", "superseded", True, None, None), ("new", "nda", state, True, "old", None))
+        got = Review.run(target, bank, bank.withColumn("doc_id", F.col("doc_id")), policies=rules).collect()
+        assert [r.lib_doc_id for r in got] == [None if found == "new" else "old"]
+
+
+def test_stale_rows_are_ranked_down(spark):
+    bank = review_bank(spark, ("a", "sha", "active", True, None, "2020-01-01"), ("b", "sha", "active", True, None, "2024-01-01"))
+    target = spark.createDataFrame(TARGET[1], TARGET[0])
+    run = lambda **how: Review.run(target, bank, bank, **how).first().lib_doc_id
+    day = F.lit("2024-06-01").cast("date")
+    assert run() == "a" and run(as_of=day) == "b"
+    for handling, want in (("warn_only", "a"), ("exclude", "b")):
+        rules = policy.Policies()
+        rules.retrieval.stale_handling = handling
+        assert run(as_of=day, policies=rules) == want
+
+
+def test_similar_text_wins_between_equal_ranks(spark):
+    bank = review_bank(spark, ("a", "sha", "active", True, None, None), ("b", "sha", "active", True, None, None)).withColumn("text", F.when(F.col("doc_id") == "a", "nothing alike").otherwise(F.col("text")))
+    assert Review.run(spark.createDataFrame(TARGET[1], TARGET[0]), bank, bank).first().lib_doc_id == "b"
+
+
+POLICIES = {
+    "review-mode": "default_mode: loose\nmodes:\n  loose:\n    redline_scope: [low]\n    acceptable_playbook_tiers: [fallback]\n    comment_generation: [low]\n    risk_tolerance: high\n    recommended_for: [sha]\nmode_triggers:\n  loose: [whatever]\noutput_language:\n  default: en\n",
+    "retrieval-priority": "priority_order:\n  1: fallback_template\n  2: preferred_template\nfilter_rules:\n  stage_1:\n    - {filter: contract_family, match: exact, required: true}\n    - {filter: language, match: exact_or_null, required: false}\n    - {filter: status, match: exact, value: active, required: true}\n  stage_1_5: {trigger_threshold: 7, filter: clause_type}\n  stage_2:\n    exclude:\n      - status: archived\n    external_context: {field: may_leave}\n  stage_3_affinity:\n    affinity_groups: [[sha, nda]]\n    penalty: 4\nfreshness_rules: {stale_threshold_days: 10, stale_handling: exclude, freshness_field: seen}\n",
+    "approval-rules": "auto_approval: {enabled: false}\nper_asset_type:\n  template: {auto_approvable: false, requires_human_fields: [text], default_authority_level: fallback, default_external_safe: true}\napproval_decisions: {valid_values: [approve]}\nstaging_retention: {max_days: 3, reminder_enabled: false}\n",
+    "metadata-schema": "manifest_schema:\n  required_fields:\n    - {field: doc_id, type: string, pattern: '^x'}\n    - {field: owner, type: string}\n  optional_fields:\n    - {field: paper_role, type: enum, values: [house, null]}\ncomment_bank_schema:\n  required_fields:\n    - {field: audience, type: enum, values: [external]}\n",
+}
+
+
+def test_policy_files_change_results(spark, tmp_path):
+    assert policy.Policies.load(str(tmp_path)) == policy.Policies(folder=str(tmp_path))
+    for name, body in POLICIES.items():
+        (tmp_path / f"{name}.yaml").write_text(body, encoding="utf-8")
+    own = policy.Policies.load(str(tmp_path))
+    assert (own.review.default, own.review.output_language, list(own.review.modes), own.review.words) == ("loose", "en", ["loose"], [("loose", ["whatever"])])
+    r = own.retrieval
+    assert (r.optional, r.required, r.narrow_above, r.excluded, r.superseded, r.external_field) == (("language",), {"status": "active"}, 7, {"status": ["archived"]}, False, "may_leave")
+    assert (r.affinity, r.penalty, r.priority, r.stale_days, r.stale_handling, r.refreshed) == ([["sha", "nda"]], 4, [("fallback_template", 1), ("preferred_template", 2)], 10, "exclude", "seen")
+    assert (own.approval.auto, own.approval.decisions, own.approval.staging_days, own.approval.reminder) == (False, ["approve"], 3, False)
+    assert own.approval.frame(spark).first().default_external_safe
+    said = spark.createDataFrame([("Whatever you like",), ("strict",)], "x string")
+    assert [x[0] for x in said.select(review.mode_of_text(F.col("x"), own.mode_words)).collect()] == ["loose", None]
+    rows = spark.createDataFrame([("x1", "me", "house"), ("y", "", "none")], "doc_id string, owner string, paper_role string")
+    assert [x.schema_fails for x in own.schema.fails(rows).collect()] == [[], ["Missing required field: owner", "Invalid paper_role: none", "Invalid doc_id format"]]
+    # a family that only the file relates, a field that only the file names, and the file's ranks
+    bank = review_bank(spark, ("a", "nda", "active", True, None, None), ("b", "nda", "active", True, None, None), ("c", "ssa", "active", True, None, None))
+    bank = bank.withColumns({"may_leave": F.col("doc_id") != "c", "authority_level": F.when(F.col("doc_id") == "b", "fallback").otherwise("preferred")})
+    target = spark.createDataFrame(TARGET[1], TARGET[0])
+    assert Review.run(target, bank, bank).first().lib_doc_id == "c"
+    got = Review.run(target, bank, bank, external=True, policies=own).first()
+    assert (got.lib_doc_id, got.mode, got.penalty) == ("b", "loose", 4)
+    files = spark.createDataFrame([("/a/[초기] 주주간계약서(분리형).docx", "[초기] 주주간계약서(분리형).docx", "0" * 64, DOC)], "path string, file_name string, sha256 string, md string")
+    none = spark.createDataFrame([], "sha256 string")
+    assert Library.ingest(files, none, "t").manifests.first().approval_state == "approved"
+    own.schema = policy.Schema()
+    assert Library.ingest(files, none, "t", policies=own).manifests.first().approval_state == "staging"
+    side = spark.createDataFrame([("early-sha-separated", "A Title")], "doc_id string, title string")
+    assert Library.ingest(files, none, "t", sidecar=side).manifests.first().title == "A Title"
+
+
+def test_statistics_stay_in_the_row(spark):
+    docs = spark.createDataFrame([("d", DOC, 1), ("e", None, 2), ("e", "", 2)], "doc_id string, text string, n int")
+    out = library.document_stats(docs)
+    assert out.columns == ["doc_id", "text", "n", "stats"]
+    assert sorted(tuple(r.stats) for r in out.collect()) == [(0, 0, 0.0, 0, 0, 0)] * 2 + [(5, 0, 0.0, 3, 5, 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_chunks_and_reports(spark):
+    body = "\n".join(f"line {i}" for i in range(30))
+    got = structure.chunks(one(spark, body), 50).orderBy("chunk_no").collect()
+    assert "\n".join(r.body for r in got) == body and [r.chunk_no for r in got] == list(range(1, len(got) + 1)) and all(a.end_line + 1 == b.start_line for a, b in zip(got, got[1:]))
+    rows = spark.createDataFrame([("d", f"c{i}", r, True, False) for i, r in enumerate(fixed.RISKS * 2)], "doc_id string, clause_id string, risk_level string, redline boolean, comment boolean")
+    data = json.loads(Review.report(rows, k=3).first().report)
+    assert data["clauses"] == 10 and data["n_critical"] == 2 and data["redlines"] == 10 and data["comments"] == 0 and [x["clause_id"] for x in data["key_issues"]] == ["c0", "c5", "c1"]
+    assert review.merge_chunks(rows.limit(4), rows).count() == 10
+
+
+def test_answers_to_proposals(spark):
+    schema = "k string, text string"
+    both = rounds.diff(spark.createDataFrame([("a", "old one"), ("b", "old two"), ("c", "old three"), ("d", "same")], schema), spark.createDataFrame([("a", "our words here"), ("b", "old two"), ("c", "our words but theirs"), ("d", "same")], schema), ["k"])
+    both = both.withColumn("ours", F.when(F.col("k") != "d", "our words here"))
+    assert {r.bucket: r.n for r in rounds.delta_report(both, proposed="ours").collect()} == {"accepted": 1, "rejected": 2, "open": 1}
+    near = both.withColumn("ours", F.when(F.col("k") == "c", "our words but mine"))
+    assert {r.bucket: r.n for r in rounds.delta_report(near, proposed="ours").where("bucket in ('partial', 'changed')").collect()} == {"partial": 1, "changed": 1}
+    assert both.where("k = 'a'").select(rounds.edit_distance(F.lit("abc"), F.lit("abd"))).first()[0] == 1
+
+
+def test_templates_waiting_headings_and_near_files(spark):
+    docs = spark.createDataFrame([("t1", "sha", "x", "acceptable"), ("t2", "sha", "y", "fallback"), ("t3", "sha", "x", "preferred")], "doc_id string, contract_family string, subtype string, authority_level string").withColumns({"doc_class": F.lit("template"), "approval_state": F.lit("approved"), "status": F.lit("active")})
+    asked = spark.createDataFrame([("r1", "sha", "y"), ("r2", "sha", "x"), ("r3", "nda", "x")], "request_id string, contract_family string, subtype string")
+    assert {r.request_id: r.template_id for r in Review.template(asked, docs).collect()} == {"r1": "t2", "r2": "t3", "r3": None}
+    rows = spark.createDataFrame([("a", "staging", "2024-01-01"), ("b", "pending", "2024-03-01"), ("c", "approved", "2024-01-01")], "doc_id string, approval_state string, at string").withColumn("at", F.col("at").cast("date"))
+    assert {r.doc_id: (r.waited, r.reminder) for r in lifecycle.waiting(rows, "at", F.lit("2024-03-02").cast("date")).collect()} == {"a": (61, True), "b": (1, False)}
+    page = spark.createDataFrame([("<h1>a</h1><h2>b</h2>", "# a")], "html string, md string")
+    got = library.extraction_loss(page, "html", "md", headings=("<h[1-6]>", "(?m)^#{1,6} ")).first()
+    assert (got.headings_before, got.headings_after, got.headings_lost) == (2, 1, True)
+    words = [f"w{i}" for i in range(20)]
+    texts = spark.createDataFrame([("a", "f", " ".join(words)), ("b", "f", " ".join(words[:19])), ("c", "f", " ".join(words[:10])), ("d", "g", " ".join(words)), ("e", "f", None)], "doc_id string, contract_family string, text string")
+    assert sorted((r.doc_id, r.other_id, round(r.similarity, 2)) for r in library.near_duplicates(texts, texts).collect()) == [("a", "b", 0.95), ("b", "a", 0.95)]
+
+
+def test_index_from_a_stream_and_audit(spark, tmp_path):
+    said = []
+    listener = intake.audit_listener(spark, said.append)
+    src, schema = f"{tmp_path}/src", "doc_id string, v int"
+    for rows in ([("a", 1), ("b", 1)], [("b", 2), ("c", 2)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        intake.refresh_index(intake.rows(spark, src, schema), f"{tmp_path}/index", f"{tmp_path}/state", "doc_id", "now").awaitTermination()
+    assert {r.doc_id: r.v for r in sinks.read_index(spark, f"{tmp_path}/index").collect()} == {"a": 1, "b": 2, "c": 2}
+    spark._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    spark.streams.removeListener(listener)
+    assert {"start", "end"} <= {x["event"] for x in said}
+
+
+def own_packages(folder):
+    """One small package of our own, its results worked out by hand."""
+    run = folder / "20240101T000000_early-sha-separated"
+    for part in ("normalized", "clauses", "structure"):
+        (run / part).mkdir(parents=True)
+    (run / "normalized" / "clean.md").write_text(DOC, encoding="utf-8")
+    rows = [("제1장 총칙", 2, 2, "recitals", 7), ("(정의)", 3, 6, "definitions", 111), ("(통지)", 7, 8, "notices", 10), ("별지 1. 목록", 9, 9, "exhibits_schedules", 8), ("(주주총회)", 10, 12, "board_composition", 12)]
+    lines = DOC.split("\n")
+    for i, (header, a, b, kind, _) in enumerate(rows, 1):
+        size = len("\n".join(lines[a - 1 : b]).strip())
+        record = {"clause_id": f"clause-{i:03d}", "header": header, "start_line": a, "end_line": b, "clause_type": kind, "char_count": size}
+        (run / "clauses" / f"clause-{i:03d}.json").write_text(json.dumps(record), encoding="utf-8")
+    (run / "structure" / "exhibits.json").write_text(json.dumps([{"line": 9, "label": "별지 1"}]), encoding="utf-8")
+    manifest = {"doc_id": "early-sha-separated", "title": "[초기] 주주간계약서 (분리형)", "contract_family": "sha", "subtype": "investor_sha", "approval_state": "approved", "source_file": "[초기] 주주간계약서(분리형).docx", "sha256": "0" * 64, "stats": {"total_clauses": 5, "unmapped_clauses": 0, "unmapped_ratio": 0.0, "defined_terms": 3, "sections": 5, "exhibits": 1}}
+    (run / "manifest.yaml").write_text(json.dumps(manifest), encoding="utf-8")
+    return folder
+
+
+def test_known_packages(spark, tmp_path):
+    """Packages of DOCMILL_GOLDEN, or one of our own."""
     yaml = pytest.importorskip("yaml")
+    folder = Path(GOLDEN) if GOLDEN else own_packages(tmp_path)
     docs, clauses, manifests, exhibits = [], {}, {}, {}
-    for run in sorted(Path(GOLDEN).iterdir()):
+    for run in sorted(folder.iterdir()):
         name = run.name.split("_", 1)[1]
         docs.append((name, (run / "normalized" / "clean.md").read_text(encoding="utf-8")))
         manifests[name] = yaml.safe_load((run / "manifest.yaml").read_text(encoding="utf-8"))
