@@ -1,13 +1,17 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and their beginnings of ``PREFIXES`` letters, so that inflected or compounded
-words of one stem meet.  The example set is a bounded sample of labelled rows; the vocabulary is the terms that
-tell the labels apart in it, weighed by how often they occur over all documents that may be learnt from.  Examples
-are sorted by how many toxic terms they hold and cut into blocks; the index keeps, for each term, the largest weight in
-each block.  A text's products with those give an upper bound of its cosine in every block; blocks are opened in
-the order of their bounds until no bound is above the k-th best cosine, so the neighbours are exact.
-
-Votes are weighed by cosine; the share of toxic votes is then calibrated on the examples themselves, each scored
+Terms are the lower-cased words of a text, and the beginnings of ``PREFIXES`` letters that tell the labels apart, so
+that inflected or compounded words of one stem meet.  All words of the examples are in the index.  A term's weight is
+its logarithmic frequency in the text, times its inverse document frequency over all documents that may be learnt
+from, times how significantly the labels of the examples differ with it: between ``FLOOR`` for a word that says
+nothing and 1.
+
+The examples are a bounded sample of labelled rows, sorted by how much of their weight is in telling terms and cut into
+blocks.  A term's postings lie block by block, with its largest weight in each block.  From those a text gets an upper
+bound of its cosine with any example of a block; the blocks of the highest bounds are opened first, then all whose
+bound is not below the k-th best cosine, so the neighbours are exact.
+
+Votes are weighed by the cosine's square; the share of toxic votes is then calibrated on the examples themselves, each scored
 with its own vote left out.  The score also has evidence: the neighbours' ids.
 """
 
@@ -15,22 +19,26 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, texts
+from .common import arrow, map_texts, pieces, table, texts
 
-#: Bounds of what is fitted: examples of each label, and terms.  They hold at every size of the corpus.
-EXAMPLES, TERMS = 1000, 4096
-#: Neighbours that vote, examples in a block, letters of a beginning.
-NEIGHBOURS, BLOCK, PREFIXES = 15, 64, (4, 5, 6, 7)
-#: A term counts if its share among toxic examples beats the others' with this log-likelihood ratio at least: by
-#: chance one in e**18 terms would.
-TELLING = 18.0
+#: Bound of what is fitted: examples of each label.  It holds at every size of the corpus.
+EXAMPLES = 1000
+#: Neighbours that vote, examples in a block, blocks that are opened first, letters of a beginning.
+NEIGHBOURS, BLOCK, FIRST, PREFIXES = 31, 64, 2, (4, 5, 6, 7)
+#: Half of a term's significance: by chance one in e**12 terms has that log-likelihood ratio.  The least weight.
+TELLING, FLOOR = 12.0, 0.05
+#: A beginning is a term from this ratio on.
+STEM = 9.0
 #: From this score on a text is predicted toxic.
 CUT = 0.3
 #: Weight of a vote for the corpus at large in each text's ballot.
@@ -49,109 +57,184 @@ def terms(token: str) -> list[str]:
     return out
 
 
-def term_set(text: str) -> dict[str, int]:
+def term_counts(text: str) -> Counter:
     """Each term of a whole text with how often it occurs."""
-    out: dict[str, int] = {}
-    for t in terms(text):
-        out[t] = out.get(t, 0) + 1
-    return out
+    return Counter(t for token in text.split() for t in terms(token))
+
+
+def ratio(others: int, toxic: int, share: float) -> float:
+    """Log-likelihood ratio of a term that is in so many examples, over what ``share`` leads to expect; 0 below it."""
+    n, q = others + toxic, toxic / max(1, others + toxic)
+    if not 0 < share < 1 or q <= share:
+        return 0.0
+    return n * (q * math.log(q / share) + ((1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else 0.0))
+
+
+def significance(r: float) -> float:
+    """A term's weight by its log-likelihood ratio: near ``FLOOR`` for what chance gives, towards 1 beyond it."""
+    return FLOOR + (1 - FLOOR) * r**2 / (r**2 + TELLING**2)
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each run, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)
+
+
+class Columns(dict):
+    """The columns of a token's terms, for tokens met lately."""
+
+    def __init__(self, column: dict[str, int]):
+        super().__init__()
+        self.column = column
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        own = self[token] = tuple(c for t in terms(token) if (c := self.column.get(t)) is not None)
+        return own
+
+    def of(self, tokens) -> np.ndarray:
+        """The columns of all tokens, as often as they occur."""
+        if len(self) > TABLE_WORDS:
+            self.clear()
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, tokens)), np.int64)
 
 
 @dataclass
 class Index:
-    """Examples as unit vectors over the vocabulary, and the block maxima."""
+    """Examples as unit vectors over the terms, as postings by term and block, with block maxima."""
 
-    idf: dict[str, float]
+    #: Weight of each term, IDF and significance together.
+    weights: dict[str, float]
     ids: list
     toxic: np.ndarray
-    vectors: np.ndarray
+    #: Postings: where those of each term and block begin, their examples and weights.
+    begin: np.ndarray
+    example: np.ndarray
+    value: np.ndarray
+    #: The largest weight of each term in each block.
+    tops: np.ndarray
     knots: np.ndarray = field(default_factory=lambda: np.empty((0, 2)))
-    known: dict = field(default_factory=dict, repr=False)
+
+    @classmethod
+    def build(cls, weights: dict[str, float], ids: list, toxic: np.ndarray, counts: list[dict[str, int]]) -> Index:
+        """From each example's terms.  The order of examples is kept: it decides ties and blocks."""
+        column, w = {t: i for i, t in enumerate(weights)}, np.fromiter(weights.values(), np.float64, len(weights))
+        blocks = max(1, -(-len(ids) // BLOCK))
+        at, doc, value = [], [], []
+        for i, own in enumerate(counts):
+            found = [(column[t], n) for t, n in own.items() if t in column]
+            if found:
+                c = np.array([x for x, _ in found])
+                v = (1 + np.log([n for _, n in found])) * w[c]
+                at.append(c)
+                doc.append(np.full(len(c), i))
+                value.append(v / math.sqrt(float(v @ v)))
+        at, doc, value = (np.concatenate(x) if x else np.empty(0, k) for x, k in ((at, np.int64), (doc, np.int64), (value, np.float64)))
+        cell = at * blocks + doc // BLOCK
+        order = np.lexsort((doc, cell))
+        begin = np.r_[0, np.cumsum(np.bincount(cell, minlength=len(weights) * blocks))].astype(np.int64)
+        tops = np.zeros(len(weights) * blocks)
+        np.maximum.at(tops, cell, value)
+        return cls(weights, list(ids), np.asarray(toxic, np.float64), begin, doc[order].astype(np.int32), value[order], tops.reshape(len(weights), blocks))
 
     @cached_property
     def column(self) -> dict[str, int]:
-        return {t: i for i, t in enumerate(self.idf)}
+        return {t: i for i, t in enumerate(self.weights)}
 
     @cached_property
     def weight(self) -> np.ndarray:
-        return np.fromiter(self.idf.values(), np.float64, len(self.idf))
+        return np.fromiter(self.weights.values(), np.float64, len(self.weights))
 
     @cached_property
-    def blocks(self) -> list[slice]:
-        return [slice(i, i + BLOCK) for i in range(0, len(self.ids), BLOCK)]
-
-    @cached_property
-    def tops(self) -> np.ndarray:
-        """The largest weight of each term in each block."""
-        return np.stack([self.vectors[b].max(0) for b in self.blocks], 1) if self.blocks else np.empty((len(self.idf), 0))
+    def known(self) -> Columns:
+        return Columns(self.column)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k in ("idf", "ids", "toxic", "vectors", "knots")} | {"known": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("column", "weight", "known")}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Columns and unit weights of a whole text; empty where it holds no term of the vocabulary."""
-        known, found, get = self.known, [], self.column.get
-        if len(known) > TABLE_WORDS:
-            known.clear()
-        for token in text.split():
-            own = known.get(token)
-            if own is None:
-                own = known[token] = tuple(c for t in terms(token) if (c := get(t)) is not None)
-            if own:
-                found += own
-        if not found:
-            return np.empty(0, np.int64), np.empty(0)
-        at, n = np.unique(found, return_counts=True)
+        """Columns and unit weights of a whole text; empty where it holds no term of the index."""
+        at, n = np.unique(self.known.of(text.split()), return_counts=True)
         w = (1 + np.log(n)) * self.weight[at]
-        return at, w / math.sqrt(float(w @ w))
+        return at, w / math.sqrt(float(w @ w) or 1.0)
+
+    def cosines(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of ``blocks`` that share a term with the text, and their cosines."""
+        n = self.tops.shape[1]
+        if 2 * len(blocks) <= n:
+            cell = (at[:, None] * n + blocks[None, :]).ravel()
+            begin, end, own = self.begin[cell], self.begin[cell + 1], np.repeat(w, len(blocks))
+        else:
+            # a term's blocks lie one after the other: all are read, and those that are shut are left out
+            begin, end, own = self.begin[at * n], self.begin[at * n + n], w
+        place = _spread(begin, end - begin)
+        sums = np.bincount(self.example[place], weights=self.value[place] * np.repeat(own, end - begin), minlength=len(self.ids))
+        if 2 * len(blocks) > n:
+            is_open = np.zeros(n, bool)
+            is_open[blocks] = True
+            sums *= np.repeat(is_open, BLOCK)[: len(sums)]
+        found = np.flatnonzero(sums > 0)
+        return found, sums[found]
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of the largest cosine (over 0), ties to the earlier: their places and cosines."""
         if not len(at) or not len(self.ids):
             return np.empty(0, np.int64), np.empty(0)
         bounds = w @ self.tops[at]
-        places, cosines, kth = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            # a hair of slack, for sums come in another order than those of the bound
-            if bounds[b] <= 0 or bounds[b] < kth - 1e-9:
-                break
-            part = self.blocks[b]
-            cos = self.vectors[part][:, at] @ w
-            more = np.arange(part.start, part.start + len(cos))
-            ok = (cos > 0) & (more != leave)
-            places, cosines = np.r_[places, more[ok]], np.r_[cosines, cos[ok]]
-            order = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[order], cosines[order]
-            if len(places) == k:
-                kth = cosines[-1]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        places, cosines = self.best(*self.cosines(at, w, order[:FIRST]), k, leave)
+        # a hair of slack, for sums come in another order than those of the bound
+        rest = order[FIRST:]
+        rest = rest[bounds[rest] >= (cosines[-1] - 1e-9 if len(places) == k else 0)]
+        if len(rest):
+            more, cos = self.best(*self.cosines(at, w, rest), k, leave)
+            places, cosines = self.best(np.r_[places, more], np.r_[cosines, cos], k, -1)
         return places, cosines
 
+    @staticmethod
+    def best(places: np.ndarray, cosines: np.ndarray, k: int, leave: int) -> tuple[np.ndarray, np.ndarray]:
+        if leave >= 0:
+            places, cosines = places[places != leave], cosines[places != leave]
+        if len(places) > 4 * k:
+            near = cosines >= np.partition(cosines, len(cosines) - k)[len(cosines) - k]
+            places, cosines = places[near], cosines[near]
+        order = np.lexsort((places, -cosines))[:k]
+        return places[order], cosines[order]
+
     def share(self, places: np.ndarray, cosines: np.ndarray) -> float:
-        """Share of toxic votes, one vote being its cosine; a text near nothing has only the corpus's vote."""
-        base = float(self.toxic.mean()) if len(self.toxic) else 0.0
-        return (float(cosines @ self.toxic[places]) + PRIOR * base * 0.1) / (float(cosines.sum()) + PRIOR)
+        """Share of toxic votes, one vote being its cosine squared; a text near nothing has only the corpus's vote."""
+        base, votes = float(self.toxic.mean()) if len(self.toxic) else 0.0, cosines * cosines
+        return (float(votes @ self.toxic[places]) + PRIOR * base * 0.1) / (float(votes.sum()) + PRIOR)
 
-    def calibrate(self, stands_for: tuple[float, float] = (1.0, 1.0)) -> None:
+    def calibrate(self, counts: list[dict[str, int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> None:
         """Monotone steps from share to frequency among the examples, each left out of its own vote.
 
         ``stands_for``: how many labelled rows an example without and with the label stands for.
         """
-        raw = np.array([self.share(*self.nearest(np.flatnonzero(v), v[np.flatnonzero(v)], leave=i)) for i, v in enumerate(self.vectors)])
+        raw = []
+        for i, own in enumerate(counts):
+            at = np.array(sorted(self.column[t] for t in own if t in self.column), np.int64)
+            n = {self.column[t]: k for t, k in own.items() if t in self.column}
+            w = (1 + np.log([n[c] for c in at.tolist()])) * self.weight[at] if len(at) else np.empty(0)
+            raw.append(self.share(*self.nearest(at, w / max(1e-300, math.sqrt(float(w @ w))), leave=i)))
         # equal shares are one step; steps that fall are pooled
         steps: dict[float, list[float]] = {}
         for x, y in zip(np.round(raw, 9).tolist(), self.toxic.tolist(), strict=True):
             n, own = stands_for[int(y)], steps.setdefault(x, [0.0, 0.0])
             own[0] += y * n
             own[1] += n
-        pools: list[list[float]] = []  # share, toxic weight, weight
+        pools: list[list[float]] = []  # least and largest share, toxic weight, weight
         for x in sorted(steps):
-            pools.append([x, *steps[x]])
-            while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-                _, y, n = pools.pop()
-                pools[-1][1] += y
-                pools[-1][2] += n
-        # half an example of each kind keeps scores off 0 and 1
-        self.knots = np.array([[x, (y + 0.5 * min(stands_for)) / (n + min(stands_for))] for x, y, n in pools]).reshape(-1, 2)
+            pools.append([x, x, *steps[x]])
+            while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
+                _, last, y, n = pools.pop()
+                pools[-1][1] = last
+                pools[-1][2] += y
+                pools[-1][3] += n
+        # half an example of each kind keeps scores off 0 and 1; a step is level, and only between steps lies a slope
+        value = lambda y, n: (y + 0.5 * min(stands_for)) / (n + min(stands_for))
+        self.knots = np.array([[x, value(y, n)] for first, last, y, n in pools for x in (first, last)]).reshape(-1, 2)
 
     def score(self, places: np.ndarray, cosines: np.ndarray) -> float:
         raw = self.share(places, cosines)
@@ -164,70 +247,68 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def term_ratios(counts: list[Counter], bodies: list[str], toxic: list[float]) -> dict[str, float]:
+    """The log-likelihood ratio of each term of the examples; copies of one text are one witness."""
+    witnesses = {text: (c, t) for text, c, t in zip(bodies, counts, toxic, strict=True)}
+    share = sum(t for _, t in witnesses.values()) / max(1, len(witnesses))
+    seen: dict[str, list[int]] = {}
+    for c, t in witnesses.values():
+        for term in c:
+            seen.setdefault(term, [0, 0])[int(t)] += 1
+    return {t: ratio(a, b, share) for t, (a, b) in seen.items()}
+
+
+def model(rows: list[tuple], ratios: dict[str, float], idf: dict[str, float], stands_for: tuple[float, float]) -> Index:
+    """The index of ``rows``: id, label and terms of each example."""
+    weights = {t: idf[t] * significance(ratios[t]) for t in idf}
+    telling = [sum(n > 0 and ratios[t] >= STEM for t, n in c.items() if t in weights) / max(1, len(c)) for _, _, c in rows]
+    order = sorted(range(len(rows)), key=lambda i: (-telling[i], i))
+    ids, toxic, counts = zip(*(rows[i] for i in order), strict=True) if rows else ((), (), ())
+    index = Index.build(weights, list(ids), np.array(toxic, np.float64), list(counts))
+    index.calibrate(list(counts), stands_for)
+    return index
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     """The index of up to ``examples`` rows of each label that may be learnt from, chosen by a hash of their id.
 
-    Document frequencies of the vocabulary are counted over all documents that may be learnt from.
+    Document frequencies of the terms are counted over all documents that may be learnt from.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     pick = F.xxhash64("_id")
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = known.where("toxic = 1").orderBy(pick, "_id").limit(examples).union(known.where("toxic = 0").orderBy(pick, "_id").limit(examples))
-    ids = [(r["_id"], r["toxic"]) for r in chosen.collect()]  # 2 * examples rows at most
-    toxic = dict(ids)
+    toxic = {r["_id"]: r["toxic"] for r in chosen.collect()}  # 2 * examples rows at most
     rows = texts(docs).where(F.col("doc_id").isin(list(toxic))).groupBy("doc_id").agg(F.min("text").alias("text")).collect() if toxic else []
     rows.sort(key=lambda r: r["doc_id"])
-    counts = [term_set(r["text"]) for r in rows]
-    y = np.array([toxic[r["doc_id"]] for r in rows], np.float64)
-    # copies of one text are one witness
-    witnesses = {r["text"]: (c, t) for r, c, t in zip(rows, counts, y, strict=True)}
-    share = sum(t for _, t in witnesses.values()) / max(1, len(witnesses))
-    seen: dict[str, list[int]] = {}
-    for c, t in witnesses.values():
-        for term in c:
-            seen.setdefault(term, [0, 0])[int(t)] += 1
-    telling = {t: x for t, (a, b) in seen.items() if (x := ratio(a, b, share)) >= TELLING}
-    vocabulary = sorted(telling, key=lambda t: (-telling[t], t))[:TERMS]
-    idf = frequencies(docs, sorted(vocabulary))
-    index = Index(idf, [], np.empty(0), np.empty((0, len(idf))))
-    vectors = np.zeros((len(rows), len(idf)), np.float32).astype(np.float64)
-    for i, r in enumerate(rows):
-        at, w = index.vector(r["text"])
-        vectors[i, at] = w
-    order = np.lexsort((np.arange(len(rows)), -(vectors > 0).sum(1)))
-    index = Index(idf, [rows[i]["doc_id"] for i in order], y[order], vectors[order])
-    index.calibrate((total.get(0, 0) / max(1, int((1 - y).sum())), total.get(1, 0) / max(1, int(y.sum()))))
-    return index
-
-
-def ratio(others: int, toxic: int, share: float) -> float:
-    """Log-likelihood ratio of a term that is in so many examples, over what ``share`` leads to expect; 0 below it."""
-    n, q = others + toxic, toxic / max(1, others + toxic)
-    if not 0 < share < 1 or q <= share:
-        return 0.0
-    return n * (q * math.log(q / share) + ((1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else 0.0))
+    counts = [term_counts(r["text"]) for r in rows]
+    y = [float(toxic[r["doc_id"]]) for r in rows]
+    ratios = term_ratios(counts, [r["text"] for r in rows], y)
+    idf = frequencies(docs, sorted(t for t, r in ratios.items() if not t.endswith("*") or r >= STEM))
+    stands_for = tuple(total.get(k, 0) / max(1, sum(x == k for x in y)) for k in (0, 1))
+    return model([(r["doc_id"], t, c) for r, t, c in zip(rows, y, counts, strict=True)], ratios, idf, stands_for)
 
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """Inverse document frequencies of a bounded vocabulary over all documents that may be learnt from."""
-
-    def work(piece, vocabulary):
-        column, known = {t: i for i, t in enumerate(vocabulary)}, {}
-        n = np.zeros(len(vocabulary) + 1, np.int64)
-        for text in piece.column("text").to_pylist():
-            n[-1] += 1
-            found = set()
-            for token in set(text.split()):
-                own = known.get(token)
-                if own is None:
-                    own = known[token] = tuple(c for t in terms(token) if (c := column.get(t)) is not None)
-                found.update(own)
-            n[list(found)] += 1
+    """Inverse document frequencies of the examples' terms over all documents that may be learnt from.
+
+    A task counts all its documents before it hands the counts on, so at most as many rows as terms leave it.
+    """
+    schema = "term long, n long"
+    kind, shared = arrow(schema), docs.sparkSession.sparkContext.broadcast(vocabulary)  # terms of EXAMPLES texts
+
+    def run(batches):
+        known = Columns({t: i for i, t in enumerate(shared.value)})
+        n = np.zeros(len(known.column) + 1, np.int64)
+        for piece in pieces(batches):
+            for text in piece.column("text").to_pylist():
+                n[-1] += 1
+                n[np.unique(known.of(set(text.split())))] += 1
         some = np.flatnonzero(n)
-        return {"term": some, "n": n[some]}
+        yield pa.RecordBatch.from_pydict({"term": some, "n": n[some]}, schema=kind)
 
-    counted = map_texts(texts(docs).where(~held_out(F.col("doc_id"))), work, "term long, n long", vocabulary)
-    n = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each term
+    counted = texts(docs).where(~held_out(F.col("doc_id"))).mapInArrow(run, schema)
+    n = dict(zip(*(c.to_pylist() for c in counted.groupBy("term").agg(F.sum("n").alias("n")).toArrow().columns), strict=True))  # a row for each term
     total = n.get(len(vocabulary), 0)
     return {t: math.log((1 + total) / (1 + n.get(i, 0))) + 1 for i, t in enumerate(vocabulary)}
 
@@ -235,11 +316,12 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
 def scored(docs: DataFrame, index: Index, cut: float = CUT) -> DataFrame:
     """``doc_id, held_out, score, predicted, neighbours`` (ids of the labelled examples that voted).
 
-    A null text counts as empty; a text without any term of the vocabulary gets the score of no votes.  Repeated
-    rows stay repeated; an empty table gives an empty result; without labelled rows every score is 0.
+    A null text counts as empty; a text that shares no term with any example gets the score of no votes; texts of any
+    length are read whole.  Repeated rows stay repeated; an empty table gives an empty result; without labelled rows
+    every score is 0.  Other columns are ignored.
     """
 
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES texts
 
     def work(piece):
         own = shared.value
@@ -248,12 +330,13 @@ def scored(docs: DataFrame, index: Index, cut: float = CUT) -> DataFrame:
         return {"doc_id": piece.column("doc_id"), "score": score, "predicted": [int(x >= cut) for x in score], "neighbours": [[own.ids[i] for i in p] for p, _ in near]}
 
     kind = dict(docs.dtypes)["doc_id"]
-    out = map_texts(texts(docs), work, f"doc_id {kind}, score double, predicted int, neighbours array<long>")
+    out = map_texts(texts(docs), work, f"doc_id {kind}, score double, predicted int, neighbours array<{kind}>")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "neighbours")
 
 
 def clean(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The documents that are not rejected, with all their columns, in one pass over them."""
+    """The documents that are not rejected, with all their columns, in one pass over them; nulls, empty tables and
+    repeated rows are taken as in ``scored``, so a row whose text is null or empty stays unless empty texts are toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     @F.pandas_udf("boolean")

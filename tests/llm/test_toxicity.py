@@ -1,7 +1,10 @@
+import math
 import pickle
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from docmill.llm import toxicity as x
 
@@ -22,21 +25,101 @@ def corpus(n=400, seed=3):
     return rows, labels
 
 
-def test_neighbours_are_exact():
+def plain(weights, counts):
+    """Unit vectors by their definition, as rows of a matrix."""
+    names = list(weights)
+    v = np.array([[(1 + math.log(c[t])) * weights[t] if c.get(t) else 0.0 for t in names] for c in counts])
+    return v / np.maximum(1e-300, np.linalg.norm(v, axis=1))[:, None]
+
+
+def some_index(n=500, words=40):
     r = np.random.default_rng(1)
-    idf = {f"t{i}": 1.0 + i % 5 for i in range(40)}
-    v = r.random((500, 40)) * (r.random((500, 40)) < 0.15)
-    v[:3] = v[5]  # ties
-    v /= np.maximum(1e-12, np.linalg.norm(v, axis=1))[:, None]
-    v[7] = 0
-    index = x.Index(idf, list(range(500)), (r.random(500) < 0.3).astype(float), v)
-    for q in (*v[:20], v[5] * 0):
-        at = np.flatnonzero(q)
-        got, cos = index.nearest(at, q[at])
-        all_cos = v @ q
-        want = [i for i in np.lexsort((np.arange(500), -np.round(all_cos, 12))) if all_cos[i] > 0][:15]
-        assert np.allclose(cos, all_cos[want])
-        assert set(got[cos > cos[-1] + 1e-9] if len(cos) else []) <= set(want)
+    weights = {f"{a}{b}": 1.0 + i % 5 for i, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "vwxyz")}
+    counts = [{t: int(k) for t, k in zip(weights, r.integers(1, 4, len(weights)) * (r.random(len(weights)) < 0.15)) if k} for _ in range(n)]
+    counts[1] = counts[2] = counts[5]  # ties
+    counts[7] = {}
+    return x.Index.build(weights, [10 * i for i in range(n)], r.random(n) < 0.3, counts), weights, counts
+
+
+def test_neighbours_are_exact():
+    index, weights, counts = some_index()
+    v = plain(weights, counts)
+    texts = [" ".join(t for t, k in c.items() for _ in range(k)) for c in (*counts[:20], {}, {"zz": 3})] + ["av " * 30 + "unknown words", " ".join(weights)]
+    for text in texts:
+        own = Counter(t for t in text.split() if t in weights)
+        all_cos = v @ plain(weights, [own])[0]
+        got, cos = index.nearest(*index.vector(text))
+        want = [i for i in np.lexsort((np.arange(500), -np.round(all_cos, 12))) if all_cos[i] > 1e-15][: x.NEIGHBOURS]
+        assert np.allclose(cos, all_cos[want]) and set(got[cos > cos[-1] + 1e-9] if len(cos) else []) <= set(want)
+    for leave in (3, 5):
+        got, _ = index.nearest(*index.vector(" ".join(counts[5])), leave=leave)
+        assert leave not in got
+
+
+def test_bounds_hold_and_shut_blocks():
+    index, weights, counts = some_index(3000)
+    v = plain(weights, counts)
+    for c in counts[:30]:
+        at, w = index.vector(" ".join(c))
+        if len(at):
+            bounds, cos = w @ index.tops[at], v[:, at] @ w
+            assert all(cos[b * x.BLOCK : (b + 1) * x.BLOCK].max() <= bounds[b] + 1e-9 for b in range(len(bounds)))
+
+
+def test_votes_and_calibration():
+    """Share, steps and score by their definition."""
+    index, weights, counts = some_index()
+    index.calibrate(counts, (3.0, 1.0))
+    v, y = plain(weights, counts), index.toxic
+    raw = []
+    for i in range(len(y)):
+        cos = np.where(np.arange(len(y)) == i, 0, v @ v[i])
+        near = [j for j in np.lexsort((np.arange(len(y)), -np.round(cos, 12))) if cos[j] > 1e-15][: x.NEIGHBOURS]
+        raw.append(((cos[near] ** 2 * y[near]).sum() + x.PRIOR * y.mean() * 0.1) / ((cos[near] ** 2).sum() + x.PRIOR))
+        if i % 50 == 0:
+            at, w = index.vector(" ".join(t for t, k in counts[i].items() for _ in range(k)))
+            assert index.share(*index.nearest(at, w, leave=i)) == pytest.approx(raw[-1], abs=1e-6)
+    # the best monotone fit by weighted least squares, as the largest mean from the left of the least to the right
+    raw = np.round(raw, 9)
+    xs = sorted(set(raw))
+    weight = np.where(y == 1, 1.0, 3.0)
+    n, t = (np.array([q[raw == z].sum() for z in xs]) for q in (weight, weight * y))
+    fit = [max(min(t[a : b + 1].sum() / n[a : b + 1].sum() for b in range(k, len(xs))) for a in range(k + 1)) for k in range(len(xs))]
+    means = {}
+    for z, f, own_n, own_t in zip(xs, fit, n, t, strict=True):
+        held = means.setdefault(round(f, 9), [0, 0, []])
+        held[0] += own_t
+        held[1] += own_n
+        held[2].append(z)
+    for own_t, own_n, held in means.values():
+        for z in (held[0], held[-1]):
+            assert np.interp(z, index.knots[:, 0], index.knots[:, 1]) == pytest.approx((own_t + 0.5) / (own_n + 1), abs=1e-3)
+
+
+def test_an_example_finds_itself_without_telling_terms():
+    counts = [x.term_counts(t) for t in ("plain words of no kind", "other words stand here", "and more of the same")]
+    idf = {t: 1.0 for c in counts for t in c if not t.endswith("*")}
+    index = x.model([(i, float(i == 0), c) for i, c in enumerate(counts)], {t: 0.0 for t in idf}, idf, (1.0, 1.0))
+    places, cosines = index.nearest(*index.vector("Plain words, of no kind."))
+    assert index.ids[places[0]] == 0 and cosines[0] == pytest.approx(1)
+
+
+def test_every_language_is_caught(spark):
+    """A language with few examples, whose words the others do not have."""
+    rows, labels = corpus()
+    r = random.Random(8)
+    for i in range(1000, 1120):
+        w = ["".join(r.choice("xyzwv") for _ in range(3)) for _ in range(60)]
+        if i % 4 == 0:
+            w[5:5] = ["vxxyzzy", "wyzzle"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = x.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = [r for r in x.scored(docs, index).collect() if r.held_out]
+    for part, toxic in ((lambda d: d < 1000, lambda d: d % 5 == 0), (lambda d: d >= 1000, lambda d: d % 4 == 0)):
+        mine = [r for r in got if part(r.doc_id)]
+        assert np.mean([r.predicted for r in mine if toxic(r.doc_id)]) > 0.9 and np.mean([r.predicted for r in mine if not toxic(r.doc_id)]) < 0.05
 
 
 def test_held_out_rows(spark):
