@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -45,7 +46,7 @@ CUT = 0.3
 PRIOR = 0.05
 WORD = re.compile(r"[^\W\d_]+")
 #: Tokens in a worker's table before it is emptied.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 200_000
 
 
 def terms(token: str) -> list[str]:
@@ -82,21 +83,29 @@ def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Columns(dict):
-    """The columns of a token's terms, for tokens met lately."""
+    """The columns of a token's terms, for tokens met lately: little-endian 32-bit integers in one string of bytes."""
 
     def __init__(self, column: dict[str, int]):
         super().__init__()
         self.column = column
-
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        own = self[token] = tuple(c for t in terms(token) if (c := self.column.get(t)) is not None)
+        self.heads = {t[: PREFIXES[0]] for t in column if t.endswith("*")}
+
+    def __missing__(self, token: str) -> bytes:
+        get, out = self.column.get, array("i")
+        body = token.rstrip(".,;:!?").lower()
+        for w in (body,) if body.isalpha() else WORD.findall(token.lower()):
+            if (c := get(w)) is not None:
+                out.append(c)
+            if w[: PREFIXES[0]] in self.heads:
+                out.extend(c for n in PREFIXES if n <= len(w) and (c := get(w[:n] + "*")) is not None)
+        own = self[token] = out.tobytes()
         return own
 
     def of(self, tokens) -> np.ndarray:
         """The columns of all tokens, as often as they occur."""
         if len(self) > TABLE_WORDS:
             self.clear()
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, tokens)), np.int64)
+        return np.frombuffer(b"".join(map(self.__getitem__, tokens)), np.int32)
 
 
 @dataclass
@@ -132,8 +141,8 @@ class Index:
         at, doc, value = (np.concatenate(x) if x else np.empty(0, k) for x, k in ((at, np.int64), (doc, np.int64), (value, np.float64)))
         cell = at * blocks + doc // BLOCK
         order = np.lexsort((doc, cell))
-        begin = np.r_[0, np.cumsum(np.bincount(cell, minlength=len(weights) * blocks))].astype(np.int64)
-        tops = np.zeros(len(weights) * blocks)
+        begin = np.r_[0, np.cumsum(np.bincount(cell, minlength=len(weights) * blocks))].astype(np.int32)
+        tops = np.zeros(len(weights) * blocks, np.float32)
         np.maximum.at(tops, cell, value)
         return cls(weights, list(ids), np.asarray(toxic, np.float64), begin, doc[order].astype(np.int32), value[order], tops.reshape(len(weights), blocks))
 
@@ -155,6 +164,7 @@ class Index:
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Columns and unit weights of a whole text; empty where it holds no term of the index."""
         at, n = np.unique(self.known.of(text.split()), return_counts=True)
+        at = at.astype(np.int64)
         w = (1 + np.log(n)) * self.weight[at]
         return at, w / math.sqrt(float(w @ w) or 1.0)
 
@@ -184,9 +194,9 @@ class Index:
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         places, cosines = self.best(*self.cosines(at, w, order[:FIRST]), k, leave)
-        # a hair of slack, for sums come in another order than those of the bound
+        # a hair of slack, for the largest weights are kept with 24 bits and sums come in another order
         rest = order[FIRST:]
-        rest = rest[bounds[rest] >= (cosines[-1] - 1e-9 if len(places) == k else 0)]
+        rest = rest[bounds[rest] >= (cosines[-1] - 1e-5 if len(places) == k else 0)]
         if len(rest):
             more, cos = self.best(*self.cosines(at, w, rest), k, leave)
             places, cosines = self.best(np.r_[places, more], np.r_[cosines, cos], k, -1)
