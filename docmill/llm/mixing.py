@@ -6,25 +6,31 @@ the target marginals.  A document is drawn with a probability in proportion to w
 calibrated so that the expected tokens are ``share`` of the corpus, no probability is above one, and what cells
 that are full cannot give is spread over the others.
 
-Everything is DataFrame operations on the main path.  Only the table of cells is iterated on, and it grows with
-the number of sources, not with documents; each round is a window over one marginal.
+Texts are read once: each document's cell and tokens are written, and the cells, the join and the draw come from
+those.  Everything is DataFrame operations on the main path.  Only the table of cells is iterated on, and it grows
+with the number of sources, not with documents.  Few cells are one task's windows, without a shuffle; many are dealt
+out by the marginal.  Raking goes on until no marginal misses its target, or no further rounds help.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
 
-#: Rounds of raking, and of spreading what full cells cannot give.
-RAKES, SPREADS = 12, 4
+#: Rounds of raking before marginals are looked at again; how far from their targets they may be.
+RAKES, TOLERANCE = 24, 1e-6
+#: Rounds of spreading in the SQL; here they go on until no further cell is full.
+SPREADS = 8
 #: Expected tokens of the sample over those of the corpus.
 SHARE = 0.5
 SEED = 17
 #: How strongly targets even the marginals out: 1 keeps the corpus's shares, 0 makes all equal.
 TEMPERATURE = 0.5
-#: The most cells that are sent to every task; with more, the join shuffles.
+#: The most cells that are sent to every task, or raked in one; with more, joins and windows shuffle.
 CELLS_SENT = 20_000
 DIMS = ("source", "lang", "topic")
 
@@ -46,55 +52,92 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.size(F.split(F.trim(text), "[ \\t\\n\\x0B\\f\\r]+"))).cast("long")
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the document's cell and tokens; null source or language is a value of its own."""
+def described(docs: DataFrame, topics: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``doc_id`` and the document's cell and tokens; null source or language is a value of its own.
+
+    ``topics``: an expression of the text that names its topic, in place of the rule.
+    """
     text = F.coalesce(docs["text"], F.lit(""))
-    return docs.select(F.col("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic(text).alias("topic"), tokens(text).alias("n_tokens"))
+    return docs.select(F.col("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), (topics or topic)(text).alias("topic"), tokens(text).alias("n_tokens"))
+
+
+def total(rows: DataFrame, value) -> float:
+    """A sum over all cells, as a number: partial sums of tasks, not a window in one of them."""
+    return float(rows.agg(F.sum(value).alias("s")).first()["s"] or 0.0)
 
 
 def tempered(cells: DataFrame, dim: str, temperature: float = TEMPERATURE) -> DataFrame:
     """Default targets ``value, target``: the corpus's shares to the power of ``temperature``, summing to 1."""
     own = cells.groupBy(F.col(dim).alias("value")).agg(F.pow(F.sum("n_tokens").cast("double"), F.lit(temperature)).alias("p"))
-    return own.select("value", (F.col("p") / F.sum("p").over(Window.partitionBy())).alias("target"))
+    return own.select("value", (F.col("p") / F.lit(total(own, "p"))).alias("target"))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rakes: int = RAKES) -> DataFrame:
-    """``cells`` with ``weight``: shares of the mix, after ``rakes`` rounds over the three marginals.
+def residual(cells: DataFrame) -> float:
+    """The most by which a marginal of ``cells`` (with ``weight`` and goals) misses its target."""
+    parts = [cells.groupBy(d).agg(F.abs(F.sum("weight") - F.max(f"goal_{d}")).alias("r")).select("r") for d in DIMS]
+    return float(parts[0].union(parts[1]).union(parts[2]).agg(F.max("r").alias("r")).first()["r"] or 0.0)
 
-    ``targets``: for each dimension a frame ``value, target``; the corpus's tempered shares where it has none.
-    Values without a target get nothing; targets of values that the corpus lacks are spread over the others.
+
+def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rakes: int = RAKES, tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` with ``weight``: shares of the mix, raked over the three marginals in lots of ``rakes`` rounds.
+
+    It ends when every marginal is within ``tolerance`` of its target, or when a lot does not halve what is missing,
+    as where targets contradict each other; ``marginals`` tells what was reached.  ``targets``: for each dimension a
+    frame ``value, target``; the corpus's tempered shares where it has none.  Values without a target get nothing;
+    targets of values that the corpus lacks are spread over the others.
     """
-    goals = {d: (targets or {}).get(d) for d in DIMS}
-    out = cells
+    few, out = cells.count() <= CELLS_SENT, cells
     for d in DIMS:
-        goal = (goals[d] if goals[d] is not None else tempered(cells, d)).select(F.col("value").alias(d), F.col("target").alias(f"goal_{d}"))
-        out = out.join(goal, d, "left").withColumn(f"goal_{d}", F.coalesce(f"goal_{d}", F.lit(0.0)))
-    total = F.sum("n_tokens").over(Window.partitionBy())
-    out = saved(out.withColumn("weight", F.col("n_tokens") / total), "cells")
-    for done in range(rakes):
-        for d in DIMS:
-            there = F.sum("weight").over(Window.partitionBy(d))
-            out = out.withColumn("weight", F.when(there > 0, F.col("weight") * F.col(f"goal_{d}") / there).otherwise(0.0))
-        if done % 4 == 3 or done == rakes - 1:
-            out = saved(out, "cells")
-    return out.select(*DIMS, "n_docs", "n_tokens", (F.col("weight") / F.sum("weight").over(Window.partitionBy())).alias("weight"))
-
-
-def probabilities(cells: DataFrame, share: float = SHARE, spreads: int = SPREADS) -> DataFrame:
-    """``cells`` with ``probability``: weight over tokens, calibrated to ``share`` of all tokens and at most 1."""
-    every = Window.partitionBy()
-    out = cells.withColumn("wanted", F.lit(share) * F.sum("n_tokens").over(every)).withColumn("ratio", F.col("weight") / F.col("n_tokens"))
-    out = out.withColumn("scale", F.col("wanted") / F.sum("weight").over(every))
-    for _ in range(spreads):
-        full = F.col("ratio") * F.col("scale") >= 1
-        given = F.sum(F.when(full, F.col("n_tokens")).otherwise(0)).over(every)
-        left = F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(every)
-        out = out.withColumn("scale", F.when(left > 0, F.greatest(F.lit(0.0), F.col("wanted") - given) / left).otherwise(F.col("scale")))
-    return out.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * F.greatest("scale", F.lit(0.0)))).select(*DIMS, "n_docs", "n_tokens", "weight", "probability")
-
-
-def cell_table(docs: DataFrame) -> DataFrame:
-    return saved(described(docs).groupBy(*DIMS).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), "cell-sums")
+        goal = (targets or {}).get(d)
+        if goal is None:
+            goal, there = tempered(cells, d), 1.0
+        else:
+            goal = goal.groupBy("value").agg(F.sum("target").alias("target"))
+            there = total(goal.join(cells.select(F.col(d).alias("value")).distinct(), "value", "left_semi"), "target") or 1.0
+        out = out.join(goal.select(F.col("value").alias(d), (F.col("target") / F.lit(there)).alias(f"goal_{d}")), d, "left").withColumn(f"goal_{d}", F.coalesce(f"goal_{d}", F.lit(0.0)))
+    out, missed = saved(out.withColumn("weight", F.col("n_tokens") / F.lit(total(cells, "n_tokens") or 1.0)), "cells"), float("inf")
+    while True:
+        for done in range(rakes):
+            # one task has all of few cells, so that no window needs a shuffle
+            out = out.coalesce(1) if few and done % 4 == 0 else out
+            for d in DIMS:
+                sums = F.sum("weight").over(Window.partitionBy(d))
+                out = out.withColumn("weight", F.when(sums > 0, F.col("weight") * F.col(f"goal_{d}") / sums).otherwise(0.0))
+            if done % 4 == 3 or done == rakes - 1:
+                out = saved(out, "cells")
+        before, missed = missed, residual(out)
+        if missed <= tolerance or missed > before / 2:
+            break
+    return out.withColumn("weight", F.col("weight") / F.lit(total(out, "weight") or 1.0))
+
+
+def marginals(cells: DataFrame) -> DataFrame:
+    """``dim, value, target, reached`` of raked cells: what each marginal has, beside what it was to have."""
+    parts = [cells.groupBy(F.col(d).alias("value")).agg(F.max(f"goal_{d}").alias("target"), F.sum("weight").alias("reached")).select(F.lit(d).alias("dim"), "value", "target", "reached") for d in DIMS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def probabilities(cells: DataFrame, share: float = SHARE) -> DataFrame:
+    """``cells`` with ``probability``: weight over tokens, calibrated to ``share`` of all tokens and at most 1.
+
+    What full cells cannot give is spread over the others, until no more of them are full.
+    """
+    out = cells.withColumn("ratio", F.col("weight") / F.col("n_tokens"))
+    wanted, everything = share * total(out, "n_tokens"), total(out, "weight")
+    scale, seen = wanted / everything if everything else 0.0, -1
+    while True:
+        full = F.col("ratio") * F.lit(scale) >= 1
+        r = out.agg(F.coalesce(F.sum(F.when(full, F.col("n_tokens")).otherwise(0)), F.lit(0)).alias("given"), F.coalesce(F.sum(F.when(full, 0.0).otherwise(F.col("weight"))), F.lit(0.0)).alias("left"), F.count_if(full).alias("full")).first()
+        if r["full"] == seen or r["left"] <= 0:
+            break
+        seen, scale = r["full"], max(0.0, wanted - r["given"]) / r["left"]
+    return out.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * F.lit(max(scale, 0.0)))).select(*DIMS, "n_docs", "n_tokens", "weight", "probability")
+
+
+def cell_table(rows: DataFrame) -> DataFrame:
+    """Documents and tokens of each cell, of described documents or of documents."""
+    rows = rows if "n_tokens" in rows.columns and "topic" in rows.columns and "text" not in rows.columns else described(rows)
+    return saved(rows.groupBy(*DIMS).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), "cell-sums")
 
 
 def draw(doc_id: Column, seed: int = SEED) -> Column:
@@ -103,24 +146,27 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: int = SEED, topics: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per document: its cell, tokens, the cell's ``weight``, its ``probability``, and ``sampled``.
 
-    Null and empty texts have one token; null source and language are the value ''.  Rows that repeat a doc_id
-    are drawn together; a null doc_id is drawn as one value.  An empty table gives an empty result.
+    Null and empty texts have one token; null source and language are the value ''; texts of any length are read
+    whole.  Rows that repeat a doc_id are drawn together; a null doc_id is drawn as one value.  An empty table gives
+    an empty result; other columns are ignored.
     """
-    cells = saved(probabilities(raked(cell_table(docs), targets), share), "cell-probabilities")
+    rows = saved(described(docs, topics), "described")
+    cells = saved(probabilities(raked(cell_table(rows), targets), share), "cell-probabilities")
     own = cells.select(*DIMS, "weight", "probability")
-    rows = described(docs).join(F.broadcast(own) if cells.count() <= CELLS_SENT else own, list(DIMS))
+    rows = rows.join(F.broadcast(own) if cells.count() <= CELLS_SENT else own, list(DIMS))
     return rows.select("doc_id", *DIMS, "n_tokens", "weight", "probability", (draw(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
 
 
-def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """The documents drawn, with all their columns, in one more pass over ``docs`` (no shuffle of texts)."""
-    cells = saved(probabilities(raked(cell_table(docs), targets), share), "cell-probabilities")
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: int = SEED, topics: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The documents drawn, with all their columns, in one more pass over ``docs`` (no shuffle of texts).  Nulls, empty
+    tables and repeated rows are taken as in ``mix``."""
+    cells = saved(probabilities(raked(cell_table(described(docs, topics)), targets), share), "cell-probabilities")
     own = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.col("probability").alias("_p"))
     own = F.broadcast(own) if cells.count() <= CELLS_SENT else own
-    cell = {"source": F.coalesce(docs["source"], F.lit("")), "lang": F.coalesce(docs["lang"], F.lit("")), "topic": topic(F.coalesce(docs["text"], F.lit("")))}
+    cell = {"source": F.coalesce(docs["source"], F.lit("")), "lang": F.coalesce(docs["lang"], F.lit("")), "topic": (topics or topic)(F.coalesce(docs["text"], F.lit("")))}
     same = draw(docs["doc_id"], seed) < own["_p"]
     for d in DIMS:
         same = same & (cell[d] == own[f"_{d}"])
