@@ -29,6 +29,10 @@ ESCAPE, BLOCK, MAGIC = 15, 1024, b"S8B1"
 HEAD = struct.Struct("<4sQQQ")
 #: Ids in a segment, but for a longer document, which comes alone.
 SEGMENT_IDS = 1 << 20
+#: Bytes of input to a range of documents (files are about half as large as their texts); sizes from here on are unknown.
+RANGE_BYTES, KNOWN_BYTES = 16 << 20, 1 << 50
+#: Segments whose places are sent to every task (24 bytes each); with more, the join shuffles.
+SEGMENTS_SENT = 1 << 20
 #: Words in each of the two generations of a worker's table.
 TABLE_WORDS = 600_000
 #: A space between two visible characters begins a new word whatever surrounds it.
@@ -212,7 +216,11 @@ def write(docs: DataFrame, path: str, end_id: int | None = 0, segment_ids: int =
     Rows: ``part`` (range of doc_id), ``seq`` (ordinal in it), ``n_ids``, ``doc_ids``, ``data``.  Documents come
     in ascending ``doc_id`` order, null ids first; rows that repeat a doc_id stay, in no fixed order.
     """
-    rows = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = texts(docs)
+    # as many ranges as keep each to about RANGE_BYTES, where Spark knows the input's size (else it says 2**63 or so)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES) if size < KNOWN_BYTES else 1)
+    rows = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
     own = dict(docs.dtypes)["doc_id"]
     schema = f"part int, seq int, n_ids long, doc_ids array<{own}>, data binary"
     kind = arrow(schema)
@@ -249,8 +257,8 @@ def starts(segments: DataFrame) -> DataFrame:
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("all_ids"))
     before = parts.select("part", (F.sum("all_ids").over(Window.orderBy("part")) - F.col("all_ids")).alias("before"))
     inside = segments.select("part", "seq", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")).alias("inside"))
-    base = inside.join(before, "part").select("part", "seq", (F.col("inside") + F.col("before")).alias("base"))
-    return segments.join(base, ["part", "seq"])
+    base = saved(inside.join(before, "part").select("part", "seq", (F.col("inside") + F.col("before")).alias("base")), "segment-places")
+    return segments.join(F.broadcast(base) if base.count() <= SEGMENTS_SENT else base, ["part", "seq"])
 
 
 def read(segments: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from docmill.llm import token_file as t
 from docmill.llm.bpe import vocabulary
 from docmill.llm.token_file import encoder, pack, seal, token_files, unpack, unseal
 
@@ -56,3 +57,15 @@ def test_files(spark):
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
     assert token_files(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_ranges_grow_with_the_input(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} " * 50) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    want = sorted(tuple(r) for r in t.token_files(docs, vocabulary("byte_bpe_50k.json")).collect())
+    monkeypatch.setattr(t, "RANGE_BYTES", 500)
+    monkeypatch.setattr(t, "SEGMENTS_SENT", 1)
+    segments = t.write(docs, vocabulary("byte_bpe_50k.json"))
+    assert segments.select("part").distinct().count() > 5
+    assert sorted(tuple(r) for r in t.read(segments).collect()) == want
