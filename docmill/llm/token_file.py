@@ -34,7 +34,7 @@ RANGE_BYTES, KNOWN_BYTES = 16 << 20, 1 << 50
 #: Segments whose places are sent to every task (24 bytes each); with more, the join shuffles.
 SEGMENTS_SENT = 1 << 20
 #: Words in each of the two generations of a worker's table.
-TABLE_WORDS = 600_000
+TABLE_WORDS = 400_000
 #: A space between two visible characters begins a new word whatever surrounds it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 RARE_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
