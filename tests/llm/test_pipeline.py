@@ -67,3 +67,23 @@ def test_stages_against_plain_versions(spark, folder):
         assert r.n_tokens == len(want)
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(want, skip_special_tokens=False).encode()).hexdigest()
     assert {r.doc_id for r in p.run(spark, folder).collect()} == set(ids)
+
+
+def test_odd_rows_and_empty_tables(spark, folder, tmp_path):
+    """Repeated ids, rows without one, nulls in any column, and columns of the stages' own names."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = docs.selectExpr("*", "1 AS kept", "'x' AS score", "'y' AS topic", "2 AS _keep", "3 AS _again")
+    odd = spark.createDataFrame([(1000, "alpha beta gamma delta epsilon zeta", "en", "a", 5), (1000, "alpha beta gamma delta epsilon zeta", "en", "a", 5), (None, "theta iota kappa lambda my ny", None, None, None), (None, None, None, None, None), (1001, "z " * 60_000, None, "b", None)], docs.schema).selectExpr("*", "1 AS kept", "'x' AS score", "'y' AS topic", "2 AS _keep", "3 AS _again")
+    extra.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    rows, made = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in p.STAGES:
+        rows = p.saved(stage(spark, rows, str(tmp_path)), f"odd-{name}")
+        assert name == "bpe" or rows.columns == list(p.COLUMNS)
+        made[name] = [(r.doc_id, r.text) for r in rows.collect()] if name != "bpe" else rows.collect()
+    assert sum(d == 1000 for d, _ in made["toxicity"]) == 2 and [sum(d == 1000 for d, _ in made[k]) for k in ("exact_dedup", "near_dedup")] == [1, 1]
+    assert (None, "theta iota kappa lambda my ny") in made["near_dedup"] and sum(d == 1001 for d, _ in made["near_dedup"]) == 1
+    assert len(made["bpe"]) == len(made["mixing"])
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
