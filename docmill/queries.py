@@ -322,7 +322,7 @@ def file_doc_ids(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("key"), library.doc_id(F.expr(_FILE_NAME)).alias("doc_id"))
 
 
-@query("SELECT doc_id, CAST(format('{:.3f}', doc_id / 16 % 900) AS DOUBLE) AS ratio, format('{:.1f}', doc_id / 16 % 900) || '%' AS percent FROM documents")
+@query("SELECT doc_id, CAST(format('{:.3f}', doc_id / 16 % 900) AS DOUBLE) AS ratio, format('{:.1f}', doc_id / 16 % 900 / 100 * 100) || '%' AS percent FROM documents")
 def half_even(spark, sf):
     x = F.col("doc_id") / 16 % 900
     return table(spark, sf, "documents").select("doc_id", text.rounded(x).alias("ratio"), text.percent(x / 100).alias("percent"))
