@@ -49,8 +49,12 @@ def boundary(x: Column) -> Column:
 
 
 def _explode(rows: DataFrame, column: str) -> DataFrame:
-    """``doc_id`` and the fields of each element of ``column``."""
-    return rows.select("doc_id", F.explode(column).alias("x")).select("doc_id", "x.*")
+    """``doc_id`` and the fields of each element of ``column``.
+
+    What is exploded is an expression: of a bare column Spark would infer a filter on its size, push that below all
+    that makes the column, and so make it again, for each element once more.
+    """
+    return rows.select("doc_id", F.explode(F.transform(column, lambda x: x)).alias("x")).select("doc_id", "x.*")
 
 
 def with_outline(docs: DataFrame, text: str = "text", name: str = "_outline") -> DataFrame:
