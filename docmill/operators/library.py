@@ -128,18 +128,24 @@ def clause_stats(clauses: DataFrame) -> DataFrame:
     return out.withColumn("unmapped_ratio", rounded(ratio(F.col("unmapped_clauses"), F.col("total_clauses"))))
 
 
+def _clause_counts(types: str) -> list[Column]:
+    total, unmapped = F.size(types), F.size(F.filter(types, lambda t: t == fixed.NO_TYPE))
+    return [total.cast("long").alias("total_clauses"), unmapped.cast("long").alias("unmapped_clauses"), rounded(ratio(unmapped, total)).alias("unmapped_ratio")]
+
+
+def clause_counts(docs: DataFrame, text: str = "text", is_boundary=structure.boundary, **rules) -> DataFrame:
+    """``docs`` with the struct ``stats`` of its clauses' counts alone, for checks that look at no other part."""
+    return structure.with_types(docs, text, is_boundary, "_types", **rules).withColumn("stats", F.struct(*_clause_counts("_types"))).drop("_types")
+
+
 def document_stats(docs: DataFrame, text: str = "text", term_pattern: str = fixed.TERM, is_boundary=structure.boundary, **rules) -> DataFrame:
     """``docs`` with the struct ``stats``: all counts of a document's parts, worked out inside its row, so that nothing
     shuffles; documents without any have zeros."""
     rows = structure.with_types(docs, text, is_boundary, "_types", **rules)
     rows = structure.with_outline(structure.with_terms(rows, text, term_pattern), text)
-    total, unmapped = F.size("_types"), F.size(F.filter("_types", lambda t: t == fixed.NO_TYPE))
     count = lambda x: F.size(x).cast("long")
-    stats = F.struct(
-        total.cast("long").alias("total_clauses"), unmapped.cast("long").alias("unmapped_clauses"), rounded(ratio(unmapped, total)).alias("unmapped_ratio"),
-        count("_terms").alias("defined_terms"), count("_outline").alias("sections"), count(structure.exhibit_array(F.col(text))).alias("exhibits"),
-    )
-    return rows.withColumn("stats", stats).drop("_types", "_terms", "_outline")
+    parts = [count("_terms").alias("defined_terms"), count("_outline").alias("sections"), count(structure.exhibit_array(F.col(text))).alias("exhibits")]
+    return rows.withColumn("stats", F.struct(*_clause_counts("_types"), *parts)).drop("_types", "_terms", "_outline")
 
 
 def manifest(docs: DataFrame, run_ts: str) -> DataFrame:

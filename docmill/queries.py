@@ -358,8 +358,8 @@ g AS (SELECT *, CASE WHEN hard <> '' THEN 'quarantined' WHEN soft <> '' THEN 'st
 
 def _validated(spark, sf):
     # all that needs the text is worked out in its row, and no text is shuffled
-    docs = library.document_stats(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"), is_boundary=short, rules=RULES, governance=None, chapter=None)
-    docs = docs.withColumns({"sha256": F.sha2("text", 256), "stats": F.struct("stats.unmapped_ratio", "stats.total_clauses")}).drop("text").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    docs = library.clause_counts(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"), is_boundary=short, rules=RULES, governance=None, chapter=None)
+    docs = docs.withColumn("sha256", F.sha2("text", 256)).drop("text").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     docs = docs.withColumns({"title": F.nullif(F.col("lang"), F.lit("es")), "classification_confidence": F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low"), "key": F.col("doc_id"), "doc_id": F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))})
     return library.validate(docs, required=["doc_id", "title", "sha256"], least_clauses=1)
 
