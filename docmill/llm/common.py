@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -132,3 +133,22 @@ def map_texts(df: DataFrame, work: Callable, schema: str, *args) -> DataFrame:
             yield pa.RecordBatch.from_pydict(work(piece, *args), schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+def whole_vectors(vectors: DataFrame, scale: int) -> DataFrame:
+    """``vec_id, q`` (array of long): floor(``scale`` * x) of the vectors without a null or a number that is not finite."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    usable = F.col("embedding").isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return vectors.where(usable).select("vec_id", F.transform(x, lambda v: F.floor(v * scale)).alias("q"))
+
+
+def matrix(column, dims: int) -> np.ndarray:
+    """An Arrow list column as rows of ``dims`` whole numbers; shorter vectors end in zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths == dims).all():
+        return flat.reshape(-1, dims)
+    out = np.zeros((len(lengths), dims), np.int64)
+    out[np.arange(dims)[None, :] < lengths[:, None]] = flat
+    return out

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bpe, exact_dedup, maxent, minhash, mixing, pii, secret_scan, token_file, topk, toxicity
+from . import bpe, dualtree, exact_dedup, maxent, minhash, mixing, packing, pii, secret_scan, token_file, topk, toxicity, whitening
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_packing": packing.op12_packing,
+    "op13_dualtree": dualtree.op13_dualtree,
 }
 
 SQL = {
@@ -20,4 +23,5 @@ SQL = {
     "op3_minhash": minhash.SQL,
     "op7_topk": topk.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op13_dualtree": dualtree.SQL,
 }
