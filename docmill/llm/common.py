@@ -55,11 +55,16 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-def without_repeats(kept: DataFrame, docs: DataFrame) -> DataFrame:
-    """``kept``, rows of ``docs``, with one row of those that repeat a ``doc_id`` and its text.  Rows without a
-    ``doc_id`` stay.  Only ids are counted; texts are compared where an id occurs again."""
+def repeated(docs: DataFrame) -> DataFrame:
+    """``_again``: every ``doc_id`` that several rows have."""
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
-    again = saved(again, "repeated-ids")
+    return saved(again, "repeated-ids")
+
+
+def without_repeats(kept: DataFrame, docs: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """``kept``, rows of ``docs``, with one row of those that repeat a ``doc_id`` and its text.  Rows without a
+    ``doc_id`` stay.  Only ids are counted; texts are compared where an id occurs again (``again``: see ``repeated``)."""
+    again = repeated(docs) if again is None else again
     if again.isEmpty():
         return kept
     same = kept["doc_id"] == again["_again"]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, map_texts, pieces, saved, table, texts, without_repeats
+from .common import arrow, map_texts, pieces, repeated, saved, table, texts, without_repeats
 
 #: Coordinates in a band, for thresholds of 0.85 and more; 5 below (see bands_for).
 ROWS = 7
@@ -119,6 +119,11 @@ def sketch(shingle: np.ndarray, t: int) -> np.ndarray:
     return (mix(out) >> np.uint64(48)).astype("<u2")
 
 
+def word_key(text: str) -> bytes:
+    """A digest of the word sequence."""
+    return hashlib.blake2b(b" ".join(words(text)), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, k: int, t: int) -> DataFrame:
     """``doc_id, n_shingles, word_key, sketch``; the key is a digest of the word sequence."""
 
@@ -128,7 +133,7 @@ def sketches(docs: DataFrame, k: int, t: int) -> DataFrame:
         return {
             "doc_id": piece.column("doc_id"),
             "n_shingles": [len(s) for s in sets],
-            "word_key": [hashlib.blake2b(b" ".join(words(x)), digest_size=16).digest() for x in batch],
+            "word_key": [word_key(x) for x in batch],
             "sketch": [sketch(s, t).tobytes() if len(s) else None for s in sets],
         }
 
@@ -273,15 +278,8 @@ def by_rare_shingle(members: DataFrame, whole: DataFrame, k: int, percent: int)
     return kept.select("rep", F.explode(prefix).alias("x")).where("x.c > 1").select(F.col("x.h").alias("grp"), "rep")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``.
-
-    Two documents are linked if their sets of ``k``-word shingles have 100 * intersection >= percent * union; a
-    component is named by its smallest ``doc_id``, which is ``kept``.  Null texts count as empty; a text without
-    words has an empty set and is alone in its component; texts of any length are read whole.  Rows that repeat a
-    doc_id are one document that holds each text.  Rows without a doc_id have no component and are not kept.  An empty
-    table gives an empty result; other columns are ignored.
-    """
+def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept, word_key``: see ``near_duplicates``."""
     bands, rows_each = bands_for(percent / 100)
     drawn = saved(sketches(docs, k, bands * rows_each), "sketches")
     nodes = drawn.where("n_shingles > 0 and doc_id is not null").groupBy("word_key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
@@ -336,14 +334,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = nodes.select("word_key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("word_key", F.coalesce("component", "rep").alias("named"))
     out = drawn.select("doc_id", "n_shingles", "word_key").join(named, "word_key", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("named")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "word_key")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+
+    Two documents are linked if their sets of ``k``-word shingles have 100 * intersection >= percent * union; a
+    component is named by its smallest ``doc_id``, which is ``kept``.  Null texts count as empty; a text without
+    words has an empty set and is alone in its component; texts of any length are read whole.  Rows that repeat a
+    doc_id with other texts have a component each, that of their text.  Rows without a doc_id have no component and are
+    not kept.  An empty table gives an empty result; other columns are ignored.
+    """
+    return grouped(docs, k, percent).drop("word_key")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns.  Of rows that repeat a ``doc_id`` and its
-    text one stays; rows without a ``doc_id`` cannot be told apart by it, and all stay."""
-    dropped = near_duplicates(docs, k, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_dropped"))
-    return without_repeats(docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti"), docs)
+    """The documents that stay, one of each component, with all their columns.  Rows that repeat a ``doc_id`` with other
+    texts stay or go by their own text; of those that repeat its text, too, one stays.  Rows without a ``doc_id`` cannot
+    be told apart by it, and all stay."""
+    again = repeated(docs)
+    dropped = grouped(docs, k, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_dropped"), "word_key")
+    if again.isEmpty():
+        return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    dropped = saved(dropped.distinct(), "dropped")
+    own = dropped.join(again, F.col("_dropped") == F.col("_again"), "left_anti")
+    kept = docs.join(own, docs["doc_id"] == own["_dropped"], "left_anti")
+    # few rows repeat an id: theirs are the only texts read again
+    sha = lambda text: F.sha2(F.coalesce(text, F.lit("")), 256)
+    several = texts(docs).join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("sha", sha(F.col("text")))
+    keys = map_texts(several, lambda piece: {"_id": piece.column("doc_id"), "_sha": piece.column("sha"), "_key": [word_key(x) for x in piece.column("text").to_pylist()]}, f"_id {dict(docs.dtypes)['doc_id']}, _sha string, _key binary")
+    gone = keys.join(dropped, (F.col("_id") == F.col("_dropped")) & (F.col("_key") == F.col("word_key")), "left_semi").select("_id", "_sha")
+    return without_repeats(kept.join(gone, (kept["doc_id"] == gone["_id"]) & (sha(kept["text"]) == gone["_sha"]), "left_anti"), docs, again)
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:

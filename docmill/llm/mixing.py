@@ -53,12 +53,12 @@ def tokens(text: Column) -> Column:
 
 
 def described(docs: DataFrame, topics: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``doc_id`` and the document's cell and tokens; null source or language is a value of its own.
+    """``doc_id`` and the document's cell and tokens; null source, language or topic is a value of its own.
 
     ``topics``: an expression of the text that names its topic, in place of the rule.
     """
     text = F.coalesce(docs["text"], F.lit(""))
-    return docs.select(F.col("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), (topics or topic)(text).alias("topic"), tokens(text).alias("n_tokens"))
+    return docs.select(F.col("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce((topics or topic)(text), F.lit("")).alias("topic"), tokens(text).alias("n_tokens"))
 
 
 def total(rows: DataFrame, value) -> float:
@@ -149,7 +149,7 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: int = SEED, topics: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per document: its cell, tokens, the cell's ``weight``, its ``probability``, and ``sampled``.
 
-    Null and empty texts have one token; null source and language are the value ''; texts of any length are read
+    Null and empty texts have one token; null source, language and topic are the value ''; texts of any length are read
     whole.  Rows that repeat a doc_id are drawn together; a null doc_id is drawn as one value.  An empty table gives
     an empty result; other columns are ignored.
     """
@@ -166,7 +166,7 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share:
     cells = saved(probabilities(raked(cell_table(described(docs, topics)), targets), share), "cell-probabilities")
     own = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.col("probability").alias("_p"))
     own = F.broadcast(own) if cells.count() <= CELLS_SENT else own
-    cell = {"source": F.coalesce(docs["source"], F.lit("")), "lang": F.coalesce(docs["lang"], F.lit("")), "topic": (topics or topic)(F.coalesce(docs["text"], F.lit("")))}
+    cell = {"source": F.coalesce(docs["source"], F.lit("")), "lang": F.coalesce(docs["lang"], F.lit("")), "topic": F.coalesce((topics or topic)(F.coalesce(docs["text"], F.lit(""))), F.lit(""))}
     same = draw(docs["doc_id"], seed) < own["_p"]
     for d in DIMS:
         same = same & (cell[d] == own[f"_{d}"])

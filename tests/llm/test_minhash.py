@@ -107,3 +107,13 @@ def test_rows_that_repeat_and_rows_without_an_id(spark):
     assert got.columns == df.columns
     assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == [(0, "a b c d e f"), (0, "x"), (1, "a b c d e f"), (1, "other words stand here now"), (3, "")]
     assert m.deduplicate(df.limit(0)).count() == 0
+
+
+def test_one_doc_id_with_two_texts(spark):
+    """Rows of one doc_id stay or go by their own text, so that no text is lost with a copy of another."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(2, x), (5, x), (5, y), (5, y), (6, y), (7, z), (7, x), (7, None), (8, z + " end"), (None, x)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = m.deduplicate(df).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(2, x), (5, y), (7, z), (7, None), (None, x)], key=repr)
+    assert {r.text for r in got} >= {x, y, z}

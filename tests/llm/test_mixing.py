@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions
+
 from docmill.llm import mixing as m
 
 
@@ -101,3 +103,13 @@ def test_own_topics_and_many_cells(spark, monkeypatch):
     monkeypatch.setattr(m, "CELLS_SENT", 1)
     assert {r.doc_id: (r.topic, round(r.probability, 9)) for r in m.mix(docs, topics=one).collect()} == want
     assert m.sample(docs, topics=one).count() == m.mix(docs, topics=one).where("sampled").count()
+
+
+def test_null_topic_loses_no_row(spark):
+    rows = [(i, f"word {i}", "s", "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    topics = lambda text: functions.when(text.contains("1"), "one")
+    got = m.mix(df, topics=topics).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40)) and {r.topic for r in got} == {"one", ""}
+    drawn = {r.doc_id for r in got if r.sampled}
+    assert {r.doc_id for r in m.sample(df, topics=topics).collect()} == drawn
