@@ -56,6 +56,12 @@ CLAUSE_RULES = [
     ("signature_block", ["서명 또는 날인", "서명날인"]),
     ("drag_along", ["동반매도청구권", "동반매각청구권"]),
 ]
+# Our own patterns: levels of nested numbering, highest first; signs that count from 1; what labels and references look like.
+LEVELS = [(1, r"^제(\d+)장"), (1, r"^(?i:chapter|part)\s+(\d+)\b"), (2, r"^제(\d+)조"), (2, r"^(?i:article|section)\s+(\d+)(?![\d.]*\.\d)"), (3, r"^([①-⑳])"), (3, r"^\((\d+)\)"), (4, r"^(\d+)[.)](?!\d)"), (5, r"^([가나다라마바사아자차카타파하])[.)]"), (5, r"^\(?([a-z])\)")]
+ALPHABETS = ["①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳", "가나다라마바사아자차카타파하", "abcdefghijklmnopqrstuvwxyz"]
+ARTICLE_NUMBER, SECTION_NUMBER = r"^제(\d+)조\s*(?:[(（【\[]|$)", r"^(?:#{1,4}\s+)?(?i:section|article)\s+(\d+(?:\.\d+)*)\b"
+OWN_NUMBER = r"^(?:제\d+조(?=\s*(?:[(（【\[]|$))|(?:#{1,4}\s+)?(?i:section|article)\s+\d+(?:\.\d+)*)"
+REFERENCES = [("article", r"제(\d+)조(?:\s*(?:내지|부터|[-~])\s*제(\d+)조)?"), ("section", r"(?i:sections?|articles?)\s+(\d+(?:\.\d+)*)(?:\s*(?:to|through|-|–)\s*(\d+(?:\.\d+)*))?")]
 # Words of governance, tried before all others; the type of chapter headings; of what nothing tells.
 GOVERNANCE = ("board_composition", ["주주총회", "이사회 의결 요구", "이사회 결의 요구"])
 CHAPTER_TYPE, NO_TYPE = "recitals", "unmapped"

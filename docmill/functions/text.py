@@ -55,8 +55,8 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def rounded(x: Column, digits: int = 3) -> Column:
-    """Rounded half to even on the exact binary value, for values below 1000."""
-    return F.format_number(x, digits).cast("double")
+    """Rounded half to even on the exact binary value."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0")).cast("double")
 
 
 def percent(x: Column, digits: int = 1) -> Column:

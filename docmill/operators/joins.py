@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.operators.tasks import saved
+
 
 def last_before(rows: DataFrame, keys: list[str], at: str, value: Column, name: str) -> DataFrame:
     """``rows`` with the last ``value`` that is not null at or before each row's time: an as-of join of a table with
@@ -43,3 +45,38 @@ def sessions(rows: DataFrame, key: str, at: str, order: list[str], gap_seconds:
 def tumbling(rows: DataFrame, at: str, width: str, keys: list[str], value: str) -> DataFrame:
     """Counts and sums of ``value`` in windows of one width, combined on the map side."""
     return rows.groupBy(F.window(at, width).start.alias("start"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("value"))
+
+
+def with_ordinals(rows: DataFrame, *order: str, name: str = "ordinal", total: str = "of") -> DataFrame:
+    """``rows`` with their place in ``order`` over the whole table, from 1, and how many there are.
+
+    Rows are dealt out by ranges of ``order`` and numbered inside their part; the sizes of the parts, one number each, are
+    added up, so no task and no window holds more than its own range.  Rows that are equal in ``order`` come in any order.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    # written down, for another run might cut the ranges elsewhere
+    dealt = saved(dealt.withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id"), "ordinals")
+    sizes, before, starts = sorted(tuple(r) for r in dealt.groupBy("_part").agg(F.count("*")).collect()), 0, []
+    for part, n in sizes:
+        starts.append((part, before))
+        before += n
+    base = rows.sparkSession.createDataFrame(starts, "_part long, _before long")  # as many rows as partitions
+    out = dealt.join(F.broadcast(base), "_part").withColumns({name: F.col("_before") + F.col("_place") + 1, total: F.lit(before).cast("long")})
+    return out.select(*rows.columns, name, total)
+
+
+def overlapping(left: DataFrame, right: DataFrame, on: tuple[str, str], spans: tuple[str, str, str, str], width: float) -> DataFrame:
+    """Pairs of rows of one key whose half-open intervals ``[start, end)`` have a point in common.
+
+    ``spans``: start and end of the left, then of the right, as numbers.  Both sides are dealt into bins of ``width``, which
+    with the key are the key of a hash join; a pair is taken in the first bin that both are in, so once.  Choose ``width``
+    near the usual length: shorter ones copy long intervals, longer ones compare more.  Rows with a null, and empty
+    intervals, meet nothing.
+    """
+    a0, a1, b0, b1 = spans
+    bins = lambda start, end: F.sequence(F.floor(F.col(start) / width), F.greatest(F.floor(F.col(start) / width), F.ceil(F.col(end) / width) - 1))
+    some = left.where(F.col(a0) < F.col(a1)).withColumn("_bin", F.explode(bins(a0, a1)))
+    other = right.where(F.col(b0) < F.col(b1)).withColumn("_other", F.explode(bins(b0, b1)))
+    meets = (F.col(on[0]) == F.col(on[1])) & (F.col("_bin") == F.col("_other")) & (F.col(a0) < F.col(b1)) & (F.col(b0) < F.col(a1))
+    first = F.floor(F.greatest(a0, b0) / width) == F.col("_bin")
+    return some.join(other, meets & first).drop("_bin", "_other")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions import fixed
+from docmill.operators.tasks import saved
 
 
 def destination(decision: Column) -> Column:
@@ -55,7 +56,8 @@ def chains(edges: DataFrame, rounds: int = 64) -> DataFrame:
     out = edges.groupBy("doc_id").agg(F.max("next_id").alias("latest_id")).withColumn("depth", F.lit(1).cast("long"))
     for _ in range(rounds):
         step = out.select(F.col("doc_id").alias("_at"), F.col("latest_id").alias("_next"), F.col("depth").alias("_more"))
-        out = out.join(step, F.col("latest_id") == F.col("_at"), "left").select("doc_id", F.coalesce("_next", "latest_id").alias("latest_id"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_next").isNotNull().alias("moved")).checkpoint()
+        out = out.join(step, F.col("latest_id") == F.col("_at"), "left").select("doc_id", F.coalesce("_next", "latest_id").alias("latest_id"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_next").isNotNull().alias("moved"))
+        out = saved(out, "chains")
         state = out.agg(F.count("*").alias("n"), F.count_if("moved").alias("moved"), F.min(F.when(F.col("moved"), F.col("depth"))).alias("least")).first()
         out = out.drop("moved")
         # what has moved farther than there are documents goes round in a cycle

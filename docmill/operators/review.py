@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions import fixed
+from docmill.functions import editing, fixed
 from docmill.functions.rules import first_match
 from docmill.functions.text import jaccard
+from docmill.operators.tasks import map_rows
+
+#: Words of a key by which a paragraph is looked for.
+ANCHOR = 5
 
 
 def modes(spark) -> DataFrame:
@@ -15,9 +19,14 @@ def modes(spark) -> DataFrame:
     return spark.createDataFrame(rows, "mode string, redline_scope array<string>, acceptable_tiers array<string>, comment_scope array<string>, risk_tolerance string, recommended_for array<string>")
 
 
-def with_mode(rows: DataFrame, modes: DataFrame) -> DataFrame:
-    """``rows`` (with ``mode``) and their mode's settings; the table of modes is a few rows."""
-    return rows.join(F.broadcast(modes), "mode")
+def with_mode(rows: DataFrame, modes: DataFrame, default: str = fixed.DEFAULT_MODE) -> DataFrame:
+    """``rows`` (with ``mode``) and their mode's settings; the table of modes is a few rows.
+
+    No row is lost: one whose mode is not in the table, or null, gets the settings of ``default`` and keeps its ``mode``.
+    """
+    known = rows.join(F.broadcast(modes.select("mode", F.lit(True).alias("_known"))), "mode", "left")
+    known = known.withColumn("_mode", F.when(F.col("_known"), F.col("mode")).otherwise(F.lit(default))).drop("_known")
+    return known.join(F.broadcast(modes.withColumnRenamed("mode", "_mode")), "_mode", "left").drop("_mode")
 
 
 def redline_scope(rows: DataFrame, risk: str = "risk_level") -> DataFrame:
@@ -110,27 +119,102 @@ def paragraph_map(clauses: DataFrame, paragraphs: DataFrame, text: str = "text",
     return clauses.withColumn("_h", norm(F.col(body))).join(there, "_h", "left").drop("_h")
 
 
+#: Rows that may be sent to every task: keys of paragraphs, 16 bytes each.
+KEYS_SENT = 1 << 20
+
+
+def _normal(c: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+
+
+def _grams(words: Column, n: int) -> Column:
+    """The hashes of all runs of ``n`` words, in order; none for fewer words."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def paragraph_contains(clauses: DataFrame, paragraphs: DataFrame, key: str, text: str = "text", body: str = "body") -> DataFrame:
     """``key, paragraph_id``: each paragraph whose whole text stands in a clause of that key, in the normal form.
 
     Words inside a paragraph, all but its first and last, are whole words of a clause that holds it: three of them (one
-    in a paragraph under five words) are the key of a hash join, and ``contains`` decides.  Paragraphs of one or two
-    words have no such key and meet every clause; empty ones are nowhere.
+    in a paragraph of three or four words) are the key of a hash join.  Of one or two words only an end and a beginning are
+    known: pieces of that length of a clause's distinct words, or pairs of them, are the key, one for each length that a
+    paragraph has.  The paragraphs found in a document are compared inside its row, where its text is once; empty ones are
+    nowhere.
     """
-    norm = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-    hashes = lambda w, n, size: F.transform(F.sequence(F.lit(0), size - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
-    w = F.split("_body", " ")
-    said = clauses.select(F.col(key), norm(F.col(body)).alias("_body")).where("_body is not null")
-    own = paragraphs.select("paragraph_id", norm(F.col(text)).alias("_text")).where("_text <> ''").withColumn("_w", F.split("_text", " ")).withColumn("_n", F.size("_w"))
-    found = own.where("_n < 3").join(said, F.expr("contains(_body, _text)")).select(key, "paragraph_id")
+    said = clauses.select(F.col(key), _normal(F.col(body)).alias("_body")).where("_body is not null")
+    own = paragraphs.select("paragraph_id", _normal(F.col(text)).alias("_text")).where("_text <> ''").withColumn("_w", F.split("_text", " ")).withColumn("_n", F.size("_w"))
+    # equal bodies are one, so that copies of a document meet a paragraph once
+    bodies = said.groupBy(F.sha2("_body", 256).alias("_h")).agg(F.first("_body").alias("_body")).withColumn("_w", F.split("_body", " "))
+    found = []
     for least, most, n in ((3, 4, 1), (5, None, 3)):
         some = own.where(F.col("_n") >= least if most is None else F.col("_n").between(least, most))
-        anchors = some.select("paragraph_id", "_text", F.xxhash64(*(F.get("_w", F.lit(1 + k)) for k in range(n))).alias("_h"))
-        there = said.where(F.size(w) >= n).select(key, F.explode(F.array_distinct(hashes(w, n, F.size(w)))).alias("_h"))
-        pairs = there.join(anchors, "_h").select(F.col(key).alias("_key"), "paragraph_id", "_text").distinct()
-        sure = pairs.join(said, F.col("_key").eqNullSafe(F.col(key))).where(F.expr("contains(_body, _text)"))
-        found = found.union(sure.select(key, "paragraph_id"))
-    return found.distinct()
+        found.append((some.select("paragraph_id", "_text", F.xxhash64(*(F.get("_w", F.lit(1 + k)) for k in range(n))).alias("_k")), bodies.select("_h", F.explode(F.array_distinct(_grams(F.col("_w"), n))).alias("_k"))))
+    short = own.where("_n < 3").withColumns({"_a": F.length(F.get("_w", F.lit(0))), "_b": F.when(F.col("_n") == 2, F.length(F.get("_w", F.lit(1))))})
+    # at most as many as there are lengths of words, squared
+    for r in short.select("_a", "_b").distinct().collect():
+        some = short.where(F.col("_a").eqNullSafe(r["_a"]) & F.col("_b").eqNullSafe(r["_b"])).select("paragraph_id", "_text", F.xxhash64("_text").alias("_k"))
+        long_enough = F.filter(F.array_distinct("_w"), lambda w: F.length(w) >= r["_a"])
+        if r["_b"] is None:
+            pieces = F.flatten(F.transform(long_enough, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - r["_a"] + 1), lambda i: F.substring(w, i, F.lit(r["_a"])))))
+        else:
+            pairs = F.transform(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.struct(F.get("_w", i).alias("a"), F.get("_w", i + 1).alias("b")))
+            pairs = F.filter(F.when(F.size("_w") > 1, pairs), lambda p: (F.length(p["a"]) >= r["_a"]) & (F.length(p["b"]) >= r["_b"]))
+            pieces = F.transform(pairs, lambda p: F.concat(F.right(p["a"], F.lit(r["_a"])), F.lit(" "), F.left(p["b"], F.lit(r["_b"]))))
+        found.append((some, bodies.select("_h", F.explode(F.transform(F.array_distinct(pieces), lambda x: F.xxhash64(x))).alias("_k"))))
+    pairs = None
+    for keys, there in found:
+        one = there.join(keys, "_k").select("_h", "paragraph_id", "_text")
+        pairs = one if pairs is None else pairs.union(one)
+    held = pairs.distinct().groupBy("_h").agg(F.collect_list(F.struct("paragraph_id", "_text")).alias("_p"))
+    sure = held.join(bodies.select("_h", "_body"), "_h").select("_h", F.explode(F.filter("_p", lambda p: F.contains(F.col("_body"), p["_text"]))).alias("_p"))
+    return said.select(key, F.sha2("_body", 256).alias("_h")).join(sure, "_h").select(key, F.col("_p.paragraph_id").alias("paragraph_id")).distinct()
+
+
+def paragraph_fuzzy(clauses: DataFrame, paragraphs: DataFrame, key: str, text: str = "text", body: str = "body", percent: int = 10) -> DataFrame:
+    """``key, paragraph_id, distance``: each paragraph that stands in a clause of that key with few words changed.
+
+    The distance is the least number of words to insert, delete or replace that turn some run of the clause's words into
+    the paragraph; up to ``percent`` of the paragraph's words, rounded down, may differ (none of a short one).  A paragraph
+    with e errors at most, cut into e + 1 pieces, has one piece without error, so the runs of ``ANCHOR`` words (fewer where
+    pieces are shorter) that are rarest among the paragraphs in each piece are the keys of a hash join, and nothing within
+    the bound is missed.  A match gives the place at which the paragraph would begin; the words around it are cut out of
+    the document's own row, and a banded edit distance decides.  Equal paragraphs and equal bodies are compared once.  Null
+    and blank texts are nowhere.
+    """
+    words = lambda c: F.split(_normal(c), " ")
+    said = clauses.select(F.col(key), _normal(F.col(body)).alias("_body")).where("_body is not null and _body <> ''").withColumn("_h", F.sha2("_body", 256))
+    bodies = said.groupBy("_h").agg(F.first("_body").alias("_body")).select("_h", words(F.col("_body")).alias("_w"))
+    own = paragraphs.select("paragraph_id", _normal(F.col(text)).alias("_text")).where("_text <> ''").withColumn("_p", F.sha2("_text", 256))
+    distinct = own.groupBy("_p").agg(F.first("_text").alias("_text")).select("_p", words(F.col("_text")).alias("_pw"))
+    distinct = distinct.withColumn("_n", F.size("_pw")).withColumn("_e", F.floor(F.col("_n") * percent / 100).cast("int"))
+    # piece i of e + 1 has the words from i * n / (e + 1) on; every piece has as many words as the shortest or one more
+    size = F.least(F.lit(ANCHOR), F.floor(F.col("_n") / (F.col("_e") + 1)).cast("int"))
+    cut = distinct.select("_p", "_n", "_e", "_pw", size.alias("_size"), F.explode(F.sequence(F.lit(0), F.col("_e"))).alias("_i"))
+    begin = lambda i: F.floor(i * F.col("_n") / (F.col("_e") + 1)).cast("int")
+    runs = F.sequence(begin(F.col("_i")), begin(F.col("_i") + 1) - F.col("_size"))
+    grams = cut.select("_p", "_n", "_e", "_size", "_i", F.explode(F.transform(runs, lambda at: F.struct(at.alias("at"), F.xxhash64(F.slice("_pw", at + 1, F.col("_size"))).alias("k")))).alias("g")).select("_p", "_n", "_e", "_size", "_i", "g.at", "g.k")
+    common = grams.groupBy("_size", "k").agg(F.count("*").alias("_often"))
+    rarest = grams.join(common, ["_size", "k"]).groupBy("_p", "_n", "_e", "_size", "_i").agg(F.min(F.struct("_often", "at", "k")).alias("g"))
+    keys = rarest.select("_p", "_n", "_e", "_size", F.col("g.at").alias("_at"), F.col("g.k").alias("_k"))
+    sizes = sorted(r["_size"] for r in keys.select("_size").distinct().collect())  # ANCHOR of them at most
+    found = None
+    for n in sizes:
+        there = bodies.select("_h", F.posexplode(F.transform(F.when(F.size("_w") >= n, F.sequence(F.lit(0), F.size("_w") - n)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice("_w", i + 1, F.lit(n))))).alias("_pos", "_k"))
+        few = keys.where(F.col("_size") == n)
+        few = F.broadcast(few) if few.count() <= KEYS_SENT else few
+        one = there.join(few, "_k").select("_h", "_p", "_n", "_e", (F.col("_pos") - F.col("_at")).alias("_from"))
+        found = one if found is None else found.union(one)
+    spark = clauses.sparkSession
+    if found is None:
+        return spark.createDataFrame([], f"`{key}` {dict(clauses.dtypes)[key]}, paragraph_id {dict(paragraphs.dtypes)['paragraph_id']}, distance int")
+    places = found.distinct().groupBy("_h").agg(F.collect_list(F.struct("_p", "_n", "_e", "_from")).alias("_places"))
+    window = lambda x: F.slice(F.col("_w"), F.greatest(F.lit(1), x["_from"] - x["_e"] + 1), F.greatest(F.lit(0), x["_n"] + 2 * x["_e"] + F.least(F.lit(0), x["_from"] - x["_e"])))
+    cuts = places.join(bodies, "_h").select("_h", F.explode(F.transform("_places", lambda x: F.struct(x["_p"].alias("_p"), x["_e"].alias("_e"), window(x).alias("_words")))).alias("x")).select("_h", "x.*").distinct()
+    near = map_rows(cuts.join(distinct.select("_p", "_pw"), "_p"), lambda r: editing.errors_inside(r["_pw"], r["_words"], r["_e"]), "distance", "int", ["_pw", "_words"], limit=4096)
+    best = near.where("distance is not null").groupBy("_h", "_p").agg(F.min("distance").alias("distance"))
+    rows = said.select(key, "_h").join(best, "_h").join(own.select("_p", "paragraph_id"), "_p")
+    return rows.groupBy(key, "paragraph_id").agg(F.min("distance").alias("distance"))
 
 
 def mapping_coverage(mapped: DataFrame, goal: float = fixed.MAPPING_TARGET) -> DataFrame:

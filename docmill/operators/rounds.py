@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.functions import editing
 from docmill.functions.text import jaccard
+from docmill.operators.tasks import map_rows, saved
+
+#: The type of a word script, a column of ``word_diff``.
+SCRIPT = "array<struct<op: string, text: string>>"
 
 
 def with_ordinal(clauses: DataFrame, key: list[str], order: str, name: str = "ordinal") -> DataFrame:
@@ -19,6 +24,67 @@ def diff(prior: DataFrame, current: DataFrame, on: list[str], text: str = "text"
     return a.join(b, on, "full_outer").withColumn("diff_status", status).drop("_prior", "_current", "prior_hash", "current_hash")
 
 
+def align(prior: DataFrame, current: DataFrame, key: str, order: str = "ordinal", text: str = "text", least: float = 0.5) -> DataFrame:
+    """The clauses of two rounds of each document side by side: ``key, prior_no, current_no, diff_status, moved, similarity,
+    prior_text, current_text``, with the place of each clause in ``order``.
+
+    An inserted or removed clause shifts nothing: equal clauses that are unique in both rounds and in order are anchors, and
+    between them the match keeps the order and weighs most (see ``editing.aligned``).  ``unchanged`` clauses are equal,
+    ``modified`` ones share ``least`` of their words; the rest is ``added`` or ``removed``, but an equal clause that stands
+    elsewhere now is one ``unchanged`` row that has ``moved``.  A null text counts as empty; a document in one round alone is
+    all added or all removed; rows without a ``key`` are one document.  A document's clauses meet in one row.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        one = F.struct(F.col(order).cast("long").alias("no"), F.coalesce(text, F.lit("")).alias("text"))
+        return df.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias(name))
+
+    a, b = side(prior, "_a"), side(current, "_b").withColumnRenamed(key, "_key")
+    both = a.join(b, a[key].eqNullSafe(b["_key"]), "full_outer").select(F.coalesce(key, "_key").alias(key), "_a", "_b")
+
+    def work(old: list | None, new: list | None) -> list[tuple]:
+        old, new = old or [], new or []
+        rows = editing.aligned([x["text"] for x in old], [x["text"] for x in new], least)
+        alone: dict[str, list[int]] = {}
+        for _, j, _ in (r for r in rows if r[0] is None):
+            alone.setdefault(new[j]["text"], []).append(j)
+        moved = {i: alone[old[i]["text"]].pop(0) for i, j, _ in rows if j is None and alone.get(old[i]["text"])}
+        out = []
+        for i, j, s in rows:
+            if i is None and j in moved.values():
+                continue
+            to = moved.get(i) if j is None else j
+            left, right = old[i] if i is not None else {}, new[to] if to is not None else {}
+            status = "added" if i is None else "removed" if to is None else "unchanged" if left["text"] == right["text"] else "modified"
+            out.append((left.get("no"), right.get("no"), status, i in moved, 1.0 if status == "unchanged" else s, left.get("text"), right.get("text")))
+        return out
+
+    fields = ("prior_no", "current_no", "diff_status", "moved", "similarity", "prior_text", "current_text")
+    kind = "array<struct<prior_no: long, current_no: long, diff_status: string, moved: boolean, similarity: double, prior_text: string, current_text: string>>"
+    out = map_rows(both, lambda r: [dict(zip(fields, x, strict=True)) for x in work(r["_a"], r["_b"])], "_rows", kind, ["_a", "_b"])
+    return out.select(key, F.explode("_rows").alias("_r")).select(key, "_r.*")
+
+
+def word_diff(pairs: DataFrame, prior: str = "prior_text", current: str = "current_text", name: str = "script", most: int = editing.MOST_CHANGES) -> DataFrame:
+    """``pairs`` with the word script from ``prior`` to ``current``: spans ``op`` (keep, delete, insert) and ``text``, in order.
+
+    A span of white space is kept to the letter, so ``before`` and ``after`` give both texts back.  The script is a shortest
+    one where up to ``most`` tokens change between two that are unique on both sides; else a gap is replaced whole, which
+    bounds the work on long clauses.  A null text counts as empty.
+    """
+    return map_rows(pairs, lambda r: [{"op": op, "text": text} for op, text in editing.script(r[prior], r[current], most)], name, SCRIPT)
+
+
+def before(script: Column) -> Column:
+    """The text that a script starts from."""
+    return F.array_join(F.transform(F.filter(script, lambda s: s["op"] != "insert"), lambda s: s["text"]), "")
+
+
+def after(script: Column) -> Column:
+    """The text that a script leads to."""
+    return F.array_join(F.transform(F.filter(script, lambda s: s["op"] != "delete"), lambda s: s["text"]), "")
+
+
 def change_kind(prior: Column, current: Column) -> Column:
     """Heuristic: a much shorter clause is narrower, a much longer one broader, a similar one a clarification."""
     share = F.length(current) / F.greatest(F.lit(1), F.length(prior))
@@ -63,6 +129,26 @@ def resume_point(states: DataFrame, key: str, step: str, at: str) -> DataFrame:
     return states.groupBy(key).agg(F.max_by(step, F.struct(at, step)).alias("last_step"), F.max(at).alias("at"))
 
 
+def affected(changed: DataFrame, edges: DataFrame, key: str = "doc_id", node: str = "clause_id") -> DataFrame:
+    """``key, node, depth``: the ``changed`` clauses (0) and all that lean on them over any number of ``edges``.
+
+    ``edges``: ``key, from_id, to_id``, a clause that refers to another or uses its term.  In each round the clauses found
+    last are joined with the edges that lead to them; what is known already is left out, so cycles end.  A clause has the
+    length of its shortest way.
+    """
+    seen = changed.select(key, node, F.lit(0).alias("depth")).distinct()
+    seen = saved(seen, "affected")
+    last, depth = seen, 0
+    while not last.isEmpty():
+        depth += 1
+        step = last.select(F.col(key).alias("_key"), F.col(node).alias("_node"))
+        found = edges.join(step, (F.col(key) == F.col("_key")) & (F.col("to_id") == F.col("_node"))).select(key, F.col("from_id").alias(node)).distinct()
+        last = found.join(seen, [key, node], "left_anti").withColumn("depth", F.lit(depth))
+        last = saved(last, "affected")
+        seen = seen.union(last)
+    return seen
+
+
 def only_affected(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """The rows that a partial run has to look at again."""
     return rows.join(keys.select(*on).distinct(), on, "left_semi")

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions import fixed
+from docmill.functions import editing, fixed
 from docmill.functions.rules import Rules, first_match
 from docmill.functions.text import strip
+from docmill.operators.tasks import map_rows
 
 
 def lines_of(text: Column) -> Column:
@@ -197,3 +198,138 @@ def numbering_gaps(rows: DataFrame, key: str, number: str) -> DataFrame:
     """Rows whose number does not follow the one before it in ``key``."""
     before = F.lag(number).over(Window.partitionBy(key).orderBy(number))
     return rows.withColumn("before", before).where(F.col("before").isNotNull() & (F.col(number) - F.col("before") != 1))
+
+
+def labels(text: Column, levels: list[tuple[int, str]] | None = None) -> Column:
+    """``array<struct<line, level, number>>`` of the lines that begin with a number of their own: chapters, articles,
+    paragraphs, items, by the first pattern that fits.  Digits in circles and letters of an alphabet count from 1."""
+    own = fixed.LEVELS if levels is None else levels
+
+    def entry(x):
+        level, number = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for rank, pattern in reversed(own):
+            found = F.regexp_extract(x["text"], pattern, 1)
+            place = F.coalesce(found.try_cast("long"), *(F.nullif(F.position(found, F.lit(a)), F.lit(0)).cast("long") for a in fixed.ALPHABETS))
+            level, number = F.when(found != "", rank).otherwise(level), F.when(found != "", place).otherwise(number)
+        return F.struct(x["line"].alias("line"), level.alias("level"), number.alias("number"))
+
+    return F.filter(F.transform(numbered(text), entry), lambda x: x["number"].isNotNull())
+
+
+def numbering(docs: DataFrame, text: str = "text", levels: list[tuple[int, str]] | None = None) -> DataFrame:
+    """``doc_id, line, level, number, before, kind`` of every numbered line of nested lists.
+
+    ``before`` is the number of the last line of its level since any of a higher one, as on a stack from which a label takes
+    off all that lies deeper.  ``kind`` is ``first`` (1, or it begins a list), ``next``, ``gap``, ``repeat`` (the same
+    again), ``restart`` (1 again) or ``back``; a list that begins with another number than 1 is a ``gap``.
+    """
+    rows = docs.select("doc_id", F.explode(labels(F.col(text), levels)).alias("x")).select("doc_id", "x.*")
+    ranks = sorted({rank for rank, _ in (fixed.LEVELS if levels is None else levels)})
+    above = Window.partitionBy("doc_id").orderBy("line")
+    list_no = F.lit(0).cast("long")
+    for rank in ranks:
+        list_no = F.when(F.col("level") == rank, F.count_if(F.col("level") < rank).over(above)).otherwise(list_no)
+    rows = rows.withColumn("_list", list_no)
+    before = F.lag("number").over(Window.partitionBy("doc_id", "level", "_list").orderBy("line"))
+    n, b = F.col("number"), F.col("before")
+    kind = (
+        F.when(b.isNull() & (n == 1), "first").when(b.isNull(), "gap").when(n == b + 1, "next").when(n == b, "repeat").when(n == 1, "restart").when(n > b, "gap").otherwise("back")
+    )
+    return rows.withColumn("before", before).withColumn("kind", kind).drop("_list")
+
+
+def numbering_fails(docs: DataFrame, text: str = "text", levels: list[tuple[int, str]] | None = None) -> DataFrame:
+    """``doc_id, gaps``: how many numbered lines leave a gap, go back or repeat; restarts are none."""
+    return numbering(docs, text, levels).where("kind in ('gap', 'back', 'repeat')").groupBy("doc_id").agg(F.count("*").alias("gaps"))
+
+
+def label_array(text: Column) -> Column:
+    """``array<struct<style, label, line>>``: what references can point at, both styles of numbering: articles by their
+    number (or, where they have a title alone, by their place among those) and sections by their dotted number."""
+    every = numbered(text)
+    explicit = F.transform(F.filter(every, lambda x: x["text"].rlike(fixed.ARTICLE_NUMBER)), lambda x: F.struct(F.lit("article").alias("style"), F.regexp_extract(x["text"], fixed.ARTICLE_NUMBER, 1).alias("label"), x["line"].alias("line")))
+    titled = F.transform(F.filter(every, lambda x: is_article(x["text"])), lambda x, i: F.struct(F.lit("article").alias("style"), (i + 1).cast("string").alias("label"), x["line"].alias("line")))
+    dotted = F.transform(F.filter(every, lambda x: x["text"].rlike(fixed.SECTION_NUMBER)), lambda x: F.struct(F.lit("section").alias("style"), F.regexp_extract(x["text"], fixed.SECTION_NUMBER, 1).alias("label"), x["line"].alias("line")))
+    return F.concat(F.when(F.size(explicit) > 0, explicit).otherwise(titled), dotted)
+
+
+def reference_array(text: Column) -> Column:
+    """``array<struct<line, style, ref, first, last>>`` of every mention of an article or section, ranges too."""
+
+    def of(style: str, pattern: str) -> Column:
+        every = lambda x: F.regexp_extract_all(F.regexp_replace(x["text"], fixed.OWN_NUMBER, ""), F.lit(pattern), F.lit(0))
+        end = lambda r, n: F.regexp_extract(r["ref"], pattern, n)
+        found = F.transform(numbered(text), lambda x: F.transform(every(x), lambda t: F.struct(x["line"].alias("line"), t.alias("ref"))))
+        return F.transform(F.flatten(found), lambda r: F.struct(r["line"].alias("line"), F.lit(style).alias("style"), r["ref"].alias("ref"), end(r, 1).alias("first"), F.when(end(r, 2) == "", end(r, 1)).otherwise(end(r, 2)).alias("last")))
+
+    return F.array_sort(F.concat(*(of(*x) for x in fixed.REFERENCES)))
+
+
+def _order(label: Column) -> Column:
+    """Labels in the order of their numbers: 5.2 before 5.10."""
+    return F.transform(F.split(label, r"\."), lambda x: x.cast("long"))
+
+
+def reference_graph(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id, from_line, from_label, ref, style, to_label, to_line, resolved, cyclic`` of every reference.
+
+    The labels of a document are its own index, so nothing has to be given.  A range has a row for each label that it
+    spans and the document has, and one for each of its ends that the document lacks; a reference that points nowhere is
+    not ``resolved``.  ``from_label`` is that of the section in which it stands (null before the first).  ``cyclic``
+    references are on a way that leads back to their own section.  All within a document's row.
+    """
+    rows = docs.select("doc_id", label_array(F.col(text)).alias("_labels"), reference_array(F.col(text)).alias("_refs"))
+
+    def places(r):
+        own = F.filter("_labels", lambda x: x["style"] == r["style"])
+        inside = F.filter(own, lambda x: (_order(x["label"]) >= _order(r["first"])) & (_order(x["label"]) <= _order(r["last"])))
+        has = lambda end: F.exists(inside, lambda x: x["label"] == end)
+        hit = lambda label, line: F.struct(label.alias("label"), line.cast("int").alias("line"))
+        lost = F.filter(F.array_distinct(F.array(r["first"], r["last"])), lambda e: ~has(e))
+        return F.concat(F.transform(inside, lambda x: hit(x["label"], x["line"])), F.transform(lost, lambda e: hit(e, F.lit(None))))
+
+    def standing(r):
+        return F.array_max(F.transform(F.filter("_labels", lambda x: x["line"] <= r["line"]), lambda x: F.struct(x["line"].alias("line"), x["label"].alias("label"))))
+
+    edges = F.flatten(F.transform("_refs", lambda r: F.transform(places(r), lambda t: F.struct(r["line"].alias("from_line"), standing(r)["label"].alias("from_label"), standing(r)["line"].alias("at"), r["ref"].alias("ref"), r["style"].alias("style"), t["label"].alias("to_label"), t["line"].alias("to_line")))))
+    flat = rows.select("doc_id", edges.alias("_edges"))
+    flat = flat.withColumn("_pairs", F.transform("_edges", lambda e: F.struct(e["at"].alias("a"), e["to_line"].alias("b"))))
+    round_ = map_rows(flat, lambda r: editing.on_cycles([(p["a"], p["b"]) for p in r["_pairs"]]), "_round", "array<boolean>", ["_pairs"])
+    out = round_.select("doc_id", F.explode(F.arrays_zip("_edges", "_round")).alias("z")).select("doc_id", "z._edges.*", F.col("z._round").alias("cyclic"))
+    return out.select("doc_id", "from_line", "from_label", "ref", "style", "to_label", "to_line", F.col("to_line").isNotNull().alias("resolved"), "cyclic")
+
+
+def term_edges(clauses: DataFrame, terms: DataFrame) -> DataFrame:
+    """``doc_id, from_id, to_id``: clauses that use a term that another one of their document defines.
+
+    ``clauses``: ``doc_id, clause_id, start_line, end_line, body``; ``terms``: ``doc_id, term, first_line``.  Both are
+    gathered in the document's row, where the texts are.
+    """
+    own = clauses.groupBy("doc_id").agg(F.collect_list(F.struct("clause_id", "start_line", "end_line", "body")).alias("_c"))
+    said = terms.groupBy("doc_id").agg(F.collect_list(F.struct("term", "first_line")).alias("_t"))
+    home = lambda t: F.filter("_c", lambda c: t["first_line"].between(c["start_line"], c["end_line"]))
+    users = lambda t: F.filter("_c", lambda c: F.contains(c["body"], t["term"]) & ~t["first_line"].between(c["start_line"], c["end_line"]))
+    pairs = F.flatten(F.transform("_t", lambda t: F.flatten(F.transform(home(t), lambda h: F.transform(users(t), lambda u: F.struct(u["clause_id"].alias("from_id"), h["clause_id"].alias("to_id")))))))
+    return own.join(said, "doc_id").select("doc_id", F.explode(F.array_distinct(pairs)).alias("e")).select("doc_id", "e.*")
+
+
+def section_chunks(docs: DataFrame, most: int, text: str = "text", is_boundary=boundary) -> DataFrame:
+    """``doc_id, chunk_no, start_line, end_line, part, sections, body``: whole sections packed into chunks of ``most``
+    characters, in order.
+
+    A section begins at each boundary; what comes before the first is one, too.  A chunk takes sections as long as they fit;
+    a section of more than ``most`` is cut at lines and shares its chunks with no other (``part`` counts them from 1, and is
+    null elsewhere); a line of more than ``most`` is a chunk.  ``sections`` are the chunk's headers, the context in which its
+    text stands.  Line ends count.  Only lengths go to Python.
+    """
+    rows = docs.select("doc_id", lines_of(F.col(text)).alias("_l")).withColumn("_n", F.transform("_l", lambda x: F.length(x) + 1))
+    begins = F.filter(F.transform("_l", lambda x, i: F.when((strip(x) != "") & is_boundary(strip(x)), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_b", begins)
+    kind = "array<struct<start: int, stop: int, part: int>>"
+    cut = map_rows(rows.select("doc_id", "_l", "_b", "_n"), lambda r: [{"start": a, "stop": b, "part": p} for a, b, p in editing.packed(r["_n"], r["_b"], most)], "_cut", kind, ["_n"])
+    each = F.transform("_cut", lambda c, i: F.struct(
+        (i + 1).alias("chunk_no"), (c["start"] + 1).alias("start_line"), c["stop"].alias("end_line"), c["part"].alias("part"),
+        F.transform(F.filter("_b", lambda b: (b < c["stop"]) & (b >= F.coalesce(F.array_max(F.filter("_b", lambda x: x <= c["start"])), c["start"]))), lambda b: strip(F.get(F.col("_l"), b))).alias("sections"),
+        F.array_join(F.slice(F.col("_l"), c["start"] + 1, c["stop"] - c["start"]), "\n").alias("body"),
+    ))
+    return cut.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*")

@@ -103,6 +103,8 @@ class Review:
         own, spark = policies or Policies(), target.sparkSession
         rules = own.retrieval
         modes = own.review.frame(spark) if modes is None else modes
+        if override is not None and modes.where(F.col("mode") == override).isEmpty():
+            raise ValueError(f"no mode is called {override}")
         pairs = retrieve.affinity_pairs(spark, rules.affinity) if pairs is None else pairs
         bank = retrieve.external_only(retrieve.exclude(bank, documents, prefix="", values=rules.excluded, superseded=rules.superseded), external, rules.external_field)
         if as_of is not None and rules.refreshed in bank.columns:
@@ -118,7 +120,7 @@ class Review:
         lost = [c for c in top.columns if c not in target.columns]
         rows = target.join(top.select("clause_id", *lost), "clause_id", "left").withColumn("library_empty", F.col("lib_doc_id").isNull())
         rows = review.comment_texts(review.analyse(rows))
-        rows = review.with_mode(review.resolve_mode(rows.withColumn("_override", F.lit(override).cast("string")), modes, "_override", default=own.review.default).drop("_override"), modes)
+        rows = review.with_mode(review.resolve_mode(rows.withColumn("_override", F.lit(override).cast("string")), modes, "_override", default=own.review.default).drop("_override"), modes, own.review.default)
         return review.tier_acceptance(rows).withColumns({"redline": F.array_contains("redline_scope", F.col("risk_level")), "comment": F.array_contains("comment_scope", F.col("risk_level"))})
 
     external = staticmethod(review.external)

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from docmill.functions import fixed, text
 from docmill.functions.rules import cascade
 from docmill.operators import joins, library, lifecycle, retrieve, review, rounds, structure
-from docmill.streaming import intake
+from docmill.operators.tasks import scratch
+from docmill.sources import docx, keyed, redline
+from docmill.streaming import intake, waits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -341,6 +343,42 @@ def page_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
 
 
+#: Every line behind a label of its own: a chapter, a paragraph or an item, whose number hangs on the line.
+_LABELLED = f"(SELECT doc_id, line_no, line, CASE line_no % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END AS level, line_no // 4 % 5 + length(line) % 2 + 1 AS number FROM ({_LINES}))"
+
+
+@query(
+    f"""WITH l AS (SELECT *, count(*) FILTER (level < 3) OVER w AS n3, count(*) FILTER (level < 4) OVER w AS n4 FROM {_LABELLED} WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+b AS (SELECT *, lag(number) OVER (PARTITION BY doc_id, level, CASE level WHEN 1 THEN 0 WHEN 3 THEN n3 ELSE n4 END ORDER BY line_no) AS before FROM l)
+SELECT doc_id, CAST(line_no AS BIGINT) AS line, level, CAST(number AS BIGINT) AS number, CAST(before AS BIGINT) AS before,
+CASE WHEN before IS NULL AND number = 1 THEN 'first' WHEN before IS NULL THEN 'gap' WHEN number = before + 1 THEN 'next' WHEN number = before THEN 'repeat' WHEN number = 1 THEN 'restart' WHEN number > before THEN 'gap' ELSE 'back' END AS kind FROM b"""
+)
+def list_numbering(spark, sf):
+    """Gaps, restarts and repeats of nested lists."""
+
+    def label(x, i):
+        n = (F.floor((i + 1) / 4) % 5 + F.length(x) % 2 + 1).cast("int").cast("string")
+        return F.when((i + 1) % 3 == 0, F.concat(F.lit("제"), n, F.lit("장 "), x)).when((i + 1) % 3 == 1, F.concat(F.lit("("), n, F.lit(") "), x)).otherwise(F.concat(n, F.lit(". "), x))
+
+    docs = table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(structure.lines_of(F.col("text")), label), "\n").alias("text"))
+    return structure.numbering(docs).select("doc_id", *long("line"), F.col("level"), *long("number", "before"), "kind")
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY doc_id ORDER BY line_no) AS sec FROM (SELECT doc_id, line_no, length(line) + 1 AS len, {_STRIP.format('line')} <> '' AND length({_STRIP.format('line')}) < 40 AS head FROM ({_LINES}))),
+z AS (SELECT *, sum(len) OVER (PARTITION BY doc_id, sec) > 500 AS big FROM l),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS u FROM (SELECT doc_id, sec, big, min(line_no) AS a, max(line_no) AS b, sum(len) AS len FROM z GROUP BY doc_id, sec, big, CASE WHEN big THEN line_no END)),
+r AS (SELECT doc_id, u, sec, big, a, b, len AS used, 1 AS chunk FROM u WHERE u = 1 UNION ALL
+SELECT n.doc_id, n.u, n.sec, n.big, n.a, n.b, CASE WHEN n.big <> r.big OR (n.big AND n.sec <> r.sec) OR used + n.len > 500 THEN n.len ELSE used + n.len END, CASE WHEN n.big <> r.big OR (n.big AND n.sec <> r.sec) OR used + n.len > 500 THEN chunk + 1 ELSE chunk END FROM r JOIN u n ON n.doc_id = r.doc_id AND n.u = r.u + 1),
+c AS (SELECT doc_id, chunk, min(a) AS a, max(b) AS b, bool_or(big) AS big, min(sec) AS sec, count(DISTINCT sec) FILTER (sec > 0) AS sections FROM r GROUP BY doc_id, chunk)
+SELECT doc_id, CAST(chunk AS BIGINT) AS chunk_no, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line, CASE WHEN big THEN CAST(chunk - min(chunk) OVER (PARTITION BY doc_id, sec, big) + 1 AS BIGINT) END AS part, sections FROM c"""
+)
+def section_chunks(spark, sf):
+    """Chunks that end where sections end; a section that does not fit is cut further."""
+    rows = structure.section_chunks(table(spark, sf, "documents"), 500, is_boundary=short)
+    return rows.select("doc_id", *long("chunk_no", "start_line", "end_line", "part"), F.size("sections").cast("long").alias("sections"))
+
+
 @query("SELECT doc_id, CAST(chunk AS BIGINT) + 1 AS chunk_no, CAST(min(line_no) AS BIGINT) AS start_line, CAST(max(line_no) AS BIGINT) AS end_line FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS chunk FROM (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 500 AS piece FROM (" + _LINES + "))) GROUP BY doc_id, chunk")
 def document_chunks(spark, sf):
     return structure.chunks(table(spark, sf, "documents"), 500).select("doc_id", *long("chunk_no", "start_line", "end_line"))
@@ -665,6 +703,13 @@ def paragraph_contains(spark, sf):
     return review.paragraph_contains(docs, items, "doc_id", body="text").groupBy("doc_id").agg(F.min("paragraph_id").alias("paragraph_id"))
 
 
+@query()
+def paragraph_fuzzy(spark, sf):
+    """Whole items inside documents with up to a tenth of their words changed; tests compare it with all distances."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark").select(F.col("item_id").alias("paragraph_id"), "text")
+    return review.paragraph_fuzzy(docs, items, "doc_id", body="text")
+
+
 @query(f"SELECT count(*) AS n, count(m.paragraph_id) AS mapped, round(count(m.paragraph_id) / count(*), 6) AS coverage, count(m.paragraph_id) / count(*) >= 0.9 AS reached FROM documents d LEFT JOIN ({_HOLDS}) m ON d.doc_id = m.doc_id")
 def contains_coverage(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id").join(paragraph_contains(spark, sf), "doc_id", "left")
@@ -700,6 +745,78 @@ def delta_report(spark, sf):
     return rounds.delta_report(_diff(spark, sf))
 
 
+#: Every line of every text behind its number, and what the next round makes of it: some go, some change, others come.
+_NUMBERED = "(SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: i || '. ' || x), chr(10)) AS text FROM documents)"
+_DRAFT = f"(SELECT doc_id, line_no, line_no || '. ' || line AS old, CASE WHEN line_no % 11 = 4 THEN line_no || '. ' || line || ' amended' ELSE line_no || '. ' || line END AS new, line_no % 7 = 3 AS gone FROM ({_LINES}))"
+
+
+def _numbered(spark, sf):
+    said = F.transform(structure.lines_of(F.col("text")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(said, "\n").alias("text"))
+
+
+def _drafts(spark, sf):
+    lines = structure.lines(_numbered(spark, sf)).select("doc_id", F.col("line_no").alias("n"), F.col("line").alias("text"))
+    prior = lines.select("doc_id", (F.col("n") * 2).alias("ordinal"), "text")
+    kept = lines.where("n % 7 <> 3").select("doc_id", (F.col("n") * 2).alias("ordinal"), F.when(F.col("n") % 11 == 4, F.concat("text", F.lit(" amended"))).otherwise(F.col("text")).alias("text"))
+    added = lines.where("n % 5 = 0").select("doc_id", (F.col("n") * 2 + 1).alias("ordinal"), F.concat(F.lit("zqx zqy zqz "), F.col("n").cast("string")).alias("text"))
+    return prior, kept.union(added)
+
+
+@query(
+    f"""SELECT doc_id, CAST(line_no * 2 AS BIGINT) AS prior_no, CASE WHEN NOT gone THEN CAST(line_no * 2 AS BIGINT) END AS current_no, CASE WHEN gone THEN 'removed' WHEN old = new THEN 'unchanged' ELSE 'modified' END AS diff_status, CASE WHEN NOT gone THEN length(new) END AS n_chars FROM {_DRAFT}
+UNION ALL SELECT doc_id, NULL, CAST(line_no * 2 + 1 AS BIGINT), 'added', length('zqx zqy zqz ' || line_no) FROM {_DRAFT} WHERE line_no % 5 = 0"""
+)
+def round_align(spark, sf):
+    """Lines as clauses: what comes or goes shifts nothing."""
+    rows = rounds.align(*_drafts(spark, sf), "doc_id")
+    return rows.select("doc_id", "prior_no", "current_no", "diff_status", F.length("current_text").cast("long").alias("n_chars"))
+
+
+@query(f"SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, length(line) - length(replace(line, ' the ', ' ')) AS deleted, 9 AS inserted, true AS restores FROM ({_LINES})")
+def clause_diff(spark, sf):
+    """A script from each line to one with some words off and others on, which gives both back."""
+    new = F.concat(F.replace("line", F.lit(" the "), F.lit(" ")), F.lit("§amended§"))
+    rows = rounds.word_diff(structure.lines(table(spark, sf, "documents")).withColumn("new", new), "line", "new")
+    chars = lambda op: F.aggregate(F.filter("script", lambda s: s["op"] == op), F.lit(0), lambda n, s: n + F.length(s["text"])).cast("long")
+    restores = (rounds.before(F.col("script")) == F.col("line")) & (rounds.after(F.col("script")) == F.col("new"))
+    return rows.select("doc_id", *long("line_no"), chars("delete").alias("deleted"), chars("insert").alias("inserted"), restores.alias("restores"))
+
+
+_AMENDED = "CASE WHEN line_no % 5 = 2 THEN replace(line, ' the ', ' any ') || '§' ELSE line END"
+
+
+def _redlined(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    place, n = F.col("line_no") - 1, F.col("line_no")
+    edits = structure.lines(docs).where("line_no % 5 = 2 or line_no % 7 = 0").select(
+        "doc_id", F.format_string("line-%06d", "line_no").alias("clause_id"), place.alias("first"), place.alias("last"), F.when(n % 5 == 2, F.concat(F.replace("line", F.lit(" the "), F.lit(" any ")), F.lit("§"))).alias("new_text"),
+        F.when(n % 7 == 0, F.lit("Please explain.")).alias("external_comment"), F.when(n % 10 == 2, F.lit("our fallback")).alias("internal_note"),
+    )
+    return redline.apply(docx.written(docs).select("doc_id", "content"), edits)
+
+
+@query(
+    f"""SELECT doc_id, sha256(string_agg({_AMENDED}, chr(10) ORDER BY line_no)) AS accepted, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS rejected, count(*) FILTER (line_no % 7 = 0) + count(*) FILTER (line_no % 10 = 2) AS comments,
+count(*) FILTER (line_no % 7 = 0) AS external_comments, count(*) FILTER (line_no % 5 = 2 OR line_no % 7 = 0) AS applied, 0 AS skipped FROM ({_LINES}) GROUP BY doc_id"""
+)
+def docx_redline(spark, sf):
+    """Every text as a DOCX file, with tracked changes and comments: both readings of the file, and of the copy for others."""
+    rows = _redlined(spark, sf)
+    ours = redline.readings(rows.select("doc_id", F.size("applied").alias("applied"), F.size("skipped").alias("skipped"), F.col("redlined").alias("content")))
+    theirs = redline.readings(rows.select("doc_id", F.col("clean").alias("content"))).select("doc_id", F.size("comments").alias("external_comments"), F.sha2("accepted", 256).alias("clean"))
+    both = ours.join(theirs, "doc_id").where(F.sha2("accepted", 256) == F.col("clean"))
+    return both.select("doc_id", F.sha2("accepted", 256).alias("accepted"), F.sha2("rejected", 256).alias("rejected"), F.size("comments").cast("long").alias("comments"), *long("external_comments", "applied", "skipped"))
+
+
+@query(f"WITH {_cut(_NUMBERED, 'length(header) < 40')} SELECT doc_id, 'clause-' || lpad(CAST(clause_no AS VARCHAR), 3, '0') AS clause_id, CAST(start_line - 1 AS BIGINT) AS first, CAST(end_line - 1 AS BIGINT) AS last FROM s")
+def docx_clause_map(spark, sf):
+    """Each clause's paragraphs in the DOCX file of its document."""
+    docs = _numbered(spark, sf)
+    clauses = structure.clauses(docs, is_boundary=short, rules=[], governance=None, chapter=None)
+    return redline.clause_map(clauses, redline.paragraph_places(docx.written(docs))).select("doc_id", "clause_id", *long("first", "last"))
+
+
 @query("SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prior_role FROM conversations")
 def prior_risk(spark, sf):
     return rounds.prior_value(table(spark, sf, "conversations"), ["conv_id"], "turn", "role").select("conv_id", "turn", "role", "prior_role")
@@ -716,6 +833,37 @@ def latest_round(spark, sf):
     return rounds.latest_round(table(spark, sf, "conversations"), "conv_id", "turn")
 
 
+#: Every line as a section that refers to one or three others of its text, by the line's own length.
+_SECTIONED = f"(SELECT doc_id, CAST(line_no AS BIGINT) AS k, line, length(line) % total + 1 AS a, CASE WHEN line_no % 4 = 0 THEN length(line) % total + 3 ELSE length(line) % total + 1 END AS b, total FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM ({_LINES})))"
+_EDGES = f"SELECT doc_id, k, CASE WHEN a = b THEN 'Section ' || a ELSE 'Sections ' || a || ' to ' || b END AS ref, t, t <= total AS resolved FROM (SELECT *, unnest(CASE WHEN b <= total THEN range(a, b + 1) ELSE list_append(range(a, total + 1), b) END) AS t FROM {_SECTIONED})"
+
+
+def _sectioned(spark, sf):
+    lines = structure.lines_of(F.col("text"))
+    a = lambda x: F.length(x) % F.size("_l") + 1
+    ref = lambda x, i: F.when((i + 1) % 4 == 0, F.concat(F.lit("Sections "), a(x).cast("string"), F.lit(" to "), (a(x) + 2).cast("string"))).otherwise(F.concat(F.lit("Section "), a(x).cast("string")))
+    said = F.transform("_l", lambda x, i: F.concat(F.lit("Section "), (i + 1).cast("string"), F.lit(". "), x, F.lit(" (see "), ref(x, i), F.lit(")")))
+    return table(spark, sf, "documents").withColumn("_l", lines).select("doc_id", F.array_join(said, "\n").alias("text"))
+
+
+@query(
+    f"""WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT doc_id, k, t FROM e WHERE resolved UNION SELECT r.doc_id, r.k, e.t FROM r JOIN e ON r.doc_id = e.doc_id AND r.t = e.k WHERE e.resolved)
+SELECT e.doc_id, e.k AS from_line, CAST(e.k AS VARCHAR) AS from_label, e.ref, CAST(e.t AS VARCHAR) AS to_label, CASE WHEN e.resolved THEN CAST(e.t AS BIGINT) END AS to_line, e.resolved, e.resolved AND (e.t = e.k OR r.k IS NOT NULL) AS cyclic FROM e LEFT JOIN r ON e.doc_id = r.doc_id AND e.t = r.k AND e.k = r.t"""
+)
+def reference_graph(spark, sf):
+    """References resolved by the labels of their own document, ranges and those that point nowhere or in circles."""
+    return structure.reference_graph(_sectioned(spark, sf)).select("doc_id", *long("from_line"), "from_label", "ref", "to_label", *long("to_line"), "resolved", "cyclic")
+
+
+@query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT doc_id, k FROM {_SECTIONED} WHERE length(line) % 13 = 0 UNION SELECT e.doc_id, e.k FROM r JOIN e ON r.doc_id = e.doc_id AND r.k = e.t WHERE e.resolved) SELECT doc_id, k AS clause FROM r")
+def affected_clauses(spark, sf):
+    """What a change of some sections reaches, over any number of references."""
+    graph = structure.reference_graph(_sectioned(spark, sf)).where("resolved")
+    edges = graph.select("doc_id", F.col("from_label").alias("from_id"), F.col("to_label").alias("to_id"))
+    changed = structure.lines(table(spark, sf, "documents")).where(F.length("line") % 13 == 0).select("doc_id", F.col("line_no").cast("string").alias("clause_id"))
+    return rounds.affected(changed, edges).select("doc_id", F.col("clause_id").cast("long").alias("clause"))
+
+
 @query("SELECT user_id, arg_max(event_type, (ts, event_type)) AS last_step, max(ts) AS at FROM events GROUP BY user_id")
 def resume_point(spark, sf):
     return rounds.resume_point(table(spark, sf, "events"), "user_id", "event_type", "ts")
@@ -749,9 +897,7 @@ def library_search(spark, sf):
 @query("SELECT DISTINCT sha256(text) AS sha256 FROM documents")
 def intake_stream(spark, sf):
     """Contents that arrive as a stream, each once; the same as in one batch."""
-    from uuid import uuid4
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)) + f"/docmill/stream-{uuid4().hex}"
+    base = scratch(spark, "stream")
     docs = table(spark, sf, "documents")
     # the table is a file or a folder of files; a stream takes folders and patterns
     stream = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parquet*")
@@ -759,15 +905,49 @@ def intake_stream(spark, sf):
     return spark.read.schema("sha256 string").parquet(f"{base}/rows")
 
 
-def _own_folder(spark) -> str:
-    """A folder of this machine, which only a session whose executors are threads of this process may use."""
-    import tempfile
+@query("SELECT sha256(text) AS sha256, max(doc_id) AS doc_id FROM documents GROUP BY 1")
+def index_stream(spark, sf):
+    """An index of contents that a stream keeps up to date: a delta for each micro-batch, the last row of a key counts."""
+    base, docs = scratch(spark, "index"), table(spark, sf, "documents")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parquet*")
+    index = keyed.KeyedIndex(spark, f"{base}/index", "sha256", f"sha256 string, doc_id {dict(docs.dtypes)['doc_id']}")
+    intake.refresh_index(stream.select(F.sha2("text", 256).alias("sha256"), "doc_id"), index, f"{base}/state", "doc_id").awaitTermination()
+    return index.read()
+
 
-    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-    base = tempfile.mkdtemp(prefix="docmill-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def index_repair(spark, sf):
+    """An index in which some rows are wrong, some are too many and some are missing, made equal to what is stored."""
+    rows = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    index = keyed.KeyedIndex(spark, scratch(spark, "index"), "doc_id", "doc_id long, sha256 string")
+    index.upsert(rows.where("doc_id % 41 <> 5"))
+    index.upsert(rows.where("doc_id % 97 = 0").select((F.col("doc_id") * F.when(F.col("doc_id") % 2 == 0, -1).otherwise(1)).alias("doc_id"), F.lit("damaged").alias("sha256")))
+    index.repair(rows)
+    return index.read()
+
+
+@query(
+    """WITH e AS (SELECT user_id AS asset, ts AS x, CASE event_type WHEN 'signup' THEN 'staged' ELSE 'decided' END AS event FROM events WHERE event_type IN ('signup', 'purchase')),
+t AS (SELECT *, count(*) FILTER (event = 'decided') OVER (PARTITION BY asset ORDER BY x, event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turn FROM e),
+p AS (SELECT asset, turn, min(x) FILTER (event = 'staged') AS since, max(x) FILTER (event = 'decided') AS decided FROM t GROUP BY ALL),
+q AS (SELECT *, since + INTERVAL 12 HOUR AS due, coalesce(decided, (SELECT date_trunc('millisecond', max(x)) FROM e)) > since + INTERVAL 12 HOUR AS reminded FROM p WHERE since IS NOT NULL)
+SELECT asset, since, 'reminder' AS event, due AS "at", false AS late FROM q WHERE reminded UNION ALL SELECT asset, since, 'decided', decided, reminded FROM q WHERE decided IS NOT NULL"""
+)
+def wait_states(spark, sf):
+    """Users who wait from a sign-up to their next purchase, as a stream with a state and a timer for each of them."""
+    base, rows = scratch(spark, "waits"), table(spark, sf, "events")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf}/events.parquet*").where("event_type in ('signup', 'purchase')")
+    events = stream.select(F.col("user_id").alias("asset"), F.when(F.col("event_type") == "signup", "staged").otherwise("decided").alias("event"), F.col("ts").cast("timestamp").alias("at"))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, waits.STORE)
+    try:
+        out = waits.waits(events, days=0.5)
+        intake.to_table(out, f"{base}/rows", f"{base}/state").awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    kind = dict(rows.dtypes)["ts"]
+    return spark.read.schema(out.schema).parquet(f"{base}/rows").withColumns({c: F.col(c).cast(kind) for c in ("since", "at")})
 
 
 # --- extensions of the platform, without a counterpart ------------------------------------------------------------
@@ -819,6 +999,19 @@ def range_join(spark, sf):
     return found.groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS ordinal, count(*) OVER () AS of FROM documents")
+def ordinals(spark, sf):
+    """Places over a whole table, without a task that holds all of it."""
+    return joins.with_ordinals(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id").select("doc_id", "ordinal", "of")
+
+
+@query("SELECT p_partkey, l_orderkey, l_linenumber FROM part JOIN lineitem ON p_partkey = l_partkey AND p_size < l_quantity + 4 AND l_quantity < p_size + 6")
+def overlap_join(spark, sf):
+    parts = table(spark, sf, "part").withColumn("p_end", F.col("p_size") + 6)
+    items = table(spark, sf, "lineitem").withColumn("l_end", F.col("l_quantity") + 4)
+    return joins.overlapping(parts, items, ("p_partkey", "l_partkey"), ("p_size", "p_end", "l_quantity", "l_end"), 5).select("p_partkey", "l_orderkey", "l_linenumber")
+
+
 @query("SELECT user_id, s AS session, count(*) AS n FROM (SELECT user_id, CAST(sum(CASE WHEN g IS NULL OR g > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS s FROM (SELECT *, date_diff('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS g FROM events)) GROUP BY ALL")
 def session_events(spark, sf):
     rows = joins.sessions(table(spark, sf, "events"), "user_id", "ts", ["ts", "event_id"], 3600)

@@ -116,7 +116,18 @@ def build(paragraphs: list[tuple[str, str]], tables: list[list[list[str]]] | Non
     body = "".join(p(*x) for x in paragraphs)
     for t in tables or []:
         body += "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{p('', c)}</w:tc>" for c in r) + "</w:tr>" for r in t) + "</w:tbl>"
+    head, office = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>', "http://schemas.openxmlformats.org"
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f'<?xml version="1.0"?><w:document xmlns:w="{W[1:-1]}"><w:body>{body}</w:body></w:document>')
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{office}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>')
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{office}/package/2006/relationships"><Relationship Id="rId1" Type="{office}/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>')
+        z.writestr("word/document.xml", f'{head}<w:document xmlns:w="{W[1:-1]}"><w:body>{body}</w:body></w:document>')
     return out.getvalue()
+
+
+def written(docs: DataFrame, text: str = "text", name: str = "content") -> DataFrame:
+    """``docs`` with a DOCX file of each text, a paragraph for a line; characters that XML forbids become U+FFFD."""
+    from docmill.operators.tasks import map_rows
+    from docmill.sources.redline import spelled
+
+    return map_rows(docs, lambda row: build([("", line) for line in spelled(row[text] or "").split("\n")]), name, "binary", limit=64)

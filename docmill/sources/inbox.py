@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.text import extension, stem, strip_html
+from docmill.operators.joins import with_ordinals
 
 from . import docx
 
@@ -30,8 +31,7 @@ def listing(spark: SparkSession, folder: str, only_docx: bool = False) -> DataFr
 
 def in_order(files: DataFrame) -> DataFrame:
     """The listing by path, without content: ``path, file_name, ext, length, ordinal, of``."""
-    rows = files.select("path", "file_name", "ext", "length")
-    return rows.withColumn("ordinal", F.row_number().over(Window.orderBy("path"))).withColumn("of", F.count("*").over(Window.partitionBy(F.lit(1))))
+    return with_ordinals(files.select("path", "file_name", "ext", "length"), "path")
 
 
 def supported(files: DataFrame, formats: tuple[str, ...] = SUPPORTED) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from docmill.sources.keyed import KeyedIndex
+
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -47,12 +49,35 @@ def windowed(stream: DataFrame, at: str, keys: list[str], width: str, late: str)
     return stream.withWatermark(at, late).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
-def refresh_index(stream: DataFrame, path: str, checkpoint: str, merge_key: str, updated_at: str) -> StreamingQuery:
-    """Keep an index up to date with a stream of its rows: each micro-batch makes one new version of it."""
-    from docmill.sources import sinks
+def refresh_index(stream: DataFrame, index: KeyedIndex, checkpoint: str, order: str | None = None, name: str = "rows") -> StreamingQuery:
+    """Keep an index up to date with a stream of its rows: each micro-batch writes its own rows as a delta, once.
+
+    Of rows of a batch with one key the last by ``order`` counts.  ``name`` tells streams into one index apart.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        index.upsert(batch, order, once=f"{name}-{epoch}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def new_contents(stream: DataFrame, index: KeyedIndex, path: str, checkpoint: str, key: str, order: str, name: str = "new") -> StreamingQuery:
+    """Write the rows of a stream whose ``key`` no earlier run has seen, each key once, to ``path/batch=N``.
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        sinks.index(batch.dropDuplicates([merge_key]), path, updated_at, merge_key)
+    What has been seen is the index, not the state of the query, so it can be compacted, repaired and shared; a micro-batch
+    reads the buckets its keys fall into.  Of rows of a batch with one key the first by ``order`` is written.  A batch that
+    is repeated after a failure gives the same rows.
+    """
+    columns = stream.columns
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        once = f"{name}-{epoch}"
+        if once in index.state().done:
+            return
+        first = batch.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(F.col(order).alias("_order"), *(F.col(c) for c in columns))).alias("r")).select("r.*").select(*columns)
+        saved_at = f"{path}/batch={epoch}"
+        index.unknown(first, key).write.mode("overwrite").parquet(saved_at)
+        index.upsert(batch.sparkSession.read.schema(stream.schema).parquet(saved_at), once=once)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

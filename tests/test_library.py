@@ -9,7 +9,7 @@ from docmill.functions import fixed, text
 from docmill.functions.rules import first_match
 from docmill.operators import library, lifecycle, retrieve, review, rounds, structure
 from docmill.plans.library import Library, Review
-from docmill.sources import docx, inbox, policy, sinks
+from docmill.sources import docx, inbox, keyed, policy, sinks
 from docmill.streaming import intake
 
 #: A folder of known packages (clean.md, clauses, structure, manifest); set to compare with them.
@@ -235,7 +235,7 @@ def test_docx_and_inbox(spark, tmp_path):
     for name, content in (("A.DOCX", data), ("b.docx", b"broken"), ("c.html", b"<p>x</p>"), ("d.txt", "글".encode()), ("e.pdf", b"%PDF"), ("f.md", b""), (".gitkeep", b"")):
         (tmp_path / "in" / name).write_bytes(content)
     files = inbox.listing(spark, f"{tmp_path}/in")
-    assert [(r.file_name, r.ordinal, r.of) for r in inbox.in_order(files).collect()] == [(n, i + 1, 5) for i, n in enumerate(["A.DOCX", "b.docx", "c.html", "d.txt", "e.pdf"])]
+    assert [(r.file_name, r.ordinal, r.of) for r in inbox.in_order(files).orderBy("ordinal").collect()] == [(n, i + 1, 5) for i, n in enumerate(["A.DOCX", "b.docx", "c.html", "d.txt", "e.pdf"])]
     assert "Exchange" not in files._jdf.queryExecution().executedPlan().toString()
     assert {r.file_name: r.skip_reason for r in inbox.supported(files).collect() if r.skip_reason} == {"e.pdf": "unsupported"}
     got = {r.file_name: r for r in inbox.normalised(files).collect()}
@@ -434,10 +434,11 @@ def test_index_from_a_stream_and_audit(spark, tmp_path):
     said = []
     listener = intake.audit_listener(spark, said.append)
     src, schema = f"{tmp_path}/src", "doc_id string, v int"
+    index = keyed.KeyedIndex(spark, f"{tmp_path}/index", "doc_id", schema)
     for rows in ([("a", 1), ("b", 1)], [("b", 2), ("c", 2)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        intake.refresh_index(intake.rows(spark, src, schema), f"{tmp_path}/index", f"{tmp_path}/state", "doc_id", "now").awaitTermination()
-    assert {r.doc_id: r.v for r in sinks.read_index(spark, f"{tmp_path}/index").collect()} == {"a": 1, "b": 2, "c": 2}
+        intake.refresh_index(intake.rows(spark, src, schema), index, f"{tmp_path}/state").awaitTermination()
+    assert {r.doc_id: r.v for r in index.read().collect()} == {"a": 1, "b": 2, "c": 2}
     spark._jsc.sc().listenerBus().waitUntilEmpty(20_000)
     spark.streams.removeListener(listener)
     assert {"start", "end"} <= {x["event"] for x in said}
