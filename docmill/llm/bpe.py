@@ -5,6 +5,10 @@ search over the sorted pair keys, takes each word's lowest rank, and joins all i
 left to right.  Words with no pair left leave the array.  White space never joins two words, so texts are split
 at it first and each distinct word is encoded once while a worker's bounded table
 holds it.
+
+What a letter, a number or a capital is depends on the Unicode version of whoever asks.  So a character beyond ASCII is
+put to the library's own normaliser and pre-tokenizer when a worker first meets it; tokens with one on which they and the
+rules here disagree, or that is younger than the normal forms that all versions share, are encoded by the library.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ SPACE = regex.compile(r"\p{White_Space}+")
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Marks that end a token and are one word after a letter.
 MARKS = ".,;:!?#$%&*"
+#: A line of letters and marks alone, or any other.
+PLAIN = re.compile(rf"([^\W\d_]+)([{re.escape(MARKS)}]*)\n|(.*)\n")
 NO_RANK = np.int64(2**31 - 1)
 
 
@@ -42,6 +48,31 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def normal(text: str) -> str:
+    """The vocabulary's normal form, but for white space: composed, and each character in lower case by itself."""
+    text = unicodedata.normalize("NFC", text)
+    return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+
+
+def library(path: str):
+    """The library's own tokenizer of a vocabulary file, without truncation or padding."""
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
+def parts(library, text: str) -> list[str]:
+    """The words that the library's pre-tokenizer cuts a normalised text into."""
+    spans = (at for _, at in library.pre_tokenizer.pre_tokenize_str(text))
+    return [text[a:b] for a, b in spans]
+
+
 class Bpe:
     """A vocabulary file of the word-end kind: ids of words, and words of ids."""
 
@@ -63,6 +94,7 @@ class Bpe:
         for name, i in (vocab | self.special).items():
             self.token[i] = name
         self.known, self.words = Recent(TABLE_WORDS), Recent(TABLE_WORDS)
+        self.library, self.alike, self.letters = library(path), {}, set()
 
     def look_up(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and product of the pairs that begin at ``at``; a word's last symbol begins none."""
@@ -110,28 +142,56 @@ class Bpe:
         stops = (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
         return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
-    def cut(self, token: str) -> list[str | int]:
-        """The words of a token without white space, in its normal form, and ids of special tokens."""
-        body = token.rstrip(MARKS)
-        if body.isalpha() and body.isascii():
-            return [body.lower(), token[len(body) :]] if len(body) < len(token) else [body.lower()]
+    def agrees(self, c: str) -> bool:
+        """Whether the library takes this character as the rules here do, between others of each kind."""
+        own = self.alike.get(c)
+        if own is None:
+            known = unicodedata.ucd_3_2_0.category(c) != "Cn"
+            forms = (c, f"a{c}a", f"!{c}!", f"1{c}1")
+            own = self.alike[c] = known and all(self.library.normalizer.normalize_str(x) == SPACE.sub(" ", normal(x)) and parts(self.library, normal(x)) == WORDS.findall(normal(x)) for x in forms)
+        return own
+
+    def is_letter(self, c: str) -> bool:
+        """Whether a character is a letter to the library, too, and stays one in the normal form whatever stands beside it."""
+        return c != "Σ" and c.isalpha() and self.agrees(c) and normal(c).isalpha()
+
+    def cut(self, token: str) -> list[str | int] | None:
+        """The words of a token without white space, in its normal form, and ids of special tokens; None if the library
+        must be asked."""
+        if not token.isascii() and not all(map(self.agrees, token)):
+            return None
         out: list[str | int] = []
         for piece in self.at_special.split(token) if "<|" in token else (token,):
             if piece in self.special:
                 out.append(self.special[piece])
                 continue
-            text = unicodedata.normalize("NFC", piece)
-            out += WORDS.findall(text.lower() if "Σ" not in text else "".join(c.lower() for c in text))
+            out += WORDS.findall(normal(piece))
         return out
 
     def learn(self, tokens: set[str]) -> None:
         """Put the ids of these texts, which hold no white space, into the table."""
-        parts = [(t, self.cut(t)) for t in tokens]
-        fresh = list(self.words.missing({w for _, own in parts for w in own if isinstance(w, str)}))
+        own, letters = list(tokens), self.letters
+        beyond = {c for c in set("".join(own)) if not c.isascii()}
+        letters |= {c for c in beyond - letters if self.is_letter(c)}
+        others = beyond - letters
+        slow = [] if not others else [t for t in own if not others.isdisjoint(t)]
+        own = own if not others else [t for t in own if others.isdisjoint(t)]
+        # most tokens are letters that stay letters, and perhaps marks: two words at most, found in all of them at once
+        found = PLAIN.findall(normal("\n".join(own)) + "\n") if own else []
+        slow += [t for t, (_, _, rest) in zip(own, found, strict=True) if rest]
+        parts = [(t, self.cut(t)) for t in slow]
+        met = {x for w, end, _ in found for x in (w, end)}
+        met.update(w for _, cut in parts for w in cut or () if isinstance(w, str))
+        met.discard("")
+        fresh = list(self.words.missing(met))
         self.words.update(zip(fresh, self.merge([w.encode() for w in fresh]), strict=True))
         get = self.words.__getitem__
-        for token, own in parts:
-            self.known[token] = get(own[0]) if len(own) == 1 and isinstance(own[0], str) else b"".join(get(w) if isinstance(w, str) else w.to_bytes(4, "little") for w in own)
+        self.known.update((t, get(w) + get(end) if end else get(w) if w else b"") for t, (w, end, _) in zip(own, found, strict=True))
+        for token, cut in parts:
+            if cut is None:
+                self.known[token] = np.array(self.library.encode(token, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            self.known[token] = get(cut[0]) if len(cut) == 1 and isinstance(cut[0], str) else b"".join(get(w) if isinstance(w, str) else w.to_bytes(4, "little") for w in cut)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""

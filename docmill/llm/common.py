@@ -99,9 +99,9 @@ class Recent(dict):
     def missing(self, keys: set) -> set:
         """Those of ``keys`` that must be made; what the old generation has is taken over."""
         self.turn()
-        fresh, old = keys - self.keys(), self.old
+        fresh, old = keys.difference(self), self.old
         if old:
-            for key in fresh & old.keys():
+            for key in [k for k in fresh if k in old]:
                 self[key] = old[key]
                 fresh.discard(key)
         return fresh

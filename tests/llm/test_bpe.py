@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,3 +37,19 @@ def test_frame(spark):
     assert [r.n_tokens for r in got] == [len(ids(t or "")) for _, t, _ in rows]
     assert got[1].ids_sha256 == got[1].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_every_code_point():
+    """Characters of every plane, between letters and between signs; unassigned ones, too."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 11 == 0 or 0xE0000 <= c < 0xE0200)]
+    for start in range(0, len(points), 20000):
+        made = [f"ab{chr(c)}cd !{chr(c)}.1{chr(c)}" for c in points[start : start + 20000]]
+        for text, raw, want in zip(made, bpe(PATH).encode(made), LIB.encode_batch(made, add_special_tokens=False), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == want.ids, ascii(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet="aé'ÖΣİß.1 ", max_size=8), st.text(max_size=4)), max_size=8))
+def test_pieces_of_all_planes(parts):
+    text = "".join(parts)
+    assert ids(text) == LIB.encode(text, add_special_tokens=False).ids
