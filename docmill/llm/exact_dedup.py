@@ -7,9 +7,9 @@ bucket of level d-1, and a prefix stops doubling at the first level at which its
 keys; while a bucket is overfull at the finest level, the directory doubles on.  Buckets go to owner tasks by range
 and are written, sorted, as the files of the index.
 
-Documents then probe the index by key and salt: an entry stands once under every salt that a copy of its text has, at
-most ``SALTS`` of them, so the copies of one text meet it in many tasks.  In a probe a text's 256-bit digest stands
-for its bytes.
+Documents then probe the index: the directory says which bucket a key's slot belongs to, and bucket, key and salt are
+the key of the join.  An entry stands once under every salt that a copy of its text has, at most ``SALTS`` of them, so
+the copies of one text meet it in many tasks.  In a probe a text's 256-bit digest stands for its bytes.
 
 Everything is DataFrame operations; no Python runs on executors.
 """
@@ -53,18 +53,22 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int
         bits += STEP
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index, read from its files: one row per distinct text, in owner tasks by range of buckets."""
+def located(rows: DataFrame, slots: DataFrame, bits: int) -> DataFrame:
+    """``rows`` (with ``key``) and the ``bucket`` and ``depth`` that the directory gives their keys."""
+    slots = F.broadcast(slots) if slots.count() <= SLOTS_SENT else slots
+    return rows.withColumn("slot", F.shiftrightunsigned("key", 64 - bits)).join(slots, "slot").drop("slot")
+
+
+def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, int]:
+    """The index, read from its files: one row per distinct text, in owner tasks by range of buckets; its directory, and
+    the bits that the directory uses."""
     rows = texts(docs).select("doc_id", "text", F.xxhash64("text").alias("key"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce(salt(F.col("doc_id")), F.lit(0)))
     groups = rows.groupBy("key", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"), F.bit_or(one).alias("salts"))
     entries = saved(groups.select("key", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id", "salts"), "dedup-entries")
     slots, bits = directory(entries.select("key").distinct(), capacity)
-    if slots.count() <= SLOTS_SENT:
-        slots = F.broadcast(slots)
-    placed = entries.withColumn("slot", F.shiftrightunsigned("key", 64 - bits)).join(slots, "slot")
-    chain = placed.select("bucket", "depth", "key", "text_sha256", "group_size", "keep_id", "salts")
-    return saved(chain.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "text_sha256"), "dedup-index")
+    chain = located(entries, slots, bits).select("bucket", "depth", "key", "text_sha256", "group_size", "keep_id", "salts")
+    return saved(chain.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "text_sha256"), "dedup-index"), slots, bits
 
 
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -76,18 +80,18 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     row of the group has one (then ``keep_id`` is null and each is kept).  An empty table gives an empty result; other
     columns are ignored.
     """
-    index = build_index(docs, capacity)
+    index, slots, bits = build_index(docs, capacity)
     rows = texts(docs).select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256")).withColumn("salt", F.coalesce(salt(F.col("doc_id")), F.lit(0)))
     bit = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)
-    entries = index.select("key", F.col("text_sha256").alias("sha"), "group_size", "keep_id", F.explode(bit).alias("salt"))
-    found = rows.join(entries, ["key", "salt"]).where(F.col("sha") == F.col("text_sha256"))
+    entries = index.select("bucket", "key", F.col("text_sha256").alias("sha"), "group_size", "keep_id", F.explode(bit).alias("salt"))
+    found = located(rows, slots, bits).join(entries, ["bucket", "key", "salt"]).where(F.col("sha") == F.col("text_sha256"))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The documents that stay, with all their columns; which ones those are: see ``exact_dedup``.  Of rows that
     repeat the kept ``doc_id`` one stays; of texts that only rows without a ``doc_id`` have, each row."""
-    keep = build_index(docs, capacity).select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    keep = build_index(docs, capacity)[0].select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
     same = docs["doc_id"].eqNullSafe(keep["_keep"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == keep["_sha"])
     return without_repeats(docs.join(keep, same, "left_semi"), docs)
 

@@ -2,9 +2,8 @@
 
 The ``VOCABULARY`` most frequent words are cut into classes of about equal mass, all others are one more class; a
 class of several words is cut again in the same way, down to single words.  A token's probability is the product of
-the choices on the way to its word, each a softmax over weights of hashed features: the word before and the one before
-that (a skip), each together with the node where the choice is made, and at the root both words.  Only within the last class,
-of the words outside the vocabulary, is it an add-one estimate with one share for unseen words, so the probabilities
+the choices on the way to its word, each a softmax over weights of hashed features: the word before, the one before that
+(a skip), and both words, each together with the node where the choice is made.  Only within the last class, of the words outside the vocabulary, is it an add-one estimate with one share for unseen words, so the probabilities
 of all tokens sum to one.  The rows of weights grow with the distinct words counted, from ``HASHED`` to
 ``HASHED_MOST``, which is what a worker holds and a task sends.
 
@@ -34,7 +33,7 @@ VOCABULARY, CLASSES, HASHED, ROUNDS = 200_000, 24, 1 << 14, 2
 STEP, RATE, ROWS = 8192, 0.5, 256
 #: Most rows of weights; distinct words to a row below that; tokens to a task of a round, at least where there are
 #: more tasks than cores (a task sends the rows it met, so small tasks would send more than they read).
-HASHED_MOST, LOAD, TASK = 1 << 17, 4, 2_000_000
+HASHED_MOST, LOAD, TASK = 1 << 18, 4, 2_000_000
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
 #: Endings of words outside the vocabulary are features of their own.
@@ -142,8 +141,8 @@ class Model:
 
     def choices(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The choices on the way to each token, those at the root first: the token each belongs to, rows of weights,
-        the node and the branch taken.  Rows come in three lots: for every choice that of the word before, for every
-        choice that of the one before that, and for choices at the root that of both words."""
+        the node and the branch taken.  Rows come in three lots, each with one for every choice: of the word before, of
+        the one before that, and of both words."""
         own = np.minimum(ids[at], len(self.place))
         start, below, n = self.start[own], self.depth[own] - 1, np.arange(len(at))
         token = np.r_[n, np.repeat(n, below)]
@@ -153,7 +152,7 @@ class Model:
         one *= np.uint64(0x9E3779B97F4A7C15)
         two *= np.uint64(0xC2B2AE3D27D4EB4F)
         here = node.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
-        h = np.concatenate([one[token] + here, two[token] + here + np.uint64(2), one + two + np.uint64(1)])
+        h = np.concatenate([one[token] + here, two[token] + here + np.uint64(2), (one + two + np.uint64(1))[token] + here])
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return token, (h >> np.uint64(64 - len(self.weights).bit_length() + 1)).astype(np.int64), node, self.branches[way]
@@ -163,7 +162,7 @@ class Model:
         w, m = self.weights, len(node)
         z = np.take(w, rows[:m], axis=0)
         z += np.take(w, rows[m : 2 * m], axis=0)
-        z[: len(rows) - 2 * m] += np.take(w, rows[2 * m :], axis=0)
+        z += np.take(w, rows[2 * m :], axis=0)
         z += np.take(self.bias, node, axis=0)
         # kept below the largest number a float can hold; weights of that size would need millions of steps
         np.minimum(z, 80, out=z)

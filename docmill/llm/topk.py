@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, saved, table
-
-#: Bits of a cell; queries in a block; entries in a part of the file.
-BITS, QUERIES, PART = 6, 8192, 16384
+from .common import arrow, matrix, saved, table, whole_vectors
+
+#: Bits of a cell; queries in a block and entries in a part of the file at most; entries in a part at least, where fewer
+#: parts would leave cores idle.  Every query goes to every part and every entry to every block, so both are as large as a
+#: task can hold (about 16 MB of cells and 32 MB of queries).
+BITS, QUERIES, PART, PART_LEAST = 6, 1 << 16, 1 << 18, 1 << 14
+#: Bounds that a task holds at one time.
+BOUNDS = 1 << 22
 #: Candidates of a query that are read first, for each of its k; lots of a part's candidates.
 FIRST, LOTS = 4, 16
 #: What rounding of floating-point bounds may amount to, as a share of the largest sum that can arise.
@@ -31,9 +35,7 @@ ROUNDING = 2.0**-40
 
 def whole(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """``vec_id, q`` (array of long): floor(scale * x) of the vectors that take part."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    usable = F.col("embedding").isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return vectors.where(usable & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, lambda v: F.floor(v * scale)).alias("q"))
+    return whole_vectors(vectors.where("vec_id is not null"), scale)
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
@@ -58,18 +60,6 @@ def grid(entries: DataFrame, n_entries: int) -> tuple[np.ndarray, np.ndarray, np
     return lo, np.maximum(1, -(-(hi - lo + 1) // (1 << BITS))), np.maximum(np.abs(lo), np.abs(hi))
 
 
-def matrix(column, dims: int) -> np.ndarray:
-    """An Arrow list column as rows of ``dims`` numbers; shorter vectors end in zeros."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if len(lengths) and (lengths == dims).all():
-        return flat.reshape(-1, dims)
-    out = np.zeros((len(lengths), dims), np.int64)
-    out[np.arange(dims)[None, :] < lengths[:, None]] = flat
-    return out
-
-
 def approximation(entries: DataFrame, lo: np.ndarray, width: np.ndarray, parts: int) -> DataFrame:
     """``entry, part, cells, more``: a byte for each component's cell, and how many ids the entry stands for."""
     schema = "entry long, part long, cells binary, more int"
@@ -108,16 +98,17 @@ def scan(cells: DataFrame, queries: DataFrame, model: tuple, k: int, parts: int,
         base, slack = q @ (lo + half), np.abs(q) @ half + ROUNDING * (np.abs(q) @ (largest + width.astype(np.float64)))
         steps, out = q * width, []
         # queries in small lots, so that the table of bounds stays small
-        for a in range(0, len(ids), 256):
-            mid = base[a : a + 256, None] + steps[a : a + 256] @ cell.T
+        lot = max(1, BOUNDS // len(entry))
+        for a in range(0, len(ids), lot):
+            mid = base[a : a + lot, None] + steps[a : a + lot] @ cell.T
             if second:
-                high = mid + slack[a : a + 256, None]
-                i, j = np.nonzero(high >= left.column("reach").to_numpy()[a : a + 256, None])
+                high = mid + slack[a : a + lot, None]
+                i, j = np.nonzero(high >= left.column("reach").to_numpy()[a : a + lot, None])
                 out.append({"query_id": ids[a + i], "part": np.full(len(i), right.column("part")[0].as_py()), "entry": entry[j], "bound": high[i, j]})
             else:
-                low = mid - slack[a : a + 256, None]
+                low = mid - slack[a : a + lot, None]
                 # an entry with one id may be the query itself, which is no candidate
-                low[(entry[None, :] == alone[a : a + 256, None]) & (more[None, :] == 1)] = -np.inf
+                low[(entry[None, :] == alone[a : a + lot, None]) & (more[None, :] == 1)] = -np.inf
                 n = min(k, low.shape[1])
                 best = -np.partition(-low, n - 1, axis=1)[:, :n]
                 i, j = np.nonzero(np.isfinite(best))
@@ -167,7 +158,7 @@ def refine(found: DataFrame, entries: DataFrame, queries: DataFrame, dims: int,
     return exact.select("query_id", "lot", "bound", "ids", "q", "wanted").mapInArrow(run, schema)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block_size: int = QUERIES, part_size: int = PART) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block_size: int = QUERIES, part_size: int | None = None) -> DataFrame:
     """The ``k`` best candidates of every query: ``query_id, rank, vec_id, score``.
 
     ``queries`` has rows of ``vectors``; candidates are all rows but the query's own id.  Ties go to the smaller
@@ -184,7 +175,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block_size: int =
     if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     model = grid(entries, n_entries)
-    parts, blocks, dims = -(-n_entries // part_size), -(-n_queries // block_size), len(model[0])
+    blocks, dims, pieces = -(-n_queries // block_size), len(model[0]), lambda size: -(-n_entries // size)
+    busy = -(-4 * spark.sparkContext.defaultParallelism // blocks)
+    parts = pieces(part_size) if part_size else max(pieces(PART), min(pieces(PART_LEAST), busy))
     cells = saved(approximation(entries, *model[:2], parts), "cells")
     dealt = wanted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound")))

@@ -114,7 +114,7 @@ def test_context_chooses_the_word_within_its_class():
 
 
 def test_rows_grow_with_distinct_words(spark):
-    assert [m.rows_for(n) for n in (0, 65_536, 65_537, 404_216, 10**9)] == [1 << 14, 1 << 14, 1 << 15, 1 << 17, 1 << 17]
+    assert [m.rows_for(n) for n in (0, 65_536, 65_537, 404_216, 10**9)] == [1 << 14, 1 << 14, 1 << 15, 1 << 17, 1 << 18]
     model = fitted(spark, [(i, f"n{i} m{i} " * 2) for i in range(70)] + [(99, " ".join(f"r{i}" for i in range(70_000)))], 500)
     assert len(model.weights) == 1 << 15
 
@@ -131,10 +131,10 @@ def test_step_against_a_plain_one():
     assert outside == [Counter(w for w in b if w not in model.place) for b in batch]
     token, rows, node, branch = model.choices(ids, np.flatnonzero(is_token))
     size, tokens = len(node), int(is_token.sum())
-    assert len(rows) == 2 * size + tokens and not node[:tokens].any() and node[tokens:].all()
+    assert len(rows) == 3 * size and not node[:tokens].any() and node[tokens:].all()
     slopes, times = {}, Counter()
     for at, (n, k) in enumerate(zip(node.tolist(), branch.tolist(), strict=True)):
-        met = [int(rows[at]), int(rows[size + at])] + ([int(rows[2 * size + at])] if at < tokens else [])
+        met = [int(rows[lot * size + at]) for lot in range(3)]
         z = [sum(before[x][i] for x in met) + model.bias[n][i] for i in range(m.CLASSES)]
         total = sum(math.exp(x) for x in z)
         own = np.array([(i == k) - math.exp(x) / total for i, x in enumerate(z)])
