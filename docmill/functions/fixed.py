@@ -56,6 +56,12 @@ CLAUSE_RULES = [
     ("signature_block", ["서명 또는 날인", "서명날인"]),
     ("drag_along", ["동반매도청구권", "동반매각청구권"]),
 ]
+# Our own rules: words that tell a clause's risk where there is no library to compare it with, gravest first.
+GENERAL_RISKS = [
+    ("critical", ["unlimited liability", "sole discretion", "irrevocabl", "무한책임", "무제한"]),
+    ("high", ["indemnif", "liquidated damages", "penalty", "non-compete", "waive", "위약벌", "손해배상", "경업금지", "연대"]),
+    ("medium", ["terminat", "exclusive", "assign", "interest", "해제", "해지", "독점", "양도"]),
+]
 # Our own patterns: levels of nested numbering, highest first; signs that count from 1; what labels and references look like.
 LEVELS = [(1, r"^제(\d+)장"), (1, r"^(?i:chapter|part)\s+(\d+)\b"), (2, r"^제(\d+)조"), (2, r"^(?i:article|section)\s+(\d+)(?![\d.]*\.\d)"), (3, r"^([①-⑳])"), (3, r"^\((\d+)\)"), (4, r"^(\d+)[.)](?!\d)"), (5, r"^([가나다라마바사아자차카타파하])[.)]"), (5, r"^\(?([a-z])\)")]
 ALPHABETS = ["①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳", "가나다라마바사아자차카타파하", "abcdefghijklmnopqrstuvwxyz"]

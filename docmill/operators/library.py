@@ -9,8 +9,13 @@ from docmill.functions import fixed
 from docmill.functions.rules import cascade
 from docmill.functions.text import percent, ratio, rounded, slug
 
+from docmill.operators.tasks import saved
+
 from . import structure
 
+#: Tasks that the copies of one file are dealt to.
+SALTS = 16
+
 
 def fingerprints(files: DataFrame, content: str = "content") -> DataFrame:
     """``files`` with ``sha256`` of their bytes."""
@@ -25,15 +30,21 @@ def doc_id(name: Column) -> Column:
 def flag_duplicates(files: DataFrame, known: DataFrame, within: bool = False) -> DataFrame:
     """``files`` with ``status``: ``duplicate`` if ``known`` (sha256) has the hash, else ``new``.
 
-    ``within``: files that repeat an earlier one (by path) of the same batch are duplicates as well.
+    ``within``: files that repeat an earlier one (by path) of the same batch are duplicates as well.  Hashes are then written
+    once beside their paths, and only those that occur again are joined, by a salt, too, so that the copies of one file
+    are dealt to several tasks.
     """
     seen = known.select(F.col("sha256").alias("_seen")).distinct()
-    out = files.join(seen, F.col("sha256") == F.col("_seen"), "left").withColumn("_twin", F.lit(False))
-    if within:
-        # one row of each hash is the first; counted on the map side, so that no window holds a hot hash's rows
-        first = files.groupBy(F.col("sha256").alias("_hash")).agg(F.min("path").alias("_first"))
-        out = out.join(first, F.col("sha256") == F.col("_hash"), "left").withColumn("_twin", F.coalesce(F.col("path") > F.col("_first"), F.lit(False))).drop("_hash", "_first")
-    return out.withColumn("status", F.when(F.col("_seen").isNotNull() | F.col("_twin"), "duplicate").otherwise("new")).drop("_seen", "_twin")
+    status = lambda known_by: F.when(F.col(known_by).isNotNull(), "duplicate").otherwise("new")
+    if not within:
+        return files.join(seen, F.col("sha256") == F.col("_seen"), "left").withColumn("status", status("_seen")).drop("_seen")
+    keys = saved(files.select("path", "sha256"), "hashes")
+    again = keys.groupBy("sha256").agg(F.min("path").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    again = again.select("sha256", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    later = keys.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(again, ["sha256", "_salt"]).where("path > _first")
+    old = keys.join(seen, F.col("sha256") == F.col("_seen"), "left_semi")
+    copies = later.select("path").union(old.select("path")).distinct().withColumnRenamed("path", "_path")
+    return files.join(copies, F.col("path") == F.col("_path"), "left").withColumn("status", status("_path")).drop("_path")
 
 
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:

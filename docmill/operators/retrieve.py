@@ -30,6 +30,27 @@ def stage_one(targets: DataFrame, library: DataFrame, family: str = "contract_fa
     return targets.join(lib, on)
 
 
+def candidates(targets: DataFrame, library: DataFrame, key: str, narrow_by: str = "clause_type", above: int = fixed.NARROW_ABOVE, family: str = "contract_family", optional: tuple[str, ...] = ("jurisdiction", "governing_law"), required: dict[str, str] | None = None) -> DataFrame:
+    """``stage_one`` and then ``narrow`` by an equal ``narrow_by``, without making the pairs that are narrowed away.
+
+    The library's rows are counted by family and optional values, a few rows a family; from these each target's number of
+    candidates follows.  Targets with more than ``above`` get ``narrow_by`` as a second key of their join.
+    """
+    lib = library
+    for c, v in ({"approval_state": "approved", "status": "active"} if required is None else required).items():
+        lib = lib.where(F.col(c) == v)
+    held = lib.groupBy(family, *optional).agg(F.count("*").alias("_n")).select("_n", *(F.col(c).alias(f"lib_{c}") for c in (family, *optional)))
+    fits = F.col(family) == F.col(f"lib_{family}")
+    for c in optional:
+        fits = fits & exact_or_null(F.col(f"lib_{c}"), F.col(c))
+    many = targets.select(key, family, *optional).distinct().join(held, fits).groupBy(key).agg(F.sum("_n").alias("_n")).where(F.col("_n") > above).select(F.col(key).alias("_many"))
+    how = {"family": family, "optional": optional, "required": {}}
+    few = targets.join(many, targets[key].eqNullSafe(many["_many"]), "left_anti")
+    rest = targets.join(many, targets[key].eqNullSafe(many["_many"]), "left_semi")
+    same = F.col(narrow_by) == F.col(f"lib_{narrow_by}")
+    return stage_one(few, lib, **how).unionByName(stage_one(rest, lib, **how).where(same))
+
+
 def narrow(candidates: DataFrame, target: str | list[str], same: Column, above: int = fixed.NARROW_ABOVE) -> DataFrame:
     """Targets with more than ``above`` candidates keep those for which ``same`` holds.
 

@@ -90,7 +90,16 @@ def analyse(pairs: DataFrame, ours: str = "text", theirs: str = "lib_text") -> D
     s = jaccard(F.col(ours), F.coalesce(F.col(theirs), F.lit("")))
     risk = F.when(F.col("similarity") >= 0.9, "acceptable").when(F.col("similarity") >= 0.7, "low").when(F.col("similarity") >= 0.5, "medium").when(F.col("similarity") >= 0.25, "high").otherwise("critical")
     tier = F.when(F.col("similarity") >= 0.7, "preferred").when(F.col("similarity") >= 0.5, "acceptable").when(F.col("similarity") >= 0.25, "fallback")
-    return pairs.withColumn("similarity", s).withColumns({"risk_level": risk, "playbook_tier": tier})
+    return pairs.withColumn("similarity", s).withColumns({"risk_level": risk, "playbook_tier": tier, "review_basis": F.lit("library")})
+
+
+def general(rows: DataFrame, text: str = "text", rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
+    """Clauses reviewed without a house position: ``risk_level`` by the first rule whose words the text holds (our own list),
+    ``review_basis`` general, and comments that name the risk alone; nothing is compared and no wording is proposed."""
+    risk = F.coalesce(first_match([F.lower(F.coalesce(text, F.lit("")))], fixed.GENERAL_RISKS if rules is None else rules), F.lit("low"))
+    told = F.col("risk_level").isin("critical", "high", "medium")
+    out = rows.withColumns({"library_empty": F.lit(True), "review_basis": F.lit("general"), "risk_level": risk, "playbook_tier": F.lit(None).cast("string"), "suggested_redline": F.lit(None).cast("string")})
+    return out.withColumns({"external_comment": F.when(told, F.lit("Please explain the reasons for this wording.")), "internal_note": F.when(told, F.concat(F.lit("[INTERNAL] "), "risk_level", F.lit(" risk by general rules; no house position")))})
 
 
 def comment_texts(rows: DataFrame) -> DataFrame:

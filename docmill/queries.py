@@ -210,10 +210,10 @@ def numbering_gaps(spark, sf):
 
 # --- the library's own rules, on texts written like contracts ------------------------------------------------------
 
-#: A contract of each document's own numbers, as an expression that both engines read.
+#: A contract of each document's own numbers, and then its own lines, as an expression that both engines read.
 _CONTRACT = """concat('전문 "Preamble Term" 줄', chr(10), '제', doc_id % 4 + 1, '장 총칙 ', coalesce(lang, ''), chr(10), CASE doc_id % 7 WHEN 0 THEN '(정의)' WHEN 1 THEN '(통지)' WHEN 2 THEN '(비밀유지)' WHEN 3 THEN '(주주총회)' WHEN 4 THEN '(양도금지)' WHEN 5 THEN '(세금)' ELSE '(기타)' END, chr(10),
 '본 계약에서 "', coalesce(source, ''), '" 및 "', coalesce(lang, ''), '" 그리고 "', coalesce(source, ''), '" 은 제', doc_id % 9 + 1, '조 및 제3조 참조', chr(10), '# 제목 "제목속" 제9조', chr(10), '(아주 긴 괄호 문장으로 시작하지만 마흔 자를 넘기 때문에 조문의 제목이 될 수 없는 줄입니다 정말로)', chr(10), '   ', chr(10),
-repeat(concat('(조항 ', doc_id % 13, ')', chr(10), '  내용 ', coalesce(source, ''), '  ', chr(10)), CAST(doc_id % 6 AS INT)), CASE doc_id % 3 WHEN 0 THEN '' ELSE concat('별지 ', doc_id % 3, '. 목록', chr(10)) END, CASE doc_id % 2 WHEN 0 THEN '부록' ELSE '첨부..7 표' END)"""
+repeat(concat('(조항 ', doc_id % 13, ')', chr(10), '  내용 ', coalesce(source, ''), '  ', chr(10)), CAST(doc_id % 6 AS INT)), CASE doc_id % 3 WHEN 0 THEN '' ELSE concat('별지 ', doc_id % 3, '. 목록', chr(10)) END, CASE doc_id % 2 WHEN 0 THEN '부록' ELSE '첨부..7 표' END, chr(10), coalesce(text, ''))"""
 _CONTRACTS = f"(SELECT doc_id, {_CONTRACT} AS text FROM documents)"
 _HEADING, _CHAPTER, _ARTICLE, _EXHIBIT = r"^(#{1,4})\s+(.+)", r"^제(\d+)장\s+(.+)", r"^\((.+?)\)", r"^(별지|부록|첨부)[\s.]*(\d*)"
 _KINDS = f"""l AS (SELECT doc_id, line_no, {_STRIP.format('line')} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM {_CONTRACTS})),
@@ -313,7 +313,7 @@ def ingest_manifests(spark, sf):
     return out.select("key", "doc_id", "title", "contract_family", F.array_join("soft_fails", "; ").alias("soft_fails"), "approval_state")
 
 
-_FILE_NAME = "concat('[', CASE doc_id % 3 WHEN 0 THEN '초기' WHEN 1 THEN '중기' ELSE '후기' END, '] ', doc_id % 5, '.투자계약서_', CASE doc_id % 4 WHEN 0 THEN '상환전환우선주식' WHEN 1 THEN '전환우선주식' WHEN 2 THEN '보통주식' ELSE '신주인수권부사채' END, '(', CASE doc_id % 2 WHEN 0 THEN '통합형' ELSE '분리형' END, ')', CASE doc_id % 2 WHEN 0 THEN '_2309개정' ELSE '' END, '.docx')"
+_FILE_NAME = "concat('[', CASE length(text) % 3 WHEN 0 THEN '초기' WHEN 1 THEN '중기' ELSE '후기' END, '] ', doc_id % 5, '.투자계약서_', CASE length(text) % 4 WHEN 0 THEN '상환전환우선주식' WHEN 1 THEN '전환우선주식' WHEN 2 THEN '보통주식' ELSE '신주인수권부사채' END, '(', CASE doc_id % 2 WHEN 0 THEN '통합형' ELSE '분리형' END, ')', CASE doc_id % 2 WHEN 0 THEN '_2309개정' ELSE '' END, '.docx')"
 _STEM = f"regexp_replace(regexp_replace({_FILE_NAME}, '\\.[^.]*$', ''), '{fixed.SLUG_SUFFIX}', '')"
 for _word, _by in fixed.SLUG_WORDS:
     _STEM = f"replace({_STEM}, '{_word}', '{_by}')"
@@ -324,10 +324,10 @@ def file_doc_ids(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("key"), library.doc_id(F.expr(_FILE_NAME)).alias("doc_id"))
 
 
-@query("SELECT doc_id, CAST(format('{:.3f}', doc_id / 16 % 900) AS DOUBLE) AS ratio, format('{:.1f}', doc_id / 16 % 900 / 100 * 100) || '%' AS percent FROM documents")
+@query("SELECT doc_id, CAST(format('{:.3f}', length(text) / 16) AS DOUBLE) AS ratio, format('{:.1f}', doc_id / 16 % 900 / 100 * 100) || '%' AS percent FROM documents")
 def half_even(spark, sf):
     x = F.col("doc_id") / 16 % 900
-    return table(spark, sf, "documents").select("doc_id", text.rounded(x).alias("ratio"), text.percent(x / 100).alias("percent"))
+    return table(spark, sf, "documents").select("doc_id", text.rounded(F.length("text") / 16).alias("ratio"), text.percent(x / 100).alias("percent"))
 
 
 _TAGS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)<(br|/p|/div|/li|/h\\d|/tr)\\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g')"
@@ -462,6 +462,67 @@ def enum_check(spark, sf):
     return unknown_values(table(spark, sf, "orders"), "o_orderpriority", allowed, "v").select("o_orderpriority").distinct()
 
 
+_CLASSES = [r[0] for r in fixed.ASSET_RULES]
+_CLASS = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CLASSES[:8])) + " ELSE 'memo' END"
+_SAID = lambda v: "NULL" if v is None else repr(v)
+_BY_CLASS = lambda place: "CASE doc_class " + " ".join(f"WHEN '{r[0]}' THEN {_SAID(r[place])}" for r in fixed.ASSET_RULES) + " END"
+
+
+@query(f"WITH {_STATS} SELECT doc_id, CASE WHEN hard <> '' THEN 'quarantined' ELSE 'staging' END AS without_auto, CASE WHEN approval_state <> 'approved' THEN approval_state WHEN coalesce({_BY_CLASS(1)}, false) THEN 'approved' ELSE 'staging' END AS by_asset FROM (SELECT *, {_CLASS} AS doc_class FROM g)")
+def approval_toggle(spark, sf):
+    """The gate with automatic approval off, and with rules by type of asset."""
+    rows = _validated(spark, sf).withColumn("doc_class", F.expr(_CLASS.replace("doc_id", "key")))
+    off = library.gate(rows, auto=False).select("key", F.col("approval_state").alias("without_auto"))
+    ruled = library.gate(rows, True, library.asset_rules(spark)).select("key", F.col("approval_state").alias("by_asset"))
+    return off.join(ruled, "key").select(F.col("key").alias("doc_id"), "without_auto", "by_asset")
+
+
+@query(f"SELECT doc_id, doc_class, coalesce(CASE WHEN quality = 1 THEN 'own' END, {_BY_CLASS(3)}) AS authority_level, {_BY_CLASS(4)} AS external_safe FROM (SELECT *, {_CLASS} AS doc_class FROM labels)")
+def enriched_assets(spark, sf):
+    rows = table(spark, sf, "labels").select("doc_id", F.expr(_CLASS).alias("doc_class"), F.when(F.col("quality") == 1, "own").alias("authority_level"))
+    return library.enrich(rows, library.asset_rules(spark)).select("doc_id", "doc_class", "authority_level", "external_safe")
+
+
+@query("SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'legal' ELSE lang END AS lang, CASE WHEN toxic = 1 AND quality = 0 THEN 'elsewhere' ELSE source END AS source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def sidecar_override(spark, sf):
+    side = table(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit("legal").alias("lang"), F.when(F.col("quality") == 0, "elsewhere").alias("source"))
+    return library.with_sidecar(table(spark, sf, "documents").select("doc_id", "lang", "source"), side)
+
+
+@query(f"SELECT doc_id, CAST(line_no AS BIGINT) AS clause_id, length(line) AS n, quality FROM ({_LINES}) LEFT JOIN labels USING (doc_id)")
+def chunk_merge(spark, sf):
+    """Results of chunks that overlap, as one table, and each document's shared context beside them."""
+    lines = structure.lines(table(spark, sf, "documents")).select("doc_id", F.col("line_no").cast("long").alias("clause_id"), F.length("line").cast("long").alias("n"))
+    parts = [lines.where(c) for c in ("clause_id <= 10", "clause_id between 8 and 40", "clause_id >= 30")]
+    return review.inject_context(review.merge_chunks(*parts), table(spark, sf, "labels").select("doc_id", "quality"))
+
+
+@query("SELECT doc_id, nullif(lang, 'es') AS title, sha256(text) AS sha256, doc_id % 3 = 0 AS later FROM documents")
+def index_versions(spark, sf):
+    """An index in two versions, the second of which replaces some rows."""
+    from docmill.sources import sinks
+
+    rows, path = table(spark, sf, "documents").select("doc_id", F.nullif("lang", F.lit("es")).alias("title"), F.sha2("text", 256).alias("sha256")), scratch(spark, "index")
+    sinks.index(rows.withColumn("later", F.lit(False)), path, "t1", merge_key="doc_id")
+    sinks.index(rows.where("doc_id % 3 = 0").withColumn("later", F.lit(True)), path, "t2", merge_key="doc_id")
+    return sinks.read_index(spark, path).select("doc_id", "title", "sha256", "later")
+
+
+@query("SELECT doc_id, sha256(text) AS packed, sha256(text) AS exported, lang AS contract_family FROM documents WHERE lang IN ('en', 'de')")
+def stored_packages(spark, sf):
+    """Packages in buckets, JSON records and published rows by family, written and read again."""
+    from docmill.sources import sinks
+
+    base = scratch(spark, "packages")
+    rows = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("contract_family"), F.when(F.col("lang").isin("en", "de"), "approved").otherwise("staging").alias("approval_state"))
+    sinks.packages(rows.withColumn("run_ts", F.lit("r1")), f"{base}/packages")
+    sinks.json_export(rows, f"{base}/json")
+    sinks.publish(rows.select("doc_id", "contract_family", "approval_state"), f"{base}/published")
+    packed = spark.read.parquet(f"{base}/packages").where(F.col("bucket") == sinks.bucket("doc_id")).select("doc_id", F.sha2("text", 256).alias("packed"))
+    exported = spark.read.schema("doc_id long, text string").json(f"{base}/json").select("doc_id", F.sha2("text", 256).alias("exported"))
+    return spark.read.parquet(f"{base}/published").select("doc_id", "contract_family").join(packed, "doc_id").join(exported, "doc_id").select("doc_id", "packed", "exported", "contract_family")
+
+
 # --- retrieval --------------------------------------------------------------------------------------------------
 
 _LIB = """lib AS (SELECT d.doc_id, source AS contract_family, nullif(lang, 'es') AS jurisdiction, CASE WHEN n_chars >= 2000 THEN 'long' ELSE 'short' END AS clause_type,
@@ -492,7 +553,14 @@ def retrieve_stage1(spark, sf):
 
 @query(f"WITH {_LIB} SELECT doc_id, lib_doc_id FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM one) WHERE n <= 10 OR clause_type = lib_clause_type")
 def retrieve_narrow(spark, sf):
-    return retrieve.narrow(_stage_one(spark, sf)[2], "doc_id", F.col("clause_type") == F.col("lib_clause_type"), above=10).select("doc_id", "lib_doc_id")
+    targets, lib, _ = _stage_one(spark, sf)
+    return retrieve.candidates(targets, lib, "doc_id", above=10, optional=("jurisdiction",)).select("doc_id", "lib_doc_id")
+
+
+@query(f"WITH {_LIB} SELECT doc_id, lib_doc_id FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM one) WHERE n <= 25 OR clause_type = lib_clause_type")
+def retrieve_narrow_pairs(spark, sf):
+    """The same of candidates that are there already."""
+    return retrieve.narrow(_stage_one(spark, sf)[2], "doc_id", F.col("clause_type") == F.col("lib_clause_type"), above=25).select("doc_id", "lib_doc_id")
 
 
 _CHAIN = "SELECT doc_id, lead(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS next_id, lag(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS supersedes FROM documents"
@@ -524,9 +592,12 @@ GROUPS = [["src0", "src1", "src2"], ["src2", "src3"], ["src7", "src8"]]
 _PAIRS = "(" + " UNION ".join(f"SELECT '{a}' AS family, '{b}' AS related" for g in GROUPS for a in g for b in g if a != b) + ")"
 
 
-@query(f"SELECT family, related FROM {_PAIRS}")
+@query(f"SELECT family, related, n FROM {_PAIRS} JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) ON related = source WHERE family IN (SELECT source FROM documents)")
 def affinity_pairs(spark, sf):
-    return retrieve.affinity_pairs(spark, GROUPS)
+    """Related families among those that there are, with how many documents the related one has."""
+    held = table(spark, sf, "documents").groupBy(F.col("source").alias("related")).agg(F.count("*").alias("n"))
+    pairs = retrieve.affinity_pairs(spark, GROUPS).join(held, "related")
+    return pairs.join(held.select(F.col("related").alias("family")), "family", "left_semi").select("family", "related", "n")
 
 
 @query(
@@ -583,6 +654,23 @@ def priority_rank(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", retrieve.rank_of(retrieve.priority(kind, authority, F.lit("approved"))).alias("rank"))
 
 
+_RANKS = dict(fixed.PRIORITY)
+
+
+@query(
+    f"""WITH lib AS (SELECT doc_id, source AS contract_family, lang AS subtype, CASE doc_id % 3 WHEN 0 THEN {_RANKS['preferred_template']} WHEN 1 THEN {_RANKS['acceptable_template']} ELSE {_RANKS['fallback_template']} END AS rank FROM documents WHERE doc_id % 5 <> 0 AND n_chars >= 300),
+q AS (SELECT p_partkey AS request_id, 'src' || p_partkey % 7 AS contract_family, CASE p_partkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' END AS subtype FROM part)
+SELECT q.request_id, first(lib.doc_id ORDER BY coalesce(q.subtype = lib.subtype, false) DESC, rank, lib.doc_id) AS template_id FROM q LEFT JOIN lib ON q.contract_family = lib.contract_family GROUP BY q.request_id"""
+)
+def template_lookup(spark, sf):
+    n = F.col("doc_id")
+    level = F.when(n % 3 == 0, "preferred").when(n % 3 == 1, "acceptable").otherwise("fallback")
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("contract_family"), F.col("lang").alias("subtype"), F.when(n % 5 == 0, "playbook").otherwise("template").alias("doc_class"), level.alias("authority_level"), F.lit("approved").alias("approval_state"), F.when(F.col("n_chars") >= 300, "active").otherwise("deprecated").alias("status"))
+    k = F.col("p_partkey")
+    requests = table(spark, sf, "part").select(k.alias("request_id"), F.concat(F.lit("src"), (k % 7).cast("string")).alias("contract_family"), F.when(k % 3 == 0, "en").when(k % 3 == 1, "fr").alias("subtype"))
+    return retrieve.template_for(requests, docs).select("request_id", "template_id")
+
+
 # --- review -----------------------------------------------------------------------------------------------------
 
 _RISK = "CASE WHEN quality = 0 AND toxic = 1 THEN 'critical' WHEN toxic = 1 THEN 'high' WHEN quality = 0 THEN 'medium' WHEN doc_id % 3 = 0 THEN 'low' ELSE 'acceptable' END"
@@ -716,6 +804,55 @@ def contains_coverage(spark, sf):
     return review.mapping_coverage(rows).select("n", "mapped", F.round("coverage", 6).alias("coverage"), "reached")
 
 
+_TURNS = "(SELECT a.conv_id, a.turn, a.role, a.text AS prior, b.text AS current FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+_WORDS = lambda x: f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: w <> ''))"
+
+
+def _jaccard(a: str, b: str) -> str:
+    both = f"len(list_distinct(list_concat({_WORDS(a)}, {_WORDS(b)})))"
+    return f"CASE WHEN {both} > 0 THEN len(list_intersect({_WORDS(a)}, {_WORDS(b)})) / {both} ELSE 0.0 END"
+
+
+def _turns(spark, sf):
+    rows = table(spark, sf, "conversations")
+    later = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("current"))
+    return rows.select("conv_id", "turn", "role", F.col("text").alias("prior")).join(later, ["conv_id", "turn"], "left")
+
+
+@query(
+    f"""SELECT conv_id, turn, round(s, 6) AS similarity, CASE WHEN s >= 0.9 THEN 'acceptable' WHEN s >= 0.7 THEN 'low' WHEN s >= 0.5 THEN 'medium' WHEN s >= 0.25 THEN 'high' ELSE 'critical' END AS risk_level,
+CASE WHEN s >= 0.7 THEN 'preferred' WHEN s >= 0.5 THEN 'acceptable' WHEN s >= 0.25 THEN 'fallback' END AS playbook_tier, s < 0.7 AS commented FROM (SELECT *, {_jaccard('prior', "coalesce(current, '')")} AS s FROM {_TURNS})"""
+)
+def analysed_pairs(spark, sf):
+    """Each turn against the next as its house wording: similarity, risk, tier, and whether it gets a comment."""
+    rows = review.comment_texts(review.analyse(_turns(spark, sf).withColumn("clause_type", F.col("role")).withColumn("lib_text", F.col("current")), "prior", "current"))
+    return rows.select("conv_id", "turn", F.round("similarity", 6).alias("similarity"), "risk_level", "playbook_tier", F.col("external_comment").isNotNull().alias("commented"))
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN length(current) / greatest(1, length(prior)) < 0.8 THEN 'narrowing' WHEN length(current) / greatest(1, length(prior)) > 1.25 THEN 'broadening' WHEN {_jaccard('prior', 'current')} >= 0.5 THEN 'clarification' ELSE 'rewrite' END AS kind FROM {_TURNS} WHERE current IS NOT NULL")
+def change_kinds(spark, sf):
+    rows = _turns(spark, sf).where("current is not null")
+    return rows.select("conv_id", "turn", rounds.change_kind(F.col("prior"), F.col("current")).alias("kind"))
+
+
+@query(
+    f"""WITH o AS (SELECT conv_id, turn, text AS prior, CASE WHEN turn % 5 <> 0 THEN text || ' we propose' END AS proposed, CASE turn % 5 WHEN 1 THEN text || ' we propose' WHEN 2 THEN text WHEN 3 THEN text || ' they propose' END AS current FROM conversations)
+SELECT conv_id, turn, CASE WHEN proposed IS NULL THEN NULL WHEN current = proposed THEN 'accepted' WHEN current IS NULL OR current = prior OR {_jaccard('current', 'proposed')} < 0.5 THEN 'rejected' ELSE 'partial' END AS answer FROM o"""
+)
+def negotiation_answers(spark, sf):
+    """What became of each of our proposals."""
+    t, text_ = F.col("turn") % 5, F.col("text")
+    proposed = F.when(t != 0, F.concat(text_, F.lit(" we propose")))
+    current = F.when(t == 1, F.concat(text_, F.lit(" we propose"))).when(t == 2, text_).when(t == 3, F.concat(text_, F.lit(" they propose")))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", text_.alias("prior"), proposed.alias("proposed"), current.alias("current"))
+    return rows.select("conv_id", "turn", rounds.answer(F.col("prior"), F.col("proposed"), F.col("current")).alias("answer"))
+
+
+@query("SELECT conv_id, turn, coalesce(CASE WHEN role = 'user' THEN text END, '[MANUAL_REQUIRED] comment') AS said FROM conversations")
+def manual_fallback(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", review.or_manual(F.when(F.col("role") == "user", F.col("text"))).alias("said"))
+
+
 @query("SELECT turn, conv_id, CASE WHEN role = 'user' THEN 'preferred' WHEN role = 'system' THEN 'fallback' ELSE 'acceptable' END AS tier, coalesce(CASE WHEN turn > 3 THEN 'en' END, CASE WHEN role = 'user' THEN 'ko-en' END, 'ko') AS language FROM conversations")
 def draft_settings(spark, sf):
     leverage = F.when(F.col("role") == "user", "strong").when(F.col("role") == "system", "weak").otherwise("other")
@@ -809,6 +946,21 @@ def docx_redline(spark, sf):
     return both.select("doc_id", F.sha2("accepted", 256).alias("accepted"), F.sha2("rejected", 256).alias("rejected"), F.size("comments").cast("long").alias("comments"), *long("external_comments", "applied", "skipped"))
 
 
+@query(f"SELECT doc_id, text AS plain, array_to_string(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format('x')}), chr(10)) AS md FROM documents")
+def docx_text(spark, sf):
+    """Every text as a DOCX file, read again in both forms."""
+    return docx.extract(docx.written(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "content")).where("error is null").select("doc_id", "plain", "md")
+
+
+_DRAFTED = "text || CASE doc_id % 6 WHEN 0 THEN ' [Insert name]' WHEN 1 THEN ' TBD' WHEN 2 THEN ' $___' WHEN 3 THEN ' [ ]' WHEN 4 THEN ' TBDX [12]' ELSE '' END"
+
+
+@query(f"SELECT doc_id, regexp_matches({_DRAFTED}, '\\bTBD\\b|\\$_{{2,}}|_{{4,}}|\\[\\s*\\]|\\[(?i:insert|name|date|amount|●)[^\\]]*\\]') AS open FROM documents")
+def open_places(spark, sf):
+    """Drafts that still have places to be filled in."""
+    return table(spark, sf, "documents").select("doc_id", text.placeholder(F.expr(_DRAFTED)).alias("open"))
+
+
 @query(f"WITH {_cut(_NUMBERED, 'length(header) < 40')} SELECT doc_id, 'clause-' || lpad(CAST(clause_no AS VARCHAR), 3, '0') AS clause_id, CAST(start_line - 1 AS BIGINT) AS first, CAST(end_line - 1 AS BIGINT) AS last FROM s")
 def docx_clause_map(spark, sf):
     """Each clause's paragraphs in the DOCX file of its document."""
@@ -888,6 +1040,18 @@ def decisions(spark, sf):
     return lifecycle.decide(staged, chosen).select("doc_id", "approval_state", "status")
 
 
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'archived' WHEN quality = 0 THEN 'deprecated' ELSE 'active' END AS status, CASE WHEN quality = 1 THEN '2024-05-01' ELSE '2020-01-01' END AS refreshed FROM labels")
+def library_commands(spark, sf):
+    from docmill.plans.library import Library
+
+    labels = table(spark, sf, "labels")
+    rows = labels.select("doc_id", F.lit("active").alias("status"), F.lit("2020-01-01").alias("last_legal_refresh_date"))
+    rows = Library.deprecate(rows, labels.where("quality = 0"))
+    rows = Library.archive(rows, labels.where("toxic = 1"))
+    rows = Library.refresh(rows, labels.where("quality = 1"), F.lit("2024-05-01"))
+    return rows.select("doc_id", "status", F.col("last_legal_refresh_date").alias("refreshed"))
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE p_type = 'ECONOMY' AND contains(lower(p_name), 'ring')")
 def library_search(spark, sf):
     rows = table(spark, sf, "part").withColumn("title", F.col("p_name"))

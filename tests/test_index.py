@@ -192,3 +192,35 @@ def test_unknown_mode_loses_no_row(spark):
     assert got == {"a": ("strict", strict), "b": ("lenient", default), "c": (None, default)}
     with pytest.raises(ValueError, match="no mode is called lenient"):
         Review.run(rows, rows, rows, override="lenient")
+
+
+def test_an_empty_library_means_general_review(spark):
+    target = spark.createDataFrame([("c1", "x", "nda", "Seller shall INDEMNIFY all", "KR", "KR"), ("c2", "x", "zzz", None, None, None), ("c3", "x", "spa", "may terminate", None, None)], "clause_id string, clause_type string, contract_family string, text string, jurisdiction string, governing_law string")
+    bank = spark.createDataFrame([], "doc_id string, clause_id string, status string, approval_state string, supersedes string")
+    got = {r.clause_id: r for r in Review.run(target, bank, bank).collect()}
+    assert {k: r.risk_level for k, r in got.items()} == {"c1": "high", "c2": "low", "c3": "medium"}
+    assert all(r.review_basis == "general" and r.library_empty and not r.redline and r.suggested_redline is None and r.playbook_tier is None for r in got.values())
+    assert got["c1"].mode == "loose" and got["c3"].mode == "strict"
+
+
+def test_ingest_resolves_references_and_repairs_its_indexes(spark, tmp_path):
+    from docmill.plans.library import Library
+
+    body = "\n".join(f"제{i}조 (조항)\n(제목 {i})\n본문 {i} 제{i % 3 + 1}조 참조\n" for i in range(1, 8))
+    bad = body.replace("제5조 (", "제6조 (").replace("본문 2 ", "본문 제40조 ")
+    files = spark.createDataFrame([("a", "1.투자계약서.docx", "a" * 64, body), ("b", "2.투자계약서.docx", "b" * 64, bad)], "path string, file_name string, sha256 string, md string")
+    known = files.select("sha256").limit(0)
+    package = Library.ingest(files, known, "t", check_structure=True)
+    refs = package.references.collect()
+    assert {(r.ref, r.to_label) for r in refs if not r.resolved} == {("제40조", "40")} and any(r.cyclic for r in refs)
+    fails = {r.source_file[0]: list(r.soft_fails) for r in package.manifests.collect()}
+    assert not any("numbering" in f or "nowhere" in f for f in fails["1"])
+    assert "2 breaks in the numbering" in fails["2"] and "1 references point nowhere" in fails["2"]
+    manifests = package.manifests.withColumn("approval_state", F.lit("approved"))
+    first = Library.repair_indexes(manifests, package.clauses, package.terms, f"{tmp_path}/indexes")
+    assert first["documents"] and first["clauses"]
+    assert all(b == [] for b in Library.repair_indexes(manifests, package.clauses, package.terms, f"{tmp_path}/indexes").values())
+    for f in glob.glob(f"{tmp_path}/indexes/clauses/d=*/_bucket=*/*.parquet")[:2]:
+        os.remove(f)
+    again = Library.repair_indexes(manifests, package.clauses, package.terms, f"{tmp_path}/indexes")
+    assert len(again["clauses"]) == 2 and again["documents"] == []
