@@ -829,6 +829,32 @@ def analysed_pairs(spark, sf):
     return rows.select("conv_id", "turn", F.round("similarity", 6).alias("similarity"), "risk_level", "playbook_tier", F.col("external_comment").isNotNull().alias("commented"))
 
 
+_LISTED = lambda values: ", ".join(f"'{v}'" for v in values)
+_MODERATE = fixed.MODES[fixed.DEFAULT_MODE]
+_AUTHORITY = f"CASE lib_id % 3 WHEN 0 THEN {_RANKS['preferred_template']} WHEN 1 THEN {_RANKS['acceptable_template']} ELSE {_RANKS['fallback_template']} END"
+
+
+@query(
+    f"""WITH {_LIB}, w AS (SELECT d.doc_id, substr(text, 1, 200) AS said FROM documents d),
+p AS (SELECT o.doc_id, o.lib_doc_id AS lib_id, o.clause_type = o.lib_clause_type AS same, count(*) OVER (PARTITION BY o.doc_id) AS n FROM one o),
+s AS (SELECT p.*, {_AUTHORITY} AS rank, {_jaccard('a.said', 'b.said')} AS s FROM p JOIN w a ON p.doc_id = a.doc_id JOIN w b ON p.lib_id = b.doc_id WHERE n <= {fixed.NARROW_ABOVE} OR same),
+f AS (SELECT tgt.doc_id, lib_id, coalesce(s, 0.0) AS s FROM tgt LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, same DESC, s DESC, lib_id) AS place FROM s) x ON tgt.doc_id = x.doc_id AND place = 1),
+r AS (SELECT *, CASE WHEN s >= 0.9 THEN 'acceptable' WHEN s >= 0.7 THEN 'low' WHEN s >= 0.5 THEN 'medium' WHEN s >= 0.25 THEN 'high' ELSE 'critical' END AS risk_level, CASE WHEN s >= 0.7 THEN 'preferred' WHEN s >= 0.5 THEN 'acceptable' WHEN s >= 0.25 THEN 'fallback' END AS tier FROM f)
+SELECT doc_id AS clause_id, lib_id AS lib_doc_id, round(s, 6) AS similarity, risk_level, coalesce(tier IN ({_LISTED(_MODERATE['tiers'])}), false) AS acceptable, risk_level IN ({_LISTED(_MODERATE['redline'])}) AS redline, risk_level IN ({_LISTED(_MODERATE['comments'])}) AS comment FROM r"""
+)
+def contract_review(spark, sf):
+    """The whole review: candidates, the best house clause of each target, risk, tier and the scopes of the mode."""
+    from docmill.plans.library import Review
+
+    said = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("text"))
+    lib = _library(spark, sf).join(said, "doc_id")
+    target = lib.where("status = 'archived'").select(F.col("doc_id").alias("clause_id"), "clause_type", "contract_family", "jurisdiction", F.lit(None).cast("string").alias("governing_law"), "text")
+    n = F.col("doc_id") % 3
+    level = F.when(n == 0, "preferred").when(n == 1, "acceptable").otherwise("fallback")
+    bank = lib.withColumns({"clause_id": F.lit("clause-001"), "doc_class": F.lit("template"), "authority_level": level, "supersedes": F.lit(None).cast("long")})
+    return Review.run(target, bank, bank).select("clause_id", "lib_doc_id", F.round("similarity", 6).alias("similarity"), "risk_level", "acceptable", "redline", "comment")
+
+
 @query(f"SELECT conv_id, turn, CASE WHEN length(current) / greatest(1, length(prior)) < 0.8 THEN 'narrowing' WHEN length(current) / greatest(1, length(prior)) > 1.25 THEN 'broadening' WHEN {_jaccard('prior', 'current')} >= 0.5 THEN 'clarification' ELSE 'rewrite' END AS kind FROM {_TURNS} WHERE current IS NOT NULL")
 def change_kinds(spark, sf):
     rows = _turns(spark, sf).where("current is not null")
