@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Hashable, Sequence
@@ -38,28 +39,34 @@ def anchors(a: Sequence[Hashable], b: Sequence[Hashable]) -> list[tuple[int, int
     return out[::-1]
 
 
-def _shortest(a: Sequence[str], b: Sequence[str], most: int) -> list[tuple[int, int]] | None:
-    """The kept places of a shortest script, by furthest-reaching paths; None beyond ``most`` changes."""
-    reach, trail = {1: 0}, []
-    for d in range(min(most, len(a) + len(b)) + 1):
-        trail.append(dict(reach))
+def _shortest(a: Sequence[str], b: Sequence[str], most: int) -> tuple[list[tuple[int, int]], int, int]:
+    """The kept places of a shortest script, by furthest-reaching paths, and how far it goes in both: to their ends, or after
+    ``most`` changes as far as any such path."""
+    zero, trail = min(most, len(a) + len(b)) + 1, []
+    reach = [0] * (2 * zero + 1)
+    for d in range(zero):
+        # diagonals -d - 1 to d + 1, as they were before this change
+        trail.append(array("i", reach[zero - d - 1 : zero + d + 2]))
         for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
+            at = zero + k
+            x = reach[at + 1] if k == -d or (k != d and reach[at - 1] < reach[at + 1]) else reach[at - 1] + 1
             y = x - k
             while x < len(a) and y < len(b) and a[x] == b[y]:
                 x, y = x + 1, y + 1
-            reach[k] = x
+            reach[at] = x
             if x >= len(a) and y >= len(b):
-                return _walk_back(trail, len(a), len(b))
-    return None
+                return _walk_back(trail, x, y), x, y
+    ends = [(reach[zero + k], reach[zero + k] - k) for k in range(-most, most + 1, 2)]
+    x, y = max((e for e in ends if e[0] <= len(a) and 0 <= e[1] <= len(b)), key=sum)
+    return _walk_back(trail, x, y), x, y
 
 
-def _walk_back(trail: list[dict[int, int]], x: int, y: int) -> list[tuple[int, int]]:
+def _walk_back(trail: list[array], x: int, y: int) -> list[tuple[int, int]]:
     kept = []
     for d in range(len(trail) - 1, -1, -1):
-        reach, k = trail[d], x - y
-        last = k + 1 if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else k - 1
-        to_x = reach[last] if d else 0
+        reach, k, zero = trail[d], x - y, d + 1
+        last = k + 1 if k == -d or (k != d and reach[zero + k - 1] < reach[zero + k + 1]) else k - 1
+        to_x = reach[zero + last] if d else 0
         to_y = to_x - last if d else 0
         while x > to_x and y > to_y:
             x, y = x - 1, y - 1
@@ -72,9 +79,11 @@ def kept_places(a: Sequence[str], b: Sequence[str], most: int = MOST_CHANGES) ->
     """Places (in ``a``, in ``b``) of the elements that stay.
 
     Equal ends are set aside.  What is left gets a shortest script if that has ``most`` changes or fewer; else it is cut
-    at the elements unique on both sides, and each gap is taken in the same way.  A gap with neither is replaced whole, so
-    the work is bounded by the length times ``most``.
+    at the elements unique on both sides, and each gap is taken in the same way.  In a gap without such elements the path
+    that has come farthest after ``most`` changes is kept, and the search begins anew from there, so the work is bounded
+    by the length times ``most``.
     """
+    most = max(1, most)
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -87,18 +96,18 @@ def kept_places(a: Sequence[str], b: Sequence[str], most: int = MOST_CHANGES) ->
         if a0 == a1 or b0 == b1:
             continue
         own_a, own_b = a[a0:a1], b[b0:b1]
-        found = _shortest(own_a, own_b, most)
-        if found is not None:
+        found, x, y = _shortest(own_a, own_b, most)
+        cuts = anchors(own_a, own_b) if (x, y) != (len(own_a), len(own_b)) else []
+        if not cuts:
             out += ((a0 + i, b0 + j) for i, j in found)
+            todo.append((a0 + x, a1, b0 + y, b1))
             continue
         last = (a0, b0)
-        cuts = anchors(own_a, own_b)
         for i, j in cuts:
             out.append((a0 + i, b0 + j))
             todo.append((last[0], a0 + i, last[1], b0 + j))
             last = (a0 + i + 1, b0 + j + 1)
-        if cuts:
-            todo.append((last[0], a1, last[1], b1))
+        todo.append((last[0], a1, last[1], b1))
     return sorted(out)
 
 

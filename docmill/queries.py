@@ -940,7 +940,7 @@ def round_align(spark, sf):
 def clause_diff(spark, sf):
     """A script from each line to one with some words off and others on, which gives both back."""
     new = F.concat(F.replace("line", F.lit(" the "), F.lit(" ")), F.lit("§amended§"))
-    rows = rounds.word_diff(structure.lines(table(spark, sf, "documents")).withColumn("new", new), "line", "new")
+    rows = rounds.word_diff(structure.lines(table(spark, sf, "documents")).withColumn("new", new), "line", "new", most=4000)
     chars = lambda op: F.aggregate(F.filter("script", lambda s: s["op"] == op), F.lit(0), lambda n, s: n + F.length(s["text"])).cast("long")
     restores = (rounds.before(F.col("script")) == F.col("line")) & (rounds.after(F.col("script")) == F.col("new"))
     return rows.select("doc_id", *long("line_no"), chars("delete").alias("deleted"), chars("insert").alias("inserted"), restores.alias("restores"))
