@@ -879,6 +879,25 @@ def manual_fallback(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", review.or_manual(F.when(F.col("role") == "user", F.col("text"))).alias("said"))
 
 
+_SEVERE = " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(fixed.RISKS))
+_COUNTED = " || ".join(f"chr(10) || '{r}: ' || count(*) FILTER (sev = {i})" for i, r in enumerate(fixed.RISKS))
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, 'line-' || lpad(CAST(line_no AS VARCHAR), 6, '0') AS clause_id, length(line) % 5 AS sev FROM ({_LINES})),
+t AS (SELECT doc_id, string_agg(clause_id || ': ' || CASE sev {_SEVERE} END, chr(10) ORDER BY place) AS issues FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sev, clause_id) AS place FROM c) WHERE place <= 5 GROUP BY doc_id),
+n AS (SELECT doc_id, 'Review report' || chr(10) || 'Summary' || chr(10) || 'Clauses: ' || count(*) || {_COUNTED} || chr(10) || 'Redlines: ' || count(*) FILTER (sev < 2) || ', comments: ' || count(*) FILTER (sev < 3) || chr(10) || 'Key issues' AS head FROM c GROUP BY doc_id)
+SELECT doc_id, sha256(head || chr(10) || issues) AS report FROM n JOIN t USING (doc_id)"""
+)
+def report_docx(spark, sf):
+    """The report of each document as a DOCX file, read again."""
+    sev = F.length("line") % 5
+    risk = F.element_at(F.array(*map(F.lit, fixed.RISKS)), sev + 1)
+    rows = structure.lines(table(spark, sf, "documents")).select("doc_id", F.format_string("line-%06d", "line_no").alias("clause_id"), risk.alias("risk_level"), (sev < 2).alias("redline"), (sev < 3).alias("comment"))
+    files = docx.report_files(review.report(rows)).select("doc_id", "content")
+    return docx.extract(files).select("doc_id", F.sha2("plain", 256).alias("report"))
+
+
 @query("SELECT turn, conv_id, CASE WHEN role = 'user' THEN 'preferred' WHEN role = 'system' THEN 'fallback' ELSE 'acceptable' END AS tier, coalesce(CASE WHEN turn > 3 THEN 'en' END, CASE WHEN role = 'user' THEN 'ko-en' END, 'ko') AS language FROM conversations")
 def draft_settings(spark, sf):
     leverage = F.when(F.col("role") == "user", "strong").when(F.col("role") == "system", "weak").otherwise("other")

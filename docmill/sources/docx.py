@@ -131,3 +131,22 @@ def written(docs: DataFrame, text: str = "text", name: str = "content") -> DataF
     from docmill.sources.redline import spelled
 
     return map_rows(docs, lambda row: build([("", line) for line in spelled(row[text] or "").split("\n")]), name, "binary", limit=64)
+
+
+def report_files(reports: DataFrame, title: str = "Review report", report: str = "report", name: str = "content") -> DataFrame:
+    """``reports`` (see ``review.report``) with a DOCX file of each: counts by risk, scopes, and the gravest clauses."""
+    import json
+
+    from docmill.functions import fixed
+    from docmill.operators.tasks import map_rows
+
+    def work(row: dict) -> bytes | None:
+        if row[report] is None:
+            return None
+        own = json.loads(row[report])
+        lines = [("Title", title), ("Heading 1", "Summary"), ("", f"Clauses: {own['clauses']}"), *(("", f"{r}: {own[f'n_{r}']}") for r in fixed.RISKS)]
+        lines += [("", f"Redlines: {own['redlines']}, comments: {own['comments']}"), ("Heading 1", "Key issues")]
+        issues = own.get("key_issues") or []
+        return build(lines + [("", f"{x['clause_id']}: {x.get('risk_level', '')}") for x in issues])
+
+    return map_rows(reports, work, name, "binary", limit=64)
