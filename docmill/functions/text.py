@@ -56,11 +56,16 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def rounded(x: Column, digits: int = 3) -> Column:
     """Rounded half to even on the exact binary value."""
-    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0")).cast("double")
+    return _fixed(x, digits).cast("double")
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    """A number with so many digits after the point, and no commas."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
 
 
 def percent(x: Column, digits: int = 1) -> Column:
-    return F.concat(F.format_number(x * 100, digits), F.lit("%"))
+    return F.concat(_fixed(x * 100, digits), F.lit("%"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -324,10 +324,10 @@ def file_doc_ids(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("key"), library.doc_id(F.expr(_FILE_NAME)).alias("doc_id"))
 
 
-@query("SELECT doc_id, CAST(format('{:.3f}', length(text) / 16) AS DOUBLE) AS ratio, format('{:.1f}', doc_id / 16 % 900 / 100 * 100) || '%' AS percent FROM documents")
+@query("SELECT doc_id, CAST(format('{:.3f}', length(text) / 16) AS DOUBLE) AS ratio, format('{:.1f}', length(text) / 16 / 100 * 100) || '%' AS percent FROM documents")
 def half_even(spark, sf):
-    x = F.col("doc_id") / 16 % 900
-    return table(spark, sf, "documents").select("doc_id", text.rounded(F.length("text") / 16).alias("ratio"), text.percent(x / 100).alias("percent"))
+    x = F.length("text") / 16
+    return table(spark, sf, "documents").select("doc_id", text.rounded(x).alias("ratio"), text.percent(x / 100).alias("percent"))
 
 
 _TAGS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)<(br|/p|/div|/li|/h\\d|/tr)\\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g')"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,21 @@ def versions(spark, path: str) -> list[int]:
     return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(where) if s.getPath().getName().startswith("v=") and done(s.getPath()))
 
 
+def claimed(spark, path: str, first: int) -> int:
+    """The first version from ``first`` on that no writer has claimed; it is claimed now."""
+    fs, _ = _file_system(spark, path)
+    while True:
+        mine = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_claims/{first}")
+        if not fs.exists(mine):
+            try:
+                fs.create(mine, False).close()
+                return first
+            except Py4JJavaError:
+                if not fs.exists(mine):
+                    raise
+        first += 1
+
+
 def read_index(spark, path: str) -> DataFrame:
     """The newest whole version."""
     every = versions(spark, path)
@@ -56,10 +72,12 @@ def index(rows: DataFrame, path: str, updated_at: str, merge_key: str | None = N
     """A new version of an index with its time; with ``merge_key`` old rows are kept beside new ones.  Gives its number.
 
     A version is a folder of its own, and counts once its writer's mark is there, so whoever reads meanwhile, or after
-    a failure, has the one before it.  The last ``keep`` versions stay.
+    a failure, has the one before it.  A number is claimed by a file that only one writer can make, so two never write one
+    folder; but each keeps the old rows that it has read, so writers of single rows side by side need a ``KeyedIndex``.  The
+    last ``keep`` versions stay.
     """
     spark, every = rows.sparkSession, versions(rows.sparkSession, path)
-    version = every[-1] + 1 if every else 1
+    version = claimed(spark, path, every[-1] + 1 if every else 1)
     out = envelope(rows, updated_at, version)
     if merge_key and every:
         old = read_index(spark, path).join(rows.select(merge_key).distinct(), merge_key, "left_anti")
