@@ -28,12 +28,14 @@ class Taken(Exception):
 
 @dataclass
 class State:
-    """What one version of the log says: folders with their versions, and for some buckets the version that they begin with."""
+    """What one version of the log says: folders with their versions, for some buckets the version that they begin with, the
+    batches that have come in, and folders that no longer count but may still be read by those who began before."""
 
     version: int = 0
     folders: dict[str, int] = field(default_factory=dict)
     begins: dict[int, int] = field(default_factory=dict)
     done: list[str] = field(default_factory=list)
+    old: list[str] = field(default_factory=list)
 
 
 class KeyedIndex:
@@ -63,7 +65,7 @@ class KeyedIndex:
             raw = json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
-        return State(raw["version"], raw["folders"], {int(k): v for k, v in raw["begins"].items()}, raw["done"])
+        return State(raw["version"], raw["folders"], {int(k): v for k, v in raw["begins"].items()}, raw["done"], raw["old"])
 
     def _commit(self, state: State) -> None:
         """Make the next version, or raise ``Taken``.  A file is written under a name of its own and then renamed, which fails
@@ -167,7 +169,8 @@ class KeyedIndex:
         return rows.join(found, F.col(key or self.key) == F.col("_known"), "left_anti")
 
     def compact(self) -> State:
-        """One folder in place of all.  Folders that come in meanwhile stay beside it, and are newer."""
+        """One folder in place of all.  Folders that come in meanwhile stay beside it, and are newer.  Those it takes the place
+        of are deleted by the next merge, so that readers have until then."""
         before = self.state()
         if len(before.folders) < 2:
             return before
@@ -178,12 +181,12 @@ class KeyedIndex:
             if not before.folders.items() <= state.folders.items() or state.begins != before.begins:
                 return False  # another writer has done it, or repaired what was read
             state.folders = {k: v for k, v in state.folders.items() if k not in before.folders} | {folder: max(before.folders.values())}
+            state.old = list(before.folders)
             return True
 
         out = self._change(swap)
-        used = out.folders if folder in out.folders else {folder: 0}
-        for old in before.folders if folder in out.folders else used:
-            self._fs.delete(self._at(old), True)
+        for gone in before.old if folder in out.folders else [folder]:
+            self._fs.delete(self._at(gone), True)
         return out
 
     def digests(self, rows: DataFrame) -> DataFrame:

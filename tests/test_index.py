@@ -52,6 +52,10 @@ def test_a_batch_counts_once_and_folders_are_merged(spark, tmp_path):
     assert len(state.folders) == 1 and rows_of(index) == {"a": 2, "k0": 0, "k1": 1, "k2": 2}
     index.upsert(frame(spark, [("a", 5)]))
     assert rows_of(index)["a"] == 5
+    there = lambda: {os.path.basename(d) for d in glob.glob(f"{tmp_path}/i/d=*")}
+    assert there() == {*index.state().folders, *index.state().old}
+    index.compact()
+    assert there() == {*index.state().folders, *index.state().old} and len(there()) == 3 and rows_of(index)["a"] == 5
 
 
 def test_two_writers(spark, tmp_path, monkeypatch):
