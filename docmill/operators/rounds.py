@@ -12,6 +12,9 @@ from docmill.operators.tasks import map_rows, saved
 #: The type of a word script, a column of ``word_diff``.
 SCRIPT = "array<struct<op: string, text: string>>"
 
+#: Edges and changed clauses of one document that are searched in its row.
+MOST_EDGES = 1 << 16
+
 
 def with_ordinal(clauses: DataFrame, key: list[str], order: str, name: str = "ordinal") -> DataFrame:
     return clauses.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(order)))
@@ -129,24 +132,43 @@ def resume_point(states: DataFrame, key: str, step: str, at: str) -> DataFrame:
     return states.groupBy(key).agg(F.max_by(step, F.struct(at, step)).alias("last_step"), F.max(at).alias("at"))
 
 
-def affected(changed: DataFrame, edges: DataFrame, key: str = "doc_id", node: str = "clause_id") -> DataFrame:
+def affected(changed: DataFrame, edges: DataFrame, key: str = "doc_id", node: str = "clause_id", most: int = MOST_EDGES) -> DataFrame:
     """``key, node, depth``: the ``changed`` clauses (0) and all that lean on them over any number of ``edges``.
 
-    ``edges``: ``key, from_id, to_id``, a clause that refers to another or uses its term.  In each round the clauses found
-    last are joined with the edges that lead to them; what is known already is left out, so cycles end.  A clause has the
-    length of its shortest way.
+    ``edges``: ``key, from_id, to_id``, a clause that refers to another or uses its term; they are worked out once.  A
+    document's edges meet in one row and are searched there, whatever the length of the ways.  Documents with more than
+    ``most`` edges and changed clauses are searched by rounds instead, in which the clauses found last are joined with the
+    edges that lead to them; what is known already is left out, so cycles end.  A clause has the length of its shortest way.
     """
-    seen = changed.select(key, node, F.lit(0).alias("depth")).distinct()
-    seen = saved(seen, "affected")
-    last, depth = seen, 0
+    starts = changed.select(F.col(key), F.lit(True).alias("_start"), F.col(node).alias("_to"), F.lit(None).cast(dict(changed.dtypes)[node]).alias("_from"))
+    leads = edges.where(F.col(key).isNotNull() & F.col("to_id").isNotNull()).select(F.col(key), F.lit(False).alias("_start"), F.col("to_id").alias("_to"), F.col("from_id").alias("_from"))
+    rows = saved(starts.union(leads), "affected")
+    large = saved(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key), "affected")
+    some = not large.isEmpty()
+    small = (rows.join(large, key, "left_anti") if some else rows).where(F.col(key).isNotNull())
+    own = small.groupBy(key).agg(F.collect_list(F.struct("_start", "_to", "_from")).alias("_e")).where(F.exists("_e", lambda e: e["_start"]))
+
+    def work(row: dict) -> list[dict]:
+        found = editing.reached([e["_to"] for e in row["_e"] if e["_start"]], [(e["_to"], e["_from"]) for e in row["_e"] if not e["_start"]])
+        return [{"node": n, "depth": d} for n, d in found.items()]
+
+    out = map_rows(own, work, "_r", f"array<struct<node: {dict(rows.dtypes)['_to']}, depth: int>>", ["_e"], limit=8)
+    out = out.select(key, F.explode("_r").alias("_r")).select(key, F.col("_r.node").alias(node), F.col("_r.depth").alias("depth"))
+    # without a document nothing leads anywhere
+    out = out.union(rows.where(F.col(key).isNull()).select(key, F.col("_to").alias(node), F.lit(0).alias("depth")).distinct())
+    if not some:
+        return out
+    rest = rows.join(large, key, "left_semi")
+    seen = saved(rest.where("_start").select(key, F.col("_to").alias(node), F.lit(0).alias("depth")).distinct(), "affected")
+    ways, last, depth = saved(rest.where("not _start").select(key, "_to", "_from").distinct(), "affected"), seen, 0
     while not last.isEmpty():
         depth += 1
         step = last.select(F.col(key).alias("_key"), F.col(node).alias("_node"))
-        found = edges.join(step, (F.col(key) == F.col("_key")) & (F.col("to_id") == F.col("_node"))).select(key, F.col("from_id").alias(node)).distinct()
-        last = found.join(seen, [key, node], "left_anti").withColumn("depth", F.lit(depth))
-        last = saved(last, "affected")
+        found = ways.join(step, (F.col(key) == F.col("_key")) & (F.col("_to") == F.col("_node"))).select(key, F.col("_from").alias(node)).distinct()
+        known = seen.select(F.col(key).alias("_key"), F.col(node).alias("_node"))
+        last = saved(found.join(known, F.col(key).eqNullSafe(F.col("_key")) & F.col(node).eqNullSafe(F.col("_node")), "left_anti").withColumn("depth", F.lit(depth)), "affected")
         seen = seen.union(last)
-    return seen
+    return out.union(seen)
 
 
 def only_affected(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -265,38 +265,21 @@ def reference_array(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(*x) for x in fixed.REFERENCES)))
 
 
-def _order(label: Column) -> Column:
-    """Labels in the order of their numbers: 5.2 before 5.10."""
-    return F.transform(F.split(label, r"\."), lambda x: x.cast("long"))
-
-
 def reference_graph(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, from_line, from_label, ref, style, to_label, to_line, resolved, cyclic`` of every reference.
 
     The labels of a document are its own index, so nothing has to be given.  A range has a row for each label that it
     spans and the document has, and one for each of its ends that the document lacks; a reference that points nowhere is
     not ``resolved``.  ``from_label`` is that of the section in which it stands (null before the first).  ``cyclic``
-    references are on a way that leads back to their own section.  All within a document's row.
+    references are on a way that leads back to their own section.  All within a document's row; labels are looked up by
+    halving (``editing.referred``), so a long document costs about its lines, not lines times references.
     """
     rows = docs.select("doc_id", label_array(F.col(text)).alias("_labels"), reference_array(F.col(text)).alias("_refs"))
-
-    def places(r):
-        own = F.filter("_labels", lambda x: x["style"] == r["style"])
-        inside = F.filter(own, lambda x: (_order(x["label"]) >= _order(r["first"])) & (_order(x["label"]) <= _order(r["last"])))
-        has = lambda end: F.exists(inside, lambda x: x["label"] == end)
-        hit = lambda label, line: F.struct(label.alias("label"), line.cast("int").alias("line"))
-        lost = F.filter(F.array_distinct(F.array(r["first"], r["last"])), lambda e: ~has(e))
-        return F.concat(F.transform(inside, lambda x: hit(x["label"], x["line"])), F.transform(lost, lambda e: hit(e, F.lit(None))))
-
-    def standing(r):
-        return F.array_max(F.transform(F.filter("_labels", lambda x: x["line"] <= r["line"]), lambda x: F.struct(x["line"].alias("line"), x["label"].alias("label"))))
-
-    edges = F.flatten(F.transform("_refs", lambda r: F.transform(places(r), lambda t: F.struct(r["line"].alias("from_line"), standing(r)["label"].alias("from_label"), standing(r)["line"].alias("at"), r["ref"].alias("ref"), r["style"].alias("style"), t["label"].alias("to_label"), t["line"].alias("to_line")))))
-    flat = rows.select("doc_id", edges.alias("_edges"))
-    flat = flat.withColumn("_pairs", F.transform("_edges", lambda e: F.struct(e["at"].alias("a"), e["to_line"].alias("b"))))
-    round_ = map_rows(flat, lambda r: editing.on_cycles([(p["a"], p["b"]) for p in r["_pairs"]]), "_round", "array<boolean>", ["_pairs"])
-    out = round_.select("doc_id", F.explode(F.arrays_zip("_edges", "_round")).alias("z")).select("doc_id", "z._edges.*", F.col("z._round").alias("cyclic"))
-    return out.select("doc_id", "from_line", "from_label", "ref", "style", "to_label", "to_line", F.col("to_line").isNotNull().alias("resolved"), "cyclic")
+    fields = "from_line", "from_label", "ref", "style", "to_label", "to_line", "cyclic"
+    kind = "array<struct<from_line: int, from_label: string, ref: string, style: string, to_label: string, to_line: int, cyclic: boolean>>"
+    out = map_rows(rows.where(F.size("_refs") > 0), lambda r: [dict(zip(fields, x, strict=True)) for x in editing.referred(r["_labels"], r["_refs"])], "_edges", kind, ["_labels", "_refs"], limit=32)
+    out = out.select("doc_id", F.explode("_edges").alias("e")).select("doc_id", "e.*")
+    return out.withColumn("resolved", F.col("to_line").isNotNull()).select("doc_id", "from_line", "from_label", "ref", "style", "to_label", "to_line", "resolved", "cyclic")
 
 
 def term_edges(clauses: DataFrame, terms: DataFrame) -> DataFrame:

@@ -168,6 +168,31 @@ def test_affected_clauses(spark):
     assert [tuple(r) for r in structure.term_edges(clauses, terms).collect()] == [("d", "c2", "c1")]
 
 
+def test_reference_graph_of_a_long_document(spark):
+    # labels are looked up by halving; numbers of any length have an order
+    far = "9" * 25
+    text = "\n".join([*(f"Section {i}. as Section {i % 3000 + 1} says" for i in range(1, 3001)), f"Section {far}. see Sections 2999 to {far}, Sections 5 to 3"])
+    rows = structure.reference_graph(spark.createDataFrame([("d", text)], "doc_id string, text string")).collect()
+    got = {(r.from_line, r.to_label): (r.from_label, r.to_line, r.cyclic) for r in rows}
+    want = {(i, str(i % 3000 + 1)): (str(i), i % 3000 + 1, True) for i in range(1, 3001)}
+    # a range that runs backwards has nothing in it
+    assert got == want | {(3001, "2999"): (far, 2999, False), (3001, "3000"): (far, 3000, False), (3001, far): (far, 3001, True), (3001, "5"): (far, None, False), (3001, "3"): (far, None, False)} and len(rows) == len(got)
+
+
+def test_affected_clauses_over_long_ways(spark):
+    chain = [("d", i + 1, i) for i in range(60)] + [("d", 0, 60), ("e", 5, 4), (None, 2, 1), ("e", 9, None), ("e", None, 4)]
+    edges = spark.createDataFrame(chain, "doc_id string, from_id int, to_id int")
+    changed = spark.createDataFrame([("d", 0), ("e", 4), ("f", 7), (None, 1)], "doc_id string, clause_id int")
+    want = sorted([("d", i, i) for i in range(61)] + [("e", 4, 0), ("e", 5, 1), ("e", None, 1), ("f", 7, 0), (None, 1, 0)], key=repr)
+    context = spark.sparkContext
+    for most in (2, 10_000):
+        context.setJobGroup(f"affected-{most}", "")
+        assert sorted((tuple(r) for r in rounds.affected(changed, edges, most=most).collect()), key=repr) == want
+    # the number of jobs does not grow with the length of a way
+    assert len(context.statusTracker().getJobIdsForGroup("affected-10000")) < 15 < len(context.statusTracker().getJobIdsForGroup("affected-2"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_section_chunks(spark):
     text = "\n".join(["intro", "(one)", "x" * 10, "(two)", "y" * 40, "z" * 40, "w" * 90, "v", "(three)", "u", "(four)", "t"])
     got = structure.section_chunks(spark.createDataFrame([("d", text), ("e", None)], "doc_id string, text string"), 60).orderBy("doc_id", "chunk_no").collect()
