@@ -243,23 +243,24 @@ def numbering_fails(docs: DataFrame, text: str = "text", levels: list[tuple[int,
     return numbering(docs, text, levels).where("kind in ('gap', 'back', 'repeat')").groupBy("doc_id").agg(F.count("*").alias("gaps"))
 
 
-def label_array(text: Column) -> Column:
+def label_array(every: Column) -> Column:
     """``array<struct<style, label, line>>``: what references can point at, both styles of numbering: articles by their
-    number (or, where they have a title alone, by their place among those) and sections by their dotted number."""
-    every = numbered(text)
+    number (or, where they have a title alone, by their place among those) and sections by their dotted number.  ``every``:
+    the lines, from ``numbered``."""
     explicit = F.transform(F.filter(every, lambda x: x["text"].rlike(fixed.ARTICLE_NUMBER)), lambda x: F.struct(F.lit("article").alias("style"), F.regexp_extract(x["text"], fixed.ARTICLE_NUMBER, 1).alias("label"), x["line"].alias("line")))
     titled = F.transform(F.filter(every, lambda x: is_article(x["text"])), lambda x, i: F.struct(F.lit("article").alias("style"), (i + 1).cast("string").alias("label"), x["line"].alias("line")))
     dotted = F.transform(F.filter(every, lambda x: x["text"].rlike(fixed.SECTION_NUMBER)), lambda x: F.struct(F.lit("section").alias("style"), F.regexp_extract(x["text"], fixed.SECTION_NUMBER, 1).alias("label"), x["line"].alias("line")))
     return F.concat(F.when(F.size(explicit) > 0, explicit).otherwise(titled), dotted)
 
 
-def reference_array(text: Column) -> Column:
-    """``array<struct<line, style, ref, first, last>>`` of every mention of an article or section, ranges too."""
+def reference_array(lines: Column) -> Column:
+    """``array<struct<line, style, ref, first, last>>`` of every mention of an article or section in ``lines`` (from
+    ``numbered``), ranges too."""
 
     def of(style: str, pattern: str) -> Column:
         every = lambda x: F.regexp_extract_all(F.regexp_replace(x["text"], fixed.OWN_NUMBER, ""), F.lit(pattern), F.lit(0))
         end = lambda r, n: F.regexp_extract(r["ref"], pattern, n)
-        found = F.transform(numbered(text), lambda x: F.transform(every(x), lambda t: F.struct(x["line"].alias("line"), t.alias("ref"))))
+        found = F.transform(lines, lambda x: F.transform(every(x), lambda t: F.struct(x["line"].alias("line"), t.alias("ref"))))
         return F.transform(F.flatten(found), lambda r: F.struct(r["line"].alias("line"), F.lit(style).alias("style"), r["ref"].alias("ref"), end(r, 1).alias("first"), F.when(end(r, 2) == "", end(r, 1)).otherwise(end(r, 2)).alias("last")))
 
     return F.array_sort(F.concat(*(of(*x) for x in fixed.REFERENCES)))
@@ -274,10 +275,12 @@ def reference_graph(docs: DataFrame, text: str = "text") -> DataFrame:
     references are on a way that leads back to their own section.  All within a document's row; labels are looked up by
     halving (``editing.referred``), so a long document costs about its lines, not lines times references.
     """
-    rows = docs.select("doc_id", label_array(F.col(text)).alias("_labels"), reference_array(F.col(text)).alias("_refs"))
+    # lines are cut and stripped once, for they are a column that several expressions read
+    rows = docs.select("doc_id", numbered(F.col(text)).alias("_l"))
+    rows = rows.select("doc_id", label_array(F.col("_l")).alias("_labels"), reference_array(F.col("_l")).alias("_refs"))
     fields = "from_line", "from_label", "ref", "style", "to_label", "to_line", "cyclic"
     kind = "array<struct<from_line: int, from_label: string, ref: string, style: string, to_label: string, to_line: int, cyclic: boolean>>"
-    out = map_rows(rows.where(F.size("_refs") > 0), lambda r: [dict(zip(fields, x, strict=True)) for x in editing.referred(r["_labels"], r["_refs"])], "_edges", kind, ["_labels", "_refs"], limit=32)
+    out = map_rows(rows, lambda r: [dict(zip(fields, x, strict=True)) for x in editing.referred(r["_labels"], r["_refs"])], "_edges", kind, ["_labels", "_refs"], limit=32)
     out = out.select("doc_id", F.explode("_edges").alias("e")).select("doc_id", "e.*")
     return out.withColumn("resolved", F.col("to_line").isNotNull()).select("doc_id", "from_line", "from_label", "ref", "style", "to_label", "to_line", "resolved", "cyclic")
 
