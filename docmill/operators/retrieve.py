@@ -145,13 +145,24 @@ def match_rate(targets: DataFrame, matched: DataFrame, target: str, goal: float
 
 
 def template_for(requests: DataFrame, documents: DataFrame, by: tuple[str, ...] = ("contract_family",), prefer: str = "subtype") -> DataFrame:
-    """``requests`` (with ``request_id``) and the best approved template of their family: same subtype, then rank."""
+    """``requests`` (with ``request_id``) and the best approved template of their family: same subtype, then rank.
+
+    The best template of each family, and of each family and subtype, is found first, on the map side; requests are joined
+    with these alone, so nothing has a row for each request and template.
+    """
     found = documents.where("doc_class = 'template' and approval_state = 'approved' and status = 'active'")
-    found = found.select(*(F.col(c).alias(f"lib_{c}") for c in found.columns))
-    on = F.lit(True)
-    for c in by:
-        on = on & (F.col(c) == F.col(f"lib_{c}"))
-    rank = rank_of(priority(F.col("lib_doc_class"), F.col("lib_authority_level"), F.col("lib_approval_state")))
-    order = [F.desc(F.coalesce(F.col(prefer) == F.col(f"lib_{prefer}"), F.lit(False))), rank, F.col("lib_doc_id")]
-    top = best(requests.join(found, on), "request_id", order).select("request_id", F.col("lib_doc_id").alias("template_id"))
-    return requests.join(top, "request_id", "left")
+    rank = rank_of(priority(F.col("doc_class"), F.col("authority_level"), F.col("approval_state")))
+    found = found.select(*(F.col(c).alias(f"lib_{c}") for c in (*by, prefer)), F.struct(rank.alias("rank"), F.col("doc_id").alias("id")).alias("_t"))
+
+    def with_best(rows: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+        top = found.groupBy(*(f"lib_{c}" for c in keys)).agg(F.min("_t").alias(name))
+        on = F.lit(True)
+        for c in keys:
+            on = on & (F.col(c) == F.col(f"lib_{c}"))
+        return rows.join(top, on, "left").drop(*(f"lib_{c}" for c in keys))
+
+    both = with_best(with_best(requests, (*by, prefer), "_same"), by, "_any")
+    # of several rows of one request the first template of all stays
+    t = F.coalesce("_same", "_any")
+    first = both.where(t.isNotNull()).groupBy("request_id").agg(F.min(F.struct(F.col("_same").isNull().alias("other"), t.alias("t"))).alias("_b"))
+    return requests.join(first.select("request_id", F.col("_b.t.id").alias("template_id")), "request_id", "left")

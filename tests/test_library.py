@@ -501,3 +501,13 @@ def test_paragraph_contains(spark):
     items = [(10, "one two three four five six"), (11, "alpha beta gamma"), (12, "alpha"), (13, " "), (14, None), (15, "two\tthree")]
     got = review.paragraph_contains(spark.createDataFrame(docs, "id int, body string"), spark.createDataFrame(items, "paragraph_id int, text string"), "id")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 10), (1, 15), (2, 15), (4, 10), (4, 15), (None, 11), (None, 12), (3, 12)], key=repr)
+
+
+def test_template_lookup_makes_no_pairs(spark):
+    docs = spark.createDataFrame([(i, "f", ("a", "b", None)[i % 3], "template", ("fallback", "preferred")[i % 2], "approved", "active") for i in range(60)], "doc_id long, contract_family string, subtype string, doc_class string, authority_level string, approval_state string, status string")
+    asked = spark.createDataFrame([(1, "f", "a"), (2, "f", "b"), (3, "f", None), (4, "f", "z"), (5, "g", "a"), (6, None, "a"), (7, "f", "z"), (7, "f", "b")], "request_id long, contract_family string, subtype string")
+    found = retrieve.template_for(asked, docs)
+    # of the two rows of request 7 the one whose subtype is there decides
+    assert sorted((r.request_id, r.subtype or "", r.template_id) for r in found.collect()) == [(1, "a", 3), (2, "b", 1), (3, "", 1), (4, "z", 1), (5, "a", None), (6, "a", None), (7, "b", 1), (7, "z", 1)]
+    # the requests never meet all templates of their family to be sorted
+    assert "Window" not in found._jdf.queryExecution().toString()
