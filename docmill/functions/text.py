@@ -68,10 +68,14 @@ def percent(x: Column, digits: int = 1) -> Column:
     return F.concat(_fixed(x * 100, digits), F.lit("%"))
 
 
+def word_set(x: Column) -> Column:
+    """The distinct lower-case words of a text."""
+    return F.array_distinct(F.filter(F.split(F.lower(x), r"(?U)[^\w]+"), lambda w: w != ""))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two texts' sets of lower-case words; 0 if both are empty."""
-    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"(?U)[^\w]+"), lambda w: w != ""))
-    a, b = words(a), words(b)
+    a, b = word_set(a), word_set(b)
     return ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 

@@ -7,7 +7,12 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions import fixed
+from docmill.functions import editing, fixed
+from docmill.functions.text import word_set
+from docmill.operators.tasks import map_rows
+
+#: Sets of words that are compared in one row: a target's block and a library's.
+ASKED_BLOCK, HELD_BLOCK = 1024, 4096
 
 
 def exact_or_null(library: Column, target: Column) -> Column:
@@ -96,6 +101,74 @@ def widen(candidates: DataFrame, targets: DataFrame, library: DataFrame, pairs:
     return candidates.withColumn("penalty", F.lit(0)).unionByName(more)
 
 
+def likeliest(targets: DataFrame, library: DataFrame, pairs: DataFrame, key: str, rank: Column, text: str = "text", narrow_by: str = "clause_type", above: int = fixed.NARROW_ABOVE, family: str = "contract_family", optional: tuple[str, ...] = ("jurisdiction", "governing_law"), required: dict[str, str] | None = None, below: int = fixed.WIDEN_BELOW, penalty: int = fixed.PENALTY) -> DataFrame:
+    """Of the ``candidates`` of each target, widened (see ``widen``), some that have the first by ``rank`` and ``penalty``,
+    an equal ``narrow_by``, the share of common words, and the library's ids among them; with ``penalty``.
+
+    The library's rows fall into classes by family, optional values, ``narrow_by`` and rank, a few a family.  From their
+    counts follow what is narrowed, what is widened, and the classes in which a target's first candidate is.  Only in these
+    words are compared: equal sets of words are one, and blocks of sets meet in a row (``editing.most_alike``).  The pairs of
+    sets grow with both sides, but no row is made of them.  ``rank``: over the library's columns as ``lib_...``.
+    """
+    lib = library
+    for c, v in ({"approval_state": "approved", "status": "active"} if required is None else required).items():
+        lib = lib.where(F.col(c) == v)
+    lib = lib.select(*(F.col(c).alias(f"lib_{c}") for c in lib.columns))
+    lib = lib.withColumn("_class", F.struct(*(f"lib_{c}" for c in (family, *optional, narrow_by)), rank.alias("_rank")))
+    classes = lib.groupBy("_class").agg(F.count("*").alias("_n")).select("_class", "_n", "_class.*")
+    fits = lambda own: F.col(own) == F.col(f"lib_{family}")
+    same = F.col(narrow_by) == F.col(f"lib_{narrow_by}")
+
+    def meeting(rows: DataFrame, own: str) -> DataFrame:
+        on = fits(own)
+        for c in optional:
+            on = on & exact_or_null(F.col(f"lib_{c}"), F.col(c))
+        return rows.join(classes, on).withColumn("_same", same)
+
+    asked = targets.select(key, family, *optional, narrow_by).distinct()
+    held = meeting(asked, family)
+    total = held.groupBy(key).agg(F.sum("_n").alias("_all"), F.coalesce(F.sum(F.when(F.col("_same"), F.col("_n"))), F.lit(0)).alias("_alike"))
+    own = held.join(total, key).where((F.col("_all") <= above) | F.col("_same"))
+    left = F.when(F.col("_all") > above, F.col("_alike")).otherwise(F.col("_all"))
+    few = asked.join(total, key, "left").where(F.coalesce(left, F.lit(0)) < below).select(*asked.columns)
+    near = pairs.select(F.col("family").alias("_own"), F.col("related").alias("_related"))
+    more = meeting(few.join(F.broadcast(near), F.col(family) == F.col("_own")), "_related")
+    place = lambda more: F.struct((F.col("_rank") + more).alias("r"), F.when(F.col("_same"), 0).when(F.col("_same").isNull(), 2).otherwise(1).alias("s"))
+    reach = own.select(key, "_class", F.lit(0).alias("penalty"), place(0).alias("_place")).union(more.select(key, "_class", F.lit(penalty).alias("penalty"), place(penalty).alias("_place")))
+    first = reach.groupBy(key).agg(F.min("_place").alias("_first"))
+    reach = reach.join(first, key).where(F.col("_place") == F.col("_first")).select(key, "_class", "penalty").distinct()
+
+    said = lambda c: F.array_sort(F.coalesce(word_set(F.col(c)), F.array().cast("array<string>")))
+    named = lambda rows: rows.withColumn("_set", F.sha2(F.array_join("_words", " "), 256))
+    wanted = named(targets.select(key, said(text).alias("_words"))).join(reach, key)
+    there = named(lib.select("_class", "lib_doc_id", "lib_clause_id", said(f"lib_{text}").alias("_words")))
+    there = there.join(reach.select("_class").distinct(), "_class", "left_semi")
+    sets = there.groupBy("_class", "_set").agg(F.min(F.struct("lib_doc_id", "lib_clause_id")).alias("_id"), F.first("_words").alias("_words"))
+
+    def blocks(rows: DataFrame, most: int, name: str, *fields: str) -> DataFrame:
+        count = rows.groupBy("_class").agg(F.ceil(F.count("*") / most).alias("_of"))
+        dealt = rows.join(count, "_class").withColumn("_block", F.pmod(F.xxhash64("_set"), "_of"))
+        return dealt.groupBy("_class", F.col("_block").alias(f"{name}_block")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+    a = blocks(wanted.select("_class", "_set", "_words").dropDuplicates(["_class", "_set"]), ASKED_BLOCK, "_asked", "_set", "_words")
+    b = blocks(sets, HELD_BLOCK, "_held", "_id", "_words")
+    # a number that is given keeps the cells of one class apart, small as they are
+    cells = a.join(b, "_class").repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_class", "_asked_block", "_held_block")
+
+    def work(row: dict) -> list[dict]:
+        found = editing.most_alike([x["_words"] for x in row["_asked"]], [x["_words"] for x in row["_held"]])
+        return [{"_set": x["_set"], "_less": -s, "_id": row["_held"][i]["_id"]} for x, (i, s) in zip(row["_asked"], found, strict=True)]
+
+    kind = f"array<struct<_set: string, _less: double, _id: {dict(sets.dtypes)['_id']}>>"
+    alike = map_rows(cells.select("_class", "_asked", "_held"), work, "_r", kind, ["_asked", "_held"], limit=2).select("_class", F.explode("_r").alias("_r"))
+    alike = alike.groupBy("_class", F.col("_r._set").alias("_set")).agg(F.min(F.struct("_r._less", "_r._id")).alias("_best"))
+    won = wanted.select(key, "_class", "penalty", "_set").join(alike, ["_class", "_set"]).select(F.col(key).alias("_key"), F.col("_class").alias("_won"), "penalty", "_best._id.*")
+    won = won.withColumnsRenamed({"lib_doc_id": "_doc", "lib_clause_id": "_clause"})
+    rows = lib.join(won, (F.col("_class") == F.col("_won")) & F.col("lib_doc_id").eqNullSafe(F.col("_doc")) & F.col("lib_clause_id").eqNullSafe(F.col("_clause")))
+    rows = rows.drop("_class", "_won", "_doc", "_clause")
+    return targets.join(rows, targets[key] == F.col("_key")).drop("_key")
+
+
 def stale(refreshed: Column, as_of: Column, days: int = fixed.STALE_DAYS) -> Column:
     """Whether the last refresh is more than ``days`` ago; an asset that was never refreshed is not judged."""
     return F.coalesce(F.datediff(as_of, refreshed) > days, F.lit(False))

@@ -140,10 +140,10 @@ class Review:
         if as_of is not None and rules.refreshed in bank.columns:
             bank = retrieve.freshness(bank, rules.refreshed, as_of, rules.stale_handling, rules.stale_days, rules.penalty).withColumnRenamed("penalty", "stale_penalty")
         how = {"family": rules.family, "optional": tuple(c for c in rules.optional if c in bank.columns and c in target.columns), "required": rules.required}
-        found = retrieve.candidates(target, bank, "clause_id", rules.narrow_by, rules.narrow_above, **how)
-        wide = retrieve.widen(found, target, bank, pairs, "clause_id", below=rules.widen_below, penalty=rules.penalty, **how)
-        late = F.col("lib_stale_penalty") if "lib_stale_penalty" in wide.columns else F.lit(0)
-        rank = retrieve.rank_of(retrieve.priority(F.col("lib_doc_class"), F.col("lib_authority_level"), F.col("lib_approval_state")), rules.priority) + F.col("penalty") + late
+        late = F.col("lib_stale_penalty") if "stale_penalty" in bank.columns else F.lit(0)
+        own_rank = retrieve.rank_of(retrieve.priority(F.col("lib_doc_class"), F.col("lib_authority_level"), F.col("lib_approval_state")), rules.priority) + late
+        wide = retrieve.likeliest(target, bank, pairs, "clause_id", own_rank, narrow_by=rules.narrow_by, above=rules.narrow_above, below=rules.widen_below, penalty=rules.penalty, **how)
+        rank = own_rank + F.col("penalty")
         order = [F.col("rank"), F.desc(F.col("clause_type") == F.col("lib_clause_type")), F.desc(jaccard(F.col("text"), F.coalesce("lib_text", F.lit("")))), F.col("lib_doc_id"), F.col("lib_clause_id")]
         top = retrieve.best(wide.withColumn("rank", rank), "clause_id", order).drop("place")
         lost = [c for c in top.columns if c not in target.columns]

@@ -511,3 +511,25 @@ def test_template_lookup_makes_no_pairs(spark):
     assert sorted((r.request_id, r.subtype or "", r.template_id) for r in found.collect()) == [(1, "a", 3), (2, "b", 1), (3, "", 1), (4, "z", 1), (5, "a", None), (6, "a", None), (7, "b", 1), (7, "z", 1)]
     # the requests never meet all templates of their family to be sorted
     assert "Window" not in found._jdf.queryExecution().toString()
+
+
+def test_review_finds_what_all_pairs_find(spark):
+    from random import Random
+
+    from docmill.functions.text import jaccard
+
+    r = Random(5)
+    said = lambda: " ".join(r.choice("fee term party law due pay act sum").strip() for _ in range(r.randint(0, 5)))
+    families, kinds, places = ["safe", "rcps", "common"], ["a", "b"], ["KR", "US", None]
+    held = [(i, f"c{i % 2}", r.choice(families), r.choice(kinds), r.choice(places), r.choice(["preferred", "acceptable"]), said()) for i in range(120)]
+    bank = spark.createDataFrame(held, "doc_id long, clause_id string, contract_family string, clause_type string, jurisdiction string, authority_level string, text string").withColumns({"doc_class": F.lit("template"), "approval_state": F.lit("approved"), "status": F.lit("active"), "stale_penalty": F.col("doc_id") % 2})
+    wanted = [(i, r.choice([*families, "none"]), r.choice(kinds), r.choice(places), None if i == 3 else said()) for i in range(60)]
+    targets = spark.createDataFrame(wanted, "id long, contract_family string, clause_type string, jurisdiction string, text string")
+    near = retrieve.affinity_pairs(spark, [["safe", "none"], ["rcps", "common"]])
+    rank = retrieve.rank_of(retrieve.priority(F.col("lib_doc_class"), F.col("lib_authority_level"), F.col("lib_approval_state"))) + F.col("lib_stale_penalty")
+    order = [rank + F.col("penalty"), F.desc(F.col("clause_type") == F.col("lib_clause_type")), F.desc(jaccard(F.col("text"), F.col("lib_text"))), F.col("lib_doc_id")]
+    answer = lambda rows: {x.id: (x.lib_doc_id, x.penalty) for x in retrieve.best(rows, "id", order).collect()}
+    for above, below in ((10, 5), (1000, 30)):
+        found = retrieve.candidates(targets, bank, "id", above=above, optional=("jurisdiction",))
+        want = answer(retrieve.widen(found, targets, bank, near, "id", below=below, penalty=1, optional=("jurisdiction",)))
+        assert answer(retrieve.likeliest(targets, bank, near, "id", rank, above=above, below=below, penalty=1, optional=("jurisdiction",))) == want and len(want) > 40
