@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from docmill.functions import editing, fixed
 from docmill.functions.text import word_set
+from docmill.operators.joins import as_of
 from docmill.operators.tasks import map_rows
 
+#: Rows of a family's targets, and of its library, that are joined as one block.
+BLOCK = 8192
 #: Sets of words that are compared in one row: a target's block and a library's.
 ASKED_BLOCK, HELD_BLOCK = 1024, 4096
 
@@ -20,11 +23,8 @@ def exact_or_null(library: Column, target: Column) -> Column:
     return library.isNull() | target.isNull() | (library == target)
 
 
-def stage_one(targets: DataFrame, library: DataFrame, family: str = "contract_family", optional: tuple[str, ...] = ("jurisdiction", "governing_law"), required: dict[str, str] | None = None) -> DataFrame:
-    """Candidates of each target: one family, null-tolerant residuals, approved and active.
-
-    The family is an equi-join key, so the join is hashed; required values filter the library's scan first.
-    """
+def _fitting(targets: DataFrame, library: DataFrame, family: str, optional: tuple[str, ...], required: dict[str, str] | None) -> tuple[DataFrame, Column]:
+    """The library's rows that may be candidates, as ``lib_...``, and the condition under which one is a target's."""
     lib = library
     for c, v in ({"approval_state": "approved", "status": "active"} if required is None else required).items():
         lib = lib.where(F.col(c) == v)
@@ -32,7 +32,59 @@ def stage_one(targets: DataFrame, library: DataFrame, family: str = "contract_fa
     on = F.col(family) == F.col(f"lib_{family}")
     for c in optional:
         on = on & exact_or_null(F.col(f"lib_{c}"), F.col(c))
-    return targets.join(lib, on)
+    return lib, on
+
+
+def stage_one(targets: DataFrame, library: DataFrame, family: str = "contract_family", optional: tuple[str, ...] = ("jurisdiction", "governing_law"), required: dict[str, str] | None = None, block: int = BLOCK) -> DataFrame:
+    """Candidates of each target: one family, null-tolerant residuals, approved and active.
+
+    The family is an equi-join key, so the join is hashed; required values filter the library's scan first.  Both sides of a
+    family are dealt into blocks of about ``block`` rows, whose numbers are keys, too: a large family is many small joins of
+    a block with a block, and no task has all of its pairs.
+    """
+    lib, on = _fitting(targets, library, family, optional, required)
+    sized = lambda rows, key, name: rows.groupBy(F.col(key).alias("_family")).agg(F.ceil(F.count("*") / block).alias(name))
+    grid = sized(targets, family, "_rows").join(sized(lib, f"lib_{family}", "_columns"), "_family")
+    deal = lambda rows, of: F.pmod(F.xxhash64(*(F.col(c) for c, t in rows.dtypes if "map<" not in t)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of).cast("int") - 1))
+    a = targets.join(grid, F.col(family) == F.col("_family")).withColumn("_row", deal(targets, "_rows")).withColumn("_column", every("_columns"))
+    b = lib.join(grid, F.col(f"lib_{family}") == F.col("_family")).withColumn("_lib_column", deal(lib, "_columns")).withColumn("_lib_row", every("_rows"))
+    # a number that is given keeps the blocks of one family apart, small as they are
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = a.drop("_family", "_rows", "_columns").repartition(parts, family, "_row", "_column")
+    b = b.drop("_family", "_rows", "_columns").repartition(parts, f"lib_{family}", "_lib_row", "_lib_column")
+    blocks = (F.col("_row") == F.col("_lib_row")) & (F.col("_column") == F.col("_lib_column"))
+    return a.join(b.hint("shuffle_hash"), on & blocks).drop("_row", "_column", "_lib_row", "_lib_column")
+
+
+def nearest(targets: DataFrame, library: DataFrame, key: str, near: str, narrow_by: str = "clause_type", family: str = "contract_family", optional: tuple[str, ...] = ("jurisdiction", "governing_law"), required: dict[str, str] | None = None, id: str = "doc_id") -> DataFrame:
+    """Of the candidates of each target some that have the first by an equal ``narrow_by``, the least difference in ``near``
+    and the least ``id`` among them: all that ``best`` needs in this order, without the pairs.
+
+    Of the library's rows with one family, optional values, ``narrow_by`` and ``near`` the least ``id`` stays.  Each target
+    meets the groups of its family, a few, and in each the nearest values below and above, by windows in their order.  A
+    group's least ``id``, and that without a value, come along for targets and rows that have none.  Columns: those of the
+    targets, and of the library those named here.
+    """
+    lib, on = _fitting(targets, library, family, optional, required)
+    parts = [f"lib_{c}" for c in (family, *optional, narrow_by)]
+    held = lib.groupBy(*parts, f"lib_{near}").agg(F.min(f"lib_{id}").alias(f"lib_{id}"))
+    value = F.struct(F.col(f"lib_{near}").alias("near"), F.col(f"lib_{id}").alias("id"))
+    ids = F.struct(F.col(f"lib_{id}").alias("id"), F.col(f"lib_{near}").alias("near"))
+    groups = held.groupBy(*parts).agg(F.min(ids).alias("_least"), F.min(F.when(F.col(f"lib_{near}").isNull(), ids)).alias("_none"))
+    asked = targets.join(groups, on)
+    found = asked.select(*asked.columns[: len(targets.columns)], *parts, F.explode(F.array("_least", "_none")).alias("_v")).where("_v is not null")
+    found = found.select(*targets.columns, *parts, F.col("_v.near").alias(f"lib_{near}"), F.col("_v.id").alias(f"lib_{id}"))
+    rows = asked.where(F.col(near).isNotNull()).select(*targets.columns, *parts)
+    named = F.struct(*(F.col(c).alias(f"t_{c}") for c in targets.columns))
+    rows = rows.select(*parts, F.col(near).alias("_at"), named.alias("_own"))
+    some = held.where(F.col(f"lib_{near}").isNotNull()).select(*parts, F.col(f"lib_{near}").alias("_at"), value.alias("_found"))
+    for sign in (1, -1):
+        a, b = (x.withColumn("_at", F.col("_at") * sign) for x in (rows, some))
+        side = as_of(a, b, parts, "_at", ["_found"]).where("_found is not null")
+        side = side.select(*(F.col(f"_own.t_{c}").alias(c) for c in targets.columns), *parts, F.col("_found.near").alias(f"lib_{near}"), F.col("_found.id").alias(f"lib_{id}"))
+        found = found.union(side)
+    return found
 
 
 def candidates(targets: DataFrame, library: DataFrame, key: str, narrow_by: str = "clause_type", above: int = fixed.NARROW_ABOVE, family: str = "contract_family", optional: tuple[str, ...] = ("jurisdiction", "governing_law"), required: dict[str, str] | None = None) -> DataFrame:
