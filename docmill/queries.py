@@ -627,7 +627,8 @@ def retrieve_external(spark, sf):
 @query(f"WITH {_LIB} SELECT doc_id, lib_doc_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN clause_type = lib_clause_type THEN 0 ELSE 1 END, abs(n_chars - lib_n_chars), lib_doc_id) AS n FROM one) WHERE n = 1")
 def retrieve_rank_top1(spark, sf):
     order = [F.when(F.col("clause_type") == F.col("lib_clause_type"), 0).otherwise(1), F.abs(F.col("n_chars") - F.col("lib_n_chars")), F.col("lib_doc_id")]
-    return retrieve.best(_stage_one(spark, sf)[2], "doc_id", order).select("doc_id", "lib_doc_id")
+    targets, lib, _ = _stage_one(spark, sf)
+    return retrieve.best(retrieve.nearest(targets, lib, "doc_id", "n_chars", optional=("jurisdiction",)), "doc_id", order).select("doc_id", "lib_doc_id")
 
 
 @query(f"WITH {_LIB} SELECT count(*) AS n, count(o.doc_id) AS matched, round(count(o.doc_id) / count(*), 6) AS rate, count(o.doc_id) / count(*) >= 0.5 AS reached FROM tgt LEFT JOIN (SELECT DISTINCT doc_id FROM one) o ON tgt.doc_id = o.doc_id")

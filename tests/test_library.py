@@ -533,3 +533,25 @@ def test_review_finds_what_all_pairs_find(spark):
         found = retrieve.candidates(targets, bank, "id", above=above, optional=("jurisdiction",))
         want = answer(retrieve.widen(found, targets, bank, near, "id", below=below, penalty=1, optional=("jurisdiction",)))
         assert answer(retrieve.likeliest(targets, bank, near, "id", rank, above=above, below=below, penalty=1, optional=("jurisdiction",))) == want and len(want) > 40
+
+
+def test_large_families_are_joined_in_blocks(spark):
+    lib = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("f").alias("contract_family"), F.lit("approved").alias("approval_state"), F.lit("active").alias("status"))
+    targets = spark.range(200).select("id", F.lit("f").alias("contract_family")).union(spark.createDataFrame([(900, "g"), (901, None)], "id long, contract_family string"))
+    got = retrieve.stage_one(targets, lib, optional=(), block=32)
+    assert got.columns == [*targets.columns, *(f"lib_{c}" for c in lib.columns)]
+    assert sorted((r.id, r.lib_doc_id) for r in got.collect()) == [(i, j) for i in range(200) for j in range(300)]
+
+
+def test_nearest_are_those_of_all_pairs(spark):
+    from random import Random
+
+    r = Random(3)
+    size = lambda: r.choice([None, *range(0, 60, 3)])
+    lib = spark.createDataFrame([(i, r.choice("fg"), r.choice(["a", "b", None]), r.choice(["KR", "US", None]), size(), "approved", "active") for i in range(80)], "doc_id long, contract_family string, clause_type string, jurisdiction string, n long, approval_state string, status string")
+    targets = spark.createDataFrame([(i, r.choice("fgh"), r.choice(["a", "b", None]), r.choice(["KR", "US", "JP", None]), size()) for i in range(120)], "id long, contract_family string, clause_type string, jurisdiction string, n long")
+    same, off = F.when(F.col("clause_type") == F.col("lib_clause_type"), 0).otherwise(1), F.abs(F.col("n") - F.col("lib_n"))
+    for gap in (off.asc_nulls_first(), off.asc_nulls_last()):
+        answer = lambda rows: sorted((x.id, x.lib_doc_id) for x in retrieve.best(rows, "id", [same, gap, F.col("lib_doc_id")]).collect())  # noqa: B023, E731
+        want = answer(retrieve.stage_one(targets, lib, optional=("jurisdiction",)))
+        assert answer(retrieve.nearest(targets, lib, "id", "n", optional=("jurisdiction",))) == want and len(want) > 60
