@@ -555,3 +555,15 @@ def test_nearest_are_those_of_all_pairs(spark):
         answer = lambda rows: sorted((x.id, x.lib_doc_id) for x in retrieve.best(rows, "id", [same, gap, F.col("lib_doc_id")]).collect())  # noqa: B023, E731
         want = answer(retrieve.stage_one(targets, lib, optional=("jurisdiction",)))
         assert answer(retrieve.nearest(targets, lib, "id", "n", optional=("jurisdiction",))) == want and len(want) > 60
+
+
+def test_docx_files_are_read_a_few_at_a_time():
+    import pyarrow as pa
+
+    files = [docx.build([("", "x" * n)]) for n in (10, 500, 20, 30, 40)] + [b"broken", None]
+    kind = pa.schema([("id", pa.int64()), ("md", pa.string()), ("plain", pa.string()), ("error", pa.string())])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array(files, pa.binary())], names=["id", "content"])
+    parts = list(docx.read_batch(batch, "content", ["id"], kind, rows=3, letters=600))
+    assert [p.column("id").to_pylist() for p in parts] == [[0, 1], [2, 3, 4], [5, 6]]
+    assert [len(x or "") for p in parts for x in p.column("plain").to_pylist()] == [10, 500, 20, 30, 40, 0, 0]
+    assert [x is None for p in parts for x in p.column("error").to_pylist()] == [True] * 5 + [False] * 2
