@@ -986,10 +986,11 @@ count(*) FILTER (line_no % 7 = 0) AS external_comments, count(*) FILTER (line_no
 def docx_redline(spark, sf):
     """Every text as a DOCX file, with tracked changes and comments: both readings of the file, and of the copy for others."""
     rows = _redlined(spark, sf)
-    ours = redline.readings(rows.select("doc_id", F.size("applied").alias("applied"), F.size("skipped").alias("skipped"), F.col("redlined").alias("content")))
-    theirs = redline.readings(rows.select("doc_id", F.col("clean").alias("content"))).select("doc_id", F.size("comments").alias("external_comments"), F.sha2("accepted", 256).alias("clean"))
-    both = ours.join(theirs, "doc_id").where(F.sha2("accepted", 256) == F.col("clean"))
-    return both.select("doc_id", F.sha2("accepted", 256).alias("accepted"), F.sha2("rejected", 256).alias("rejected"), F.size("comments").cast("long").alias("comments"), *long("external_comments", "applied", "skipped"))
+    # both copies are read in the row that holds them, so files are marked once
+    ours = redline.readings(rows.select("doc_id", F.size("applied").alias("applied"), F.size("skipped").alias("skipped"), "clean", F.col("redlined").alias("content")))
+    ours = ours.select("doc_id", "applied", "skipped", F.sha2("accepted", 256).alias("ours"), F.sha2("rejected", 256).alias("theirs"), F.size("comments").cast("long").alias("n"), F.col("clean").alias("content"))
+    both = redline.readings(ours).withColumns({"external_comments": F.size("comments"), "clean": F.sha2("accepted", 256)}).where(F.col("ours") == F.col("clean"))
+    return both.select("doc_id", F.col("ours").alias("accepted"), F.col("theirs").alias("rejected"), F.col("n").alias("comments"), *long("external_comments", "applied", "skipped"))
 
 
 @query(f"SELECT doc_id, text AS plain, array_to_string(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format('x')}), chr(10)) AS md FROM documents")

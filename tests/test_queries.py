@@ -53,3 +53,9 @@ def test_entry(spark):
 def test_plans(spark, name, never, ever):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().toString()
     assert never not in plan.split("Physical Plan")[1] and ever in plan
+
+
+def test_files_are_marked_once(spark):
+    """A file is written, marked, and read in both copies: four steps in Python, none of them twice."""
+    plan = QUERIES["docx_redline"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 4
