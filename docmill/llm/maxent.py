@@ -17,15 +17,15 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, pieces, saved, table, texts
-from .minhash import LOWER
 
 #: Words known to every task; classes (the last is of all other words); rows of weights; rounds of training.
 VOCABULARY, CLASSES, HASHED, ROUNDS = 200_000, 24, 1 << 14, 2
@@ -34,16 +34,39 @@ STEP, RATE, ROWS = 8192, 0.5, 256
 #: Most rows of weights; distinct words to a row below that; tokens to a task of a round, at least where there are
 #: more tasks than cores (a task sends the rows it met, so small tasks would send more than they read).
 HASHED_MOST, LOAD, TASK = 1 << 18, 4, 2_000_000
+#: Choices whose scores are worked out at a time, so that they stay in a core's cache; choices of one row, in a step,
+#: above which they are added up alone.
+BLOCK, LARGE = 2048, 32
+#: A row of weights as one item.
+ROW, ONES = np.dtype(f"V{4 * CLASSES}"), np.ones(CLASSES, np.float32)
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
+#: Bytes of text that a task splits at a time: their words are looked up together, in a table made for each call.
+TEXTS = 8_000_000
 #: Endings of words outside the vocabulary are features of their own.
 ENDINGS = 1024
 END = b""
 
 
+def split(column: pa.Array) -> pa.ListArray:
+    """The words of each text: A-Z lower-cased, split at ASCII white space, then the end."""
+    whole = pc.ascii_ltrim_whitespace(pc.ascii_lower(column))
+    # what follows the last white space is the end, an empty word; an empty text is one already
+    whole = pc.if_else(pc.equal(whole, ""), "", pc.binary_join_element_wise(whole, "", " "))
+    return pc.ascii_split_whitespace(whole).cast(pa.list_(pa.binary()))
+
+
 def words(text: str) -> list[bytes]:
-    """A-Z lower-cased, split at ASCII white space, then the end."""
-    return [*text.encode().translate(LOWER).split(), END]
+    """The words of one text, and the end."""
+    return split(pa.array([text], pa.string()))[0].as_py()
+
+
+def listed(batch: pa.ListArray | list[list[bytes]]) -> pa.ListArray:
+    return batch if isinstance(batch, pa.ListArray) else pa.array(batch, pa.list_(pa.binary()))
+
+
+def lengths(batch: pa.ListArray) -> np.ndarray:
+    return pc.list_value_length(batch).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def fold(doc_id) -> F.Column:
@@ -55,14 +78,19 @@ def counted(docs: DataFrame) -> DataFrame:
     kind = arrow("word binary, n long")
 
     def run(batches):
-        held: Counter = Counter()
-        for piece in pieces(batches):
-            for text in piece.column("text").to_pylist():
-                held.update(words(text))
-            if len(held) > HELD:
-                yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())}, schema=kind)
-                held.clear()
-        yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())}, schema=kind)
+        held, rows = [], 0
+        for piece in pieces(batches, limit=TEXTS):
+            found = split(piece.column("text")).flatten().value_counts()
+            held.append(pa.table([found.field("values"), found.field("counts")], schema=kind))
+            rows += len(found)
+            if rows > 2 * HELD:
+                held = [pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})]
+                rows = held[0].num_rows
+                if rows > HELD:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).to_batches()
 
     return texts(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -96,12 +124,31 @@ def tree(c: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return ends, np.array([x for own in nodes for x in own], np.int64), np.array([x for own in branches for x in own], np.int64), biases
 
 
+def summed(e: np.ndarray, source: np.ndarray, begin: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The sum of the rows ``source[begin : begin + times]`` of ``e``, for each of the groups; they have two or more."""
+    order = np.argsort(-times, kind="stable")
+    begin, times = begin[order], times[order]
+    sums = np.take(e, source[begin], axis=0)
+    # the groups that still have rows are the first ones; the few large groups are summed one by one
+    large = int(np.count_nonzero(times > LARGE))
+    for i in range(large):
+        sums[i] = np.take(e, source[begin[i] : begin[i] + times[i]], axis=0).sum(0)
+    for j in range(1, LARGE):
+        left = int(np.count_nonzero(times > j))
+        if left <= large:
+            break
+        sums[large:left] += np.take(e, source[begin[large:left] + j], axis=0)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
 class Model:
     """What every task knows: frequent words, the ways to them and the weights."""
 
     def __init__(self, frequent: list[tuple[bytes, int]], tokens: int, types: int, rows: int | None = None):
         self.tokens, self.types = tokens, types
-        self.place = {w: i for i, (w, _) in enumerate(frequent)}
+        self.known = pa.array([w for w, _ in frequent], pa.binary())
         c = np.array([n for _, n in frequent], np.float64)
         self.log_count = np.log10(c + 1)
         self.rest_tokens, self.rest_types = tokens - int(c.sum()), types - len(frequent)
@@ -120,22 +167,24 @@ class Model:
     def __getstate__(self):
         return self.__dict__
 
-    def ids(self, batch: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[dict[bytes, int]]]:
+    @property
+    def place(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.known.to_pylist())}
+
+    def ids(self, batch: pa.ListArray | list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[dict[bytes, int]]]:
         """Places of all tokens, each document behind two starts (-1), which are tokens, and each document's words
-        outside the vocabulary with how often they occur.  Such a word is ``len(place)`` plus a number of its ending."""
-        n, every = len(self.place), []
-        for own in batch:
-            every += (None, None)
-            every += own
-        ids = np.fromiter(map(self.place.get, every, repeat(n)), np.int64, len(every))
-        is_token = np.ones(len(every), bool)
-        starts = np.cumsum([0] + [len(own) + 2 for own in batch[:-1]], dtype=np.int64) if batch else np.empty(0, np.int64)
-        for at in (starts, starts + 1):
-            ids[at], is_token[at] = -1, False
-        other = np.flatnonzero(ids == n)
-        rare = [every[i] for i in other.tolist()]
-        ids[other] = [n + zlib.crc32(w[-2:]) % ENDINGS for w in rare]
-        cut = np.searchsorted(other, starts).tolist()
+        outside the vocabulary with how often they occur.  Such a word is ``len(known)`` plus a number of its ending."""
+        batch = listed(batch)
+        n, every, sizes = len(self.known), batch.flatten(), lengths(batch)
+        ids, is_token = np.full(len(every) + 2 * len(sizes), -1, np.int64), np.ones(len(every) + 2 * len(sizes), bool)
+        starts = np.cumsum(sizes + 2) - sizes - 2
+        is_token[starts] = is_token[starts + 1] = False
+        found = pc.index_in(every, value_set=self.known).fill_null(n).to_numpy(zero_copy_only=False).astype(np.int64)
+        other = np.flatnonzero(found == n)
+        rare = every.take(pa.array(other)).to_pylist()
+        found[other] = [n + zlib.crc32(w[-2:]) % ENDINGS for w in rare]
+        ids[is_token] = found
+        cut = np.searchsorted(other, np.cumsum(sizes) - sizes).tolist()
         outside = [Counter(rare[a:b]) if a < b else {} for a, b in zip(cut, [*cut[1:], len(rare)], strict=True)] if cut else []
         return ids, is_token, outside
 
@@ -143,7 +192,7 @@ class Model:
         """The choices on the way to each token, those at the root first: the token each belongs to, rows of weights,
         the node and the branch taken.  Rows come in three lots, each with one for every choice: of the word before, of
         the one before that, and of both words."""
-        own = np.minimum(ids[at], len(self.place))
+        own = np.minimum(ids[at], len(self.known))
         start, below, n = self.start[own], self.depth[own] - 1, np.arange(len(at))
         token = np.r_[n, np.repeat(n, below)]
         way = np.r_[start, np.arange(below.sum()) + np.repeat(start + 1 - np.cumsum(below) + below, below)]
@@ -157,35 +206,42 @@ class Model:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return token, (h >> np.uint64(64 - len(self.weights).bit_length() + 1)).astype(np.int64), node, self.branches[way]
 
-    def softmax(self, rows: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores, their exponentials and sums."""
-        w, m = self.weights, len(node)
-        z = np.take(w, rows[:m], axis=0)
-        z += np.take(w, rows[m : 2 * m], axis=0)
-        z += np.take(w, rows[2 * m :], axis=0)
-        z += np.take(self.bias, node, axis=0)
-        # kept below the largest number a float can hold; weights of that size would need millions of steps
-        np.minimum(z, 80, out=z)
-        e = np.exp(z)
-        return z, e, e @ np.ones(e.shape[1], np.float32)
-
-    def score(self, batch: list[list[bytes]]) -> dict[str, list]:
+    def branch_scores(self, rows: np.ndarray, node: np.ndarray, out: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """The scores of all branches of the choices, ``BLOCK`` choices at a time, each block a part of ``out`` (or the
+        whole of it, again and again, where it has no more rows than that)."""
+        m, more = len(node), np.empty((min(BLOCK, len(node)), CLASSES), np.float32)
+        for a in range(0, m, BLOCK):
+            b = min(m, a + BLOCK)
+            z, x = out[a:b] if len(out) >= m else out[: b - a], more[: b - a]
+            # every place is within its table: "clip" only spares the copy that "raise" makes of the output
+            self.weights.take(rows[a:b], axis=0, out=z, mode="clip")
+            for table, at in ((self.weights, rows[m + a : m + b]), (self.weights, rows[2 * m + a : 2 * m + b]), (self.bias, node[a:b])):
+                z += table.take(at, axis=0, out=x, mode="clip")
+            # kept below the largest number a float can hold; weights of that size would need millions of steps
+            np.minimum(z, 80, out=z)
+            yield slice(a, b), z
+
+    def score(self, batch: pa.ListArray | list[list[bytes]]) -> dict[str, list]:
         """For each document: tokens, known ones and log counts in the vocabulary, the model's part of the score,
         and the words outside with how often they occur."""
+        batch = listed(batch)
         ids, is_token, outside = self.ids(batch)
-        at, n = np.flatnonzero(is_token), len(self.place)
+        at, n, sizes = np.flatnonzero(is_token), len(self.known), lengths(batch)
         own, logs = ids[at], np.empty(len(at))
+        held, places = np.empty((BLOCK, CLASSES), np.float32), np.arange(BLOCK) * CLASSES
         for i in range(0, len(at), STEP):
             token, rows, node, k = self.choices(ids, at[i : i + STEP])
-            z, _, total = self.softmax(rows, node)
-            each = (z[np.arange(len(k)), k] - np.log(total)) / np.log(10)
-            logs[i : i + STEP] = np.bincount(token, weights=each)
+            taken, total = np.empty(len(k), np.float32), np.empty(len(k), np.float32)
+            for part, z in self.branch_scores(rows, node, held):
+                taken[part] = z.ravel()[places[: len(z)] + k[part]]
+                total[part] = np.exp(z, out=z) @ ONES
+            logs[i : i + STEP] = np.bincount(token, weights=(taken - np.log(total)) / np.log(10))
         inside = own < n
-        doc = np.repeat(np.arange(len(batch)), [len(b) for b in batch])
-        size = len(batch)
+        size = len(sizes)
+        doc = np.repeat(np.arange(size), sizes)
         known = np.bincount(doc[inside], minlength=size)
         return {
-            "n_tokens": [len(b) for b in batch],
+            "n_tokens": sizes,
             "in_known": known,
             "in_log": np.bincount(doc[inside], weights=self.log_count[own[inside]], minlength=size),
             "model_log": np.bincount(doc, weights=logs, minlength=size),
@@ -193,34 +249,45 @@ class Model:
             "times": [list(o.values()) for o in outside],
         }
 
-    def train(self, batch: list[list[bytes]], seen: np.ndarray, energy: np.ndarray) -> None:
+    def train(self, batch: pa.ListArray | list[list[bytes]], seen: np.ndarray, energy: np.ndarray) -> None:
         """Gradient steps over the documents; ``seen`` and ``energy`` grow by how often and how strongly rows are met."""
         ids, is_token, _ = self.ids(batch)
-        every = np.flatnonzero(is_token)
+        every, places = np.flatnonzero(is_token), np.arange(BLOCK) * CLASSES
+        buffers = np.empty((2, BLOCK, CLASSES), np.float32)
+        # a row of weights as one item: numpy puts items of any size, but rows only number by number
+        whole = self.weights.view(ROW).ravel()
         for i in range(0, len(every), STEP):
             at = every[i : i + STEP]
             _, rows, node, k = self.choices(ids, at)
-            _, e, total = self.softmax(rows, node)
-            e *= (-1 / total)[:, None]
-            e[np.arange(len(k)), k] += 1
-            # two radix sorts of 16 bits each
-            order = np.argsort(rows.astype(np.uint16), kind="stable")
-            order = order[np.argsort((rows >> 16).astype(np.uint16)[order], kind="stable")]
-            found = rows[order]
+            e, norm = np.empty((len(k), CLASSES), np.float32), np.empty(len(k), np.float32)
+            for part, z in self.branch_scores(rows, node, e):
+                z *= (-1 / (np.exp(z, out=z) @ ONES))[:, None]
+                z.ravel()[places[: len(z)] + k[part]] += 1
+                norm[part] = np.einsum("ij,ij->i", z, z)
+            # each row's choices side by side: row and choice in one number, which is sorted faster than places are
+            order = np.sort((rows << 32).reshape(3, -1) | np.arange(len(k)), axis=None)
+            found, source = order >> 32, order & 0xFFFFFFFF
             begin = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-            met, times, source = found[begin], np.diff(np.r_[begin, len(found)]), order % len(k)
-            # most rows are met once: their sums are plain copies, and only what the others have besides is added up
-            step, often = np.take(e, source[begin], axis=0), np.flatnonzero(times > 1)
-            if len(often):
-                more = np.ones(len(found), bool)
-                more[begin] = False
-                held = times[often] - 1
-                step[often] += np.add.reduceat(np.take(e, source[more], axis=0), np.cumsum(held) - held, axis=0)
+            met, times, first = found[begin], np.diff(np.r_[begin, len(found)]), source[begin]
             seen[met] += times
-            energy[met] = strength = energy[met] + np.einsum("ij,ij->i", step, step)
-            step *= (RATE / np.sqrt(strength + 1))[:, None]
-            step += np.take(self.weights, met, axis=0)
-            self.weights[met] = step
+            strength, often = norm[first], np.flatnonzero(times > 1)
+            if len(often):
+                sums = summed(e, source, begin[often], times[often])
+                strength[often] = np.einsum("ij,ij->i", sums, sums)
+            energy[met] = strength = energy[met] + strength
+            rate = (RATE / np.sqrt(strength + 1))[:, None]
+            # most rows are met once: what moves them is one choice's slope
+            cut = np.searchsorted(often, np.arange(0, len(met) + BLOCK, BLOCK))
+            for j, a in enumerate(range(0, len(met), BLOCK)):
+                own = met[a : a + BLOCK]
+                step, more = buffers[0][: len(own)], buffers[1][: len(own)]
+                e.take(first[a : a + BLOCK], axis=0, out=step, mode="clip")
+                some = slice(cut[j], cut[j + 1])
+                if some.start < some.stop:
+                    step[often[some] - a] = sums[some]
+                step *= rate[a : a + BLOCK]
+                step += self.weights.take(own, axis=0, out=more, mode="clip")
+                whole.put(own, step.view(ROW).ravel(), mode="clip")
 
 
 def moved(docs: DataFrame, model) -> DataFrame:
@@ -235,8 +302,8 @@ def moved(docs: DataFrame, model) -> DataFrame:
         start, own.weights = own.weights, own.weights.copy()
         hashed = len(start)
         seen, energy = np.zeros(hashed), np.zeros(hashed, np.float32)
-        for piece in pieces(batches):
-            own.train([words(t) for t in piece.column("text").to_pylist()], seen, energy)
+        for piece in pieces(batches, limit=TEXTS):
+            own.train(split(piece.column("text")), seen, energy)
         for a in range(0, hashed, ROWS):
             met = np.flatnonzero(seen[a : a + ROWS])
             if len(met):
@@ -322,9 +389,9 @@ def scores(docs: DataFrame, train: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=TEXTS):
             n = piece.num_rows
-            made = shared.value.score([words(t) for t in piece.column("text").to_pylist()])
+            made = shared.value.score(split(piece.column("text")))
             yield pa.RecordBatch.from_pydict({"row": range(row, row + n), "doc_id": piece.column("doc_id")} | made, schema=kind)
             row += n
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docmill.llm import maxent as m
@@ -147,3 +148,41 @@ def test_step_against_a_plain_one():
         move = slopes.get(row, np.zeros(m.CLASSES))
         want = before[row] + m.RATE * move / math.sqrt((move * move).sum() + 1)
         assert model.weights[row] == pytest.approx(want, abs=1e-4) and seen[row] == times[row]
+
+
+def test_words_are_split_as_bytes_are():
+    odd = ["", " ", "\n\n", "a", " A  b ", "\tA\x0bB\x0cc\rd\ne\x1cf\x1dg\x1eh\x1fi\x85j\xa0K\x00l m", "ÀÉİ ABC K", "x" * 70_000 + " y"]
+    upper = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    want = [[*t.encode().translate(upper).split(), m.END] for t in odd]
+    assert m.split(pa.array(odd)).to_pylist() == want == [m.words(t) for t in odd]
+    # a part of a longer column, as tasks cut it
+    assert m.split(pa.array(["no", *odd, "no"]).slice(1, len(odd))).to_pylist() == want
+    model = m.Model([(b"abc", 5), (m.END, 3)], 20, 9)
+    for x, y in zip(model.ids(m.split(pa.array(odd))), model.ids(want), strict=True):
+        assert list(x) == list(y)
+
+
+def test_sums_of_groups():
+    r = np.random.default_rng(5)
+    times = np.array([2, 3, m.LARGE, m.LARGE + 1, 2, 500, m.LARGE - 1, 7])
+    e, source = r.normal(size=(40, m.CLASSES)).astype(np.float32), r.integers(0, 40, times.sum() + 3)
+    begin = np.cumsum(times) - times
+    got = m.summed(e, source, begin, times)
+    assert got == pytest.approx(np.array([e[source[a : a + n]].astype(float).sum(0) for a, n in zip(begin, times, strict=True)]), abs=1e-3)
+
+
+def test_steps_of_many_blocks(monkeypatch):
+    """What is worked out at a time does not change what comes out."""
+    r = random.Random(7)
+    batch = [[f"w{min(r.randrange(300), r.randrange(300))}".encode() for _ in range(400)] + [m.END] for _ in range(6)]
+    found = []
+    for block, large in ((1 << 20, 1 << 20), (64, 3)):
+        monkeypatch.setattr(m, "BLOCK", block)
+        monkeypatch.setattr(m, "LARGE", large)
+        model = m.Model([(f"w{i}".encode(), 600 - i) for i in range(250)], 200_000, 300, 1 << 12)
+        seen, energy = np.zeros(1 << 12), np.zeros(1 << 12, np.float32)
+        for _ in range(3):
+            model.train(batch, seen, energy)
+        found.append((model.weights, seen, energy, model.score(batch)["model_log"]))
+    for x, y in zip(*found, strict=True):
+        assert x == pytest.approx(y, rel=1e-3, abs=1e-3)
