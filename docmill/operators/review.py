@@ -191,11 +191,13 @@ def paragraph_fuzzy(clauses: DataFrame, paragraphs: DataFrame, key: str, text: s
     the document's own row, and a banded edit distance decides.  Equal paragraphs and equal bodies are compared once.  Null
     and blank texts are nowhere.
     """
-    words = lambda c: F.split(_normal(c), " ")
-    said = clauses.select(F.col(key), _normal(F.col(body)).alias("_body")).where("_body is not null and _body <> ''").withColumn("_h", F.sha2("_body", 256))
-    bodies = said.groupBy("_h").agg(F.first("_body").alias("_body")).select("_h", words(F.col("_body")).alias("_w"))
-    own = paragraphs.select("paragraph_id", _normal(F.col(text)).alias("_text")).where("_text <> ''").withColumn("_p", F.sha2("_text", 256))
-    distinct = own.groupBy("_p").agg(F.first("_text").alias("_text")).select("_p", words(F.col("_text")).alias("_pw"))
+    # the words of the normal form, which nothing here needs as a text
+    stripped = lambda c: F.btrim(F.col(c), F.lit(" \t\n\x0b\f\r"))
+    words = lambda c: F.split(F.lower(stripped(c)), r"\s+")
+    said = clauses.select(F.col(key), F.col(body).alias("_body")).where(stripped("_body") != "").withColumn("_h", F.sha2("_body", 256))
+    bodies = said.groupBy("_h").agg(F.first("_body").alias("_body"))
+    own = paragraphs.select("paragraph_id", _normal(stripped(text)).alias("_text")).where("_text <> ''").withColumn("_p", F.sha2("_text", 256))
+    distinct = own.groupBy("_p").agg(F.first("_text").alias("_text")).select("_p", F.split("_text", " ").alias("_pw"))
     distinct = distinct.withColumn("_n", F.size("_pw")).withColumn("_e", F.floor(F.col("_n") * percent / 100).cast("int"))
     # piece i of e + 1 has the words from i * n / (e + 1) on; every piece has as many words as the shortest or one more
     size = F.least(F.lit(ANCHOR), F.floor(F.col("_n") / (F.col("_e") + 1)).cast("int"))
@@ -207,19 +209,20 @@ def paragraph_fuzzy(clauses: DataFrame, paragraphs: DataFrame, key: str, text: s
     rarest = grams.join(common, ["_size", "k"]).groupBy("_p", "_n", "_e", "_size", "_i").agg(F.min(F.struct("_often", "at", "k")).alias("g"))
     keys = rarest.select("_p", "_n", "_e", "_size", F.col("g.at").alias("_at"), F.col("g.k").alias("_k"))
     sizes = sorted(r["_size"] for r in keys.select("_size").distinct().collect())  # ANCHOR of them at most
-    found = None
-    for n in sizes:
-        there = bodies.select("_h", F.posexplode(F.transform(F.when(F.size("_w") >= n, F.sequence(F.lit(0), F.size("_w") - n)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice("_w", i + 1, F.lit(n))))).alias("_pos", "_k"))
-        few = keys.where(F.col("_size") == n)
-        few = F.broadcast(few) if few.count() <= KEYS_SENT else few
-        one = there.join(few, "_k").select("_h", "_p", "_n", "_e", (F.col("_pos") - F.col("_at")).alias("_from"))
-        found = one if found is None else found.union(one)
     spark = clauses.sparkSession
-    if found is None:
+    if not sizes:
         return spark.createDataFrame([], f"`{key}` {dict(clauses.dtypes)[key]}, paragraph_id {dict(paragraphs.dtypes)['paragraph_id']}, distance int")
+    # each word beside those that follow it: rows of strings are hashed by generated code, which a lambda's slices are not
+    most = range(sizes[-1])
+    beside = bodies.select("_h", words("_body").alias("_w")).select("_h", F.posexplode(F.arrays_zip(*(F.slice("_w", 1 + k, F.greatest(F.lit(0), F.size("_w") - k)).alias(f"w{k}") for k in most))).alias("_pos", "_run"))
+    beside = beside.select("_h", "_pos", *(F.col(f"_run.w{k}").alias(f"w{k}") for k in most))
+    one = lambda n: F.struct(F.lit(n).alias("_size"), F.when(F.col(f"w{n - 1}").isNotNull(), F.xxhash64(*(f"w{k}" for k in range(n)))).alias("_k"))
+    there = beside.select("_h", "_pos", F.explode(F.array(*map(one, sizes))).alias("_g")).select("_h", "_pos", "_g.*")
+    few = F.broadcast(keys) if keys.count() <= KEYS_SENT else keys
+    found = there.join(few, ["_size", "_k"]).select("_h", "_p", "_n", "_e", (F.col("_pos") - F.col("_at")).alias("_from"))
     places = found.distinct().groupBy("_h").agg(F.collect_list(F.struct("_p", "_n", "_e", "_from")).alias("_places"))
     window = lambda x: F.slice(F.col("_w"), F.greatest(F.lit(1), x["_from"] - x["_e"] + 1), F.greatest(F.lit(0), x["_n"] + 2 * x["_e"] + F.least(F.lit(0), x["_from"] - x["_e"])))
-    cuts = places.join(bodies, "_h").select("_h", F.explode(F.transform("_places", lambda x: F.struct(x["_p"].alias("_p"), x["_e"].alias("_e"), window(x).alias("_words")))).alias("x")).select("_h", "x.*").distinct()
+    cuts = places.join(bodies, "_h").withColumn("_w", words("_body")).select("_h", F.explode(F.transform("_places", lambda x: F.struct(x["_p"].alias("_p"), x["_e"].alias("_e"), window(x).alias("_words")))).alias("x")).select("_h", "x.*").distinct()
     near = map_rows(cuts.join(distinct.select("_p", "_pw"), "_p"), lambda r: editing.errors_inside(r["_pw"], r["_words"], r["_e"]), "distance", "int", ["_pw", "_words"], limit=4096)
     best = near.where("distance is not null").groupBy("_h", "_p").agg(F.min("distance").alias("distance"))
     rows = said.select(key, "_h").join(best, "_h").join(own.select("_p", "paragraph_id"), "_p")

@@ -131,6 +131,25 @@ def test_fuzzy_paragraphs_against_all_distances(spark):
     assert review.paragraph_fuzzy(spark.createDataFrame(clauses, "doc_id long, body string"), empty, "doc_id").collect() == []
 
 
+def test_fuzzy_paragraphs_in_odd_white_space(spark):
+    """Words are those of the normal form, whatever stands between them; pieces of all lengths are sought in one pass."""
+    r = random.Random(8)
+    words, gaps = ["Ab", "c", "ΟΔΟΣ", "ß", "x\u00a0y", "é", "İ", "d", "e", "f"], [" ", "  ", "\n", "\t", "\x0b\x0c", "\r\n ", "\x1c", "\u2003"]
+    said = lambda n: "".join(x for _ in range(n) for x in (r.choice(words), r.choice(gaps)))
+    paragraphs = [(i, said(n)) for i, n in enumerate((1, 2, 3, 4, 6, 11, 12, 25))] + [(8, "\n"), (9, " "), (10, "\nd")]
+    clauses = [(i, r.choice(["", " ", "\n", "\t d "]) + said(r.randint(0, 9)) + r.choice(paragraphs)[1] + said(r.randint(0, 3))) for i in range(50)] + [(50, "\n"), (51, "  "), (52, None), (53, " \n ")]
+    got = review.paragraph_fuzzy(spark.createDataFrame(clauses, "doc_id long, body string"), spark.createDataFrame(paragraphs, "paragraph_id long, text string"), "doc_id")
+    # the normal form as Spark writes it out, without blanks at its ends, cut at its single blanks
+    blank = " \\\\t\\\\n\\\\x0B\\\\f\\\\r"
+    rows = lambda x: spark.createDataFrame(x, "i long, s string").selectExpr("i", f"lower(trim(regexp_replace(s, '[{blank}]+', ' '))) AS n").collect()
+    normal = lambda x: {r.i: r.n.split(" ") for r in rows(x) if r.n}
+    want = {(i, p): nearest(a, b) for i, b in normal(clauses).items() for p, a in normal(paragraphs).items() if nearest(a, b) <= len(a) // 10}
+    assert {(x.doc_id, x.paragraph_id): x.distance for x in got.collect()} == want and len(want) > 30
+    # one pass: no union of a pass for each length, and no text is rewritten only to be cut up
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "regexp_replace(trim(body" not in plan
+
+
 def test_short_paragraphs_without_a_cartesian_product(spark):
     r = random.Random(6)
     letters = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 4)))
