@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import permutations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import editing, fixed
 from docmill.functions.text import word_set
 from docmill.operators.joins import as_of
-from docmill.operators.tasks import map_rows
+from docmill.operators.tasks import arrow_schema, ddl, saved
 
 #: Rows of a family's targets, and of its library, that are joined as one block.
 BLOCK = 8192
-#: Sets of words that are compared in one row: a target's block and a library's.
-ASKED_BLOCK, HELD_BLOCK = 1024, 4096
+#: Sets of words that are compared in one row, a target's block and a library's, and about the most words of a block.
+ASKED_BLOCK, HELD_BLOCK, WORDS_BLOCK = 4096, 4096, 1 << 20
+#: Rows that may be sent to every task: classes of a library, a few a family, and hashes of ids, 8 bytes each.
+CLASSES_SENT, KEYS_SENT = 1 << 14, 1 << 20
 
 
 def exact_or_null(library: Column, target: Column) -> Column:
@@ -160,7 +164,8 @@ def likeliest(targets: DataFrame, library: DataFrame, pairs: DataFrame, key: str
     The library's rows fall into classes by family, optional values, ``narrow_by`` and rank, a few a family.  From their
     counts follow what is narrowed, what is widened, and the classes in which a target's first candidate is.  Only in these
     words are compared: equal sets of words are one, and blocks of sets meet in a row (``editing.most_alike``).  The pairs of
-    sets grow with both sides, but no row is made of them.  ``rank``: over the library's columns as ``lib_...``.
+    sets grow with both sides, but no row is made of them.  ``rank``: over the library's columns as ``lib_...``.  The classes
+    reached, both sides' sets and what was found are written once, for each is read several times.
     """
     lib = library
     for c, v in ({"approval_state": "approved", "status": "active"} if required is None else required).items():
@@ -188,34 +193,49 @@ def likeliest(targets: DataFrame, library: DataFrame, pairs: DataFrame, key: str
     place = lambda more: F.struct((F.col("_rank") + more).alias("r"), F.when(F.col("_same"), 0).when(F.col("_same").isNull(), 2).otherwise(1).alias("s"))
     reach = own.select(key, "_class", F.lit(0).alias("penalty"), place(0).alias("_place")).union(more.select(key, "_class", F.lit(penalty).alias("penalty"), place(penalty).alias("_place")))
     first = reach.groupBy(key).agg(F.min("_place").alias("_first"))
-    reach = reach.join(first, key).where(F.col("_place") == F.col("_first")).select(key, "_class", "penalty").distinct()
+    reach = saved(reach.join(first, key).where(F.col("_place") == F.col("_first")).select(key, "_class", "penalty").distinct(), "reach")
 
+    # a set is a text: sorted words, which have no blanks
     said = lambda c: F.array_sort(F.coalesce(word_set(F.col(c)), F.array().cast("array<string>")))
-    named = lambda rows: rows.withColumn("_set", F.sha2(F.array_join("_words", " "), 256))
-    wanted = named(targets.select(key, said(text).alias("_words"))).join(reach, key)
-    there = named(lib.select("_class", "lib_doc_id", "lib_clause_id", said(f"lib_{text}").alias("_words")))
-    there = there.join(reach.select("_class").distinct(), "_class", "left_semi")
-    sets = there.groupBy("_class", "_set").agg(F.min(F.struct("lib_doc_id", "lib_clause_id")).alias("_id"), F.first("_words").alias("_words"))
+    named = lambda rows: rows.withColumns({"_set": F.sha2(F.array_join("_words", " "), 256), "_n": F.size("_words"), "_words": F.array_join("_words", " ")})
+    wanted = saved(named(targets.select(key, said(text).alias("_words"))).join(reach, key), "wanted")
+    reached = saved(reach.select("_class").distinct(), "classes")
+    few_classes = reached.count() <= CLASSES_SENT
+    sent = lambda classes: F.broadcast(classes) if few_classes else classes
+    there = lib.join(sent(reached), "_class", "left_semi")
+    there = named(there.select("_class", "lib_doc_id", "lib_clause_id", said(f"lib_{text}").alias("_words")))
+    sets = saved(there.groupBy("_class", "_set").agg(F.min(F.struct("lib_doc_id", "lib_clause_id")).alias("_id"), F.first("_words").alias("_words"), F.first("_n").alias("_n")), "sets")
 
     def blocks(rows: DataFrame, most: int, name: str, *fields: str) -> DataFrame:
-        count = rows.groupBy("_class").agg(F.ceil(F.count("*") / most).alias("_of"))
-        dealt = rows.join(count, "_class").withColumn("_block", F.pmod(F.xxhash64("_set"), "_of"))
+        count = rows.groupBy("_class").agg(F.ceil(F.greatest(F.count("*") / most, F.sum("_n") / WORDS_BLOCK)).alias("_of"))
+        dealt = rows.join(sent(count), "_class").withColumn("_block", F.pmod(F.xxhash64("_set"), "_of"))
         return dealt.groupBy("_class", F.col("_block").alias(f"{name}_block")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
-    a = blocks(wanted.select("_class", "_set", "_words").dropDuplicates(["_class", "_set"]), ASKED_BLOCK, "_asked", "_set", "_words")
+    a = blocks(wanted.select("_class", "_set", "_words", "_n").dropDuplicates(["_class", "_set"]), ASKED_BLOCK, "_asked", "_set", "_words")
     b = blocks(sets, HELD_BLOCK, "_held", "_id", "_words")
     # a number that is given keeps the cells of one class apart, small as they are
     cells = a.join(b, "_class").repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_class", "_asked_block", "_held_block")
 
-    def work(row: dict) -> list[dict]:
-        found = editing.most_alike([x["_words"] for x in row["_asked"]], [x["_words"] for x in row["_held"]])
-        return [{"_set": x["_set"], "_less": -s, "_id": row["_held"][i]["_id"]} for x, (i, s) in zip(row["_asked"], found, strict=True)]
+    made = ddl([("_class", dict(sets.dtypes)["_class"]), ("_set", "string"), ("_less", "double"), ("_id", dict(sets.dtypes)["_id"])])
+    out = arrow_schema(made)
 
-    kind = f"array<struct<_set: string, _less: double, _id: {dict(sets.dtypes)['_id']}>>"
-    alike = map_rows(cells.select("_class", "_asked", "_held"), work, "_r", kind, ["_asked", "_held"], limit=2).select("_class", F.explode("_r").alias("_r"))
-    alike = alike.groupBy("_class", F.col("_r._set").alias("_set")).agg(F.min(F.struct("_r._less", "_r._id")).alias("_best"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, asked = batch["_asked"][i].values.flatten()
+                ids, held = batch["_held"][i].values.flatten()
+                at, share = editing.most_alike(asked, held)
+                columns = batch["_class"].take(pa.array([i] * len(own))), own, pa.array(-share), ids.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    alike = cells.select("_class", "_asked", "_held").mapInArrow(work, made)
+    alike = alike.groupBy("_class", "_set").agg(F.min(F.struct("_less", "_id")).alias("_best"))
     won = wanted.select(key, "_class", "penalty", "_set").join(alike, ["_class", "_set"]).select(F.col(key).alias("_key"), F.col("_class").alias("_won"), "penalty", "_best._id.*")
-    won = won.withColumnsRenamed({"lib_doc_id": "_doc", "lib_clause_id": "_clause"})
+    won = saved(won.withColumnsRenamed({"lib_doc_id": "_doc", "lib_clause_id": "_clause"}), "won")
+    # the library's texts are many times those that are wanted: most stay where they are
+    ids = won.select(F.xxhash64("_doc").alias("_k")).distinct()
+    if ids.count() <= KEYS_SENT:
+        lib = lib.withColumn("_k", F.xxhash64("lib_doc_id")).join(F.broadcast(ids), "_k", "left_semi").drop("_k")
     rows = lib.join(won, (F.col("_class") == F.col("_won")) & F.col("lib_doc_id").eqNullSafe(F.col("_doc")) & F.col("lib_clause_id").eqNullSafe(F.col("_clause")))
     rows = rows.drop("_class", "_won", "_doc", "_clause")
     return targets.join(rows, targets[key] == F.col("_key")).drop("_key")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docmill.functions import fixed, text
 from docmill.functions.rules import cascade
 from docmill.operators import joins, library, lifecycle, retrieve, review, rounds, structure
-from docmill.operators.tasks import scratch
+from docmill.operators.tasks import saved, scratch
 from docmill.sources import docx, keyed, redline
 from docmill.streaming import intake, waits
 
@@ -532,11 +532,11 @@ one AS (SELECT t.doc_id, t.contract_family, t.clause_type, t.n_chars, l.doc_id A
 ON t.contract_family = l.contract_family AND (l.jurisdiction IS NULL OR t.jurisdiction IS NULL OR l.jurisdiction = t.jurisdiction) WHERE l.approval_state = 'approved' AND l.status = 'active')"""
 
 
-def _library(spark, sf):
+def _library(spark, sf, *more):
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     return rows.select(
         "doc_id", F.col("source").alias("contract_family"), F.nullif(F.col("lang"), F.lit("es")).alias("jurisdiction"), F.when(F.col("n_chars") >= 2000, "long").otherwise("short").alias("clause_type"),
-        F.when(F.col("quality") == 1, "approved").otherwise("quarantined").alias("approval_state"), F.when(F.col("toxic") == 1, "archived").otherwise("active").alias("status"), "n_chars",
+        F.when(F.col("quality") == 1, "approved").otherwise("quarantined").alias("approval_state"), F.when(F.col("toxic") == 1, "archived").otherwise("active").alias("status"), "n_chars", *more,
     )
 
 
@@ -836,7 +836,7 @@ _AUTHORITY = f"CASE lib_id % 3 WHEN 0 THEN {_RANKS['preferred_template']} WHEN 1
 
 
 @query(
-    f"""WITH {_LIB}, w AS (SELECT d.doc_id, substr(text, 1, 200) AS said FROM documents d),
+    f"""WITH {_LIB}, w AS (SELECT d.doc_id, text AS said FROM documents d),
 p AS (SELECT o.doc_id, o.lib_doc_id AS lib_id, o.clause_type = o.lib_clause_type AS same, count(*) OVER (PARTITION BY o.doc_id) AS n FROM one o),
 s AS (SELECT p.*, {_AUTHORITY} AS rank, {_jaccard('a.said', 'b.said')} AS s FROM p JOIN w a ON p.doc_id = a.doc_id JOIN w b ON p.lib_id = b.doc_id WHERE n <= {fixed.NARROW_ABOVE} OR same),
 f AS (SELECT tgt.doc_id, lib_id, coalesce(s, 0.0) AS s FROM tgt LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, same DESC, s DESC, lib_id) AS place FROM s) x ON tgt.doc_id = x.doc_id AND place = 1),
@@ -844,11 +844,11 @@ r AS (SELECT *, CASE WHEN s >= 0.9 THEN 'acceptable' WHEN s >= 0.7 THEN 'low' WH
 SELECT doc_id AS clause_id, lib_id AS lib_doc_id, round(s, 6) AS similarity, risk_level, coalesce(tier IN ({_LISTED(_MODERATE['tiers'])}), false) AS acceptable, risk_level IN ({_LISTED(_MODERATE['redline'])}) AS redline, risk_level IN ({_LISTED(_MODERATE['comments'])}) AS comment FROM r"""
 )
 def contract_review(spark, sf):
-    """The whole review: candidates, the best house clause of each target, risk, tier and the scopes of the mode."""
+    """The whole review: candidates, the best house clause of each target by whole texts, risk, tier and the scopes of the mode."""
     from docmill.plans.library import Review
 
-    said = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("text"))
-    lib = _library(spark, sf).join(said, "doc_id")
+    # read several times, and joined once
+    lib = saved(_library(spark, sf, "text"), "library")
     target = lib.where("status = 'archived'").select(F.col("doc_id").alias("clause_id"), "clause_type", "contract_family", "jurisdiction", F.lit(None).cast("string").alias("governing_law"), "text")
     n = F.col("doc_id") % 3
     level = F.when(n == 0, "preferred").when(n == 1, "acceptable").otherwise("fallback")

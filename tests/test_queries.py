@@ -42,6 +42,26 @@ def test_same_as_sql(spark, con, name):
     assert got == want
 
 
+def test_contract_review_reads_whole_texts(spark, tmp_path, monkeypatch):
+    """Texts alike in their first 200 letters are told apart by what follows, in one block of sets or in several."""
+    from docmill.operators import retrieve
+
+    head = "the parties agree " * 20
+    tails = {3: "alpha beta gamma", 6: "delta epsilon zeta", 9: "eta theta iota", 12: ""}
+    own = {1: "delta epsilon zeta", 2: "eta theta kappa", 4: "nothing of these", 5: "alpha beta gamma"}
+    docs = [(i, head + t, "en", "src0", 100) for i, t in (tails | own).items()] + [(7, "", "en", "src0", 100), (8, "", "en", "src1", 100)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0), 1) for i, *_ in docs], "doc_id long, toxic long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    c = duckdb.connect()
+    for name in ("documents", "labels"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = sorted(c.execute(SQL["contract_review"]).fetchall())
+    assert [r[:3] for r in want] == [(1, 6, 1.0), (2, 9, round(5 / 7, 6)), (4, 12, 0.5), (5, 3, 1.0), (7, 3, 0.0), (8, None, 0.0)]
+    for most in (1 << 20, 8):
+        monkeypatch.setattr(retrieve, "WORDS_BLOCK", most)
+        assert sorted(map(tuple, QUERIES["contract_review"](spark, str(tmp_path)).collect())) == want
+
+
 def test_entry(spark):
     import __spark_entry__
 

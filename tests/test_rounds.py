@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -241,3 +242,16 @@ def test_clauses_find_their_paragraphs(spark):
     clauses = spark.createDataFrame([("a", "clause-001", "(one)\nsame line"), ("a", "clause-002", "(two)\nsame line\ntail  of two"), ("a", "clause-003", "nowhere to be found"), ("z", "clause-001", "no file")], "doc_id string, clause_id string, body string")
     got = {(r.doc_id, r.clause_id): (r.first, r.last) for r in redline.clause_map(clauses, redline.paragraph_places(files)).collect()}
     assert got == {("a", "clause-001"): (2, 3), ("a", "clause-002"): (5, 7), ("a", "clause-003"): (None, None), ("z", "clause-001"): (None, None)}
+
+
+def test_most_alike_sets():
+    r, words = random.Random(3), [f"w{i}" for i in range(60)]
+    # some words are in most sets, some in few, some in none
+    sets = lambda n, most: [" ".join(sorted({words[min(int(r.expovariate(0.12)), most)] for _ in range(r.randint(0, 12))})) for _ in range(n)]
+    for n in (1, 300):
+        asked, held = [*sets(300, 59), "", "none"], [*sets(n, 50), ""]
+        at, share = editing.most_alike(pa.array(asked), pa.array(held))
+        for x, i, s in zip(asked, at, share, strict=True):
+            shares = [len(set(x.split()) & set(y.split())) / max(len(set(x.split()) | set(y.split())), 1) for y in held]
+            assert (i, s) == (shares.index(max(shares)), max(shares))
+    assert [x.tolist() for x in editing.most_alike(pa.array(["a"]), pa.array([""]))] == [[0], [0.0]]
